@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keelson.plans import properties_queries  # noqa: F401
+from keelson.plans import join_queries, manifest_queries, properties_queries  # noqa: F401
 from keelson.plans.registry import ORACLE, QUERIES
 
 FLAGSHIP = "a4_render_properties"
