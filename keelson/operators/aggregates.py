@@ -171,12 +171,14 @@ def first_success_within(events: DataFrame, key, ts: str, is_success, timeout) -
 
 def judge_readiness(per_key: DataFrame, limit_us: int) -> DataFrame:
     """Shared A6/T1 rule on ``(started, first_ok)`` rows."""
-    elapsed = F.timestamp_diff("MICROSECOND", F.col("started"), F.col("first_ok"))
-    ready = F.coalesce(elapsed < F.lit(limit_us), F.lit(False))
+    # Seconds to two places, half-up, done in integer microseconds so the
+    # rounding is exact (no binary-fraction ties).
     return (per_key
-            .withColumn("ready", ready)
-            .withColumn("seconds", F.when(F.col("ready"), F.round(elapsed / F.lit(1e6), 2)))
-            .withColumn("status", F.when(F.col("ready"), F.lit("ready")).otherwise(F.lit("timed_out"))))
+            .withColumn("_us", F.timestamp_diff("MICROSECOND", F.col("started"), F.col("first_ok")))
+            .withColumn("ready", F.coalesce(F.col("_us") < F.lit(limit_us), F.lit(False)))
+            .withColumn("seconds", F.when(F.col("ready"), F.expr("(_us + 5000) div 10000") / F.lit(100.0)))
+            .withColumn("status", F.when(F.col("ready"), F.lit("ready")).otherwise(F.lit("timed_out")))
+            .drop("_us"))
 
 
 def all_running(state: DataFrame, kinds: DataFrame, kind: str = "kind",

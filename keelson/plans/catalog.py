@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from keelson.plans import join_queries, manifest_queries, properties_queries  # noqa: F401
+from keelson.plans import (  # noqa: F401
+    deploy_queries,
+    join_queries,
+    manifest_queries,
+    monitor_queries,
+    properties_queries,
+)
 from keelson.plans.registry import ORACLE, QUERIES
 
 FLAGSHIP = "a4_render_properties"
