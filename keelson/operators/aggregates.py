@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.functions._util import as_col, as_cols, as_names
@@ -75,27 +75,45 @@ def resolve_properties(writes: DataFrame, entity, key: str, value: str, order,
 
 
 # --------------------------------------------------------------------- A4
+def collect_properties(resolved: DataFrame, entity, key: str, value: str, pos: str = "pos",
+                       out: str = "props") -> DataFrame:
+    """A4, first half: per entity, the ``(p, k, v)`` array in ``pos`` order.
+
+    Runs on A3 output, where a group holds one row per distinct key of the
+    entity, not one per write.
+    """
+    ents = as_names(entity)
+    listed = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(key).alias("k"),
+                                                  F.col(value).alias("v"))))
+    return resolved.groupBy(*ents).agg(listed.alias(out))
+
+
+def render_document(props, value_fn=None) -> Column:
+    """A4, second half: ``key=value`` lines joined by ``\n``, no trailing newline.
+
+    Backslashes in values are doubled, nothing else is escaped.
+    ``value_fn`` may rewrite each value first (e.g. fill placeholders from
+    the row's other columns); it runs inside the array, row-locally.
+    """
+    fn = value_fn or (lambda v: v)
+    return F.array_join(F.transform(as_col(props), lambda x: F.concat(x["k"], F.lit("="),
+                                                                      escape_backslash(fn(x["v"])))), "\n")
+
+
 def render_properties(resolved: DataFrame, entity, key: str, value: str, pos: str = "pos",
                       out: str = "document", entities: DataFrame | None = None) -> DataFrame:
-    """A4: one properties document per entity.
+    """A4: one properties document per entity (``collect_properties`` + ``render_document``).
 
-    ``key=value`` lines in ``pos`` order, backslashes in values doubled,
-    joined by ``\\n`` with no trailing newline.  Runs on A3 output, where a
-    group holds one row per distinct key of the entity, not per write.
     With ``entities``, entities without rows get ``''``.
     """
     ents = as_names(entity)
-    lines = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"),
-                                                 F.col(key).alias("k"),
-                                                 F.col(value).alias("v"))))
-    doc = F.array_join(F.transform(lines, lambda x: F.concat(x["k"], F.lit("="),
-                                                             escape_backslash(x["v"]))), "\n")
-    rendered = resolved.groupBy(*ents).agg(doc.alias(out), F.count(F.lit(1)).alias("n_keys"))
+    rendered = (collect_properties(resolved, ents, key, value, pos, out="_props")
+                .select(*ents, render_document("_props").alias(out), F.size("_props").cast("long").alias("n_keys")))
     if entities is None:
         return rendered
     return (entities.select(*ents).join(rendered, ents, "left")
             .select(*ents, F.coalesce(F.col(out), F.lit("")).alias(out),
-                    F.coalesce(F.col("n_keys"), F.lit(0)).alias("n_keys")))
+                    F.coalesce(F.col("n_keys"), F.lit(0).cast("long")).alias("n_keys")))
 
 
 def property_lines(resolved: DataFrame, entity, key: str, value: str, pos: str = "pos",
@@ -189,6 +207,6 @@ def all_running(state: DataFrame, kinds: DataFrame, kind: str = "kind",
 
 __all__ = [
     "duplicate_keys", "unique_index", "all_of", "all_running", "resolve_properties",
-    "render_properties", "property_lines", "topology", "topology_array",
+    "collect_properties", "render_document", "render_properties", "property_lines", "topology", "topology_array",
     "first_success_within", "judge_readiness",
 ]

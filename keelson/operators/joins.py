@@ -95,16 +95,20 @@ def require_keys(df: DataFrame, dim: DataFrame, on) -> None:
 # --------------------------------------------------------------------- J4
 def expand_template(entities: DataFrame, binding: DataFrame, template: DataFrame,
                     on: str = "kind", template_col: str = "template",
-                    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, dims_bounded: bool = False) -> DataFrame:
     """One row per (entity, templated key) through a kind -> template binding.
 
     ``binding``: ``(kind, step, template, prefix)``; ``template``:
     ``(template, pos, suffix, value)``.  Output adds ``step``, ``pos``,
     ``key = prefix.suffix`` (bare suffix for a NULL prefix) and ``value``.
-    Both dimensions are equi-joined, broadcast when their size check passes.
+    Both dimensions are equi-joined, broadcast when their size check passes;
+    ``dims_bounded=True`` states they are fixed tables and skips the check.
     """
-    b = bounded_broadcast(binding, max_broadcast_rows)
-    t = bounded_broadcast(template, max_broadcast_rows)
+    if dims_bounded:
+        b, t = F.broadcast(binding), F.broadcast(template)
+    else:
+        b = bounded_broadcast(binding, max_broadcast_rows)
+        t = bounded_broadcast(template, max_broadcast_rows)
     return (entities.join(b, on)
             .join(t, template_col)
             .withColumn("key", F.concat_ws(".", F.col("prefix"), F.col("suffix"))))

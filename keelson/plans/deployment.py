@@ -8,12 +8,13 @@ counts ``gate``, ``management_api``, ``stream_api``, ``stream_manager``
 
 Steps, each a library operator:
   P3 defaults -> unpivot counts -> G1 instance ids -> U1 services + init
-  -> J3 strict component lookup -> J4 template expansion -> placeholders
-  -> A3 last write wins -> A4 rendered ``application.properties``.
+  -> J3 strict component lookup -> J4 template expansion (kind -> template
+  -> key, resolved by A3 last write wins) -> placeholders -> A4 rendered
+  ``application.properties``.
 
-Everything is row-local except three shuffles: the J4 joins are against
-fixed, broadcast dimensions (no shuffle), A3 groups by (instance, key) and
-A4 by instance.  Both aggregates combine map-side.
+No step shuffles the instances: the J3/J4 joins are against fixed,
+broadcast dimensions, and A3/A4's grouping runs on the template writes
+(see ``deployment_plan``).  The only shuffles are whatever built the input.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from keelson.functions.paths import join_path, with_suffix
 from keelson.functions.text import when_equals
-from keelson.operators.aggregates import render_properties, resolve_properties
+from keelson.operators.aggregates import collect_properties, render_document, resolve_properties
 from keelson.operators.joins import expand_template, strict_lookup
 from keelson.operators.select import with_default
 from keelson.operators.sets import expand_instances, ordered_union, rejected_counts
@@ -82,29 +83,64 @@ def plan_instances(spark, settled: DataFrame, port_base: int, port_stride: int)
     return entities, rejected
 
 
-def fill_placeholders(value: str = "value") -> Column:
-    """Replace each ``{name}`` marker with the entity column that fills it."""
-    v = F.col(value)
+def fill_placeholders(value) -> Column:
+    """Replace each ``{name}`` marker with the entity column that fills it.
+
+    A linear chain of ``replace`` calls (each step reads the previous one
+    once), so the expression stays small inside ``transform`` lambdas.  A
+    NULL filler leaves its marker untouched; markers appear only where the
+    entity has the value.
+    """
+    v = F.col(value) if isinstance(value, str) else value
+    filled = v
     for ph, col in fx.PLACEHOLDERS.items():
-        v = F.when(v.contains(ph), F.replace(v, F.lit(ph), F.col(col).cast("string"))).otherwise(v)
-    return v
+        filled = F.replace(filled, F.lit(ph), F.coalesce(F.col(col).cast("string"), F.lit(ph)))
+    # Most values hold no marker: one ``contains`` test skips the chain.
+    return F.when(v.contains("{"), filled).otherwise(v)
+
+
+def template_writes(spark, starts: int) -> DataFrame:
+    """J4 at the kind level: every property write a kind performs, in order.
+
+    ``starts`` > 1 replays the start template once per start (a restart).
+    """
+    kinds = fx.components(spark).select("kind")
+    rounds = F.when(F.col("template") == F.lit(fx.START_TEMPLATE), F.sequence(F.lit(1), F.lit(starts))) \
+        .otherwise(F.array(F.lit(0)))
+    return (expand_template(kinds, fx.bindings(spark), fx.templates(spark), dims_bounded=True)
+            .withColumn("start_round", F.explode(rounds))
+            .select("kind", "key", "value", "start_round", "step", "pos"))
 
 
 def deployment_plan(clusters: DataFrame, default_dir: str = ".", zk: str = "localhost:2181",
                     kafka: str = "localhost:9092", port_base: int = 20000, port_stride: int = 1000,
                     starts: int = 1) -> DeploymentPlan:
-    """Build the plan; ``starts`` > 1 replays the per-start writes (a restart)."""
+    """Build the plan; ``starts`` > 1 replays the per-start writes (a restart).
+
+    Every write of an instance comes from its kind's template list; the
+    instance only fills the placeholders.  So last-write-wins (A3) and the
+    line order (A4's collect) are computed once per kind on the template
+    writes — a few dozen rows, bounded by the fixed dimensions — and that
+    small ordered array is broadcast to the instances, where each document
+    is rendered row-locally with ``transform``.  The aggregates are pushed
+    below the expanding join; rendering needs no shuffle at all.
+    ``writes`` and ``properties`` still offer the per-instance rows.
+    """
     spark = clusters.sparkSession
     settled = settle(clusters, default_dir, zk, kafka)
     instances, rejected = plan_instances(spark, settled, port_base, port_stride)
-    expanded = expand_template(instances, fx.bindings(spark), fx.templates(spark))
-    rounds = F.when(F.col("template") == F.lit(fx.START_TEMPLATE), F.sequence(F.lit(1), F.lit(starts))) \
-        .otherwise(F.array(F.lit(0)))
-    writes = (expanded
+    kind_writes = template_writes(spark, starts)
+    resolved = resolve_properties(kind_writes, "kind", "key", "value", order=["start_round", "step", "pos"])
+    # Derived from the fixed dimensions only: bounded, so broadcast.
+    kind_docs = F.broadcast(collect_properties(resolved, "kind", "key", "value", out="props"))
+    docs = (instances.join(kind_docs, "kind")
+            .select(*ENTITY, render_document("props", fill_placeholders).alias("document"),
+                    F.size("props").cast("long").alias("n_keys")))
+    props = (instances.join(F.broadcast(resolved), "kind")
+             .withColumn("value", fill_placeholders("value"))
+             .select(*ENTITY, "key", "value", "pos"))
+    writes = (instances.join(F.broadcast(kind_writes), "kind")
               .withColumn("value", fill_placeholders("value"))
-              .withColumn("start_round", F.explode(rounds))
               .select(*ENTITY, "key", "value", "start_round", "step", "pos"))
-    props = resolve_properties(writes, ENTITY, "key", "value", order=["start_round", "step", "pos"])
-    docs = render_properties(props, ENTITY, "key", "value")
     return DeploymentPlan(instances=instances, writes=writes, properties=props, documents=docs,
                           rejected=rejected)
