@@ -8,6 +8,7 @@ from keelson.plans import (  # noqa: F401
     manifest_queries,
     monitor_queries,
     properties_queries,
+    stream_queries,
 )
 from keelson.plans.registry import ORACLE, QUERIES
 
