@@ -26,7 +26,7 @@ def seconds_text(seconds) -> Column:
 
     Rounds half-even on the binary value; compare numbers, not this text.
     """
-    return F.format_number(as_col(seconds), "0.##")
+    return F.call_function("format_number", as_col(seconds), F.lit("0.##"))
 
 
 def service_uri(host, port, scheme: str = "http") -> Column:

@@ -3,13 +3,14 @@
 Same rule as A6 (``first_success_within``): per key the first event starts
 the clock, the first success must come strictly within ``timeout``.
 
-State per key (RocksDB state store): ``(started_us, first_ok_us)``.  An
-event-time timer at ``started + timeout + 1 ms`` emits the key's result
-once and clears its state.  Nothing is emitted on data: until the watermark
+State per key (RocksDB state store): ``(started_us, first_ok_us, done)``.
+An event-time timer at ``started + timeout + 1 ms`` emits the key's result
+once and marks the key done; later rows of a done key are ignored, so each
+key is judged exactly once (the marker is the only state kept per key).  Nothing is emitted on data: until the watermark
 passes the deadline an earlier event may still move the start, or a success
 may still arrive.  After it, any row that could matter is late and Spark's
-watermark filter drops it — so every emitted row equals A6's row for that
-key.  Keys whose deadline the final watermark has not passed stay silent.
+watermark drops it (the processor filters rows older than the current
+watermark) — so every emitted row equals A6's row for that key.  Keys whose deadline the final watermark has not passed stay silent.
 
 The processor only tracks two minima per key; the A6 judgement (ready,
 seconds, status) is the shared Spark expression applied to its output.
@@ -27,7 +28,9 @@ from keelson.functions._util import as_col, as_names
 from keelson.operators.aggregates import _micros, judge_readiness
 
 STATE_SCHEMA = T.StructType([T.StructField("started_us", T.LongType()),
-                             T.StructField("first_ok_us", T.LongType())])
+                             T.StructField("first_ok_us", T.LongType()),
+                             T.StructField("done", T.BooleanType())])
+OUTPUT_FIELDS = [T.StructField("started_us", T.LongType()), T.StructField("first_ok_us", T.LongType())]
 
 
 class ReadinessProcessor(StatefulProcessor):
@@ -47,9 +50,16 @@ class ReadinessProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         started = first_ok = None
         if self.state.exists():
-            started, first_ok = self.state.get()
+            started, first_ok, done = self.state.get()
+            if done:
+                # Already judged: the key's result is final, like A6's one row per key.
+                return iter([])
         old_started = started
+        # Late rows (event time before the watermark) are dropped, as Spark's
+        # built-in stateful operators do; this operator has to do it itself.
+        watermark_us = timerValues.getCurrentWatermarkInMs() * 1000
         for pdf in rows:
+            pdf = pdf[pdf["event_us"] >= watermark_us]
             if pdf.empty:
                 continue
             s = int(pdf["event_us"].min())
@@ -64,14 +74,17 @@ class ReadinessProcessor(StatefulProcessor):
             if old_started is not None:
                 self.handle.deleteTimer(self._deadline_ms(old_started))
             self.handle.registerTimer(self._deadline_ms(started))
-        self.state.update((started, first_ok))
+        self.state.update((started, first_ok, False))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         if not self.state.exists():
             return iter([])
-        started, first_ok = self.state.get()
-        self.state.clear()
+        started, first_ok, done = self.state.get()
+        if done:
+            return iter([])
+        # Keep a small marker so later rows of this key are ignored.
+        self.state.update((started, first_ok, True))
         out = {n: [v] for n, v in zip(self.key_names, key)}
         out["started_us"] = [started]
         out["first_ok_us"] = [first_ok]
@@ -97,7 +110,7 @@ def readiness_stream(stream: DataFrame, key, ts: str, is_success, timeout, delay
                 .select(*keys, "event_ts", F.unix_micros("event_ts").alias("event_us"),
                         F.coalesce(as_col(is_success), F.lit(False)).alias("is_ok")))
     key_fields = [f for f in prepared.schema.fields if f.name in keys]
-    out_schema = T.StructType(key_fields + list(STATE_SCHEMA.fields))
+    out_schema = T.StructType(key_fields + OUTPUT_FIELDS)
     emitted = (prepared.groupBy(*keys)
                .transformWithStateInPandas(ReadinessProcessor(keys, timeout_us), out_schema,
                                            "append", "EventTime"))

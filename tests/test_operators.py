@@ -1,0 +1,181 @@
+"""Joins, aggregates, windows and set operators on small literal frames.
+
+Edge cases from the survey: empty, NULL, duplicate key, missing key, no
+match, count 0, negative count, backslash, group with no members, success
+exactly at the deadline.
+"""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import rows
+from keelson.operators.aggregates import (
+    all_of,
+    all_running,
+    first_success_within,
+    property_lines,
+    render_properties,
+    resolve_properties,
+    topology,
+    topology_array,
+    unique_index,
+)
+from keelson.operators.joins import (
+    bounded_broadcast,
+    conditional_refresh,
+    expand_rights,
+    keep_listed,
+    missing_keys,
+    require_keys,
+    strict_lookup,
+)
+from keelson.operators.sets import expand_instances, ordered_union, rejected_counts
+from keelson.operators.windows import bounded_attempts
+
+
+def test_keep_listed_keeps_duplicates(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 4)], "k string, v int")
+    wanted = spark.createDataFrame([("a",), ("a",), ("b",), ("z",)], "k string")
+    assert rows(keep_listed(df, wanted, "k"), "v") == [(1,), (2,), (3,)]
+    empty = spark.createDataFrame([], "k string")
+    assert keep_listed(df, empty, "k").count() == 0
+
+
+def test_bounded_broadcast_only_small(spark):
+    small = spark.range(5)
+    big = spark.range(50)
+    plan = big.join(bounded_broadcast(small, 10), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    # Beyond the bound the frame comes back unhinted.
+    assert bounded_broadcast(big, 10) is big
+
+
+def test_strict_lookup(spark):
+    df = spark.createDataFrame([("gate",), ("init",)], "kind string")
+    dim = spark.createDataFrame([("gate", "hercules-gate"), ("init", "hercules-init")], "kind string, name string")
+    assert rows(strict_lookup(df, dim, "kind")) == [("gate", "hercules-gate"), ("init", "hercules-init")]
+    bad = spark.createDataFrame([("gate",), ("nope",)], "kind string")
+    with pytest.raises(Exception, match="missing key"):
+        strict_lookup(bad, dim, "kind").collect()
+    assert rows(missing_keys(bad, dim, "kind")) == [("nope", 1)]
+    with pytest.raises(KeyError):
+        require_keys(bad, dim, "kind")
+    require_keys(df, dim, "kind")
+
+
+def test_strict_lookup_keeps_null_values(spark):
+    df = spark.createDataFrame([("a",)], "k string")
+    dim = spark.createDataFrame([("a", None)], "k string, v string")
+    assert rows(strict_lookup(df, dim, "k")) == [("a", None)]
+
+
+def test_expand_rights(spark):
+    grants = spark.createDataFrame([("key1", "*", "rwm"), ("key2", "x.*", "rrx"), ("key3", "*", "")],
+                                   "api_key string, pattern string, rights string")
+    words = expand_rights(grants.where("api_key = 'key1'"))
+    assert rows(words, "path") == [("/hercules/auth/rules/key1.*.manage",), ("/hercules/auth/rules/key1.*.read",),
+                                   ("/hercules/auth/rules/key1.*.write",)]
+    letters = expand_rights(grants, rights="rights")
+    assert rows(letters, "api_key", "right") == [("key1", "manage"), ("key1", "read"), ("key1", "write"),
+                                                 ("key2", "read")]
+    unique_index(letters, "path")
+
+
+def test_conditional_refresh(spark):
+    cur = spark.createDataFrame([(1, "t1", 10.0), (2, "t2", 20.0), (3, "t3", 30.0), (5, None, 50.0)],
+                                "k int, etag string, v double")
+    sto = spark.createDataFrame([(1, "t1", 1.0), (2, "old", 2.0), (4, "t4", 4.0), (5, None, 5.0)],
+                                "k int, etag string, v double")
+    out = {r.k: (r.status, r.etag, r.v) for r in conditional_refresh(cur, sto, "k", "etag", ["v"], True).collect()}
+    assert out == {1: ("not_modified", "t1", 1.0), 2: ("modified", "t2", 20.0), 3: ("new", "t3", 30.0),
+                   4: ("missing", "t4", 4.0), 5: ("modified", None, 50.0)}
+    left_only = conditional_refresh(cur, sto, "k", "etag", ["v"])
+    assert sorted(r.k for r in left_only.collect()) == [1, 2, 3, 5]
+
+
+def test_all_of(spark):
+    groups = spark.createDataFrame([("gate",), ("stream-api",), ("init",)], "kind string")
+    state = spark.createDataFrame([("gate", True), ("gate", True), ("stream-api", True), ("stream-api", False)],
+                                  "kind string, is_running boolean")
+    out = {r.kind: r.all_running for r in all_running(state, groups).collect()}
+    assert out == {"gate": True, "stream-api": False, "init": True}
+    nulls = spark.createDataFrame([("g", None)], "g string, ok boolean")
+    assert all_of(spark.createDataFrame([("g",)], "g string"), nulls, "g", F.col("ok")).first().all_ok is False
+
+
+def test_resolve_and_render(spark):
+    writes = spark.createDataFrame([
+        ("e1", "a", "1", 1), ("e1", "b", "C:\\dir", 2), ("e1", "a", "3", 3), ("e2", "z", "x", 1),
+    ], "ent string, key string, value string, seq int")
+    res = resolve_properties(writes, "ent", "key", "value", ["seq"])
+    assert rows(res.select("ent", "key", "value", F.col("pos.seq"))) == [
+        ("e1", "a", "3", 1), ("e1", "b", "C:\\dir", 2), ("e2", "z", "x", 1)]
+    ents = spark.createDataFrame([("e1",), ("e2",), ("e3",)], "ent string")
+    docs = {r.ent: (r.document, r.n_keys) for r in render_properties(res, "ent", "key", "value", entities=ents).collect()}
+    assert docs == {"e1": ("a=3\nb=C:\\\\dir", 2), "e2": ("z=x", 1), "e3": ("", 0)}
+    lines = property_lines(res, "ent", "key", "value")
+    assert rows(lines, "ent", "line") == [("e1", "a=3"), ("e1", "b=C:\\\\dir"), ("e2", "z=x")]
+
+
+def test_topology(spark):
+    svc = spark.createDataFrame([("gate", 2, "h2", 8002), ("gate", 0, "h0", 8000), ("gate", 1, "h1", 8001),
+                                 ("api", 0, "a", 9000)], "kind string, id int, host string, port int")
+    text = {r.kind: r.topology for r in topology(svc, "kind", "host", "port", "id", chunk=2).collect()}
+    assert text == {"gate": "http://h0:8000/,http://h1:8001/,http://h2:8002/", "api": "http://a:9000/"}
+    arr = {r.kind: r.uris for r in topology_array(svc, "kind", "host", "port", "id").collect()}
+    assert arr["gate"] == ["http://h0:8000/", "http://h1:8001/", "http://h2:8002/"]
+
+
+def test_first_success_within_deadline_is_strict(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    ev = spark.createDataFrame([
+        ("at_once", t0, True),
+        ("before", t0, False), ("before", t0 + dt.timedelta(seconds=119, microseconds=994999), True),
+        ("exact", t0, False), ("exact", t0 + dt.timedelta(seconds=120), True),
+        ("after", t0, False), ("after", t0 + dt.timedelta(seconds=121), True),
+        ("never", t0, False), ("never", t0 + dt.timedelta(seconds=1), False),
+    ], "k string, ts timestamp_ntz, ok boolean")
+    out = {r.k: (r.ready, r.seconds, r.status)
+           for r in first_success_within(ev, "k", "ts", "ok", dt.timedelta(seconds=120)).collect()}
+    assert out == {"at_once": (True, 0.0, "ready"), "before": (True, 119.99, "ready"),
+                   "exact": (False, None, "timed_out"), "after": (False, None, "timed_out"),
+                   "never": (False, None, "timed_out")}
+
+
+def test_bounded_attempts(spark):
+    ev = spark.createDataFrame([
+        ("a", 1, False), ("a", 2, True), ("a", 3, True),
+        ("b", 1, False), ("b", 2, False), ("b", 3, False), ("b", 4, True),
+        ("c", 1, False), ("c", 2, None),
+        ("d", 5, True),
+    ], "k string, t int, ok boolean")
+    out = {r.k: (r.outcome, r.attempt, r.attempts_seen) for r in bounded_attempts(ev, "k", ["t"], "ok").collect()}
+    assert out == {"a": ("succeeded", 2, 3), "b": ("exhausted", None, 3), "c": ("in_progress", None, 2),
+                   "d": ("succeeded", 1, 1)}
+
+
+def test_bounded_attempts_plans_map_side_group_limit(spark):
+    ev = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("t"),
+                                  (F.col("id") % 7 == 0).alias("ok"))
+    plan = bounded_attempts(ev, "k", ["t"], "ok")._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_expand_instances(spark):
+    df = spark.createDataFrame([("x", 3), ("zero", 0), ("neg", -2), ("null", None)], "k string, n int")
+    assert rows(expand_instances(df, "n"), "k", "instance_id") == [("x", 0), ("x", 1), ("x", 2)]
+    assert rows(rejected_counts(df, "n"), "k") == [("neg",)]
+    big = spark.createDataFrame([("big", 25), ("x", 3), ("zero", 0)], "k string, n int")
+    split = expand_instances(big, "n", split_above=4, chunk=7)
+    assert rows(split, "k", "instance_id") == sorted([("big", i) for i in range(25)] + [("x", i) for i in range(3)])
+
+
+def test_ordered_union(spark):
+    a = spark.createDataFrame([(1,)], "id int")
+    b = spark.createDataFrame([(2,), (2,)], "id int")
+    out = ordered_union(a, b)
+    assert rows(out) == [(1, 0), (2, 1), (2, 1)]
+    with pytest.raises(ValueError):
+        ordered_union()
