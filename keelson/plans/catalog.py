@@ -12,6 +12,6 @@ from keelson.plans import (  # noqa: F401
 )
 from keelson.plans.registry import ORACLE, QUERIES
 
-FLAGSHIP = "a4_render_properties"
+FLAGSHIP = "m1_deployment_plan"
 
 __all__ = ["QUERIES", "ORACLE", "FLAGSHIP"]

@@ -45,8 +45,7 @@ def j1_keep_listed_large(spark, sf_dir):
     t = Tables(spark, sf_dir)
     urgent = t.orders.where(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_orderkey").alias("l_orderkey"))
     # Data-sized list: no hint; the planner shuffles, AQE may broadcast after measuring.
-    return keep_listed(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), urgent, "l_orderkey",
-                       check_size=False)
+    return keep_listed(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), urgent, "l_orderkey")
 
 
 @register("j2_pending", """

@@ -12,6 +12,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from keelson.operators.aggregates import property_lines
+from keelson.plans.join_queries import CURRENT_FROM, STORED_BEFORE
 from keelson.plans.monitor_queries import READINESS_SQL
 from keelson.plans.properties_queries import resolved_events
 from keelson.plans.registry import register
@@ -20,6 +21,7 @@ from keelson.sources.sinks import read_property_files, write_property_files
 from keelson.sources.tables import Tables, table_path
 from keelson.streaming.hop import append_hop, file_stream
 from keelson.streaming.readiness import readiness_stream
+from keelson.streaming.refresh import refresh_stream, seed_log, snapshot_view
 
 WATERMARK_DELAY = "10 minutes"
 READY_TIMEOUT = dt.timedelta(days=1)
@@ -74,3 +76,33 @@ def run_readiness(spark, stream):
 @register("t1_readiness_stream", T1_SQL)
 def t1_readiness_stream(spark, sf_dir):
     return run_readiness(spark, events_stream(spark, sf_dir)).select("user_id", "ready", "seconds", "status")
+
+
+@register("j6_refresh_stream", f"""
+WITH cur AS (SELECT o_orderkey, o_orderstatus AS etag, o_totalprice AS price FROM orders
+             WHERE o_orderdate >= TIMESTAMP '{CURRENT_FROM}'),
+     sto AS (SELECT o_orderkey,
+                    CASE WHEN o_orderpriority = '1-URGENT' THEN 'X' ELSE o_orderstatus END AS etag,
+                    -o_totalprice AS price
+             FROM orders WHERE o_orderdate < TIMESTAMP '{STORED_BEFORE}')
+SELECT coalesce(cur.o_orderkey, sto.o_orderkey) AS o_orderkey,
+       CASE WHEN cur.o_orderkey IS NULL OR cur.etag = sto.etag THEN sto.etag ELSE cur.etag END AS etag,
+       CASE WHEN cur.o_orderkey IS NULL OR cur.etag = sto.etag THEN sto.price ELSE cur.price END AS price
+FROM cur FULL OUTER JOIN sto ON cur.o_orderkey = sto.o_orderkey
+""")
+def j6_refresh_stream(spark, sf_dir):
+    """J6 as a stream: seed the older snapshot, stream current orders through it."""
+    orders = Tables(spark, sf_dir).orders
+    stored = (orders.where(F.col("o_orderdate") < F.lit(STORED_BEFORE).cast("timestamp_ntz"))
+              .select("o_orderkey",
+                      F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("X"))
+                      .otherwise(F.col("o_orderstatus")).alias("etag"),
+                      (-F.col("o_totalprice")).alias("price")))
+    base = shared_path(spark, "j6-refresh")
+    log = f"{base}/log"
+    seed_log(stored, log)
+    current = (file_stream(spark, sf_dir, orders.schema, path_glob="orders.parquet")
+               .where(F.col("o_orderdate") >= F.lit(CURRENT_FROM).cast("timestamp_ntz"))
+               .select("o_orderkey", F.col("o_orderstatus").alias("etag"), F.col("o_totalprice").alias("price")))
+    refresh_stream(current, log, f"{base}/checkpoint", "o_orderkey", "etag", ["price"])
+    return snapshot_view(spark, log, current.schema, "o_orderkey")

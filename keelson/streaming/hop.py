@@ -28,6 +28,18 @@ KAFKA_SOURCE_OPTIONS = {
 }
 
 
+def kafka_options(bootstrap_servers: str, side: str) -> dict:
+    """Options for a Kafka source (``side="source"``) or sink (``"sink"``) of this hop.
+
+    The sink carries the producer settings; the source only the consumer's
+    poll timeout (the connector itself is not on this classpath).
+    """
+    if side not in ("source", "sink"):
+        raise ValueError("side must be 'source' or 'sink'")
+    extra = KAFKA_SINK_OPTIONS if side == "sink" else KAFKA_SOURCE_OPTIONS
+    return {"kafka.bootstrap.servers": bootstrap_servers, **extra}
+
+
 def file_stream(spark: SparkSession, source_dir: str, schema: T.StructType, fmt: str = "parquet",
                 path_glob: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
     """A streaming DataFrame over the files of ``source_dir`` (explicit schema)."""

@@ -86,3 +86,22 @@ def test_t1_late_row_is_dropped(spark):
     # User 1's purchase is late (its deadline passed with the first file): timed out.
     # User 2's deadline is beyond the final watermark: not emitted.
     assert got == [(1, False, "timed_out")]
+
+
+def test_refresh_stream_across_batches(spark):
+    from keelson.streaming.refresh import refresh_stream, snapshot_view
+    base = tempfile.mkdtemp(prefix="keelson-refresh-")
+    schema = "k string, etag string, v double"
+    batches = [[("k1", "a", 1.0), ("k2", "b", 2.0)],
+               [("k1", "b", 10.0), ("k3", "c", 3.0)],
+               [("k1", "b", 99.0)]]  # same tag as stored: keeps 10.0
+    for b in batches:
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(f"{base}/src")
+    src_schema = spark.read.parquet(f"{base}/src").schema
+    for _ in range(2):  # the rerun on one checkpoint changes nothing
+        stream = file_stream(spark, f"{base}/src", src_schema, max_files_per_trigger=1)
+        refresh_stream(stream, f"{base}/log", f"{base}/ckpt", "k", "etag", ["v"])
+    snap = snapshot_view(spark, f"{base}/log", src_schema, "k")
+    assert rows(snap, "k", "etag", "v") == [("k1", "b", 10.0), ("k2", "b", 2.0), ("k3", "c", 3.0)]
+    log = spark.read.parquet(f"{base}/log")
+    assert log.count() == 4  # k1 twice (new, modified), k2, k3; the unchanged k1 is not rewritten
