@@ -145,10 +145,10 @@ services AS (SELECT cluster_id, base_directory, kind, unnest(range(cnt)) AS inst
 ents AS (
   SELECT s.cluster_id, s.base_directory, s.kind, s.instance_id, c.ord, c.name FROM services s JOIN comp c USING (kind)
   UNION ALL
-  SELECT cluster_id, base_directory, 'init', CAST(NULL AS BIGINT), CAST(NULL AS INTEGER), 'hercules-init' FROM settled),
+  SELECT cluster_id, base_directory, 'init', CAST(NULL AS BIGINT), CAST(NULL AS INTEGER), '{fx.INIT_NAME}' FROM settled),
 attrs AS (
   SELECT *, concat_ws('/', base_directory, concat_ws('-', name, CAST(instance_id AS VARCHAR))) AS directory,
-         CASE WHEN name = 'hercules-init' THEN '{fx.INIT_ARGUMENTS}' ELSE '' END AS arguments,
+         CASE WHEN name = '{fx.INIT_NAME}' THEN '{fx.INIT_ARGUMENTS}' ELSE '' END AS arguments,
          CASE WHEN kind <> 'init' THEN '{fx.SERVICE_HOST}' END AS host,
          CASE WHEN kind <> 'init' THEN 20000 + ord * 1000 + instance_id END AS port,
          'localhost:2181' AS zk_connect, 'localhost:9092' AS kafka_connect,

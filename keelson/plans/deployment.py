@@ -74,7 +74,7 @@ def plan_instances(spark, settled: DataFrame, port_base: int, port_stride: int)
     is_service = F.col("kind") != F.lit(fx.INIT_KIND)
     entities = (entities
                 .withColumn("directory", join_path("base_directory", with_suffix("name", "instance_id")))
-                .withColumn("arguments", when_equals("name", "hercules-init", fx.INIT_ARGUMENTS))
+                .withColumn("arguments", when_equals("name", fx.INIT_NAME, fx.INIT_ARGUMENTS))
                 .withColumn("host", F.when(is_service, F.lit(fx.SERVICE_HOST)))
                 .withColumn("port", F.when(is_service, F.lit(port_base) + F.col("ord") * F.lit(port_stride)
                                            + F.col("instance_id")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from keelson.operators.aggregates import duplicate_keys
+from keelson.plans import fixtures as fx
 from keelson.plans.deployment import deployment_plan
 
 SCHEMA = ("cluster_id string, base_directory string, gate int, management_api int, "
@@ -63,24 +64,18 @@ def test_negative_count_rejected(plan):
 def test_directories_and_arguments(plan):
     inst = {(r.kind, r.instance_id): (r.directory, r.arguments)
             for r in plan.instances.where("cluster_id = 'size 3'").collect()}
-    assert inst[("init", None)] == ("/srv/h/hercules-init", "init-zk=true init-kafka=true")
-    assert inst[("stream-api", 2)] == ("/srv/h/hercules-stream-api-2", "")
+    names = {kind: name for _, kind, name in fx.COMPONENTS}
+    assert inst[("init", None)] == (f"/srv/h/{names['init']}", "init-zk=true init-kafka=true")
+    assert inst[("stream-api", 2)] == (f"/srv/h/{names['stream-api']}-2", "")
     dflt = {r.kind: r.directory for r in plan.instances.where("cluster_id = 'defaults'").collect()}
-    assert dflt["gate"] == "./hercules-gate-0"
+    assert dflt["gate"] == f"./{names['gate']}-0"
 
 
 def test_rendered_gate_document(plan):
     doc = (plan.documents.where("cluster_id = 'gate only' AND kind = 'gate'").first().document).split("\n")
-    assert doc[:8] == [
-        "metrics.graphite.server.addr=localhost",
-        "metrics.graphite.server.port=2003",
-        "metrics.graphite.prefix=hercules",
-        "metrics.period=2147483647",
-        "context.instance.id=0",
-        "context.environment=dev",
-        "context.zone=default",
-        "consumer.metric.reporters=ru.kontur.vostok.hercules.kafka.util.metrics.GraphiteReporter",
-    ]
+    service = [(k, v) for t, _, k, v in fx.TEMPLATES if t == "service"]
+    assert doc[:8] == [f"{k}={'0' if v == '{instance_id}' else v}" for k, v in service]
+    assert doc[3] == "metrics.period=2147483647" and doc[4] == "context.instance.id=0"
     assert doc[8] == "curator.connectString=localhost:2181"
     assert "gate.event.sender.producer.retry.backoff.ms=250" in doc
     assert doc[-4:] == ["http.server.host=localhost", "http.server.port=20000",

@@ -39,22 +39,22 @@ def test_paths(spark):
 
 
 def test_text(spark):
-    df = spark.createDataFrame([("C:\\x\\y", "localhost", 8080, 0.125, None, "hercules-init")],
+    df = spark.createDataFrame([("C:\\x\\y", "localhost", 8080, 0.125, None, "acme-init")],
                                "v string, h string, p int, s double, pre string, n string")
     r = df.select(escape_backslash("v"), service_uri("h", "p"), seconds_text("s"),
                   prefixed_key("pre", F.lit("keys")), prefixed_key(F.lit("kafka"), F.lit("acks")),
-                  when_equals("n", "hercules-init", "init-zk=true init-kafka=true"),
-                  when_equals(F.lit("hercules-gate"), "hercules-init", "x")).first()
+                  when_equals("n", "acme-init", "init-zk=true init-kafka=true"),
+                  when_equals(F.lit("acme-gate"), "acme-init", "x")).first()
     assert tuple(r) == ("C:\\\\x\\\\y", "http://localhost:8080/", "0.12", "keys", "kafka.acks",
                         "init-zk=true init-kafka=true", "")
 
 
 # Names and expected (name, version) for the asset pattern; both engines agree.
 ASSET_CASES = [
-    ("hercules-gate-0.38.0.jar", "hercules-gate", "0.38.0"),
-    ("hercules-gate-0.38.0-sources.jar", "hercules-gate", "0.38.0-sources"),
-    ("hercules-gate-0.38.0.jar.asc", "hercules-gate", "0.38.0"),
-    ("hercules-stream-api-0.1.jar", "hercules-stream-api", "0.1"),
+    ("acme-gate-0.38.0.jar", "acme-gate", "0.38.0"),
+    ("acme-gate-0.38.0-sources.jar", "acme-gate", "0.38.0-sources"),
+    ("acme-gate-0.38.0.jar.asc", "acme-gate", "0.38.0"),
+    ("acme-stream-api-0.1.jar", "acme-stream-api", "0.1"),
     ("a-1.jar.b.jar", "a", "1.jar.b"),
     ("MyGate-1.jar", "ate", "1"),
     ("README.md", "", ""),

@@ -15,8 +15,8 @@ from keelson.sources.manifest import (
 )
 from keelson.sources.tables import Tables
 
-GOOD = ('{"assets":[{"name":"hercules-gate-0.38.0.jar","browser_download_url":"https://x/g.jar"},'
-        '{"name":"hercules-gate-0.38.0.jar.asc","browser_download_url":"https://x/g.asc"},'
+GOOD = ('{"assets":[{"name":"acme-gate-0.38.0.jar","browser_download_url":"https://x/g.jar"},'
+        '{"name":"acme-gate-0.38.0.jar.asc","browser_download_url":"https://x/g.asc"},'
         '{"name":"README.md","browser_download_url":"https://x/r"}],"tag_name":"v1"}')
 
 
@@ -28,8 +28,8 @@ def docs(spark):
 def test_lenient_unpack_and_quarantine(spark):
     df = docs(spark)
     items = unpack_manifest(df, "body", mode="lenient", keep=["etag"])
-    assert rows(items, "etag", "name") == [("e1", "README.md"), ("e1", "hercules-gate-0.38.0.jar"),
-                                           ("e1", "hercules-gate-0.38.0.jar.asc")]
+    assert rows(items, "etag", "name") == [("e1", "README.md"), ("e1", "acme-gate-0.38.0.jar"),
+                                           ("e1", "acme-gate-0.38.0.jar.asc")]
     assert rows(quarantine_manifest(df, "body"), "etag") == [("e2",)]
 
 
@@ -57,15 +57,15 @@ def test_component_selection_and_duplicate_names(spark):
     """Select listed components (J1), detect the reachable duplicate name (A1)."""
     items = unpack_manifest(docs(spark).where("etag = 'e1'"), "body")
     named = extract_groups(items, "name", ASSET_NAME_PATTERN, ASSET_NAME_GROUPS, prefix="c_")
-    wanted = spark.createDataFrame([("hercules-gate",), ("hercules-init",)], "c_name string")
+    wanted = spark.createDataFrame([("acme-gate",), ("acme-init",)], "c_name string")
     listed = keep_listed(named, wanted, "c_name")
     assert listed.count() == 2  # the jar and its .asc share a component name
-    assert rows(duplicate_keys(listed, "c_name")) == [("hercules-gate", 2)]
+    assert rows(duplicate_keys(listed, "c_name")) == [("acme-gate", 2)]
     with pytest.raises(ValueError):
         unique_index(listed, "c_name")
     # Only assets not stored yet are fetched; the key is the full file name.
-    done = spark.createDataFrame([("hercules-gate-0.38.0.jar",)], "name string")
-    assert rows(pending(listed, done, "name"), "name") == [("hercules-gate-0.38.0.jar.asc",)]
+    done = spark.createDataFrame([("acme-gate-0.38.0.jar",)], "name string")
+    assert rows(pending(listed, done, "name"), "name") == [("acme-gate-0.38.0.jar.asc",)]
 
 
 def test_pack_unpack_round_trip(spark):

@@ -23,6 +23,7 @@ from keelson.operators.aggregates import (
     unique_index,
 )
 from keelson.operators.joins import (
+    RULE_PATH_PREFIX,
     bounded_broadcast,
     conditional_refresh,
     expand_rights,
@@ -54,8 +55,8 @@ def test_bounded_broadcast_only_small(spark):
 
 def test_strict_lookup(spark):
     df = spark.createDataFrame([("gate",), ("init",)], "kind string")
-    dim = spark.createDataFrame([("gate", "hercules-gate"), ("init", "hercules-init")], "kind string, name string")
-    assert rows(strict_lookup(df, dim, "kind")) == [("gate", "hercules-gate"), ("init", "hercules-init")]
+    dim = spark.createDataFrame([("gate", "acme-gate"), ("init", "acme-init")], "kind string, name string")
+    assert rows(strict_lookup(df, dim, "kind")) == [("gate", "acme-gate"), ("init", "acme-init")]
     bad = spark.createDataFrame([("gate",), ("nope",)], "kind string")
     with pytest.raises(Exception, match="missing key"):
         strict_lookup(bad, dim, "kind").collect()
@@ -75,8 +76,7 @@ def test_expand_rights(spark):
     grants = spark.createDataFrame([("key1", "*", "rwm"), ("key2", "x.*", "rrx"), ("key3", "*", "")],
                                    "api_key string, pattern string, rights string")
     words = expand_rights(grants.where("api_key = 'key1'"))
-    assert rows(words, "path") == [("/hercules/auth/rules/key1.*.manage",), ("/hercules/auth/rules/key1.*.read",),
-                                   ("/hercules/auth/rules/key1.*.write",)]
+    assert rows(words, "path") == [(f"{RULE_PATH_PREFIX}key1.*.{r}",) for r in ("manage", "read", "write")]
     letters = expand_rights(grants, rights="rights")
     assert rows(letters, "api_key", "right") == [("key1", "manage"), ("key1", "read"), ("key1", "write"),
                                                  ("key2", "read")]
