@@ -18,7 +18,10 @@ seconds, status) is the shared Spark expression applied to its output.
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +30,11 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from keelson.functions._util import as_col, as_names
 from keelson.operators.aggregates import _micros, judge_readiness
 
+# The processor runs in Python workers (a driver-side one that sets up the
+# state, and the executors').  Pickling this module's classes by value means
+# no worker has to import this package: nothing to ship or install.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 STATE_SCHEMA = T.StructType([T.StructField("started_us", T.LongType()),
                              T.StructField("first_ok_us", T.LongType()),
                              T.StructField("done", T.BooleanType())])
