@@ -37,12 +37,15 @@ def read_log(spark: SparkSession, log_path: str, schema: T.StructType) -> DataFr
 
 
 def snapshot_view(spark: SparkSession, log_path: str, schema: T.StructType, key,
-                  before_batch: int | None = None) -> DataFrame:
-    """Latest entry per key, optionally only from batches before ``before_batch``."""
+                  before_batch: int | None = None, only_keys: DataFrame | None = None) -> DataFrame:
+    """Latest entry per key, optionally only from batches before ``before_batch``
+    and only for the keys present in ``only_keys`` (filtered before aggregating)."""
     keys = as_names(key)
     log = read_log(spark, log_path, schema)
     if before_batch is not None:
         log = log.where(F.col(BATCH) < F.lit(before_batch))
+    if only_keys is not None:
+        log = log.join(only_keys.select(*keys), keys, "left_semi")
     others = [f.name for f in schema.fields if f.name not in keys]
     latest = log.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col(BATCH)).alias("_s"))
     return latest.select(*keys, *[F.col(f"_s.{c}").alias(c) for c in others])
@@ -62,8 +65,12 @@ def refresh_stream(current: DataFrame, log_path: str, checkpoint: str, key, etag
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        stored = snapshot_view(spark, log_path, schema, keys, before_batch=batch_id)
-        result = conditional_refresh(batch.select(*schema.fieldNames()), stored, keys, etag, vals)
+        current_rows = batch.select(*schema.fieldNames())
+        # Only keys of this batch matter: log entries of other keys are
+        # dropped by a semi join before the snapshot's aggregate.
+        stored = snapshot_view(spark, log_path, schema, keys, before_batch=batch_id,
+                               only_keys=current_rows)
+        result = conditional_refresh(current_rows, stored, keys, etag, vals)
         changed = result.where(F.col("status").isin("new", "modified")).select(*schema.fieldNames())
         changed.write.mode("overwrite").parquet(f"{log_path}/{BATCH}={batch_id}")
 
