@@ -1,7 +1,9 @@
 """Manifest family on the driver's tables: S1, P1, P3, P4, A1, F3/F4.
 
 Table roles:
-  * ``events.props`` is a JSON document per row (S1 record decode).
+  * ``events.props`` is a JSON document per row (S1 record decode); as
+    cached copies, those of ``error`` events are truncated (lenient decode
+    and quarantine).
   * ``lineitem`` packed per order is a manifest whose assets are its lines
     (S1 pack -> unpack round trip).
   * ``part`` yields release asset file names:
@@ -26,7 +28,7 @@ from keelson.operators.select import (
     with_default,
 )
 from keelson.plans.registry import register
-from keelson.sources.manifest import decode_document, pack_manifest, unpack_manifest
+from keelson.sources.manifest import decode_document, pack_manifest, quarantine_document, unpack_manifest
 from keelson.sources.tables import Tables
 
 PROPS_SCHEMA = T.StructType([T.StructField("k", T.IntegerType())])
@@ -44,6 +46,35 @@ def s1_decode_props(spark, sf_dir):
     return decode_document(Tables(spark, sf_dir).events, "props", PROPS_SCHEMA, keep=["event_id"])
 
 
+def cached_props(t: Tables):
+    """``events.props`` as cached copies; the copies of ``error`` events lost their last character."""
+    doc = F.when(F.col("event_type") == "error", F.expr("substring(props, 1, length(props) - 1)")) \
+        .otherwise(F.col("props"))
+    return t.events.select("event_id", doc.alias("doc"))
+
+
+CACHED_SQL = """
+  SELECT event_id, CASE WHEN event_type = 'error' THEN left(props, length(props) - 1) ELSE props END AS doc
+  FROM events"""
+
+
+@register("s1_lenient_decode", f"""
+WITH c AS ({CACHED_SQL})
+SELECT event_id, CAST(doc->>'$.k' AS INTEGER) AS k FROM c WHERE json_valid(doc)
+""")
+def s1_lenient_decode(spark, sf_dir):
+    return decode_document(cached_props(Tables(spark, sf_dir)), "doc", PROPS_SCHEMA, mode="lenient",
+                           keep=["event_id"])
+
+
+@register("s1_quarantine", f"""
+WITH c AS ({CACHED_SQL})
+SELECT event_id, doc FROM c WHERE NOT json_valid(doc)
+""")
+def s1_quarantine(spark, sf_dir):
+    return quarantine_document(cached_props(Tables(spark, sf_dir)), "doc", PROPS_SCHEMA)
+
+
 @register("s1_pack_unpack_lineitem", """
 SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem
 """)

@@ -63,14 +63,22 @@ def unpack_manifest(df: DataFrame, json_col, item_schema: T.StructType = ASSET_S
     return parsed.select(*as_names(keep), F.inline(F.col(f"_m.{array_field}")))
 
 
-def quarantine_manifest(df: DataFrame, json_col, item_schema: T.StructType = ASSET_SCHEMA,
-                        array_field: str = "assets") -> DataFrame:
-    """Rows of ``df`` whose document is present but not valid JSON (lenient mode's warnings)."""
-    schema = _doc_schema(item_schema, array_field, True)
+def _quarantine(df: DataFrame, json_col, schema: T.StructType) -> DataFrame:
     parsed = df.withColumn("_m", F.from_json(as_col(json_col), schema, _options(True)))
     return parsed.where(F.col(f"_m.{CORRUPT}").isNotNull()).drop("_m")
 
 
+def quarantine_manifest(df: DataFrame, json_col, item_schema: T.StructType = ASSET_SCHEMA,
+                        array_field: str = "assets") -> DataFrame:
+    """Rows of ``df`` whose manifest is present but does not decode (lenient mode's warnings)."""
+    return _quarantine(df, json_col, _doc_schema(item_schema, array_field, True))
+
+
+def quarantine_document(df: DataFrame, json_col, schema: T.StructType) -> DataFrame:
+    """Rows of ``df`` whose record document is present but does not decode."""
+    return _quarantine(df, json_col, T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())]))
+
+
 def pack_manifest(df: DataFrame, group, item_cols, out: str = "body", array_field: str = "assets",
                   order=None) -> DataFrame:
     """Inverse of ``unpack_manifest``: one JSON document per group.
