@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -15,10 +14,9 @@ SF01 = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from keelson.session import build_session
-    scratch = tempfile.mkdtemp(prefix="keelson-tests-")
-    s = build_session(master="local[*]", shuffle_partitions=8, app_name="keelson-tests",
-                      extra={"spark.checkpoint.dir": os.path.join(scratch, "ckpt"),
-                             "spark.local.dir": os.path.join(scratch, "local")})
+    # spark.checkpoint.dir comes from the environment's defaults when set;
+    # keelson.session.shared_root makes a private folder only when it is not.
+    s = build_session(master="local[*]", shuffle_partitions=8, app_name="keelson-tests")
     yield s
     s.stop()
 
