@@ -164,7 +164,7 @@ def topology_array(services: DataFrame, group, host: str, port: str, order: str,
 
 
 # --------------------------------------------------------------------- A6
-def _micros(timeout) -> int:
+def timeout_micros(timeout) -> int:
     if isinstance(timeout, _dt.timedelta):
         return (timeout.days * 86_400 + timeout.seconds) * 1_000_000 + timeout.microseconds
     return int(timeout)
@@ -180,7 +180,7 @@ def first_success_within(events: DataFrame, key, ts: str, is_success, timeout) -
     ``timeout`` is a ``timedelta`` or microseconds.
     """
     keys = as_names(key)
-    limit_us = _micros(timeout)
+    limit_us = timeout_micros(timeout)
     per_key = events.groupBy(*keys).agg(
         F.min(F.col(ts)).alias("started"),
         F.min(F.when(as_col(is_success), F.col(ts))).alias("first_ok"))

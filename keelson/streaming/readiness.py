@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from keelson.functions._util import as_col, as_names
-from keelson.operators.aggregates import _micros, judge_readiness
+from keelson.operators.aggregates import timeout_micros, judge_readiness
 
 # The processor runs in Python workers (a driver-side one that sets up the
 # state, and the executors').  Pickling this module's classes by value means
@@ -111,7 +111,7 @@ def readiness_stream(stream: DataFrame, key, ts: str, is_success, timeout, delay
     microseconds.
     """
     keys = as_names(key)
-    timeout_us = _micros(timeout)
+    timeout_us = timeout_micros(timeout)
     prepared = (stream
                 .withColumn("event_ts", F.col(ts).cast("timestamp"))
                 .withWatermark("event_ts", delay)
