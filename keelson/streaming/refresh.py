@@ -16,6 +16,7 @@ Within one batch, keys must be unique (resolve duplicates first, e.g. with
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,14 +66,19 @@ def refresh_stream(current: DataFrame, log_path: str, checkpoint: str, key, etag
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        current_rows = batch.select(*schema.fieldNames())
-        # Only keys of this batch matter: log entries of other keys are
-        # dropped by a semi join before the snapshot's aggregate.
-        stored = snapshot_view(spark, log_path, schema, keys, before_batch=batch_id,
-                               only_keys=current_rows)
-        result = conditional_refresh(current_rows, stored, keys, etag, vals)
-        changed = result.where(F.col("status").isin("new", "modified")).select(*schema.fieldNames())
-        changed.write.mode("overwrite").parquet(f"{log_path}/{BATCH}={batch_id}")
+        # The batch is read twice (its keys, then the comparison): keep it
+        # for the duration of this batch instead of re-reading the source.
+        current_rows = batch.select(*schema.fieldNames()).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            # Only keys of this batch matter: log entries of other keys are
+            # dropped by a semi join before the snapshot's aggregate.
+            stored = snapshot_view(spark, log_path, schema, keys, before_batch=batch_id,
+                                   only_keys=current_rows)
+            result = conditional_refresh(current_rows, stored, keys, etag, vals)
+            changed = result.where(F.col("status").isin("new", "modified")).select(*schema.fieldNames())
+            changed.write.mode("overwrite").parquet(f"{log_path}/{BATCH}={batch_id}")
+        finally:
+            current_rows.unpersist()
 
     q = (current.writeStream.foreachBatch(apply)
          .option("checkpointLocation", checkpoint)
