@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.functions.paths import join_path, with_suffix
-from keelson.functions.text import when_equals
+from keelson.functions.text import escape_backslash, when_equals
 from keelson.operators.aggregates import collect_properties, render_document, resolve_properties
 from keelson.operators.joins import expand_template, strict_lookup
 from keelson.operators.select import with_default
@@ -99,6 +99,20 @@ def fill_placeholders(value) -> Column:
     return F.when(v.contains("{"), filled).otherwise(v)
 
 
+def document_templates(kind_props: DataFrame) -> DataFrame:
+    """A4 at the kind level, as printf templates: one per kind.
+
+    The kind's rendered document (fixed values already escaped) with ``%``
+    doubled and each ``{name}`` marker turned into the positional argument
+    of its filler (``%1$s`` ...), so an instance's document is one
+    ``format_string`` call over its (escaped) values.
+    """
+    template = F.replace(render_document("props"), F.lit("%"), F.lit("%%"))
+    for i, ph in enumerate(fx.PLACEHOLDERS, start=1):
+        template = F.replace(template, F.lit(ph), F.lit(f"%{i}$s"))
+    return kind_props.select("kind", template.alias("template"), F.size("props").cast("long").alias("n_keys"))
+
+
 def template_writes(spark, starts: int) -> DataFrame:
     """J4 at the kind level: every property write a kind performs, in order.
 
@@ -119,10 +133,10 @@ def deployment_plan(clusters: DataFrame, default_dir: str = ".", zk: str = "loca
 
     Every write of an instance comes from its kind's template list; the
     instance only fills the placeholders.  So last-write-wins (A3) and the
-    line order (A4's collect) are computed once per kind on the template
-    writes — a few dozen rows, bounded by the fixed dimensions — and that
-    small ordered array is broadcast to the instances, where each document
-    is rendered row-locally with ``transform``.  The aggregates are pushed
+    rendering (A4) run once per kind on the template writes — a few dozen
+    rows, bounded by the fixed dimensions — giving one printf template per
+    kind, broadcast to the instances, where each document is one
+    ``format_string`` call (codegen, row-local).  The aggregates are pushed
     below the expanding join; rendering needs no shuffle at all.
     ``writes`` and ``properties`` still offer the per-instance rows.
     """
@@ -132,10 +146,12 @@ def deployment_plan(clusters: DataFrame, default_dir: str = ".", zk: str = "loca
     kind_writes = template_writes(spark, starts)
     resolved = resolve_properties(kind_writes, "kind", "key", "value", order=["start_round", "step", "pos"])
     # Derived from the fixed dimensions only: bounded, so broadcast.
-    kind_docs = F.broadcast(collect_properties(resolved, "kind", "key", "value", out="props"))
+    kind_docs = F.broadcast(document_templates(collect_properties(resolved, "kind", "key", "value")))
+    fillers = [F.coalesce(escape_backslash(F.col(c).cast("string")), F.lit(ph))
+               for ph, c in fx.PLACEHOLDERS.items()]
     docs = (instances.join(kind_docs, "kind")
-            .select(*ENTITY, render_document("props", fill_placeholders).alias("document"),
-                    F.size("props").cast("long").alias("n_keys")))
+            .select(*ENTITY, F.call_function("format_string", F.col("template"), *fillers).alias("document"),
+                    "n_keys"))
     props = (instances.join(F.broadcast(resolved), "kind")
              .withColumn("value", fill_placeholders("value"))
              .select(*ENTITY, "key", "value", "pos"))

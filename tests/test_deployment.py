@@ -100,3 +100,11 @@ def test_backslash_in_connect_string(spark):
                                      SCHEMA + ", zk_connect string, kafka_connect string")
     doc = deployment_plan(clusters).documents.where("kind = 'gate'").first().document
     assert "curator.connectString=C:\\\\zk" in doc.split("\n")
+
+
+def test_percent_in_values_is_literal(spark):
+    clusters = spark.createDataFrame([("c", None, 1, 0, 0, 0, "zk%1$s%%", "k%s")],
+                                     SCHEMA + ", zk_connect string, kafka_connect string")
+    doc = deployment_plan(clusters).documents.where("kind = 'gate'").first().document.split("\n")
+    assert "curator.connectString=zk%1$s%%" in doc
+    assert "gate.event.sender.producer.bootstrap.servers=k%s" in doc
