@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keelson.operators.aggregates import topology
-from keelson.operators.joins import expand_template
+from keelson.operators.joins import RULE_PATH_PREFIX, expand_template
 from keelson.operators.select import select_kind
 from keelson.operators.sets import expand_instances, ordered_union
 from keelson.plans import fixtures as fx
@@ -167,6 +167,29 @@ FROM props GROUP BY cluster_id, kind, instance_id, directory, arguments
 """
 
 
+M1_BASE_SQL = M1_SQL[:M1_SQL.index("b AS (SELECT * FROM")].rstrip().rstrip(",")
+
+
+@register("m1_service_topology", M1_BASE_SQL + """
+SELECT cluster_id, kind,
+       string_agg('http://' || host || ':' || CAST(port AS VARCHAR) || '/', ',' ORDER BY instance_id) AS topology,
+       count(*) AS instances
+FROM attrs WHERE kind <> 'init' GROUP BY cluster_id, kind
+""")
+def m1_service_topology(spark, sf_dir):
+    return deployment_plan(clusters_from_orders(Tables(spark, sf_dir))).topology
+
+
+@register("m1_access_rules", f"""
+SELECT c_custkey AS cluster_id, r.right_name AS "right",
+       '{RULE_PATH_PREFIX}{fx.API_KEY}.*.' || r.right_name AS path
+FROM customer CROSS JOIN (VALUES ('read'), ('write'), ('manage')) AS r(right_name)
+""")
+def m1_access_rules(spark, sf_dir):
+    plan = deployment_plan(clusters_from_orders(Tables(spark, sf_dir)))
+    return plan.rules.select("cluster_id", "right", "path")
+
+
 @register("m1_deployment_plan", M1_SQL)
 def m1_deployment_plan(spark, sf_dir):
     plan = deployment_plan(clusters_from_orders(Tables(spark, sf_dir)))

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from keelson.functions.paths import join_path, with_suffix
 from keelson.functions.text import escape_backslash, when_equals
-from keelson.operators.aggregates import collect_properties, render_document, resolve_properties
-from keelson.operators.joins import expand_template, strict_lookup
+from keelson.operators.aggregates import collect_properties, render_document, resolve_properties, topology
+from keelson.operators.joins import expand_rights, expand_template, strict_lookup
 from keelson.operators.select import with_default
 from keelson.operators.sets import expand_instances, ordered_union, rejected_counts
 from keelson.plans import fixtures as fx
@@ -44,6 +44,8 @@ class DeploymentPlan:
     properties: DataFrame  # A3: resolved (entity, key, value, pos)
     documents: DataFrame   # A4: one rendered properties document per instance
     rejected: DataFrame    # clusters with a negative count
+    rules: DataFrame       # J5: the cluster API key's access-rule paths
+    topology: DataFrame    # A5: per cluster and service kind, the URI list in instance order
 
 
 def settle(clusters: DataFrame, default_dir: str, zk: str, kafka: str) -> DataFrame:
@@ -158,5 +160,9 @@ def deployment_plan(clusters: DataFrame, default_dir: str = ".", zk: str = "loca
     writes = (instances.join(F.broadcast(kind_writes), "kind")
               .withColumn("value", fill_placeholders("value"))
               .select(*ENTITY, "key", "value", "start_round", "step", "pos"))
+    grants = settled.select("cluster_id", F.lit(fx.API_KEY).alias("api_key"), F.lit("*").alias("pattern"))
+    rules = expand_rights(grants)
+    services = instances.where(F.col("kind") != F.lit(fx.INIT_KIND))
+    topo = topology(services, ["cluster_id", "kind"], "host", "port", "instance_id")
     return DeploymentPlan(instances=instances, writes=writes, properties=props, documents=docs,
-                          rejected=rejected)
+                          rejected=rejected, rules=rules, topology=topo)

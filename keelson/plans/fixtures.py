@@ -27,7 +27,6 @@ COMPONENTS = [
 COMPONENT_SCHEMA = "ord int, kind string, name string"
 INIT_NAME = next(name for _, kind, name in COMPONENTS if kind == "init")
 
-SERVICE_KINDS = ["gate", "management-api", "stream-api", "stream-manager"]
 INIT_KIND = "init"
 INIT_ARGUMENTS = "init-zk=true init-kafka=true"
 SERVICE_HOST = "localhost"

@@ -108,3 +108,14 @@ def test_percent_in_values_is_literal(spark):
     doc = deployment_plan(clusters).documents.where("kind = 'gate'").first().document.split("\n")
     assert "curator.connectString=zk%1$s%%" in doc
     assert "gate.event.sender.producer.bootstrap.servers=k%s" in doc
+
+
+def test_rules_and_topology(plan):
+    from keelson.operators.joins import RULE_PATH_PREFIX
+    rules = rows(plan.rules.where("cluster_id = 'size 3'"), "right", "path")
+    assert rules == sorted((r, f"{RULE_PATH_PREFIX}{fx.API_KEY}.*.{r}") for r in ("read", "write", "manage"))
+    topo = {r.kind: (r.topology, r.instances) for r in plan.topology.where("cluster_id = 'size 3'").collect()}
+    assert topo["gate"] == ("http://localhost:20000/,http://localhost:20001/,http://localhost:20002/", 3)
+    assert topo["stream-manager"][0].startswith("http://localhost:23000/")
+    assert "init" not in topo
+    assert plan.topology.where("cluster_id = 'all zero'").count() == 0
