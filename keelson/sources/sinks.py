@@ -7,7 +7,9 @@ whose part files, in part order, hold the entity's lines in ``pos`` order.
 Range partitioning keeps that order across tasks, so an entity with very
 many lines is split over several tasks (several ordered part files) instead
 of being written by one.  ``mode("overwrite")`` replaces the whole output,
-like the reference rewriting each file.
+like the reference rewriting each file.  Spark's text writer ends every
+line with ``\n``, so a file ends with a newline where the in-memory
+document (``render_properties``) has none.
 """
 
 from __future__ import annotations
@@ -30,6 +32,10 @@ def write_property_files(lines: DataFrame, path: str, entity, pos: str = "pos",
 
 def read_property_files(spark: SparkSession, path: str, entity: str, entity_type: str = "string",
                         line: str = "line") -> DataFrame:
-    """Read the written files back as ``(entity, line)`` rows."""
-    return (spark.read.option("basePath", path).text(path)
-            .select(F.col(entity).cast(entity_type).alias(entity), F.col("value").alias(line)))
+    """Read the written files back as ``(entity, line)`` rows.
+
+    The schema names the entity column's type, so directory names are not
+    type-inferred (an entity ``007`` stays ``007``).
+    """
+    return (spark.read.schema(f"value string, `{entity}` {entity_type}").option("basePath", path).text(path)
+            .select(F.col(entity), F.col("value").alias(line)))

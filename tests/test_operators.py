@@ -179,3 +179,18 @@ def test_ordered_union(spark):
     assert rows(out) == [(1, 0), (2, 1), (2, 1)]
     with pytest.raises(ValueError):
         ordered_union()
+
+
+def test_property_files_round_trip(spark):
+    import tempfile
+    from keelson.sources.sinks import read_property_files, write_property_files
+    lines = spark.createDataFrame([("007", 2, "b=2"), ("007", 1, "a=1"), ("x", 1, "k=C:\\\\d")],
+                                  "ent string, pos int, line string")
+    path = tempfile.mkdtemp(prefix="keelson-props-") + "/out"
+    write_property_files(lines, path, "ent", num_partitions=2)
+    back = read_property_files(spark, path, "ent")
+    assert rows(back) == [("007", "a=1"), ("007", "b=2"), ("x", "k=C:\\\\d")]
+    import glob
+    files = sorted(glob.glob(f"{path}/ent=007/part-*.txt"))
+    text = "".join(open(f).read() for f in files)
+    assert text == "a=1\nb=2\n"
