@@ -25,18 +25,29 @@ def expected_ready(spark, events):
 
 
 def split_events(spark, n_files=4):
-    """The sf0.001 events as ``n_files`` parquet files in time order, written one after another."""
+    """The sf0.001 events as ``n_files`` parquet files in time order.
+
+    Files are named ``events-<i>.parquet`` and get increasing modification
+    times, which is the order the file source reads them in.
+    """
+    import glob
+    import os
+    import shutil
     out = tempfile.mkdtemp(prefix="keelson-events-")
     ev = Tables(spark, SF001).events
     bounds = ev.approxQuantile("event_id", [i / n_files for i in range(1, n_files)], 0.0)
     edges = [None, *bounds, None]
-    for lo, hi in zip(edges[:-1], edges[1:]):
+    for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
         part = ev
         if lo is not None:
             part = part.where(F.col("event_id") > lo)
         if hi is not None:
             part = part.where(F.col("event_id") <= hi)
-        part.coalesce(1).write.mode("append").parquet(out)
+        tmp = f"{out}.tmp{i}"
+        part.coalesce(1).write.parquet(tmp)
+        target = f"{out}/events-{i}.parquet"
+        shutil.move(glob.glob(f"{tmp}/part-*.parquet")[0], target)
+        os.utime(target, (1_700_000_000 + i, 1_700_000_000 + i))
     return out
 
 
@@ -105,3 +116,33 @@ def test_refresh_stream_across_batches(spark):
     assert rows(snap, "k", "etag", "v") == [("k1", "b", 10.0), ("k2", "b", 2.0), ("k3", "c", 3.0)]
     log = spark.read.parquet(f"{base}/log")
     assert log.count() == 4  # k1 twice (new, modified), k2, k3; the unchanged k1 is not rewritten
+
+
+def test_t1_resume_from_checkpoint_equals_one_run(spark):
+    """Stop after half the files, resume on the same checkpoint: same rows as one run."""
+    from keelson.session import ensure_streaming_conf
+    from keelson.streaming.readiness import readiness_stream
+    ensure_streaming_conf(spark)
+    src_all = split_events(spark, 4)
+    files = sorted(f for f in __import__("os").listdir(src_all) if f.endswith(".parquet"))  # events-<i>
+    base = tempfile.mkdtemp(prefix="keelson-resume-")
+    src = f"{base}/src"
+    __import__("os").makedirs(src)
+    schema = spark.read.parquet(src_all).schema
+
+    def run_once():
+        stream = file_stream(spark, src, schema, max_files_per_trigger=1)
+        result = readiness_stream(stream, "user_id", "ts", F.col("event_type") == "purchase",
+                                  READY_TIMEOUT, "10 minutes")
+        append_hop(result, f"{base}/table", f"{base}/ckpt")
+
+    import os
+    import shutil
+    for i, f in enumerate(files):
+        if i == 2:
+            run_once()  # stop after half the files
+        shutil.copy(f"{src_all}/{f}", f"{src}/{f}")
+        os.utime(f"{src}/{f}", (1_700_000_000 + i, 1_700_000_000 + i))
+    run_once()          # resume on the same checkpoint
+    got = rows(spark.read.parquet(f"{base}/table"), "user_id", "ready", "seconds", "status")
+    assert got == expected_ready(spark, Tables(spark, SF001).events)
