@@ -4,7 +4,8 @@ topology lists and readiness with a deadline (A1-A6).
 Every aggregate here is one Catalyst ``Aggregate`` whose functions support
 partial (map-side) aggregation — count, min, max_by, every, collect_list —
 so a hot key is combined before the shuffle and never arrives as one huge
-group of raw rows.
+group of raw rows.  (``max_by`` over a string value plans as a sort-based
+aggregate; it is still partial and spill-safe.)
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ def unique_index(df: DataFrame, key, on_duplicate: str = "fail") -> DataFrame:
     """A1: make ``key`` an enforced unique key of ``df``.
 
     ``on_duplicate``:
-      * ``"fail"``   – run the duplicate check now (one bounded action: it
-        stops at the first duplicate) and raise ``ValueError``; else return ``df``.
+      * ``"fail"``   – run the duplicate check now (one action: the keyed
+        count, map-side combined; at most one duplicate row reaches the
+        driver) and raise ``ValueError``; else return ``df``.
       * ``"report"`` – return the duplicate report instead (lazy).
     """
     report = duplicate_keys(df, key)
@@ -165,6 +167,7 @@ def topology_array(services: DataFrame, group, host: str, port: str, order: str,
 
 # --------------------------------------------------------------------- A6
 def timeout_micros(timeout) -> int:
+    """``timedelta`` or integer microseconds -> integer microseconds."""
     if isinstance(timeout, _dt.timedelta):
         return (timeout.days * 86_400 + timeout.seconds) * 1_000_000 + timeout.microseconds
     return int(timeout)
