@@ -1,6 +1,7 @@
 """Monitoring family on the driver's tables: A2, A6, W1.
 
   * A2: is every line of an order finished?  (Orders without lines: true.)
+    And per nation, do all its suppliers have a positive balance?
   * A6: per user, the first event starts the clock and the first purchase is
     the success; ready if it came strictly within one day.
   * W1: per user and day, each event is an attempt and an ``error`` is a
@@ -13,7 +14,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from keelson.operators.aggregates import all_of, first_success_within
+from keelson.operators.aggregates import all_of, all_running, first_success_within
 from keelson.operators.windows import bounded_attempts
 from keelson.plans.registry import register
 from keelson.sources.tables import Tables
@@ -32,6 +33,18 @@ def a2_all_of(spark, sf_dir):
     return all_of(t.orders.select("o_orderkey"), lines, "o_orderkey", F.col("l_linestatus") == "F")
 
 
+@register("a2_all_running", """
+SELECT n_nationkey AS kind, coalesce(bool_and(s_acctbal > 0), true) AS all_running
+FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey
+GROUP BY n_nationkey
+""")
+def a2_all_running(spark, sf_dir):
+    """Per nation (a kind), are all its suppliers (instances) "running" (positive balance)?"""
+    t = Tables(spark, sf_dir)
+    state = t.supplier.select(F.col("s_nationkey").alias("kind"), (F.col("s_acctbal") > 0).alias("is_running"))
+    return all_running(state, t.nation.select(F.col("n_nationkey").alias("kind")))
+
+
 READINESS_SQL = """
 WITH k AS (SELECT user_id, min(ts) AS s, min(ts) FILTER (WHERE event_type = 'purchase') AS p
            FROM events GROUP BY user_id),
