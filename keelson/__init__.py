@@ -41,6 +41,7 @@ from keelson.operators.select import (
     select_kind,
     split_responses,
     with_default,
+    with_defaults,
 )
 from keelson.operators.sets import expand_instances, ordered_union, rejected_counts
 from keelson.operators.windows import bounded_attempts, first_attempts

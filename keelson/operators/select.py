@@ -34,18 +34,24 @@ def select_kind(df: DataFrame, kind: str, kind_col: str = "kind", columns=None)
     return out.select(*columns) if columns else out
 
 
+def _filled(df: DataFrame, col: str, default):
+    c = F.col(col)
+    if isinstance(df.schema[col].dataType, T.StringType):
+        return F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
+    return F.coalesce(c, F.lit(default))
+
+
 def with_default(df: DataFrame, col: str, default, out: str | None = None) -> DataFrame:
     """Fill a missing setting.
 
     Text: NULL **or empty** -> ``default``.  Anything else: NULL -> ``default``.
     """
-    dtype = df.schema[col].dataType
-    c = F.col(col)
-    if isinstance(dtype, T.StringType):
-        filled = F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
-    else:
-        filled = F.coalesce(c, F.lit(default))
-    return df.withColumn(out or col, filled)
+    return df.withColumn(out or col, _filled(df, col, default))
+
+
+def with_defaults(df: DataFrame, defaults: dict) -> DataFrame:
+    """P3 for several settings at once (one projection): ``{column: default}``."""
+    return df.withColumns({c: _filled(df, c, d) for c, d in defaults.items()})
 
 
 def audit_responses(df: DataFrame, url: str = "url", code: str = "code", body: str = "body",

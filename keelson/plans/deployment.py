@@ -19,7 +19,7 @@ broadcast dimensions, and A3/A4's grouping runs on the template writes
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +28,7 @@ from keelson.functions.paths import join_path, with_suffix
 from keelson.functions.text import escape_backslash, when_equals
 from keelson.operators.aggregates import collect_properties, render_document, resolve_properties, topology
 from keelson.operators.joins import expand_rights, expand_template, strict_lookup
-from keelson.operators.select import with_default
+from keelson.operators.select import with_defaults
 from keelson.operators.sets import expand_instances, ordered_union, rejected_counts
 from keelson.plans import fixtures as fx
 
@@ -37,27 +37,15 @@ COUNT_COLUMNS = {"gate": "gate", "management_api": "management-api",
 ENTITY = ["cluster_id", "kind", "instance_id", "name", "directory", "arguments"]
 
 
-@dataclass
-class DeploymentPlan:
-    instances: DataFrame   # one row per service instance and one init per cluster
-    writes: DataFrame      # every property assignment, in write order
-    properties: DataFrame  # A3: resolved (entity, key, value, pos)
-    documents: DataFrame   # A4: one rendered properties document per instance
-    rejected: DataFrame    # clusters with a negative count
-    rules: DataFrame       # J5: the cluster API key's access-rule paths
-    topology: DataFrame    # A5: per cluster and service kind, the URI list in instance order
-
-
 def settle(clusters: DataFrame, default_dir: str, zk: str, kafka: str) -> DataFrame:
     """P3 on every setting."""
-    out = with_default(clusters, "base_directory", default_dir)
-    for c in COUNT_COLUMNS:
-        out = with_default(out, c, 1)
+    out = with_defaults(clusters, {"base_directory": default_dir, **{c: 1 for c in COUNT_COLUMNS}})
+    extra = {}
     if "zk_connect" not in out.columns:
-        out = out.withColumn("zk_connect", F.lit(zk))
+        extra["zk_connect"] = F.lit(zk)
     if "kafka_connect" not in out.columns:
-        out = out.withColumn("kafka_connect", F.lit(kafka))
-    return out
+        extra["kafka_connect"] = F.lit(kafka)
+    return out.withColumns(extra) if extra else out
 
 
 def plan_instances(spark, settled: DataFrame, port_base: int, port_stride: int) -> tuple[DataFrame, DataFrame]:
@@ -74,14 +62,13 @@ def plan_instances(spark, settled: DataFrame, port_base: int, port_stride: int)
     comp = F.broadcast(fx.components(spark))  # fixed five rows
     entities = strict_lookup(entities, comp, "kind", ["ord", "name"])
     is_service = F.col("kind") != F.lit(fx.INIT_KIND)
-    entities = (entities
-                .withColumn("directory", join_path("base_directory", with_suffix("name", "instance_id")))
-                .withColumn("arguments", when_equals("name", fx.INIT_NAME, fx.INIT_ARGUMENTS))
-                .withColumn("host", F.when(is_service, F.lit(fx.SERVICE_HOST)))
-                .withColumn("port", F.when(is_service, F.lit(port_base) + F.col("ord") * F.lit(port_stride)
-                                           + F.col("instance_id")))
-                .withColumn("admin_key", F.lit(fx.ADMIN_API_KEY))
-                .drop("_group"))
+    entities = (entities.withColumns({
+        "directory": join_path("base_directory", with_suffix("name", "instance_id")),
+        "arguments": when_equals("name", fx.INIT_NAME, fx.INIT_ARGUMENTS),
+        "host": F.when(is_service, F.lit(fx.SERVICE_HOST)),
+        "port": F.when(is_service, F.lit(port_base) + F.col("ord") * F.lit(port_stride) + F.col("instance_id")),
+        "admin_key": F.lit(fx.ADMIN_API_KEY),
+    }).drop("_group"))
     return entities, rejected
 
 
@@ -128,6 +115,70 @@ def template_writes(spark, starts: int) -> DataFrame:
             .select("kind", "key", "value", "start_round", "step", "pos"))
 
 
+class DeploymentPlan:
+    """The plan's outputs, each a lazy DataFrame built on first access.
+
+    instances  – one row per service instance and one init per cluster
+    rejected   – clusters with a negative count
+    writes     – every property assignment, in write order
+    properties – A3: resolved ``(entity, key, value, pos)``
+    documents  – A4: one rendered properties document per instance
+    rules      – J5: the cluster API key's access-rule paths
+    topology   – A5: per cluster and service kind, the URI list in instance order
+
+    Only what is used is planned: a query of the documents does not build
+    (or pay driver round trips for) the write log, the rules or the topology.
+    """
+
+    def __init__(self, clusters: DataFrame, default_dir: str, zk: str, kafka: str,
+                 port_base: int, port_stride: int, starts: int):
+        self._spark = clusters.sparkSession
+        self._starts = starts
+        self.settled = settle(clusters, default_dir, zk, kafka)
+        self.instances, self.rejected = plan_instances(self._spark, self.settled, port_base, port_stride)
+
+    @cached_property
+    def kind_writes(self) -> DataFrame:
+        return template_writes(self._spark, self._starts)
+
+    @cached_property
+    def resolved(self) -> DataFrame:
+        return resolve_properties(self.kind_writes, "kind", "key", "value",
+                                  order=["start_round", "step", "pos"])
+
+    @cached_property
+    def documents(self) -> DataFrame:
+        # Derived from the fixed dimensions only: bounded, so broadcast.
+        kind_docs = F.broadcast(document_templates(collect_properties(self.resolved, "kind", "key", "value")))
+        fillers = [F.coalesce(escape_backslash(F.col(c).cast("string")), F.lit(ph))
+                   for ph, c in fx.PLACEHOLDERS.items()]
+        return (self.instances.join(kind_docs, "kind")
+                .select(*ENTITY, F.call_function("format_string", F.col("template"), *fillers).alias("document"),
+                        "n_keys"))
+
+    @cached_property
+    def properties(self) -> DataFrame:
+        return (self.instances.join(F.broadcast(self.resolved), "kind")
+                .withColumn("value", fill_placeholders("value"))
+                .select(*ENTITY, "key", "value", "pos"))
+
+    @cached_property
+    def writes(self) -> DataFrame:
+        return (self.instances.join(F.broadcast(self.kind_writes), "kind")
+                .withColumn("value", fill_placeholders("value"))
+                .select(*ENTITY, "key", "value", "start_round", "step", "pos"))
+
+    @cached_property
+    def rules(self) -> DataFrame:
+        grants = self.settled.select("cluster_id", F.lit(fx.API_KEY).alias("api_key"), F.lit("*").alias("pattern"))
+        return expand_rights(grants)
+
+    @cached_property
+    def topology(self) -> DataFrame:
+        services = self.instances.where(F.col("kind") != F.lit(fx.INIT_KIND))
+        return topology(services, ["cluster_id", "kind"], "host", "port", "instance_id")
+
+
 def deployment_plan(clusters: DataFrame, default_dir: str = ".", zk: str = "localhost:2181",
                     kafka: str = "localhost:9092", port_base: int = 20000, port_stride: int = 1000,
                     starts: int = 1) -> DeploymentPlan:
@@ -142,27 +193,4 @@ def deployment_plan(clusters: DataFrame, default_dir: str = ".", zk: str = "loca
     below the expanding join; rendering needs no shuffle at all.
     ``writes`` and ``properties`` still offer the per-instance rows.
     """
-    spark = clusters.sparkSession
-    settled = settle(clusters, default_dir, zk, kafka)
-    instances, rejected = plan_instances(spark, settled, port_base, port_stride)
-    kind_writes = template_writes(spark, starts)
-    resolved = resolve_properties(kind_writes, "kind", "key", "value", order=["start_round", "step", "pos"])
-    # Derived from the fixed dimensions only: bounded, so broadcast.
-    kind_docs = F.broadcast(document_templates(collect_properties(resolved, "kind", "key", "value")))
-    fillers = [F.coalesce(escape_backslash(F.col(c).cast("string")), F.lit(ph))
-               for ph, c in fx.PLACEHOLDERS.items()]
-    docs = (instances.join(kind_docs, "kind")
-            .select(*ENTITY, F.call_function("format_string", F.col("template"), *fillers).alias("document"),
-                    "n_keys"))
-    props = (instances.join(F.broadcast(resolved), "kind")
-             .withColumn("value", fill_placeholders("value"))
-             .select(*ENTITY, "key", "value", "pos"))
-    writes = (instances.join(F.broadcast(kind_writes), "kind")
-              .withColumn("value", fill_placeholders("value"))
-              .select(*ENTITY, "key", "value", "start_round", "step", "pos"))
-    grants = settled.select("cluster_id", F.lit(fx.API_KEY).alias("api_key"), F.lit("*").alias("pattern"))
-    rules = expand_rights(grants)
-    services = instances.where(F.col("kind") != F.lit(fx.INIT_KIND))
-    topo = topology(services, ["cluster_id", "kind"], "host", "port", "instance_id")
-    return DeploymentPlan(instances=instances, writes=writes, properties=props, documents=docs,
-                          rejected=rejected, rules=rules, topology=topo)
+    return DeploymentPlan(clusters, default_dir, zk, kafka, port_base, port_stride, starts)
