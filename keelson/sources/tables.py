@@ -29,8 +29,13 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self._spark = spark
         self._dir = sf_dir
+        self._frames: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return read_table(self._spark, self._dir, name)
+        # One reader per table and instance: each read lists files and reads
+        # the footer on the driver, so reuse the DataFrame (lazy, uncached).
+        if name not in self._frames:
+            self._frames[name] = read_table(self._spark, self._dir, name)
+        return self._frames[name]
