@@ -23,8 +23,11 @@ from keelson.functions._util import as_names
 def write_property_files(lines: DataFrame, path: str, entity, pos: str = "pos", line: str = "line",
                          num_partitions: int | None = None) -> None:
     ents = as_names(entity)
-    n = num_partitions or lines.sparkSession.sparkContext.defaultParallelism
-    (lines.repartitionByRange(n, *ents, pos)
+    # Without an explicit count the range exchange follows
+    # spark.sql.shuffle.partitions and AQE coalesces it to the data size.
+    ranged = (lines.repartitionByRange(num_partitions, *ents, pos) if num_partitions
+              else lines.repartitionByRange(*ents, pos))
+    (ranged
      .sortWithinPartitions(*ents, pos)
      .select(*ents, F.col(line))
      .write.mode("overwrite").partitionBy(*ents).text(path))
