@@ -4,13 +4,15 @@ Same rule as A6 (``first_success_within``): per key the first event starts
 the clock, the first success must come strictly within ``timeout``.
 
 State per key (RocksDB state store): ``(started_us, first_ok_us, done)``.
-An event-time timer at ``started + timeout + 1 ms`` emits the key's result
+An event-time timer just past ``started + timeout`` emits the key's result
 once and marks the key done; later rows of a done key are ignored, so each
-key is judged exactly once (the marker is the only state kept per key).  Nothing is emitted on data: until the watermark
-passes the deadline an earlier event may still move the start, or a success
-may still arrive.  After it, any row that could matter is late and Spark's
-watermark drops it (the processor filters rows older than the current
-watermark) — so every emitted row equals A6's row for that key.  Keys whose deadline the final watermark has not passed stay silent.
+key is judged exactly once.  Nothing is emitted on data: until the
+watermark passes the deadline an earlier event may still move the start,
+or a success may still arrive.  After it, any row that could matter is
+late, and late rows (event time before the current watermark) are dropped
+by the processor itself — transformWithState does not drop them.  So every
+emitted row equals A6's row for that key; keys whose deadline the final
+watermark has not passed stay silent.
 
 The processor only tracks two minima per key; the A6 judgement (ready,
 seconds, status) is the shared Spark expression applied to its output.
@@ -46,7 +48,9 @@ class ReadinessProcessor(StatefulProcessor):
 
     def __init__(self, key_names: list[str], timeout_us: int):
         self.key_names = key_names
-        self.timeout_ms = timeout_us // 1000
+        # Whole milliseconds, rounded up: the timer only decides when to
+        # emit (never before the true deadline); the verdict uses microseconds.
+        self.timeout_ms = -(-timeout_us // 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
