@@ -35,15 +35,15 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
 
 # --------------------------------------------------------------------- J1
 def keep_listed(df: DataFrame, wanted: DataFrame, on, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-                check_size: bool = False) -> DataFrame:
+                check_size: bool = True) -> DataFrame:
     """Rows of ``df`` whose key is in ``wanted`` (left semi join).
 
     Duplicates in ``df`` are kept; duplicates in ``wanted`` do not multiply.
-    By default the planner decides: a literal list has static statistics and
-    is broadcast outright; a derived list is shuffled and AQE broadcasts it
-    only once the shuffle has measured it small.  ``check_size=True`` adds
-    the eager ``bounded_broadcast`` count instead (one extra pass over
-    ``wanted``, worth it only when statistics are missing).
+    The list is broadcast when ``bounded_broadcast`` finds at most
+    ``max_broadcast_rows`` rows in it (the count stops at one more), so a
+    short list never makes the big side shuffle.  A longer list joins by
+    shuffle, where AQE may still broadcast it after measuring it.
+    ``check_size=False`` skips the count and leaves it all to the planner.
     """
     keys = as_names(on)
     side = wanted.select(*keys)

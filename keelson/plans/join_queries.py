@@ -35,8 +35,7 @@ SELECT p_partkey, p_brand FROM part WHERE p_brand IN ('Brand#2', 'Brand#17')
 def j1_keep_listed(spark, sf_dir):
     wanted = spark.createDataFrame([(b,) for b in LISTED_BRANDS], "p_brand string")
     # A literal list: its size check is one tiny count, then it is broadcast.
-    return keep_listed(Tables(spark, sf_dir).part.select("p_partkey", "p_brand"), wanted, "p_brand",
-                       check_size=True)
+    return keep_listed(Tables(spark, sf_dir).part.select("p_partkey", "p_brand"), wanted, "p_brand")
 
 
 @register("j1_keep_listed_large", """
@@ -46,7 +45,7 @@ WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-UR
 def j1_keep_listed_large(spark, sf_dir):
     t = Tables(spark, sf_dir)
     urgent = t.orders.where(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_orderkey").alias("l_orderkey"))
-    # Data-sized list: no hint; the planner shuffles, AQE may broadcast after measuring.
+    # Data-sized list: broadcast only if the bounded count finds it short.
     return keep_listed(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), urgent, "l_orderkey")
 
 
