@@ -11,7 +11,9 @@ a transactional table format.
 The snapshot is the latest log entry per key (``snapshot_view``): one
 ``max_by`` over the batch id, an aggregate with map-side combining.
 Within one batch, keys must be unique (resolve duplicates first, e.g. with
-``resolve_properties`` or ``unique_index``).
+``resolve_properties`` or ``unique_index``).  The log grows with every
+changed row; ``compact_log`` rotates it to a new location holding only the
+current snapshot, and the stream continues there on the same checkpoint.
 """
 
 from __future__ import annotations
@@ -52,6 +54,21 @@ def snapshot_view(spark: SparkSession, log_path: str, schema: T.StructType, key,
     return latest.select(*keys, *[F.col(f"_s.{c}").alias(c) for c in others])
 
 
+def compact_log(spark: SparkSession, log_path: str, new_log_path: str, schema: T.StructType, key) -> int:
+    """Rotate the log: write its current snapshot as one batch into ``new_log_path``.
+
+    The snapshot keeps the latest batch id seen, so a stream restarted on the
+    same checkpoint with ``log_path=new_log_path`` goes on writing later
+    batch ids after it.  The old log can then be removed by the caller.
+    Returns that batch id (-1 for an empty log).
+    """
+    log = read_log(spark, log_path, schema)
+    last = log.agg(F.max(BATCH).alias("m")).first().m
+    last = -1 if last is None else int(last)
+    snapshot_view(spark, log_path, schema, key).write.mode("overwrite").parquet(f"{new_log_path}/{BATCH}={last}")
+    return last
+
+
 def seed_log(snapshot: DataFrame, log_path: str, batch_id: int = -1) -> None:
     """Write an initial snapshot as the log's first entry (before any stream batch)."""
     snapshot.write.mode("overwrite").parquet(f"{log_path}/{BATCH}={batch_id}")

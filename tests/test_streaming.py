@@ -146,3 +146,30 @@ def test_t1_resume_from_checkpoint_equals_one_run(spark):
     run_once()          # resume on the same checkpoint
     got = rows(spark.read.parquet(f"{base}/table"), "user_id", "ready", "seconds", "status")
     assert got == expected_ready(spark, Tables(spark, SF001).events)
+
+
+def test_refresh_log_compaction_and_continue(spark):
+    """Rotate the log to its snapshot, continue the stream there: same snapshot as without rotation."""
+    from keelson.streaming.refresh import compact_log, refresh_stream, snapshot_view
+    base = tempfile.mkdtemp(prefix="keelson-compact-")
+    schema = "k string, etag string, v double"
+    first = [[("k1", "a", 1.0), ("k2", "b", 2.0)], [("k1", "b", 10.0), ("k3", "c", 3.0)]]
+    later = [[("k2", "z", 20.0), ("k4", "d", 4.0)], [("k1", "b", 99.0)]]
+    for b in first:
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(f"{base}/src")
+    src_schema = spark.read.parquet(f"{base}/src").schema
+
+    def run(log):
+        refresh_stream(file_stream(spark, f"{base}/src", src_schema, max_files_per_trigger=1),
+                       log, f"{base}/ckpt", "k", "etag", ["v"])
+
+    run(f"{base}/log1")
+    last = compact_log(spark, f"{base}/log1", f"{base}/log2", src_schema, "k")
+    assert last == 1
+    assert spark.read.parquet(f"{base}/log2").count() == 3
+    for b in later:
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(f"{base}/src")
+    run(f"{base}/log2")
+    snap = snapshot_view(spark, f"{base}/log2", src_schema, "k")
+    assert rows(snap, "k", "etag", "v") == [("k1", "b", 10.0), ("k2", "z", 20.0), ("k3", "c", 3.0),
+                                            ("k4", "d", 4.0)]
