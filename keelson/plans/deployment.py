@@ -48,13 +48,14 @@ def settle(clusters: DataFrame, default_dir: str, zk: str, kafka: str) -> DataFr
     return out.withColumns(extra) if extra else out
 
 
-def plan_instances(spark, settled: DataFrame, port_base: int, port_stride: int) -> tuple[DataFrame, DataFrame]:
+def plan_instances(spark, settled: DataFrame, port_base: int, port_stride: int,
+                   split_above: int | None = None) -> tuple[DataFrame, DataFrame]:
     base = ["cluster_id", "base_directory", "zk_connect", "kafka_connect"]
     long = (settled.unpivot(base, list(COUNT_COLUMNS), "count_column", "count")
             .withColumn("kind", F.replace(F.col("count_column"), F.lit("_"), F.lit("-")))
             .drop("count_column"))
     rejected = rejected_counts(long, "count")
-    services = expand_instances(long, "count").drop("count")
+    services = expand_instances(long, "count", split_above=split_above).drop("count")
     init = settled.select(*base, F.lit(fx.INIT_KIND).alias("kind"),
                           F.lit(None).cast(services.schema["instance_id"].dataType).alias("instance_id"))
     # Init first, then the services; ``ord`` proper comes from the component table.
@@ -131,11 +132,12 @@ class DeploymentPlan:
     """
 
     def __init__(self, clusters: DataFrame, default_dir: str, zk: str, kafka: str,
-                 port_base: int, port_stride: int, starts: int):
+                 port_base: int, port_stride: int, starts: int, split_above: int | None = None):
         self._spark = clusters.sparkSession
         self._starts = starts
         self.settled = settle(clusters, default_dir, zk, kafka)
-        self.instances, self.rejected = plan_instances(self._spark, self.settled, port_base, port_stride)
+        self.instances, self.rejected = plan_instances(self._spark, self.settled, port_base, port_stride,
+                                                       split_above)
 
     @cached_property
     def kind_writes(self) -> DataFrame:
@@ -181,9 +183,13 @@ class DeploymentPlan:
 
 def deployment_plan(clusters: DataFrame, default_dir: str = ".", zk: str = "localhost:2181",
                     kafka: str = "localhost:9092", port_base: int = 20000, port_stride: int = 1000,
-                    starts: int = 1) -> DeploymentPlan:
+                    starts: int = 1, split_above: int | None = None) -> DeploymentPlan:
     """Build the plan; ``starts`` > 1 replays the per-start writes (a restart).
 
+    ``split_above``: counts above it are expanded by many tasks (G1's range
+    split) instead of one; it costs a second pass over ``clusters``, so it
+    is off by default.
+
     Every write of an instance comes from its kind's template list; the
     instance only fills the placeholders.  So last-write-wins (A3) and the
     rendering (A4) run once per kind on the template writes — a few dozen
@@ -193,4 +199,4 @@ def deployment_plan(clusters: DataFrame, default_dir: str = ".", zk: str = "loca
     below the expanding join; rendering needs no shuffle at all.
     ``writes`` and ``properties`` still offer the per-instance rows.
     """
-    return DeploymentPlan(clusters, default_dir, zk, kafka, port_base, port_stride, starts)
+    return DeploymentPlan(clusters, default_dir, zk, kafka, port_base, port_stride, starts, split_above)

@@ -119,3 +119,12 @@ def test_rules_and_topology(plan):
     assert topo["stream-manager"][0].startswith("http://localhost:23000/")
     assert "init" not in topo
     assert plan.topology.where("cluster_id = 'all zero'").count() == 0
+
+
+def test_split_large_counts_same_plan(spark):
+    clusters = spark.createDataFrame([("big", None, 40, 1, 0, 2), ("small", "/x", 1, 0, 1, 0)], SCHEMA)
+    plain = deployment_plan(clusters)
+    split = deployment_plan(clusters, split_above=5)
+    cols = ["cluster_id", "kind", "instance_id", "document"]
+    assert rows(split.documents, *cols) == rows(plain.documents, *cols)
+    assert plain.instances.where("cluster_id = 'big' AND kind = 'gate'").count() == 40
