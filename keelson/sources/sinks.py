@@ -23,11 +23,12 @@ from keelson.functions._util import as_names
 def write_property_files(lines: DataFrame, path: str, entity, pos: str = "pos", line: str = "line",
                          num_partitions: int | None = None) -> None:
     ents = as_names(entity)
-    # Without an explicit count the range exchange follows
-    # spark.sql.shuffle.partitions and AQE coalesces it to the data size.
-    ranged = (lines.repartitionByRange(num_partitions, *ents, pos) if num_partitions
-              else lines.repartitionByRange(*ents, pos))
-    (ranged
+    # An explicit count (default: the cluster's cores).  The work here is
+    # per file, not per byte: left to AQE, the exchange is coalesced by
+    # size — small lines, few tasks — and a few tasks then create every
+    # entity's file one after another (measured: 12 s -> 57 s at sf0.1).
+    n = num_partitions or lines.sparkSession.sparkContext.defaultParallelism
+    (lines.repartitionByRange(n, *ents, pos)
      .sortWithinPartitions(*ents, pos)
      .select(*ents, F.col(line))
      .write.mode("overwrite").partitionBy(*ents).text(path))
