@@ -14,9 +14,11 @@ import datetime as _dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keelson.functions._util import as_col, as_cols, as_names
 from keelson.functions.text import escape_backslash, service_uri
+from keelson.functions.times import elapsed_micros
 
 
 # --------------------------------------------------------------------- A1
@@ -192,10 +194,12 @@ def first_success_within(events: DataFrame, key, ts: str, is_success, timeout) -
 
 def judge_readiness(per_key: DataFrame, limit_us: int) -> DataFrame:
     """Shared A6/T1 rule on ``(started, first_ok)`` rows."""
-    # Seconds to two places, half-up, done in integer microseconds so the
+    # Elapsed time by zone-free arithmetic (see keelson.functions.times);
+    # seconds to two places, half-up, in integer microseconds so the
     # rounding is exact (no binary-fraction ties).
+    zoneless = isinstance(per_key.schema["started"].dataType, T.TimestampNTZType)
     return (per_key
-            .withColumn("_us", F.timestamp_diff("MICROSECOND", F.col("started"), F.col("first_ok")))
+            .withColumn("_us", elapsed_micros("started", "first_ok", zoneless))
             .withColumn("ready", F.coalesce(F.col("_us") < F.lit(limit_us), F.lit(False)))
             .withColumn("seconds", F.when(F.col("ready"), F.expr("(_us + 5000) div 10000") / F.lit(100.0)))
             .withColumn("status", F.when(F.col("ready"), F.lit("ready")).otherwise(F.lit("timed_out")))

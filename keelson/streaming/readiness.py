@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from keelson.functions._util import as_col, as_names
+from keelson.functions.times import micros_to_ntz, ntz_micros
 from keelson.operators.aggregates import timeout_micros, judge_readiness
 
 # The processor runs in Python workers (a driver-side one that sets up the
@@ -109,25 +110,37 @@ class ReadinessProcessor(StatefulProcessor):
 def readiness_stream(stream: DataFrame, key, ts: str, is_success, timeout, delay: str) -> DataFrame:
     """T1 over a streaming DataFrame; returns the streaming result (append mode).
 
-    ``ts`` may be ``timestamp_ntz``; it is read as wall time in the session
-    time zone (keep it UTC) for the watermark (``delay``, e.g.
-    ``"10 minutes"``) and given back as NTZ.  ``timeout``: ``timedelta`` or
-    microseconds.
+    ``ts`` is ``timestamp_ntz`` or ``timestamp``.  Zoneless times are taken
+    as they are, whatever the session time zone: they become microseconds
+    since ``1970-01-01 00:00:00`` by zone-free arithmetic, the watermark
+    (``delay``, e.g. ``"10 minutes"``) runs on the instant built from those
+    microseconds, and the output times are zoneless again — so a daylight
+    saving change in the session zone cannot shift an elapsed time, exactly
+    as in A6.  ``timeout``: ``timedelta`` or microseconds.
     """
     keys = as_names(key)
     timeout_us = timeout_micros(timeout)
+    zoneless = isinstance(stream.schema[ts].dataType, T.TimestampNTZType)
+    if zoneless:
+        micros = ntz_micros(ts)
+    else:
+        micros = F.unix_micros(F.col(ts))
     prepared = (stream
-                .withColumn("event_ts", F.col(ts).cast("timestamp"))
+                .withColumn("event_us", micros)
+                .withColumn("event_ts", F.timestamp_micros("event_us"))
                 .withWatermark("event_ts", delay)
-                .select(*keys, "event_ts", F.unix_micros("event_ts").alias("event_us"),
+                .select(*keys, "event_ts", "event_us",
                         F.coalesce(as_col(is_success), F.lit(False)).alias("is_ok")))
     key_fields = [f for f in prepared.schema.fields if f.name in keys]
     out_schema = T.StructType(key_fields + OUTPUT_FIELDS)
     emitted = (prepared.groupBy(*keys)
                .transformWithStateInPandas(ReadinessProcessor(keys, timeout_us), out_schema,
                                            "append", "EventTime"))
-    per_key = emitted.select(
-        *keys,
-        F.timestamp_micros("started_us").cast("timestamp_ntz").alias("started"),
-        F.timestamp_micros("first_ok_us").cast("timestamp_ntz").alias("first_ok"))
+
+    def back(col: str):
+        if zoneless:
+            return micros_to_ntz(col)
+        return F.timestamp_micros(col)
+
+    per_key = emitted.select(*keys, back("started_us").alias("started"), back("first_ok_us").alias("first_ok"))
     return judge_readiness(per_key, timeout_us)

@@ -173,3 +173,36 @@ def test_refresh_log_compaction_and_continue(spark):
     snap = snapshot_view(spark, f"{base}/log2", src_schema, "k")
     assert rows(snap, "k", "etag", "v") == [("k1", "b", 10.0), ("k2", "z", 20.0), ("k3", "c", 3.0),
                                             ("k4", "d", 4.0)]
+
+
+def test_t1_is_independent_of_session_time_zone(spark):
+    """Zoneless times across a daylight-saving gap of the session zone: T1 still equals A6."""
+    from keelson.session import ensure_streaming_conf
+    from keelson.streaming.readiness import readiness_stream
+    ensure_streaming_conf(spark)
+    t0 = dt.datetime(2024, 3, 10, 1, 30)  # 02:00-03:00 does not exist in New York that night
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    ev = spark.createDataFrame([
+        (1, t0, 1, "view", 0.0, None),
+        (2, t0 + dt.timedelta(hours=1, minutes=40), 1, "purchase", 0.0, None),   # 03:10 wall time
+        (3, t0, 2, "view", 0.0, None),
+        (4, t0 + dt.timedelta(minutes=50), 2, "purchase", 0.0, None),            # 02:20 wall time
+        (5, t0 + dt.timedelta(days=2), 3, "view", 0.0, None),                    # moves the watermark on
+    ], schema)
+    base = tempfile.mkdtemp(prefix="keelson-tz-")
+    ev.coalesce(1).write.parquet(f"{base}/src")
+    timeout = dt.timedelta(hours=1, minutes=30)
+    want = rows(first_success_within(ev.select("user_id", "ts", (F.col("event_type") == "purchase").alias("ok")),
+                                     "user_id", "ts", "ok", timeout).where("user_id < 3"),
+                "user_id", "ready", "seconds")
+    assert want == [(1, False, None), (2, True, 3000.0)]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        stream = file_stream(spark, f"{base}/src", spark.read.parquet(f"{base}/src").schema)
+        result = readiness_stream(stream, "user_id", "ts", F.col("event_type") == "purchase", timeout, "10 minutes")
+        append_hop(result, f"{base}/table", f"{base}/ckpt")
+        got = rows(spark.read.parquet(f"{base}/table"), "user_id", "ready", "seconds")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == want
