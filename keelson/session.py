@@ -69,11 +69,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def ensure_streaming_conf(spark: SparkSession) -> None:
-    """State store and time zone needed by the stateful stream operators.
+    """The RocksDB state store that transformWithState (T1) needs.
 
-    Only fills in what is unset, so a cluster's own choice wins.
+    Only replaces an unset or default (HDFS-backed) provider, so a cluster's
+    own RocksDB settings win.  Time zones need nothing: the operators use
+    zone-free arithmetic on zoneless timestamps.
     """
-    for key in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.session.timeZone"):
-        if spark.conf.get(key, None) in (None, "",
-                                         "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"):
-            spark.conf.set(key, SESSION_DEFAULTS[key])
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if spark.conf.get(key, None) in (None, "",
+                                     "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"):
+        spark.conf.set(key, SESSION_DEFAULTS[key])
