@@ -22,10 +22,10 @@ from keelson.operators.aggregates import (
     resolve_properties,
     topology,
     topology_array,
+    topology_pieces,
     unique_index,
 )
 from keelson.operators.joins import (
-    bounded_broadcast,
     conditional_refresh,
     expand_rights,
     expand_template,
@@ -53,7 +53,7 @@ from keelson.sources.manifest import (
     quarantine_manifest,
     unpack_manifest,
 )
-from keelson.sources.sinks import read_property_files, write_property_files
+from keelson.sources.sinks import export_property_files, read_property_files, write_property_files
 from keelson.streaming.hop import append_hop, file_stream, kafka_options
 from keelson.streaming.readiness import readiness_stream
 from keelson.streaming.refresh import compact_log, refresh_stream, seed_log, snapshot_view

@@ -1,10 +1,10 @@
 """Aggregations: unique keys, all-of, last-write-wins properties, rendering,
 topology lists and readiness with a deadline (A1-A6).
 
-Every aggregate here is one Catalyst ``Aggregate`` whose functions support
-partial (map-side) aggregation — count, min, max_by, every, collect_list —
-so a hot key is combined before the shuffle and never arrives as one huge
-group of raw rows.  (``max_by`` over a string value plans as a sort-based
+Every aggregate here is one Catalyst ``Aggregate``.  Count, min, max_by and
+every combine map-side, so a hot key is a row a task at the shuffle; a
+``collect_list`` does not shrink (its buffer holds every value) and is used
+only where the value itself is the result.  (``max_by`` over a string value plans as a sort-based
 aggregate; it is still partial and spill-safe.)
 """
 
@@ -133,28 +133,36 @@ def property_lines(resolved: DataFrame, entity, key: str, value: str, pos: str =
 
 
 # --------------------------------------------------------------------- A5
+def topology_pieces(services: DataFrame, group, host: str, port: str, order: str,
+                    sep: str = ",", chunk: int = 4096) -> DataFrame:
+    """A5, the unbounded form: ``(group, bucket, piece, n)``.
+
+    A bucket is the integral ``order`` column divided by ``chunk``; its piece
+    lists its ``http://host:port/`` in order.  Pieces of a group, taken by
+    bucket, are its list; no value grows with the group.
+    """
+    grp = as_names(group)
+    uri = service_uri(F.col(host), F.col(port))
+    return (services
+            .select(*grp, F.col(order).alias("_o"), uri.alias("_u"))
+            .groupBy(*grp, F.floor(F.col("_o") / F.lit(chunk)).alias("bucket"))
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_u"))),
+                                          lambda x: x["_u"]), sep).alias("piece"),
+                 F.count(F.lit(1)).alias("n")))
+
+
 def topology(services: DataFrame, group, host: str, port: str, order: str,
              out: str = "topology", sep: str = ",", chunk: int = 4096) -> DataFrame:
     """A5: per group, the ``http://host:port/`` list in ``order`` order, as text.
 
-    Two-level so one hot group is never sorted in a single task: rows are
-    first formatted and joined per ``(group, order div chunk)`` — a range
-    bucket of the integral ``order`` column, so buckets concatenate in
-    order — and only those pre-joined pieces meet in the final group.
+    For groups whose whole list is one readable value; where a group may be
+    of any size, use ``topology_pieces``.
     """
     grp = as_names(group)
-    uri = service_uri(F.col(host), F.col(port))
-    pieces = (services
-              .select(*grp, F.col(order).alias("_o"), uri.alias("_u"))
-              .withColumn("_b", F.floor(F.col("_o") / F.lit(chunk)))
-              .groupBy(*grp, "_b")
-              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_u"))),
-                                            lambda x: x["_u"]), sep).alias("_piece"),
-                   F.count(F.lit(1)).alias("_n")))
-    return (pieces.groupBy(*grp)
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_piece"))),
-                                          lambda x: x["_piece"]), sep).alias(out),
-                 F.sum("_n").alias("instances")))
+    return (topology_pieces(services, grp, host, port, order, sep, chunk).groupBy(*grp)
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "piece"))),
+                                          lambda x: x["piece"]), sep).alias(out),
+                 F.sum("n").alias("instances")))
 
 
 def topology_array(services: DataFrame, group, host: str, port: str, order: str,
@@ -214,6 +222,6 @@ def all_running(state: DataFrame, kinds: DataFrame, kind: str = "kind",
 
 __all__ = [
     "duplicate_keys", "unique_index", "all_of", "all_running", "resolve_properties",
-    "collect_properties", "render_document", "render_properties", "property_lines", "topology", "topology_array",
+    "collect_properties", "render_document", "render_properties", "property_lines", "topology", "topology_pieces", "topology_array",
     "first_success_within", "judge_readiness",
 ]

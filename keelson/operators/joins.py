@@ -1,11 +1,11 @@
 """Joins (J1-J6).
 
-Broadcast policy: a side is broadcast only when its size is bounded —
-either it is one of our fixed dimension tables, or ``bounded_broadcast``
-has counted it (a bounded action that stops at ``max_rows + 1``).  Anything
-else is left to the planner: a shuffle join on the key, which AQE turns into
-a broadcast join only after measuring the shuffled side, and whose skewed
-partitions it splits (``spark.sql.adaptive.skewJoin.enabled``).
+Broadcast policy: only our fixed dimension tables are hinted.  Any other
+side is left to the planner: a shuffle join on the key, which AQE turns into
+a broadcast join only after measuring the shuffled side in bytes, and whose
+skewed partitions it splits (``spark.sql.adaptive.skewJoin.enabled``).
+Lists that are only tested for membership are made distinct first, which
+combines map-side, so a key repeated millions of times costs one row a task.
 """
 
 from __future__ import annotations
@@ -14,42 +14,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.functions._util import as_col, as_names
-
-DEFAULT_BROADCAST_ROWS = 100_000
+from keelson.functions.text import prefixed_key
 
 # Access rights, their letters, and the rule path layout.
 RIGHTS = ("read", "write", "manage")
 RIGHT_LETTERS = {"r": "read", "w": "write", "m": "manage"}
-RULE_PATH_PREFIX = "/hercules/auth/rules/"
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast-hint ``df`` only if it has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows.  Beyond the bound the
-    frame is returned unhinted and joins by shuffle.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+RULE_PATH_PREFIX = "/auth/rules/"
 
 
 # --------------------------------------------------------------------- J1
-def keep_listed(df: DataFrame, wanted: DataFrame, on, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-                check_size: bool = True) -> DataFrame:
+def keep_listed(df: DataFrame, wanted: DataFrame, on) -> DataFrame:
     """Rows of ``df`` whose key is in ``wanted`` (left semi join).
 
-    Duplicates in ``df`` are kept; duplicates in ``wanted`` do not multiply.
-    The list is broadcast when ``bounded_broadcast`` finds at most
-    ``max_broadcast_rows`` rows in it (the count stops at one more), so a
-    short list never makes the big side shuffle.  A longer list joins by
-    shuffle, where AQE may still broadcast it after measuring it.
-    ``check_size=False`` skips the count and leaves it all to the planner.
+    Duplicates in ``df`` are kept; duplicates in ``wanted`` do not multiply
+    (they are combined before the shuffle).
     """
     keys = as_names(on)
-    side = wanted.select(*keys)
-    if check_size:
-        side = bounded_broadcast(side, max_broadcast_rows)
-    return df.join(side, keys, "left_semi")
+    return df.join(wanted.select(*keys).distinct(), keys, "left_semi")
 
 
 # --------------------------------------------------------------------- J2
@@ -59,7 +40,7 @@ def pending(df: DataFrame, done: DataFrame, on) -> DataFrame:
     With the full file name as key a new version counts as not done.
     """
     keys = as_names(on)
-    return df.join(done.select(*keys), keys, "left_anti")
+    return df.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
 # --------------------------------------------------------------------- J3
@@ -84,10 +65,13 @@ def strict_lookup(df: DataFrame, dim: DataFrame, on, values=None) -> DataFrame:
 
 
 def missing_keys(df: DataFrame, dim: DataFrame, on) -> DataFrame:
-    """J3 report: keys of ``df`` absent from ``dim``, with how many rows carry each."""
+    """J3 report: keys of ``df`` absent from ``dim``, with how many rows carry each.
+
+    Rows are counted per key before the join, so a hot key is one row a task.
+    """
     keys = as_names(on)
-    return (df.select(*keys).join(dim.select(*keys), keys, "left_anti")
-            .groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")))
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    return counted.join(dim.select(*keys).distinct(), keys, "left_anti")
 
 
 def require_keys(df: DataFrame, dim: DataFrame, on) -> None:
@@ -99,24 +83,18 @@ def require_keys(df: DataFrame, dim: DataFrame, on) -> None:
 
 # --------------------------------------------------------------------- J4
 def expand_template(entities: DataFrame, binding: DataFrame, template: DataFrame,
-                    on: str = "kind", template_col: str = "template",
-                    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, dims_bounded: bool = False) -> DataFrame:
+                    on: str = "kind", template_col: str = "template") -> DataFrame:
     """One row per (entity, templated key) through a kind -> template binding.
 
     ``binding``: ``(kind, step, template, prefix)``; ``template``:
     ``(template, pos, suffix, value)``.  Output adds ``step``, ``pos``,
     ``key = prefix.suffix`` (bare suffix for a NULL prefix) and ``value``.
-    Both dimensions are equi-joined, broadcast when their size check passes;
-    ``dims_bounded=True`` states they are fixed tables and skips the check.
+    Both are plain equi-joins; the planner broadcasts the fixed tables, whose
+    size it knows.
     """
-    if dims_bounded:
-        b, t = F.broadcast(binding), F.broadcast(template)
-    else:
-        b = bounded_broadcast(binding, max_broadcast_rows)
-        t = bounded_broadcast(template, max_broadcast_rows)
-    return (entities.join(b, on)
-            .join(t, template_col)
-            .withColumn("key", F.concat_ws(".", F.col("prefix"), F.col("suffix"))))
+    return (entities.join(binding, on)
+            .join(template, template_col)
+            .withColumn("key", prefixed_key("prefix", "suffix")))
 
 
 # --------------------------------------------------------------------- J5
@@ -142,9 +120,14 @@ def expand_rights(grants: DataFrame, api_key: str = "api_key", pattern: str = "p
 
 # --------------------------------------------------------------------- J6
 def conditional_refresh(current: DataFrame, stored: DataFrame, key, etag: str = "etag",
-                        values=(), include_missing: bool = False) -> DataFrame:
+                        values=(), include_missing: bool = False, code: str | None = None) -> DataFrame:
     """Refresh a stored snapshot from the current one by version tag.
 
+    With ``code`` (the response's status column): 304 keeps the stored row,
+    200 compares the tags, any other code or none is an ``error`` that
+    leaves the stored row as it is (its columns are NULL if there is none).
+    A 304 for a key that is not stored is an error too.
+
     Per key: ``new`` (not stored), ``not_modified`` (same tag: keep the
     stored values), ``modified`` (other tag: take current values and tag),
     and with ``include_missing`` ``missing`` (stored only: kept as stored).
@@ -153,15 +136,17 @@ def conditional_refresh(current: DataFrame, stored: DataFrame, key, etag: str =
     keys = as_names(key)
     vals = as_names(values)
     cur = current.select(*keys, F.col(etag).alias("_cur_tag"), *[F.col(v).alias(f"_cur_{v}") for v in vals],
-                         F.lit(True).alias("_in_cur"))
+                         (F.col(code) if code else F.lit(200)).alias("_code"), F.lit(True).alias("_in_cur"))
     sto = stored.select(*keys, F.col(etag).alias("_sto_tag"), *[F.col(v).alias(f"_sto_{v}") for v in vals],
                         F.lit(True).alias("_in_sto"))
     joined = cur.join(sto, keys, "full" if include_missing else "left")
     status = (F.when(F.col("_in_cur").isNull(), F.lit("missing"))
+              .when((F.col("_code") == 304) & F.col("_in_sto").isNotNull(), F.lit("not_modified"))
+              .when(F.coalesce(F.col("_code") != 200, F.lit(True)), F.lit("error"))
               .when(F.col("_in_sto").isNull(), F.lit("new"))
               .when(F.col("_cur_tag") == F.col("_sto_tag"), F.lit("not_modified"))
               .otherwise(F.lit("modified")))
-    keep_stored = F.col("status").isin("not_modified", "missing")
+    keep_stored = F.col("status").isin("not_modified", "missing", "error")
     return (joined.withColumn("status", status)
             .select(*keys, "status",
                     F.when(keep_stored, F.col("_sto_tag")).otherwise(F.col("_cur_tag")).alias(etag),

@@ -62,10 +62,9 @@ def audit_responses(df: DataFrame, url: str = "url", code: str = "code", body: s
     """
     c, u = F.col(code), F.col(url)
     error = (F.when(c.isNull() | (c != F.lit(ok_code)),
-                    F.concat(F.lit("Request to "), u, F.lit(" failed with code = "),
-                             F.coalesce(c.cast("string"), F.lit("NULL")), F.lit(".")))
+                    F.concat(F.lit("status "), F.coalesce(c.cast("string"), F.lit("none")), F.lit(" from "), u))
              .when(F.coalesce(F.length(F.col(body)), F.lit(0)) == 0,
-                   F.concat(F.lit("Request to "), u, F.lit(" failed: response is empty."))))
+                   F.concat(F.lit("no content from "), u)))
     return df.withColumn(out, error)
 
 

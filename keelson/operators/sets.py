@@ -23,37 +23,28 @@ def ordered_union(*dfs: DataFrame, ord_col: str = "ord", allow_missing: bool = F
 
 
 # --------------------------------------------------------------------- G1
-def expand_instances(df: DataFrame, count: str, out: str = "instance_id",
-                     split_above: int | None = None, chunk: int = 1 << 16) -> DataFrame:
+def expand_instances(df: DataFrame, count: str, out: str = "instance_id", chunk: int = 1 << 16) -> DataFrame:
     """G1: ``count`` rows per input row with ids ``0 .. count-1``; 0 gives none.
 
     Negative and NULL counts give no rows here; ``rejected_counts`` lists
-    the negative ones.  With ``split_above``, rows whose count exceeds it
-    are first cut into ``chunk``-sized ranges and spread over the cluster by
-    a shuffle of the (few) range rows, so one huge count is expanded by many
-    tasks instead of one; smaller rows explode in place, unshuffled.
+    them.  Each row is first cut into ranges of at most ``chunk`` ids; the
+    range rows are spread over the cluster, and the ids are generated from
+    them, so one huge count is expanded by many tasks and never becomes one
+    array.
     """
+    taken = {c.lower() for c in df.columns}
+    lo = next(n for n in ("_lo", "__lo", "___lo") if n not in taken)
     n = F.col(count)
-    ids = F.when(n > 0, F.sequence(F.lit(0), n - 1))
-    if split_above is None:
-        return df.withColumn(out, F.explode(ids))
-    small = df.where(n <= F.lit(split_above)).withColumn(out, F.explode(ids))
-    lo, hi = "_range_lo", "_range_hi"
-    n_chunks = F.ceil(n / F.lit(chunk))
-    ranges = (df.where(n > F.lit(split_above))
-              .withColumn(lo, F.explode(F.sequence(F.lit(0).cast("long"), n_chunks.cast("long") - 1)))
-              .withColumn(lo, F.col(lo) * F.lit(chunk))
-              .withColumn(hi, F.least(F.col(lo) + F.lit(chunk), n.cast("long")) - 1)
-              .repartition(*df.columns, lo))
-    big = (ranges.withColumn(out, F.explode(F.sequence(F.col(lo), F.col(hi))))
-           .drop(lo, hi)
-           .withColumn(out, F.col(out).cast(small.schema[out].dataType)))
-    return small.unionByName(big)
+    first = F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n.cast("long") - 1, F.lit(chunk).cast("long"))))
+    ranges = df.withColumn(lo, first).repartition(*df.columns, lo)
+    last = F.least(F.col(lo) + F.lit(chunk), n.cast("long")) - 1
+    kind = df.schema[count].dataType
+    return ranges.withColumn(out, F.explode(F.sequence(F.col(lo), last)).cast(kind)).drop(lo)
 
 
 def rejected_counts(df: DataFrame, count: str) -> DataFrame:
-    """G1 reject side: rows whose count is negative."""
-    return df.where(F.col(count) < 0)
+    """G1 reject side: rows whose count is negative or NULL."""
+    return df.where(F.col(count).isNull() | (F.col(count) < 0))
 
 
 __all__ = ["ordered_union", "expand_instances", "rejected_counts"]

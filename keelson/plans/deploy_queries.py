@@ -15,10 +15,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keelson.operators.aggregates import topology
+from keelson.operators.aggregates import topology, topology_pieces
 from keelson.operators.joins import RULE_PATH_PREFIX, expand_template
 from keelson.operators.select import select_kind
-from keelson.operators.sets import expand_instances, ordered_union
+from keelson.operators.sets import expand_instances, ordered_union, rejected_counts
 from keelson.plans import fixtures as fx
 from keelson.plans.deployment import deployment_plan
 from keelson.plans.registry import register
@@ -45,9 +45,19 @@ def g1_expand_instances(spark, sf_dir):
 SELECT p_partkey, unnest(range(p_size - 1)) AS instance_id FROM part
 """)
 def g1_expand_instances_split(spark, sf_dir):
-    """Same result through the hot-row path: counts over 25 are cut into ranges of 8."""
+    """Same result with ranges of 8 ids, so most counts are cut."""
     part = Tables(spark, sf_dir).part.select("p_partkey", (F.col("p_size") - 1).cast("long").alias("n"))
-    return expand_instances(part, "n", split_above=25, chunk=8).drop("n")
+    return expand_instances(part, "n", chunk=8).drop("n")
+
+
+@register("g1_rejected_counts", """
+SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_size - 10 END AS n FROM part
+WHERE p_size % 7 = 0 OR p_size < 10
+""")
+def g1_rejected_counts(spark, sf_dir):
+    """G1's reject side: NULL and negative counts."""
+    n = F.when(F.col("p_size") % 7 != 0, F.col("p_size") - 10)
+    return rejected_counts(Tables(spark, sf_dir).part.select("p_partkey", n.alias("n")), "n")
 
 
 def _members(t: Tables):
@@ -99,6 +109,17 @@ def a5_topology(spark, sf_dir):
     return topology(supp, "s_nationkey", "host", "s_suppkey", "s_suppkey", chunk=16)
 
 
+@register("a5_topology_pieces", """
+SELECT s_nationkey, s_suppkey // 16 AS bucket,
+       string_agg('http://localhost:' || CAST(s_suppkey AS VARCHAR) || '/', ',' ORDER BY s_suppkey) AS piece,
+       count(*) AS n
+FROM supplier GROUP BY s_nationkey, s_suppkey // 16
+""")
+def a5_topology_pieces(spark, sf_dir):
+    supp = Tables(spark, sf_dir).supplier.select("s_nationkey", "s_suppkey", F.lit("localhost").alias("host"))
+    return topology_pieces(supp, "s_nationkey", "host", "s_suppkey", "s_suppkey", chunk=16)
+
+
 def clusters_from_orders(t: Tables):
     o = t.orders
     counts = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
@@ -167,6 +188,31 @@ FROM props GROUP BY cluster_id, kind, instance_id, directory, arguments
 """
 
 
+M1_PROPS_SQL = M1_SQL[:M1_SQL.index("SELECT cluster_id, kind, instance_id, directory, arguments,\n       string_agg")].rstrip()
+
+
+@register("m1_properties", M1_PROPS_SQL + """
+SELECT cluster_id, kind, instance_id, key, value FROM props
+""")
+def m1_properties(spark, sf_dir):
+    """Every resolved property of every instance."""
+    plan = deployment_plan(clusters_from_orders(Tables(spark, sf_dir)))
+    return plan.properties.select("cluster_id", "kind", "instance_id", "key", "value")
+
+
+@register("m1_restart_writes", M1_PROPS_SQL + """,
+rounds AS (SELECT 'start' AS template, unnest([1, 2]) AS start_round UNION ALL
+           SELECT DISTINCT template, 0 FROM tm WHERE template <> 'start')
+SELECT a.cluster_id, a.kind, a.instance_id, concat_ws('.', b.prefix, tm.suffix) AS key,
+       """ + _placeholder_sql() + """ AS value, r.start_round, b.step, tm.pos
+FROM attrs a JOIN b ON b.kind = a.kind JOIN tm ON tm.template = b.template JOIN rounds r ON r.template = tm.template
+""")
+def m1_restart_writes(spark, sf_dir):
+    """Every property write of a deployment whose services start twice."""
+    plan = deployment_plan(clusters_from_orders(Tables(spark, sf_dir)), starts=2)
+    return plan.writes.select("cluster_id", "kind", "instance_id", "key", "value", "start_round", "step", "pos")
+
+
 M1_BASE_SQL = M1_SQL[:M1_SQL.index("b AS (SELECT * FROM")].rstrip().rstrip(",")
 
 

@@ -14,7 +14,8 @@ Steps, each a library operator:
 
 No step shuffles the instances: the J3/J4 joins are against fixed,
 broadcast dimensions, and A3/A4's grouping runs on the template writes
-(see ``deployment_plan``).  The only shuffles are whatever built the input.
+(see ``deployment_plan``).  G1 shuffles its range rows, one for each
+(cluster, kind) and 65,536 instances, to spread huge counts.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from keelson.functions.paths import join_path, with_suffix
 from keelson.functions.text import escape_backslash, when_equals
-from keelson.operators.aggregates import collect_properties, render_document, resolve_properties, topology
+from keelson.operators.aggregates import collect_properties, render_document, resolve_properties, service_uri
 from keelson.operators.joins import expand_rights, expand_template, strict_lookup
 from keelson.operators.select import with_defaults
 from keelson.operators.sets import expand_instances, ordered_union, rejected_counts
@@ -45,17 +46,19 @@ def settle(clusters: DataFrame, default_dir: str, zk: str, kafka: str) -> DataFr
         extra["zk_connect"] = F.lit(zk)
     if "kafka_connect" not in out.columns:
         extra["kafka_connect"] = F.lit(kafka)
+    extra["service_host"] = (F.coalesce(F.col("host"), F.lit(fx.SERVICE_HOST)) if "host" in out.columns
+                             else F.lit(fx.SERVICE_HOST))
     return out.withColumns(extra) if extra else out
 
 
-def plan_instances(spark, settled: DataFrame, port_base: int, port_stride: int,
-                   split_above: int | None = None) -> tuple[DataFrame, DataFrame]:
-    base = ["cluster_id", "base_directory", "zk_connect", "kafka_connect"]
+def plan_instances(spark, settled: DataFrame, port_base: int, port_stride: int) -> tuple[DataFrame, DataFrame]:
+    base = ["cluster_id", "base_directory", "zk_connect", "kafka_connect", "service_host"]
     long = (settled.unpivot(base, list(COUNT_COLUMNS), "count_column", "count")
             .withColumn("kind", F.replace(F.col("count_column"), F.lit("_"), F.lit("-")))
             .drop("count_column"))
-    rejected = rejected_counts(long, "count")
-    services = expand_instances(long, "count", split_above=split_above).drop("count")
+    # A kind's ports are its own range of ``port_stride``; more instances would run into the next kind's.
+    rejected = rejected_counts(long, "count").unionByName(long.where(F.col("count") > port_stride))
+    services = expand_instances(long.where(F.col("count") <= port_stride), "count").drop("count")
     init = settled.select(*base, F.lit(fx.INIT_KIND).alias("kind"),
                           F.lit(None).cast(services.schema["instance_id"].dataType).alias("instance_id"))
     # Init first, then the services; ``ord`` proper comes from the component table.
@@ -66,11 +69,11 @@ def plan_instances(spark, settled: DataFrame, port_base: int, port_stride: int,
     entities = (entities.withColumns({
         "directory": join_path("base_directory", with_suffix("name", "instance_id")),
         "arguments": when_equals("name", fx.INIT_NAME, fx.INIT_ARGUMENTS),
-        "host": F.when(is_service, F.lit(fx.SERVICE_HOST)),
+        "host": F.when(is_service, F.col("service_host")),
         "port": F.when(is_service, F.lit(port_base) + F.col("ord") * F.lit(port_stride) + F.col("instance_id")),
         "admin_key": F.lit(fx.ADMIN_API_KEY),
-    }).drop("_group"))
-    return entities, rejected
+    }).drop("_group", "service_host"))
+    return entities, rejected.drop("service_host")
 
 
 def fill_placeholders(value) -> Column:
@@ -111,7 +114,7 @@ def template_writes(spark, starts: int) -> DataFrame:
     kinds = fx.components(spark).select("kind")
     rounds = F.when(F.col("template") == F.lit(fx.START_TEMPLATE), F.sequence(F.lit(1), F.lit(starts))) \
         .otherwise(F.array(F.lit(0)))
-    return (expand_template(kinds, fx.bindings(spark), fx.templates(spark), dims_bounded=True)
+    return (expand_template(kinds, fx.bindings(spark), fx.templates(spark))
             .withColumn("start_round", F.explode(rounds))
             .select("kind", "key", "value", "start_round", "step", "pos"))
 
@@ -120,7 +123,7 @@ class DeploymentPlan:
     """The plan's outputs, each a lazy DataFrame built on first access.
 
     instances  – one row per service instance and one init per cluster
-    rejected   – clusters with a negative count
+    rejected   – (cluster, kind) with a negative count or more instances than ports
     writes     – every property assignment, in write order
     properties – A3: resolved ``(entity, key, value, pos)``
     documents  – A4: one rendered properties document per instance
@@ -132,12 +135,12 @@ class DeploymentPlan:
     """
 
     def __init__(self, clusters: DataFrame, default_dir: str, zk: str, kafka: str,
-                 port_base: int, port_stride: int, starts: int, split_above: int | None = None):
+                 port_base: int, port_stride: int, starts: int):
         self._spark = clusters.sparkSession
         self._starts = starts
         self.settled = settle(clusters, default_dir, zk, kafka)
-        self.instances, self.rejected = plan_instances(self._spark, self.settled, port_base, port_stride,
-                                                       split_above)
+        self.instances, self.rejected = plan_instances(self._spark, self.settled, port_base, port_stride)
+        self._port_base, self._port_stride = port_base, port_stride
 
     @cached_property
     def kind_writes(self) -> DataFrame:
@@ -177,18 +180,26 @@ class DeploymentPlan:
 
     @cached_property
     def topology(self) -> DataFrame:
-        services = self.instances.where(F.col("kind") != F.lit(fx.INIT_KIND))
-        return topology(services, ["cluster_id", "kind"], "host", "port", "instance_id")
+        """Row-local: the list is a function of the cluster's host and the kind's count."""
+        ordinal = F.create_map(*[F.lit(x) for o, kind, _ in fx.COMPONENTS if o is not None for x in (kind, o)])
+        long = (self.settled.unpivot(["cluster_id", "service_host"], list(COUNT_COLUMNS), "count_column", "count")
+                .withColumn("kind", F.replace(F.col("count_column"), F.lit("_"), F.lit("-")))
+                .where((F.col("count") > 0) & (F.col("count") <= self._port_stride)))
+        base = F.lit(self._port_base) + ordinal[F.col("kind")] * F.lit(self._port_stride)
+        uris = F.transform(F.sequence(F.lit(0).cast("long"), F.col("count").cast("long") - 1),
+                           lambda i: service_uri(F.col("service_host"), base + i))
+        return long.select("cluster_id", "kind", F.array_join(uris, ",").alias("topology"),
+                           F.col("count").cast("long").alias("instances"))
 
 
 def deployment_plan(clusters: DataFrame, default_dir: str = ".", zk: str = "localhost:2181",
                     kafka: str = "localhost:9092", port_base: int = 20000, port_stride: int = 1000,
-                    starts: int = 1, split_above: int | None = None) -> DeploymentPlan:
+                    starts: int = 1) -> DeploymentPlan:
     """Build the plan; ``starts`` > 1 replays the per-start writes (a restart).
 
-    ``split_above``: counts above it are expanded by many tasks (G1's range
-    split) instead of one; it costs a second pass over ``clusters``, so it
-    is off by default.
+    Counts beyond ``port_stride`` are rejected, as their ports would run into
+    the next kind's.  Clusters share ports, so they need hosts of their own:
+    an optional ``host`` column (default ``localhost``).
 
     Every write of an instance comes from its kind's template list; the
     instance only fills the placeholders.  So last-write-wins (A3) and the
@@ -199,4 +210,4 @@ def deployment_plan(clusters: DataFrame, default_dir: str = ".", zk: str = "loca
     below the expanding join; rendering needs no shuffle at all.
     ``writes`` and ``properties`` still offer the per-instance rows.
     """
-    return DeploymentPlan(clusters, default_dir, zk, kafka, port_base, port_stride, starts, split_above)
+    return DeploymentPlan(clusters, default_dir, zk, kafka, port_base, port_stride, starts)

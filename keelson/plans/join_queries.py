@@ -1,8 +1,7 @@
 """Join family on the driver's tables: J1, J2, J3, J5, J6.
 
   * J1 keeps listed rows: parts of two listed brands (a fixed list, like the
-    reference's component list), and lines of urgent orders (a data-sized
-    list: no broadcast unless its size check passes).
+    component list), and lines of urgent orders (a data-sized list).
   * J2 finds pending work: orders that have no lines yet.
   * J3 looks up each line's order strictly, and reports lines whose order
     is outside the finished/open set.
@@ -34,7 +33,7 @@ SELECT p_partkey, p_brand FROM part WHERE p_brand IN ('Brand#2', 'Brand#17')
 """)
 def j1_keep_listed(spark, sf_dir):
     wanted = spark.createDataFrame([(b,) for b in LISTED_BRANDS], "p_brand string")
-    # A literal list: its size check is one tiny count, then it is broadcast.
+    # A literal list: the planner knows its size.
     return keep_listed(Tables(spark, sf_dir).part.select("p_partkey", "p_brand"), wanted, "p_brand")
 
 
@@ -45,7 +44,7 @@ WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-UR
 def j1_keep_listed_large(spark, sf_dir):
     t = Tables(spark, sf_dir)
     urgent = t.orders.where(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_orderkey").alias("l_orderkey"))
-    # Data-sized list: broadcast only if the bounded count finds it short.
+    # Data-sized list: a shuffle join unless AQE measures the list as small.
     return keep_listed(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), urgent, "l_orderkey")
 
 
@@ -155,3 +154,36 @@ def j6_conditional_refresh(spark, sf_dir):
                    .otherwise(F.col("o_orderstatus")).alias("etag"),
                    (-F.col("o_totalprice")).alias("price")))
     return conditional_refresh(cur, sto, "o_orderkey", "etag", ["price"], include_missing=True)
+
+
+@register("j6_refresh_with_codes", f"""
+WITH cur AS (SELECT o_orderkey, o_orderstatus AS etag, o_totalprice AS price,
+                    CASE o_orderkey % 5 WHEN 0 THEN 304 WHEN 1 THEN 503 WHEN 2 THEN NULL ELSE 200 END AS code
+             FROM orders WHERE o_orderdate >= TIMESTAMP '{CURRENT_FROM}'),
+     sto AS (SELECT o_orderkey,
+                    CASE WHEN o_orderpriority = '1-URGENT' THEN 'X' ELSE o_orderstatus END AS etag,
+                    -o_totalprice AS price
+             FROM orders WHERE o_orderdate < TIMESTAMP '{STORED_BEFORE}'),
+     j AS (SELECT cur.o_orderkey, cur.etag AS ce, cur.price AS cp, sto.etag AS se, sto.price AS sp,
+                  CASE WHEN code = 304 AND sto.o_orderkey IS NOT NULL THEN 'not_modified'
+                       WHEN code IS DISTINCT FROM 200 THEN 'error'
+                       WHEN sto.o_orderkey IS NULL THEN 'new'
+                       WHEN cur.etag = sto.etag THEN 'not_modified' ELSE 'modified' END AS status
+           FROM cur LEFT JOIN sto ON cur.o_orderkey = sto.o_orderkey)
+SELECT o_orderkey, status, CASE WHEN status IN ('new', 'modified') THEN ce ELSE se END AS etag,
+       CASE WHEN status IN ('new', 'modified') THEN cp ELSE sp END AS price
+FROM j
+""")
+def j6_refresh_with_codes(spark, sf_dir):
+    """J6 on responses: 304 keeps the stored row, 200 compares tags, other codes are errors that change nothing."""
+    orders = Tables(spark, sf_dir).orders
+    k = F.col("o_orderkey") % 5
+    code = F.when(k == 0, 304).when(k == 1, 503).when(k > 2, 200)
+    cur = (orders.where(F.col("o_orderdate") >= F.lit(CURRENT_FROM).cast("timestamp_ntz"))
+           .select("o_orderkey", F.col("o_orderstatus").alias("etag"), F.col("o_totalprice").alias("price"), code.alias("code")))
+    sto = (orders.where(F.col("o_orderdate") < F.lit(STORED_BEFORE).cast("timestamp_ntz"))
+           .select("o_orderkey",
+                   F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("X"))
+                   .otherwise(F.col("o_orderstatus")).alias("etag"),
+                   (-F.col("o_totalprice")).alias("price")))
+    return conditional_refresh(cur, sto, "o_orderkey", "etag", ["price"], code="code")

@@ -1,16 +1,16 @@
 """Manifest family on the driver's tables: S1, P1, P3, P4, A1, F3/F4.
 
 Table roles:
-  * ``events.props`` is a JSON document per row (S1 record decode); as
-    cached copies, those of ``error`` events are truncated (lenient decode
-    and quarantine).
+  * ``events.props`` is a JSON document per row (S1 record decode); among
+    cached copies lie ``documents.text``, which are none (lenient decode and
+    quarantine).
   * ``lineitem`` packed per order is a manifest whose assets are its lines
     (S1 pack -> unpack round trip).
   * ``part`` yields release asset file names:
     ``<type>-<name words>-<size>.<partkey>.jar`` (``.jar.asc`` for sizes
     over 45, a signature file that matches the same component name).
   * ``pages`` are fetched responses: code 200 over https, 301 over plain
-    http; the body is the page footer (absent on some pages).
+    http; the body is the whole page (every eleventh came empty).
 """
 
 from __future__ import annotations
@@ -19,12 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelson.functions.paths import last_segment, parent_dir
-from keelson.operators.aggregates import duplicate_keys
+from keelson.functions.text import seconds_text
+from keelson.operators.aggregates import duplicate_keys, unique_index
+from keelson.operators.joins import keep_listed, pending
 from keelson.operators.select import (
     ASSET_NAME_GROUPS,
     ASSET_NAME_PATTERN,
     audit_responses,
     extract_groups,
+    split_responses,
     with_default,
 )
 from keelson.plans.registry import register
@@ -36,7 +39,6 @@ LINE_ASSET = T.StructType([T.StructField("l_partkey", T.LongType()),
                            T.StructField("l_linenumber", T.IntegerType())])
 URL_PATTERN = r"^(https?)://([^/?#]+)"
 QUERY_PATTERN = r"[?]([^#]*)"
-FOOTER_PATTERN = r"<footer>(.*?)</footer>"
 
 
 @register("s1_decode_props", """
@@ -47,29 +49,27 @@ def s1_decode_props(spark, sf_dir):
 
 
 def cached_props(t: Tables):
-    """``events.props`` as cached copies; the copies of ``error`` events lost their last character."""
-    doc = F.when(F.col("event_type") == "error", F.expr("substring(props, 1, length(props) - 1)")) \
-        .otherwise(F.col("props"))
-    return t.events.select("event_id", doc.alias("doc"))
+    """Cached copies: ``events.props``, and whole document texts, which are no JSON objects."""
+    return (t.events.select(F.col("event_id").alias("id"), F.col("props").alias("doc"))
+            .unionByName(t.documents.select((-1 - F.col("doc_id")).alias("id"), F.col("text").alias("doc"))))
 
 
 CACHED_SQL = """
-  SELECT event_id, CASE WHEN event_type = 'error' THEN left(props, length(props) - 1) ELSE props END AS doc
-  FROM events"""
+  SELECT event_id AS id, props AS doc FROM events UNION ALL SELECT -1 - doc_id, text FROM documents"""
 
 
 @register("s1_lenient_decode", f"""
 WITH c AS ({CACHED_SQL})
-SELECT event_id, CAST(doc->>'$.k' AS INTEGER) AS k FROM c WHERE json_valid(doc)
+SELECT id, CAST(doc->>'$.k' AS INTEGER) AS k FROM c WHERE json_valid(doc)
 """)
 def s1_lenient_decode(spark, sf_dir):
     return decode_document(cached_props(Tables(spark, sf_dir)), "doc", PROPS_SCHEMA, mode="lenient",
-                           keep=["event_id"])
+                           keep=["id"])
 
 
 @register("s1_quarantine", f"""
 WITH c AS ({CACHED_SQL})
-SELECT event_id, doc FROM c WHERE NOT json_valid(doc)
+SELECT id, doc FROM c WHERE NOT json_valid(doc)
 """)
 def s1_quarantine(spark, sf_dir):
     return quarantine_document(cached_props(Tables(spark, sf_dir)), "doc", PROPS_SCHEMA)
@@ -159,24 +159,38 @@ def p3_count_default(spark, sf_dir):
     return with_default(joined, "quality", 1)
 
 
+RESPONSE_SQL = """
+  SELECT page_id, url, CASE WHEN url LIKE 'https://%' THEN 200 ELSE 301 END AS code,
+         CASE WHEN page_id % 11 = 0 THEN '' ELSE html END AS body
+  FROM pages"""
+AUDIT_SQL = """CASE WHEN code <> 200 THEN 'status ' || CAST(code AS VARCHAR) || ' from ' || url
+            WHEN coalesce(length(body), 0) = 0 THEN 'no content from ' || url END"""
+
+
+def responses(spark, sf_dir):
+    return Tables(spark, sf_dir).pages.select(
+        "page_id", "url", F.when(F.col("url").startswith("https://"), F.lit(200)).otherwise(F.lit(301)).alias("code"),
+        F.when(F.col("page_id") % 11 == 0, F.lit("")).otherwise(F.col("html")).alias("body"))
+
+
 @register("p4_audit_responses", f"""
-WITH r AS (
-  SELECT page_id, url,
-         CASE WHEN url LIKE 'https://%' THEN 200 ELSE 301 END AS code,
-         regexp_extract(html, '{FOOTER_PATTERN}', 1) AS body
-  FROM pages)
-SELECT page_id, url, code,
-       CASE WHEN code <> 200 THEN 'Request to ' || url || ' failed with code = ' || CAST(code AS VARCHAR) || '.'
-            WHEN coalesce(length(body), 0) = 0 THEN 'Request to ' || url || ' failed: response is empty.'
-       END AS error
-FROM r
+WITH r AS ({RESPONSE_SQL})
+SELECT page_id, url, code, {AUDIT_SQL} AS error FROM r
 """)
 def p4_audit_responses(spark, sf_dir):
-    pages = Tables(spark, sf_dir).pages
-    resp = pages.select("page_id", "url",
-                        F.when(F.col("url").startswith("https://"), F.lit(200)).otherwise(F.lit(301)).alias("code"),
-                        F.regexp_extract("html", FOOTER_PATTERN, 1).alias("body"))
-    return audit_responses(resp).drop("body")
+    return audit_responses(responses(spark, sf_dir)).drop("body")
+
+
+@register("p4_split", f"""
+WITH r AS ({RESPONSE_SQL})
+SELECT page_id, {AUDIT_SQL} IS NULL AS accepted, {AUDIT_SQL} AS error, length(body) AS n FROM r
+""")
+def p4_split(spark, sf_dir):
+    """Both sides of the split, marked."""
+    ok, bad = split_responses(responses(spark, sf_dir))
+    n = F.length("body").cast("long").alias("n")
+    return (ok.select("page_id", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("error"), n)
+            .unionByName(bad.select("page_id", F.lit(False).alias("accepted"), "error", n)))
 
 
 @register("f3_f4_url_paths", """
@@ -187,3 +201,34 @@ FROM pages
 def f3_f4_url_paths(spark, sf_dir):
     pages = Tables(spark, sf_dir).pages
     return pages.select("page_id", last_segment("url").alias("file_name"), parent_dir("url").alias("parent"))
+
+
+FILE_ASSET = T.StructType([T.StructField("p_partkey", T.LongType()), T.StructField("asset", T.StringType())])
+
+
+@register("release_pipeline", f"""
+WITH a AS ({ASSET_NAME_SQL}),
+     n AS (SELECT p_partkey, asset, regexp_extract(asset, '([a-z-]+)-(\\d[\\w\\.-]*)\\.jar', 1) AS name FROM a),
+     wanted AS (SELECT DISTINCT name FROM n JOIN part USING (p_partkey) WHERE p_size > 40),
+     done AS (SELECT asset FROM n WHERE p_partkey % 3 = 0)
+SELECT p_partkey, asset, name FROM n
+WHERE name IN (SELECT name FROM wanted) AND asset NOT IN (SELECT asset FROM done)
+""")
+def release_pipeline(spark, sf_dir):
+    """S1 -> P1 -> J1 -> J2 -> A1: manifests to the unique index of the listed files not stored yet."""
+    t = Tables(spark, sf_dir)
+    files = asset_names(t).join(t.part.select("p_partkey", "p_size"), "p_partkey")
+    manifests = pack_manifest(files.withColumn("release", F.col("p_partkey") % 97), "release", ["p_partkey", "asset"])
+    named = extract_groups(unpack_manifest(manifests, "body", FILE_ASSET, mode="strict"), "asset",
+                           ASSET_NAME_PATTERN, ASSET_NAME_GROUPS)
+    wanted = extract_groups(files.where("p_size > 40"), "asset", ASSET_NAME_PATTERN, ASSET_NAME_GROUPS)
+    done = files.where(F.col("p_partkey") % 3 == 0)
+    index = pending(keep_listed(named, wanted, "name"), done, "asset")
+    return unique_index(index, "asset").select("p_partkey", "asset", "name")
+
+
+@register("f8_seconds_text", r"""
+SELECT o_orderkey, regexp_replace(printf('%.2f', o_totalprice), '\.?0+$', '') AS seconds FROM orders
+""")
+def f8_seconds_text(spark, sf_dir):
+    return Tables(spark, sf_dir).orders.select("o_orderkey", seconds_text("o_totalprice").alias("seconds"))

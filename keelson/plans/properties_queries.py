@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keelson.operators.aggregates import render_properties, resolve_properties
+from keelson.functions.text import int_text
 from keelson.plans.registry import register
 from keelson.sources.tables import Tables
 
 
 def event_writes(t: Tables):
     return t.events.select("user_id", "event_type", "ts", "event_id",
-                           F.col("event_id").cast("string").alias("value"))
+                           int_text("event_id").alias("value"))
 
 
 def resolved_events(t: Tables):

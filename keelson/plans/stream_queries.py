@@ -18,7 +18,7 @@ from keelson.plans.properties_queries import resolved_events
 from keelson.plans.registry import register
 from keelson.session import ensure_streaming_conf, shared_path
 from keelson.sources.sinks import read_property_files, write_property_files
-from keelson.sources.tables import Tables, table_path
+from keelson.sources.tables import Tables, table_glob, table_path
 from keelson.streaming.hop import append_hop, file_stream
 from keelson.streaming.readiness import readiness_stream
 from keelson.streaming.refresh import refresh_stream, seed_log, snapshot_view
@@ -29,10 +29,8 @@ READY_TIMEOUT = dt.timedelta(days=1)
 
 def events_stream(spark, sf_dir, max_files_per_trigger=None, source_dir=None):
     schema = spark.read.parquet(table_path(sf_dir, "events")).schema  # footer only
-    if source_dir is None:
-        return file_stream(spark, sf_dir, schema, path_glob="events.parquet",
-                           max_files_per_trigger=max_files_per_trigger)
-    return file_stream(spark, source_dir, schema, max_files_per_trigger=max_files_per_trigger)
+    return file_stream(spark, source_dir or table_glob(sf_dir, "events"), schema,
+                       max_files_per_trigger=max_files_per_trigger)
 
 
 @register("s2_append_hop", """
@@ -55,7 +53,7 @@ def s3_property_files(spark, sf_dir):
     lines = property_lines(resolved_events(Tables(spark, sf_dir)), "user_id", "event_type", "value")
     path = shared_path(spark, "s3-properties")
     write_property_files(lines, path, "user_id")
-    return read_property_files(spark, path, "user_id", "bigint")
+    return read_property_files(spark, path, "user_id", "bigint").select("user_id", "line")
 
 
 T1_SQL = READINESS_SQL.replace(
@@ -100,9 +98,9 @@ def j6_refresh_stream(spark, sf_dir):
                       (-F.col("o_totalprice")).alias("price")))
     base = shared_path(spark, "j6-refresh")
     log = f"{base}/log"
-    seed_log(stored, log)
-    current = (file_stream(spark, sf_dir, orders.schema, path_glob="orders.parquet")
+    seed_log(stored, log, "o_orderkey")
+    current = (file_stream(spark, table_glob(sf_dir, "orders"), orders.schema)
                .where(F.col("o_orderdate") >= F.lit(CURRENT_FROM).cast("timestamp_ntz"))
-               .select("o_orderkey", F.col("o_orderstatus").alias("etag"), F.col("o_totalprice").alias("price")))
-    refresh_stream(current, log, f"{base}/checkpoint", "o_orderkey", "etag", ["price"])
-    return snapshot_view(spark, log, current.schema, "o_orderkey")
+               .select("o_orderkey", F.col("o_orderstatus").alias("etag"), F.col("o_totalprice").alias("price"), "o_orderdate"))
+    refresh_stream(current, log, f"{base}/checkpoint", "o_orderkey", "etag", ["price"], order="o_orderdate")
+    return snapshot_view(spark, log, stored.schema, "o_orderkey")

@@ -4,7 +4,8 @@ Cluster jobs get their session from the platform; ``build_session`` is for
 tests, the bench and local runs.  Whatever the session, durable state
 (stream checkpoints, written hop tables) goes under the shared folder the
 cluster names in ``spark.checkpoint.dir``.  A private temporary folder is
-only created when that setting is absent, which is the local/test case.
+only created for a local master without that setting, as in tests; on a
+cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -51,13 +52,15 @@ def shared_root(spark: SparkSession) -> str:
 
     Uses the checkpoint directory the session already has (set from
     ``spark.checkpoint.dir`` or by ``setCheckpointDir``).  Only when none is
-    configured — local runs and tests — a fresh private folder is made.
+    configured and the master is local, a fresh private folder is made.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured and not (sc.master.startswith("local") and "cluster" not in sc.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all machines of the cluster share")
     base = configured or tempfile.mkdtemp(prefix="keelson-ckpt-")
     sc.setCheckpointDir(base)
     return sc.getCheckpointDir() or base

@@ -17,6 +17,16 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+def table_glob(sf_dir: str, name: str) -> str:
+    """A pattern that only the table itself matches, be it one file or a folder of part files.
+
+    A file stream takes a folder or a pattern; the plain path of a
+    single-file table is neither.
+    """
+    path = table_path(sf_dir, name)
+    return f"{path[:-1]}[{path[-1]}]"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")

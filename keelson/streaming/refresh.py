@@ -1,17 +1,21 @@
 """J6, streaming form: keep a keyed snapshot refreshed by version tag.
 
-Storage is an append-only refresh log, one directory per micro-batch
-(``batch_id=<n>``).  Each batch of current records is compared with the
-snapshot as of the *previous* batches (``conditional_refresh``); only the
-``new`` and ``modified`` rows are written, into that batch's directory with
-overwrite.  A retried batch (driver restart, lost executor) rewrites the
-same directory from the same inputs, so the log stays exactly-once without
-a transactional table format.
+Storage is an append-only refresh log, one directory per micro-batch and
+hash bucket of the key (``batch_id=<n>/bucket=<b>``).  Each batch of current
+records is compared with the snapshot as of the *previous* batches
+(``conditional_refresh``); only the ``new`` and ``modified`` rows are
+written, into that batch's directory with overwrite.  A retried batch
+(driver restart, lost executor) rewrites the same directory from the same
+inputs, so the log stays exactly-once without a transactional table format.
+A batch reads the log of the buckets that its keys fall in.
 
 The snapshot is the latest log entry per key (``snapshot_view``): one
 ``max_by`` over the batch id, an aggregate with map-side combining.
-Within one batch, keys must be unique (resolve duplicates first, e.g. with
-``resolve_properties`` or ``unique_index``).  The log grows with every
+
+Where a key may occur several times, ``order`` names the columns that order
+its records; a batch then walks each key's records in that order, so the
+snapshot is the same from one batch and from many.  Without ``order`` a key
+that occurs twice in a batch is an error.  The log grows with every
 changed row; ``compact_log`` rotates it to a new location holding only the
 current snapshot, and the stream continues there on the same checkpoint.
 """
@@ -20,19 +24,33 @@ from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from keelson.functions._util import as_names
 from keelson.operators.joins import conditional_refresh
 
 BATCH = "batch_id"
+BUCKET = "bucket"
+BUCKETS = 16
+
+
+def bucket_of(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+
+def _write(rows: DataFrame, keys: list[str], path: str) -> None:
+    """One directory per bucket; a bucket's rows are hashed over few files."""
+    (rows.withColumn(BUCKET, bucket_of(keys)).repartition(BUCKETS, BUCKET)
+     .write.mode("overwrite").partitionBy(BUCKET).parquet(path))
 
 
 def read_log(spark: SparkSession, log_path: str, schema: T.StructType) -> DataFrame:
     """All log entries with their ``batch_id`` (empty frame if none yet)."""
-    full = T.StructType(list(schema.fields) + [T.StructField(BATCH, T.LongType())])
+    full = T.StructType(list(schema.fields) + [T.StructField(BATCH, T.LongType()),
+                                               T.StructField(BUCKET, T.IntegerType())])
     try:
         return spark.read.schema(full).option("basePath", log_path).parquet(log_path)
     except AnalysisException:  # no batch written yet
@@ -48,7 +66,9 @@ def snapshot_view(spark: SparkSession, log_path: str, schema: T.StructType, key,
     if before_batch is not None:
         log = log.where(F.col(BATCH) < F.lit(before_batch))
     if only_keys is not None:
-        log = log.join(only_keys.select(*keys), keys, "left_semi")
+        touched = [r[BUCKET] for r in only_keys.select(bucket_of(keys).alias(BUCKET)).distinct().collect()]
+        log = log.where(F.col(BUCKET).isin(touched))  # at most BUCKETS values: prunes directories
+        log = log.join(only_keys.select(*keys).distinct(), keys, "left_semi")
     others = [f.name for f in schema.fields if f.name not in keys]
     latest = log.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col(BATCH)).alias("_s"))
     return latest.select(*keys, *[F.col(f"_s.{c}").alias(c) for c in others])
@@ -65,37 +85,70 @@ def compact_log(spark: SparkSession, log_path: str, new_log_path: str, schema: T
     log = read_log(spark, log_path, schema)
     last = log.agg(F.max(BATCH).alias("m")).first().m
     last = -1 if last is None else int(last)
-    snapshot_view(spark, log_path, schema, key).write.mode("overwrite").parquet(f"{new_log_path}/{BATCH}={last}")
+    _write(snapshot_view(spark, log_path, schema, key), as_names(key), f"{new_log_path}/{BATCH}={last}")
     return last
 
 
-def seed_log(snapshot: DataFrame, log_path: str, batch_id: int = -1) -> None:
+def seed_log(snapshot: DataFrame, log_path: str, key, batch_id: int = -1) -> None:
     """Write an initial snapshot as the log's first entry (before any stream batch)."""
-    snapshot.write.mode("overwrite").parquet(f"{log_path}/{BATCH}={batch_id}")
+    _write(snapshot, as_names(key), f"{log_path}/{BATCH}={batch_id}")
+
+
+def walk(rows: DataFrame, keys: list[str], etag: str, vals: list[str], order: list[str]) -> DataFrame:
+    """Each key's records of one batch in order, as one row: the last one whose tag
+    differs from the record's before it, and in ``_runs`` how many such there are.
+
+    A record with the tag of the one before it changes nothing (a NULL tag
+    equals none), so the snapshot holds the first record of the last run.
+    """
+    at = Window.partitionBy(*keys).orderBy(*order, etag, *vals)
+    change = F.coalesce(F.col(etag) != F.lag(etag).over(at), F.lit(True))
+    marked = rows.withColumn("_change", change).where("_change")
+    last = F.max_by(F.struct(etag, *vals), F.struct(*order, etag, *vals)).alias("_s")
+    return (marked.groupBy(*keys).agg(last, F.count("*").alias("_runs"))
+            .select(*keys, *[F.col(f"_s.{c}").alias(c) for c in (etag, *vals)], "_runs"))
+
+
+def require_unique(rows: DataFrame, keys: list[str]) -> None:
+    twice = rows.groupBy(*keys).count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"key occurs twice in a batch without an order: {twice[0].asDict()}")
 
 
 def refresh_stream(current: DataFrame, log_path: str, checkpoint: str, key, etag: str = "etag",
-                   values=(), wait: bool = True):
-    """Run J6 over a stream of current records with ``foreachBatch``."""
+                   values=(), wait: bool = True, order=()):
+    """Run J6 over a stream of current records with ``foreachBatch``.
+
+    ``order``: columns that order a key's records (see the module's text);
+    records must reach the stream in that order from batch to batch.
+    """
     keys = as_names(key)
     vals = as_names(values)
+    orders = as_names(order)
     schema = T.StructType([current.schema[c] for c in [*keys, etag, *vals]])
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        # The batch is read twice (its keys, then the comparison): keep it
-        # for the duration of this batch instead of re-reading the source.
-        current_rows = batch.select(*schema.fieldNames()).persist(StorageLevel.MEMORY_AND_DISK)
+        # The batch is read several times (its keys, then the comparison): keep
+        # it for the duration of this batch instead of re-reading the source.
+        if orders:
+            rows = walk(batch.select(*dict.fromkeys([*schema.fieldNames(), *orders])), keys, etag, vals, orders)
+        else:
+            rows = batch.select(*schema.fieldNames(), F.lit(1).alias("_runs"))
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         try:
+            if not orders:
+                require_unique(rows, keys)
             # Only keys of this batch matter: log entries of other keys are
             # dropped by a semi join before the snapshot's aggregate.
-            stored = snapshot_view(spark, log_path, schema, keys, before_batch=batch_id,
-                                   only_keys=current_rows)
-            result = conditional_refresh(current_rows, stored, keys, etag, vals)
+            stored = snapshot_view(spark, log_path, schema, keys, before_batch=batch_id, only_keys=rows)
+            result = conditional_refresh(rows.where("_runs = 1"), stored, keys, etag, vals)
             changed = result.where(F.col("status").isin("new", "modified")).select(*schema.fieldNames())
-            changed.write.mode("overwrite").parquet(f"{log_path}/{BATCH}={batch_id}")
+            # Two runs or more replaced the stored row at least once, whatever its tag.
+            again = rows.where("_runs > 1").select(*schema.fieldNames())
+            _write(changed.unionByName(again), keys, f"{log_path}/{BATCH}={batch_id}")
         finally:
-            current_rows.unpersist()
+            rows.unpersist()
 
     q = (current.writeStream.foreachBatch(apply)
          .option("checkpointLocation", checkpoint)

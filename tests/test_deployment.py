@@ -121,10 +121,19 @@ def test_rules_and_topology(plan):
     assert plan.topology.where("cluster_id = 'all zero'").count() == 0
 
 
-def test_split_large_counts_same_plan(spark):
+def test_counts_and_endpoints_of_large_kinds(spark):
     clusters = spark.createDataFrame([("big", None, 40, 1, 0, 2), ("small", "/x", 1, 0, 1, 0)], SCHEMA)
     plain = deployment_plan(clusters)
-    split = deployment_plan(clusters, split_above=5)
-    cols = ["cluster_id", "kind", "instance_id", "document"]
-    assert rows(split.documents, *cols) == rows(plain.documents, *cols)
     assert plain.instances.where("cluster_id = 'big' AND kind = 'gate'").count() == 40
+
+
+def test_endpoints_never_repeat(spark):
+    """1000 instances fill a kind's ports; one more is rejected instead of running into the next kind's."""
+    clusters = spark.createDataFrame([("full", None, 1000, 1000, 3, 2), ("over", None, 1001, 1, 1, 1)], SCHEMA)
+    plan = deployment_plan(clusters)
+    ends = [(r.cluster_id, r.host, r.port) for r in plan.instances.where("port is not null").collect()]
+    assert len(ends) == len(set(ends)) == 2005 + 3
+    assert [(r.cluster_id, r.kind, r["count"]) for r in plan.rejected.collect()] == [("over", "gate", 1001)]
+    hosted = deployment_plan(clusters.limit(1).selectExpr("*", "'h1' AS host"))
+    assert {r.host for r in hosted.instances.where("port is not null").collect()} == {"h1"}
+    assert hosted.topology.where("kind = 'stream-api'").first().topology == "http://h1:22000/,http://h1:22001/,http://h1:22002/"

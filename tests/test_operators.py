@@ -24,7 +24,6 @@ from keelson.operators.aggregates import (
 )
 from keelson.operators.joins import (
     RULE_PATH_PREFIX,
-    bounded_broadcast,
     conditional_refresh,
     expand_rights,
     keep_listed,
@@ -44,13 +43,28 @@ def test_keep_listed_keeps_duplicates(spark):
     assert keep_listed(df, empty, "k").count() == 0
 
 
-def test_bounded_broadcast_only_small(spark):
-    small = spark.range(5)
-    big = spark.range(50)
-    plan = big.join(bounded_broadcast(small, 10), "id")._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan
-    # Beyond the bound the frame comes back unhinted.
-    assert bounded_broadcast(big, 10) is big
+@pytest.mark.parametrize("join", [keep_listed, pending, missing_keys])
+def test_membership_lists_combine_before_the_shuffle(spark, join):
+    """A key that a third of both sides hold: aggregated below the exchange, same rows."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        k = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("k")
+        left, right = spark.range(3000).select(k), spark.range(0, 6000, 2).select(k)
+        out = join(left, right, "k")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "partial" in plan or "keys=[k" in plan
+        got = out.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    ks = [0 if i % 3 == 0 else i for i in range(3000)]
+    listed = {0 if i % 3 == 0 else i for i in range(0, 6000, 2)}
+    if join is keep_listed:
+        assert sorted(r.k for r in got) == sorted(x for x in ks if x in listed)
+    elif join is pending:
+        assert sorted(r.k for r in got) == sorted(x for x in ks if x not in listed)
+    else:
+        assert sorted((r.k, r.n_rows) for r in got) == sorted((x, 1) for x in ks if x not in listed)
 
 
 def test_strict_lookup(spark):
@@ -166,9 +180,9 @@ def test_bounded_attempts_plans_map_side_group_limit(spark):
 def test_expand_instances(spark):
     df = spark.createDataFrame([("x", 3), ("zero", 0), ("neg", -2), ("null", None)], "k string, n int")
     assert rows(expand_instances(df, "n"), "k", "instance_id") == [("x", 0), ("x", 1), ("x", 2)]
-    assert rows(rejected_counts(df, "n"), "k") == [("neg",)]
+    assert rows(rejected_counts(df, "n"), "k") == [("neg",), ("null",)]
     big = spark.createDataFrame([("big", 25), ("x", 3), ("zero", 0)], "k string, n int")
-    split = expand_instances(big, "n", split_above=4, chunk=7)
+    split = expand_instances(big, "n", chunk=7)
     assert rows(split, "k", "instance_id") == sorted([("big", i) for i in range(25)] + [("x", i) for i in range(3)])
 
 
@@ -181,16 +195,20 @@ def test_ordered_union(spark):
         ordered_union()
 
 
-def test_property_files_round_trip(spark):
-    import tempfile
-    from keelson.sources.sinks import read_property_files, write_property_files
-    lines = spark.createDataFrame([("007", 2, "b=2"), ("007", 1, "a=1"), ("x", 1, "k=C:\\\\d")],
-                                  "ent string, pos int, line string")
-    path = tempfile.mkdtemp(prefix="keelson-props-") + "/out"
-    write_property_files(lines, path, "ent", num_partitions=2)
-    back = read_property_files(spark, path, "ent")
-    assert rows(back) == [("007", "a=1"), ("007", "b=2"), ("x", "k=C:\\\\d")]
+def test_property_table_replaces_only_what_is_written(spark, tmp_path):
+    from keelson.sources.sinks import export_property_files, read_property_files, write_property_files
+    schema = "ent string, pos int, line string"
+    lines = spark.createDataFrame([("007", 2, "b=2"), ("007", 1, "a=1"), ("x", 1, "k=C:\\\\d")], schema)
+    path = f"{tmp_path}/table"
+    write_property_files(lines, path, "ent", buckets=3)
+    assert rows(read_property_files(spark, path, "ent")) == [("007", 1, "a=1"), ("007", 2, "b=2"), ("x", 1, "k=C:\\\\d")]
+    again = spark.createDataFrame([("007", 1, "a=9"), ("new", 1, "n=1")], schema)
+    for _ in range(2):
+        write_property_files(again, path, "ent", buckets=3)
+        assert rows(read_property_files(spark, path, "ent")) == [("007", 1, "a=9"), ("new", 1, "n=1"), ("x", 1, "k=C:\\\\d")]
     import glob
-    files = sorted(glob.glob(f"{path}/ent=007/part-*.txt"))
-    text = "".join(open(f).read() for f in files)
-    assert text == "a=1\nb=2\n"
+    out = f"{tmp_path}/files"
+    export_property_files(lines, out, "ent")
+    export_property_files(again, out, "ent")
+    text = {e: "".join(open(f).read() for f in sorted(glob.glob(f"{out}/ent={e}/part-*.txt"))) for e in ("007", "x", "new")}
+    assert text == {"007": "a=9\n", "x": "k=C:\\\\d\n", "new": "n=1\n"}

@@ -75,7 +75,7 @@ def test_expand_instances_split_equals_plain(spark, seed):
     rnd = random.Random(seed)
     df = spark.createDataFrame([(i, rnd.choice([0, 1, 2, 5, 17, 40, 100, -3])) for i in range(50)], "k int, n int")
     plain = sorted(tuple(r) for r in expand_instances(df, "n").select("k", "instance_id").collect())
-    split = sorted(tuple(r) for r in expand_instances(df, "n", split_above=4, chunk=3).select("k", "instance_id").collect())
+    split = sorted(tuple(r) for r in expand_instances(df, "n", chunk=3).select("k", "instance_id").collect())
     want = sorted((k, i) for k, n in df.collect() for i in range(max(n, 0)))
     assert plain == want and split == want
 

@@ -29,3 +29,29 @@ def test_kafka_options():
     assert src == {"kafka.bootstrap.servers": "b:9092", "kafkaConsumer.pollTimeoutMs": "250"}
     with pytest.raises(ValueError):
         kafka_options("b", "both")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from keelson.session import shared_root
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        def __init__(self, master):
+            self.master = master
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        def __init__(self, master):
+            self.sparkContext = Context(master)
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_root(Session(master))

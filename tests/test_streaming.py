@@ -3,6 +3,8 @@
 import datetime as dt
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from conftest import SF001, rows
@@ -206,3 +208,42 @@ def test_t1_is_independent_of_session_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert got == want
+
+
+@pytest.mark.parametrize("per_trigger", [None, 1])
+def test_refresh_snapshot_does_not_depend_on_batches(spark, tmp_path, per_trigger):
+    """The same records in one batch and in one per file give the same snapshot and the same log rows per key."""
+    from keelson.streaming.refresh import refresh_stream, seed_log, snapshot_view
+    schema = "k string, etag string, v double, at int"
+    batches = [[("k1", "a", 1.0, 1), ("k2", "b", 2.0, 1), ("s", "t", 9.0, 1)], [("k1", "b", 10.0, 2), ("k3", None, 3.0, 2)],
+               [("k1", "b", 99.0, 3), ("k3", None, 4.0, 3), ("s", "t", 8.0, 3)], [("k2", "c", 5.0, 4)], [("k2", "b", 6.0, 5)]]
+    for b in batches:
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/src")
+    src = spark.read.parquet(f"{tmp_path}/src").schema
+    kept = spark.createDataFrame([("s", "t", 7.0), ("only", "o", 1.0)], "k string, etag string, v double")
+    seed_log(kept, f"{tmp_path}/log", "k")
+    stream = file_stream(spark, f"{tmp_path}/src", src, max_files_per_trigger=per_trigger)
+    refresh_stream(stream, f"{tmp_path}/log", f"{tmp_path}/ckpt", "k", "etag", ["v"], order="at")
+    snap = snapshot_view(spark, f"{tmp_path}/log", kept.schema, "k")
+    assert rows(snap, "k", "etag", "v") == [("k1", "b", 10.0), ("k2", "b", 6.0), ("k3", None, 4.0), ("only", "o", 1.0), ("s", "t", 7.0)]
+
+
+def test_refresh_without_order_rejects_a_repeated_key(spark, tmp_path):
+    from keelson.streaming.refresh import refresh_stream
+    schema = "k string, etag string, v double"
+    spark.createDataFrame([("k1", "a", 1.0), ("k1", "b", 2.0)], schema).coalesce(1).write.parquet(f"{tmp_path}/src")
+    stream = file_stream(spark, f"{tmp_path}/src", spark.read.parquet(f"{tmp_path}/src").schema)
+    with pytest.raises(Exception, match="occurs twice"):
+        refresh_stream(stream, f"{tmp_path}/log", f"{tmp_path}/ckpt", "k", "etag", ["v"])
+
+
+@pytest.mark.parametrize("name", ["s2_append_hop", "t1_readiness_stream", "j6_refresh_stream"])
+def test_streams_read_tables_of_many_files(spark, tmp_path, name):
+    """The same rows from a one-file table and from a folder of part files beside look-alike names."""
+    from keelson.plans.catalog import QUERIES
+    for table in ("events", "orders"):
+        df = spark.read.parquet(f"{SF001}/{table}.parquet")
+        parts = df.repartition(1).sortWithinPartitions("ts") if table == "events" else df.repartition(4)
+        parts.write.option("maxRecordsPerFile", 400).parquet(f"{tmp_path}/{table}.parquet")
+        df.limit(5).write.parquet(f"{tmp_path}/{table}.parquet2")
+    assert rows(QUERIES[name](spark, str(tmp_path))) == rows(QUERIES[name](spark, SF001))
