@@ -23,9 +23,20 @@ from keelson.session import shared_path
 SLICE_BYTES = 4 << 20
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under the shared checkpoint folder and read it back."""
+#: Rows of a narrow table (ids and counts) that one task of a stored step takes at least.
+ROWS_A_TASK = 100_000
+
+
+def scratch(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` under the shared checkpoint folder and read it back.
+
+    ``rows``: about how many rows it has at most, where that is known; the
+    last stage and its files then follow the rows instead of the session's
+    number of shuffle partitions.
+    """
     path = shared_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(rows // ROWS_A_TASK + 1)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -217,13 +217,13 @@ def star_pairs(rows: DataFrame, lead: DataFrame, percent: int) -> DataFrame:
             & (F.col("one.component") != F.col("two.component"))
             & (100 * most >= percent * (F.col("one.n") + F.col("two.n") - most)))
     pairs = one.join(two, near).select(F.least("one.id", "two.id").alias("a"), F.greatest("one.id", "two.id").alias("b"))
-    return scratch(pairs.distinct(), "dedup-pairs")
+    return pairs.distinct()
 
 
-def open_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """``rows`` of the buckets that hold two components or more, each with its present component."""
+def open_rows(rows: DataFrame, labels: DataFrame, n: int) -> DataFrame:
+    """``rows`` (at most ``n``) of the buckets that hold two components or more, each with its present component."""
     at = scratch(rows.select("key", "id", "n", "held").join(labels, "id", "left")
-                 .select("key", "id", "n", "held", F.coalesce("component", "id").alias("component")), "dedup-at")
+                 .select("key", "id", "n", "held", F.coalesce("component", "id").alias("component")), "dedup-at", n)
     several = (at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
                .where("lo < hi").select("key"))
     return at.join(several, "key", "left_semi")
@@ -285,19 +285,21 @@ def near_duplicates(docs: DataFrame, params: Banding = Banding()) -> DataFrame:
                     .join(wanted, ["fp1", "fp2", "id"], "left_semi").dropDuplicates(["id", "fp1", "fp2"])
                     .select("id", "n_shingles", "sig", "blob"), "dedup-cards")
 
+    n = live.count()
     lead = scratch(live.groupBy("key").agg(F.min(F.struct("id", "n", "held", "component")).alias("x"))
-                   .select("key", "x.*"), "dedup-lead")
+                   .select("key", "x.*"), "dedup-lead", n)
     links = scratch(confirmed(star_pairs(live, lead, p.percent), cards, p), "dedup-links")
     labels = scratch(connected_components(links), "dedup-labels")
-    rest = open_rows(live.join(lead.select("key", "id"), ["key", "id"], "left_anti"), labels)
+    rest = open_rows(live.join(lead.select("key", "id"), ["key", "id"], "left_anti"), labels, n)
     live = scratch(rare_buckets(rest.select("id").distinct(), cards, p), "dedup-rare")
+    n = live.count()
     width = 4
-    while not (at := scratch(open_rows(live, labels), "dedup-open")).isEmpty():
+    while not (at := scratch(open_rows(live, labels, n), "dedup-open", n)).isEmpty():
         rank = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-        lead = scratch(at.withColumn("rank", rank).where(F.col("rank") <= width).drop("rank"), "dedup-lead")
+        lead = scratch(at.withColumn("rank", rank).where(F.col("rank") <= width).drop("rank"), "dedup-lead", n)
         found = scratch(confirmed(star_pairs(at, lead, p.percent), cards, p), "dedup-found")
         if not found.isEmpty():
-            links = scratch(links.union(found), "dedup-links")
+            links = links.union(found)
             labels = scratch(connected_components(links), "dedup-labels")
         live = at.join(lead.select("key", "id"), ["key", "id"], "left_anti")
         width *= 8
