@@ -13,10 +13,11 @@ and small-star.
   different components are open.  Documents in open buckets get exact
   buckets instead: their rarest shingles (by count among the open documents),
   so many that two sets of the similarity must share one.  In those, the
-  smallest 4 (then 32, 256, ..) members lead, the others are compared with the leaders
+  smallest 8 (then 512, ..) members lead, the others are compared with the leaders
   outside their own component, the leaders retire, and rounds go on until no
-  bucket holds two components: every two documents that could link end up
-  compared or in one component.
+  bucket holds two components.  A pair whose sizes, place of the shingle or
+  parity bitmaps prove it dissimilar is ruled out inside the join; so every
+  two documents that could link end up compared or in one component.
 * Two sets at the similarity bound share none of the 32 bands of 4 minima
   with probability (1 - 0.75^4)^32 = 5e-6; the signature check passes pairs
   far below the bound (see ``sure_agreement``), and the last check is exact
@@ -108,7 +109,17 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-SKETCH = "doc_id long, text_hash long, n_shingles long, fp1 long, fp2 long, sig binary, bands array<long>, blob binary"
+#: Bits of the parity bitmap, and its 64-bit words.
+BITS = 1024
+MARKS = BITS // 64
+SKETCH = ("doc_id long, text_hash long, n_shingles long, fp1 long, fp2 long, sig binary, bands array<long>, marks array<long>, "
+          "blob binary")
+
+
+def parity_marks(shingles: np.ndarray) -> np.ndarray:
+    """A bitmap that each shingle flips in one place: two sets differ in at least as many shingles as theirs in bits."""
+    odd = np.bincount((shingles >> np.uint64(8)).astype(np.int64) & (BITS - 1), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def sketcher(p: Banding):
@@ -121,12 +132,13 @@ def sketcher(p: Banding):
             texts = batch.column("text").to_pylist()
             words, counts = split_words(texts)
             sets = shingle_hashes(hash_words(as_objects(words)), counts, p.width)
-            fps, sigs, bands, blobs, end = [], [], [], [], 0
+            fps, sigs, bands, marks, blobs, end = [], [], [], [], [], 0
             for n, s in zip(counts.tolist(), sets, strict=True):
                 if n == 0:
                     fps.append((0, 0))
                     sigs.append(b"")
                     bands.append([])
+                    marks.append([])
                     blobs.append(b"")
                     continue
                 plain = b" ".join(words[end:end + n])
@@ -138,12 +150,14 @@ def sketcher(p: Banding):
                 fps.append(np.frombuffer(hashlib.blake2b(plain, digest_size=16).digest(), np.int64).tolist())
                 sigs.append((m & np.uint32(255)).astype(np.uint8).tobytes())
                 bands.append(_signed(key))
+                marks.append(parity_marks(s))
                 blobs.append(pack.compress(plain))
             yield pa.record_batch({
                 "doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"),
                 "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                 "fp1": pa.array([f[0] for f in fps], pa.int64()), "fp2": pa.array([f[1] for f in fps], pa.int64()),
                 "sig": pa.array(sigs, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64())),
+                "marks": pa.array(marks, pa.list_(pa.int64())),
                 "blob": pa.array(blobs, pa.binary())})
     return run
 
@@ -208,22 +222,28 @@ def confirmed(pairs: DataFrame, cards: DataFrame, p: Banding) -> DataFrame:
 def star_pairs(rows: DataFrame, lead: DataFrame, percent: int) -> DataFrame:
     """``(a, b)``, a < b: each row of a bucket with the bucket's leaders outside its component.
 
-    Rows and leaders have ``held`` (shingles that others may share) of ``n``;
-    pairs whose sizes alone rule the similarity out are not made.
+    Rows and leaders have ``held``, how many of their ``n`` shingles others
+    may share from this bucket's on, and maybe ``marks``.  Pairs that the
+    sizes or the bitmaps rule out for certain are not made.
     """
     one, two = rows.alias("one"), lead.alias("two")
-    most = F.least("one.held", "two.held")
+    col = lambda name: (F.col(f"one.{name}"), F.col(f"two.{name}"))
+    (n_a, n_b), most = col("n"), F.least(*col("held"))
     near = ((F.col("one.key") == F.col("two.key")) & (F.col("one.id") != F.col("two.id"))
-            & (F.col("one.component") != F.col("two.component"))
-            & (100 * most >= percent * (F.col("one.n") + F.col("two.n") - most)))
+            & (F.col("one.component") != F.col("two.component")) & (100 * most >= percent * (n_a + n_b - most)))
+    if "m0" in rows.columns:
+        # 100 overlap >= percent union, with overlap = (n_a + n_b - difference) / 2
+        differ = sum((F.bit_count(F.col(f"one.m{i}").bitwiseXOR(F.col(f"two.m{i}"))) for i in range(MARKS)), F.lit(0))
+        near &= 100 * (n_a + n_b - differ) >= percent * (n_a + n_b + differ)
     pairs = one.join(two, near).select(F.least("one.id", "two.id").alias("a"), F.greatest("one.id", "two.id").alias("b"))
     return pairs.distinct()
 
 
 def open_rows(rows: DataFrame, labels: DataFrame, n: int) -> DataFrame:
     """``rows`` (at most ``n``) of the buckets that hold two components or more, each with its present component."""
-    at = scratch(rows.select("key", "id", "n", "held").join(labels, "id", "left")
-                 .select("key", "id", "n", "held", F.coalesce("component", "id").alias("component")), "dedup-at", n)
+    own = [c for c in rows.columns if c != "component"]
+    at = scratch(rows.select(*own).join(labels, "id", "left")
+                 .select(*own, F.coalesce("component", "id").alias("component")), "dedup-at", n)
     several = (at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
                .where("lo < hi").select("key"))
     return at.join(several, "key", "left_semi")
@@ -243,12 +263,13 @@ def shingle_rows(width: int):
 
 
 def rare_buckets(ids: DataFrame, cards: DataFrame, p: Banding) -> DataFrame:
-    """``(key, id, n, held)``: of each document's shingles from the rarest on, the first ``n - ceil(share n) + 1``.
+    """``(key, id, n, held, m0, ..)``: of each document's shingles from the rarest on, the first ``n - ceil(share n) + 1``.
 
     Two sets of that similarity share one of them, as what follows is too
     little for the overlap.  A shingle that only one of the documents has
-    counts among the first but makes no bucket; ``held`` counts the others,
-    which bounds any overlap.
+    counts among the first but makes no bucket.  ``held`` counts the shingles
+    from this one on, which bounds the overlap of two sets that share no
+    rarer one.
     """
     rows = scratch(cards.join(ids, "id", "left_semi").select("id", "blob")
                    .mapInArrow(shingle_rows(p.width), "id long, n_shingles long, key long"), "dedup-shingles")
@@ -257,8 +278,10 @@ def rare_buckets(ids: DataFrame, cards: DataFrame, p: Banding) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "key"))
     n = F.col("n_shingles")
     first = n - F.ceil(n * p.percent / 100) + 1
-    return (held.withColumn("rank", rank).withColumn("held", F.count("*").over(Window.partitionBy("id")))
-            .where(F.col("rank") + n - F.col("held") <= first).select("key", "id", n.alias("n"), "held"))
+    kept = (held.withColumn("rank", rank).withColumn("held", F.count("*").over(Window.partitionBy("id")))
+            .where(F.col("rank") + n - F.col("held") <= first))
+    marks = cards.select("id", *[F.col("marks")[i].alias(f"m{i}") for i in range(MARKS)])
+    return kept.select("key", "id", n.alias("n"), (F.col("held") - F.col("rank") + 1).alias("held")).join(marks, "id")
 
 
 def near_duplicates(docs: DataFrame, params: Banding = Banding()) -> DataFrame:
@@ -281,9 +304,9 @@ def near_duplicates(docs: DataFrame, params: Banding = Banding()) -> DataFrame:
                    .select("key", "id", "n", F.col("n").alias("held"), F.col("id").alias("component")), "dedup-buckets")
 
     wanted = classes.join(live.select("id").distinct(), "id", "left_semi")
-    cards = scratch(named.select("fp1", "fp2", F.col("doc_id").alias("id"), "n_shingles", "sig", "blob")
+    cards = scratch(named.select("fp1", "fp2", F.col("doc_id").alias("id"), "n_shingles", "sig", "marks", "blob")
                     .join(wanted, ["fp1", "fp2", "id"], "left_semi").dropDuplicates(["id", "fp1", "fp2"])
-                    .select("id", "n_shingles", "sig", "blob"), "dedup-cards")
+                    .select("id", "n_shingles", "sig", "marks", "blob"), "dedup-cards")
 
     n = live.count()
     lead = scratch(live.groupBy("key").agg(F.min(F.struct("id", "n", "held", "component")).alias("x"))
@@ -293,7 +316,7 @@ def near_duplicates(docs: DataFrame, params: Banding = Banding()) -> DataFrame:
     rest = open_rows(live.join(lead.select("key", "id"), ["key", "id"], "left_anti"), labels, n)
     live = scratch(rare_buckets(rest.select("id").distinct(), cards, p), "dedup-rare")
     n = live.count()
-    width = 4
+    width = 8
     while not (at := scratch(open_rows(live, labels, n), "dedup-open", n)).isEmpty():
         rank = F.row_number().over(Window.partitionBy("key").orderBy("id"))
         lead = scratch(at.withColumn("rank", rank).where(F.col("rank") <= width).drop("rank"), "dedup-lead", n)
@@ -302,7 +325,7 @@ def near_duplicates(docs: DataFrame, params: Banding = Banding()) -> DataFrame:
             links = links.union(found)
             labels = scratch(connected_components(links), "dedup-labels")
         live = at.join(lead.select("key", "id"), ["key", "id"], "left_anti")
-        width *= 8
+        width *= 64
 
     named_class = scratch(classes.join(labels, "id", "left")
                           .select("fp1", "fp2", F.coalesce("component", "id").alias("component")), "dedup-named")
