@@ -39,7 +39,7 @@ def expand_instances(df: DataFrame, count: str, out: str = "instance_id", chunk:
     ranges = df.withColumn(lo, first).repartition(*df.columns, lo)
     last = F.least(F.col(lo) + F.lit(chunk), n.cast("long")) - 1
     kind = df.schema[count].dataType
-    return ranges.withColumn(out, F.explode(F.sequence(F.col(lo), last)).cast(kind)).drop(lo)
+    return ranges.withColumn(out, F.explode(F.sequence(F.col(lo), last))).withColumn(out, F.col(out).cast(kind)).drop(lo)
 
 
 def rejected_counts(df: DataFrame, count: str) -> DataFrame:

@@ -86,10 +86,10 @@ def test_audit_responses(spark):
     out = {r.url: r.error for r in audit_responses(df).collect()}
     assert out == {
         "u1": None,
-        "u2": "Request to u2 failed: response is empty.",
-        "u3": "Request to u3 failed: response is empty.",
-        "u4": "Request to u4 failed with code = 503.",
-        "u5": "Request to u5 failed with code = 503.",
+        "u2": "no content from u2",
+        "u3": "no content from u3",
+        "u4": "status 503 from u4",
+        "u5": "status 503 from u5",
     }
     ok, bad = split_responses(df)
     assert rows(ok, "url") == [("u1",)] and bad.count() == 4
@@ -99,4 +99,4 @@ def test_binary_body_counts_bytes(spark):
     df = spark.createDataFrame([("u", 200, bytearray(b"")), ("v", 200, bytearray(b"\x00"))],
                                "url string, code int, body binary")
     out = {r.url: r.error for r in audit_responses(df).collect()}
-    assert out == {"u": "Request to u failed: response is empty.", "v": None}
+    assert out == {"u": "no content from u", "v": None}

@@ -28,6 +28,7 @@ from keelson.operators.joins import (
     expand_rights,
     keep_listed,
     missing_keys,
+    pending,
     require_keys,
     strict_lookup,
 )
@@ -180,7 +181,7 @@ def test_bounded_attempts_plans_map_side_group_limit(spark):
 def test_expand_instances(spark):
     df = spark.createDataFrame([("x", 3), ("zero", 0), ("neg", -2), ("null", None)], "k string, n int")
     assert rows(expand_instances(df, "n"), "k", "instance_id") == [("x", 0), ("x", 1), ("x", 2)]
-    assert rows(rejected_counts(df, "n"), "k") == [("neg",), ("null",)]
+    assert sorted(r.k for r in rejected_counts(df, "n").collect()) == ["neg", "null"]
     big = spark.createDataFrame([("big", 25), ("x", 3), ("zero", 0)], "k string, n int")
     split = expand_instances(big, "n", chunk=7)
     assert rows(split, "k", "instance_id") == sorted([("big", i) for i in range(25)] + [("x", i) for i in range(3)])
