@@ -32,17 +32,39 @@ from tokenizers import Tokenizer
 from keelson.llm.common import as_objects, slices, text_bytes
 
 
+MARKS = b".,;:!?"
+
+
+def plain_parts(word: bytes) -> tuple[bytes, bytes]:
+    """The word in lower case without its closing marks, and the marks.
+
+    Tokens never span a letter and a mark after it, and the vocabulary is
+    lower case; a word that may hold a special token stays as it is.
+    """
+    if b"<|" in word:
+        return word, b""
+    low = word.lower()
+    stem = low.rstrip(MARKS)
+    if len(stem) < len(low) and stem and 97 <= stem[-1] <= 122:
+        return stem, low[len(stem):]
+    return low, b""
+
+
 class CachedTokenizer:
-    """Token ids of whole texts, tokenising each distinct white-space run of characters once.
+    """Token ids of whole texts, tokenising each distinct run of characters between white space once.
 
-    Right for vocabularies whose pre-tokenizer drops white space and never
-    lets a token reach across it.  ``limit`` bounds the cache, not the result.
+    Right for lower-case vocabularies whose pre-tokenizer drops white space
+    and parts letters from marks, as ``word_bpe_49k.json`` does.  ``limit``
+    bounds the cache, not the result.
     """
 
     _loaded: dict[str, CachedTokenizer] = {}
 
     def __init__(self, path: str, limit: int = 1_000_000):
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     @classmethod
@@ -53,18 +75,45 @@ class CachedTokenizer:
         return cls._loaded[path]
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.index: dict[bytes, int] = {b"": 0}
+        self.starts, self.lengths, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def fresh_ids(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The ids of all words on end, and the number of each word's, both in runs.
+
+        Words of letters only are tokenised 64 at a time, as a token that ends
+        a word shows where each stops.
+        """
+        group = 64
+        lines = [words[i:i + group] for i in range(0, len(words), group)]
+        plain = [all(map(str.isalpha, line)) for line in lines]
+        joined = self.tokenizer.encode_batch([" ".join(x) for x, ok in zip(lines, plain, strict=True) if ok], add_special_tokens=False)
+        flat: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
+        at = iter(joined)
+        for line, ok in zip(lines, plain, strict=True):
+            if ok:
+                ids = np.array(next(at).ids, np.uint32)
+                ends = np.flatnonzero(self.ends_word[ids]) + 1
+                if len(ends) == len(line) and ends[-1] == len(ids):  # each word was one run of letters
+                    flat.append(ids)
+                    lengths.append(np.diff(ends, prepend=0))
+                    continue
+            for e in self.tokenizer.encode_batch(line, add_special_tokens=False):
+                flat.append(np.array(e.ids, np.uint32))
+                lengths.append(np.array([len(e.ids)], np.int64))
+        return flat, lengths
 
     def learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        ids = [e.ids for e in found]
-        lengths = np.array([len(x) for x in ids], np.int64)
+        texts = [w.decode("utf-8", "replace") for w in words]
+        order = sorted(range(len(words)), key=lambda i: not texts[i].isalpha())  # words of letters first
+        words = [words[i] for i in order]
+        flat, runs = self.fresh_ids([texts[i] for i in order])
+        lengths = np.concatenate(runs)
         starts = len(self.flat) + np.cumsum(lengths) - lengths
-        base = len(self.index)
-        self.index.update((w, base + i) for i, w in enumerate(words))
+        self.index.update(zip(words, range(len(self.lengths), len(self.lengths) + len(words)), strict=True))
         self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, np.array([t for x in ids for t in x], np.uint32)])
+        self.flat = np.concatenate([self.flat, *flat])
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """One array of ids a text."""
@@ -76,13 +125,15 @@ class CachedTokenizer:
         codes, unique = pd.factorize(as_objects(words))
         if len(self.index) > self.limit:
             self.clear()
-        if new := [w for w in unique if w not in self.index]:
+        parts = [x for w in unique for x in plain_parts(w)]
+        if new := [w for w in dict.fromkeys(parts) if w not in self.index]:
             self.learn(new)
-        at = np.array([self.index[w] for w in unique], np.int64)[codes]
+        pairs = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts)).reshape(-1, 2)
+        at = pairs[codes].ravel()
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
         ids = self.flat[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        cuts = np.concatenate([[0], ends])[2 * np.concatenate([[0], np.cumsum(counts)])]
         return [ids[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
