@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from keelson.llm.common import as_objects, hash_words, mix64, scratch, slices, split_words, text_bytes
+from keelson.llm.common import as_objects, fresh, hash_words, mix64, scratch, slices, split_words, text_bytes
 from keelson.llm.components import connected_components
 
 
@@ -189,8 +189,8 @@ def exact_filter(width: int, percent: int):
                 a, b = x.column("a"), x.column("b")
                 known: dict[int, np.ndarray] = {}
                 for c, key in (("blob_a", a), ("blob_b", b)):
-                    fresh = {k: v for k, v in zip(key.to_pylist(), x.column(c).to_pylist(), strict=True) if k not in known}
-                    known |= dict(zip(fresh, _sets(list(fresh.values()), width), strict=True))
+                    new = {k: v for k, v in zip(key.to_pylist(), x.column(c).to_pylist(), strict=True) if k not in known}
+                    known |= dict(zip(new, _sets(list(new.values()), width), strict=True))
                 keep = []
                 for i, j in zip(a.to_pylist(), b.to_pylist(), strict=True):
                     s, t = known[i], known[j]
@@ -345,8 +345,6 @@ def keep_one(docs: DataFrame, params: Banding = Banding()) -> DataFrame:
     The row of the smallest id stays; of repeated rows of that id, one.
     Rows without an id stay.
     """
-    from keelson.llm.common import fresh
-
     h, found = fresh(docs, "text_hash"), near_duplicates(docs, params)
     keep = (found.where(F.col("doc_id") == F.col("component_id"))
             .groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
