@@ -1,7 +1,8 @@
 """Exact top-k inner products by an impact-ordered, score-at-a-time index.
 
-Components are integers.  The rows are dealt into blocks by a hash of the
-id.  A block's index is its posting segments: all postings ``(row,
+Components are integers.  Repeated rows of one id and vector are dropped;
+the rows are dealt into blocks by a hash of both, so an id of many vectors
+is in many blocks.  A block's index is its posting segments: all postings ``(row,
 dimension, value)`` whose size falls in one level of ``levels`` equal steps,
 stored by descending level, the quantised impact; and what each row's
 values beyond a segment still amount to (their Euclidean length).
@@ -11,8 +12,8 @@ processed by descending impact; each adds its postings to the score
 accumulators.  After a segment, the rest of a score is at most the product
 of the lengths of the query and of what is left of the row.  A query stops
 only when that proves that no more than a few rows can be members; those
-possible members are scored exactly, in integers, and the best ``k`` of each
-block are merged.
+possible members are scored exactly, in integers, and the best ``k`` ids of
+each block are merged.  The bar is the ``k``-th best id's, not row's.
 
 Defined results: see ``vector_rows`` for what takes no part (zero vectors
 do); vectors of different lengths are never compared; repeated rows of one
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.common import scratch
-from keelson.llm.vectors import matrix, nearest, vector_rows
+from keelson.llm.vectors import Ids, matrix, nearest, vector_rows
 
 SEGMENT = "block int, dim int, impact int, ids binary, rows binary, dims binary, vals binary, rest binary"
 
@@ -64,11 +65,12 @@ def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def score_at_a_time(index: list[dict], q: np.ndarray, query_ids: np.ndarray, k: int, few: int = 64):
-    """The best ``k`` rows of a block for each query: ``(query ids, row ids, scores)``.
+    """The best ``k`` ids of a block for each query: ``(query ids, row ids, scores)``.
 
     ``index``: the block's segments by descending impact.
     """
     ids = np.frombuffer(index[0]["ids"], np.int64)
+    groups = Ids(ids)
     x = np.zeros((len(ids), q.shape[1]))
     score = np.zeros((len(q), len(ids)))
     own = query_ids[:, None] == ids[None, :]
@@ -85,7 +87,7 @@ def score_at_a_time(index: list[dict], q: np.ndarray, query_ids: np.ndarray, k:
         slack = length[going, None] * rest[None, :] + 1e-6 + np.abs(score[going]) * 1e-12
         low, high = score[going] - slack, score[going] + slack
         low[own[going]] = high[own[going]] = -np.inf
-        bar = np.partition(low, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(going), -np.inf)
+        bar = groups.bar(low, k)
         possible = (high >= bar[:, None]) & ~own[going]
         count, last = possible.sum(axis=1), n == len(index) - 1
         done = (count <= few) | last
@@ -100,7 +102,7 @@ def score_at_a_time(index: list[dict], q: np.ndarray, query_ids: np.ndarray, k:
     out = [], [], []
     for i, some in enumerate(members):
         s = exact(x[some], q[i])
-        keep = np.lexsort((ids[some], -s.astype(object) if len(s) and s.min() == -(2**63) else -s))[:k]
+        keep = groups.best(some, -s.astype(object) if len(s) and s.min() == -(2**63) else -s, k)
         out[0].extend([query_ids[i]] * len(keep))
         out[1].extend(ids[some][keep].tolist())
         out[2].extend(s[keep].tolist())
@@ -115,7 +117,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, bloc
     """
     def whole(t: DataFrame) -> DataFrame:
         return vector_rows(t, True).select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"),
-                                           F.size("v").alias("dim"))
+                                           F.size("v").alias("dim")).distinct()
 
     rows, asked = scratch(whole(df), "topk-rows"), scratch(whole(queries), "topk-queries")
     n_rows, n_asked = max(1, -(-rows.count() // block)), max(1, -(-asked.count() // query_block))
@@ -123,7 +125,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, bloc
     def build(table: pa.Table) -> pa.Table:
         return segments(table, levels)
 
-    index = scratch(rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_rows)).cast("int"))
+    index = scratch(rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_rows)).cast("int"))
                     .groupBy("block", "dim").applyInArrow(build, SEGMENT), "topk-index")
 
     def compare(one: pa.Table, two: pa.Table) -> pa.Table:
@@ -136,7 +138,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, bloc
 
     # Every block of queries meets every block of rows: the stated query set against all rows.
     left = index.withColumn("asks", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))))
-    right = (asked.withColumn("asks", F.pmod(F.xxhash64("vec_id"), F.lit(n_asked)).cast("int"))
+    right = (asked.withColumn("asks", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_asked)).cast("int"))
              .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1)))))
     found = (left.groupBy("block", "dim", "asks").cogroup(right.groupBy("block", "dim", "asks"))
              .applyInArrow(compare, "query_id long, vec_id long, score long"))

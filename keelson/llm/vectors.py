@@ -28,6 +28,29 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+class Ids:
+    """The rows of each id in a block, where an id may have several vectors."""
+
+    def __init__(self, ids: np.ndarray):
+        self.ids = ids
+        self.order = np.argsort(ids, kind="stable")
+        _, self.first = np.unique(ids[self.order], return_index=True)
+
+    def bar(self, score: np.ndarray, k: int) -> np.ndarray:
+        """For each line of ``score`` (a column a row of the block) the ``k``-th largest of the ids' best values."""
+        if len(self.first) <= k:
+            return np.full(len(score), -np.inf)
+        if len(self.first) < len(self.ids):
+            score = np.maximum.reduceat(score[:, self.order], self.first, axis=1)
+        return np.partition(score, -k, axis=1)[:, -k]
+
+    def best(self, some: np.ndarray, descending: np.ndarray, k: int) -> np.ndarray:
+        """The places in ``some`` of the best rows of the ``k`` best ids, by ascending ``descending`` (the negated score)."""
+        order = np.lexsort((self.ids[some], descending))
+        _, first = np.unique(self.ids[some][order], return_index=True)
+        return order[np.sort(first)[:k]]
+
+
 def nearest(found: DataFrame, k: int) -> DataFrame:
     """Each query's ``k`` best of ``found(query_id, vec_id, score)``, ranked from 1; ties to the smaller id."""
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -202,3 +202,16 @@ def test_topk_beyond_double_precision(spark):
 
 
 random.seed(0)
+
+
+def crowded():
+    """A query's best id in many copies and in several vectors; the others in one row each."""
+    rows = [(0, [1.0, 0.0, 0.0, 0.0])] + [(i, [1.0, 0.01 * i, 0.0, 0.0]) for i in range(2, 12)]
+    return rows + [(1, [1.0, 0.0, 0.0, 0.0])] * 8 + [(1, [1.0, 0.0, 0.0, 0.001 * j]) for j in range(1, 8)]
+
+
+@pytest.mark.parametrize("block", [4096, 4])
+def test_topk_counts_ids_not_rows(spark, block):
+    df = frame(spark, crowded(), "vec_id long, embedding array<double>")
+    got = topk.search(df, df.where("vec_id = 0"), block=block).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id, r.score) for r in got] == [(n, n, 65536) for n in range(1, 6)]
