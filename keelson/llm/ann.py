@@ -7,9 +7,10 @@ component in size.  Every row is in one bucket of each table.  A query
 probes its ``probes`` nearest signed axes in each table; all rows of those
 buckets are candidates and are compared exactly, in double precision.
 
-A bucket is cut into blocks of about ``block`` rows by a hash of the id, and
-its queries into blocks likewise, so a bucket that a third of all rows share
-is many small tasks; each block pair returns its best ``k`` a query.  The
+Repeated rows of one id and vector are dropped.  A bucket is cut into blocks
+of about ``block`` rows by a hash of id and vector, and its queries into
+blocks likewise, so a bucket (or an id) that a third of all rows share is
+many small tasks; each block pair returns its best ``k`` ids a query.  The
 bucket counts (two numbers for each axis of each table) are the only
 thing collected.
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.common import scratch
-from keelson.llm.vectors import matrix, nearest, vector_rows
+from keelson.llm.vectors import Ids, matrix, nearest, vector_rows
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -80,21 +81,20 @@ def hasher(tables: int, probes: int, seed: int):
 
 
 def best_of(x: np.ndarray, ids: np.ndarray, q: np.ndarray, query_ids: np.ndarray, k: int):
-    """The ``k`` rows of largest cosine for each query, ties to the smaller id, as three columns.
+    """The ``k`` ids of largest cosine for each query, ties to the smaller id, as three columns.
 
     The scores of one product only choose; what is returned is summed in one
     fixed order, so equal vectors score equally wherever they stand.
     """
     nx, nq = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
-    out = [], [], []
+    out, groups = ([], [], []), Ids(ids)
     for at in range(0, len(q), 512):
         rough = (q[at:at + 512] / nq[at:at + 512, None]) @ (x / nx[:, None]).T
         rough[query_ids[at:at + 512, None] == ids[None, :]] = -np.inf
-        for i, r in enumerate(rough, at):
-            least = np.partition(r, -k)[-k] if len(r) > k else -np.inf
+        for i, (r, least) in enumerate(zip(rough, groups.bar(rough, k), strict=True), at):
             some = np.flatnonzero((r >= least - 1e-9) & (r > -np.inf))
             score = (x[some] * q[i]).sum(axis=1) / (nx[some] * nq[i])
-            keep = np.lexsort((ids[some], -score))[:k]
+            keep = groups.best(some, -score, k)
             out[0].extend([query_ids[i]] * len(keep))
             out[1].extend(ids[some][keep].tolist())
             out[2].extend(score[keep].tolist())
@@ -102,7 +102,7 @@ def best_of(x: np.ndarray, ids: np.ndarray, q: np.ndarray, query_ids: np.ndarray
 
 
 def compared(index: DataFrame, asked: DataFrame, k: int, block: int, query_block: int) -> DataFrame:
-    """The ``k`` best rows of each block of a bucket for each query that probes the bucket."""
+    """The ``k`` best ids of each block of a bucket for each query that probes the bucket."""
     def counts(t: DataFrame, name: str, size: int) -> DataFrame:
         return (t.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
                 .select("bucket", F.ceil(F.col("n") / size).cast("int").alias(name)))
@@ -112,7 +112,7 @@ def compared(index: DataFrame, asked: DataFrame, k: int, block: int, query_block
 
     def dealt(t: DataFrame, own: str, other: str):
         at = (t.select("vec_id", "v", F.explode("buckets").alias("bucket")).join(plan, "bucket")
-              .withColumn(own, F.pmod(F.xxhash64("vec_id"), F.col(own)).cast("int"))
+              .withColumn(own, F.pmod(F.xxhash64("vec_id", "v"), F.col(own)).cast("int"))
               .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1))))
         return at.select("bucket", "rows", "asks", "vec_id", "v").groupBy("bucket", "rows", "asks")
 
@@ -136,8 +136,8 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, tables: int = 12, prob
     fewer than ``k`` others probes all axes of one table, that is all rows.
     """
     kind = "vec_id long, v array<double>, buckets array<long>"
-    index = scratch(vector_rows(df, False).mapInArrow(hasher(tables, 1, seed), kind), "ann-index")
-    asked = scratch(vector_rows(queries, False).mapInArrow(hasher(tables, probes, seed), kind), "ann-queries")
+    index = scratch(vector_rows(df, False).distinct().mapInArrow(hasher(tables, 1, seed), kind), "ann-index")
+    asked = scratch(vector_rows(queries, False).distinct().mapInArrow(hasher(tables, probes, seed), kind), "ann-queries")
     found = scratch(nearest(compared(index, asked, k, block, query_block), k), "ann-found")
     enough = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
     short = scratch(asked.select("vec_id", "v").join(enough, "vec_id", "left_anti"), "ann-short")

@@ -215,3 +215,22 @@ def test_topk_counts_ids_not_rows(spark, block):
     df = frame(spark, crowded(), "vec_id long, embedding array<double>")
     got = topk.search(df, df.where("vec_id = 0"), block=block).orderBy("rank").collect()
     assert [(r.rank, r.vec_id, r.score) for r in got] == [(n, n, 65536) for n in range(1, 6)]
+
+
+def test_ann_block_counts_ids_not_rows():
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=16)
+    x = np.stack([base] * 8 + [base + 0.01 * i * np.eye(16)[3] for i in range(1, 12)])
+    ids = np.array([1] * 8 + [1, 1] + list(range(2, 11)))
+    got = ann.best_of(x, ids, np.stack([base, base]), np.array([0, 2]), 5)
+    assert got[0] == [0] * 5 + [2] * 5 and got[1] == [1, 2, 3, 4, 5, 1, 3, 4, 5, 6]
+    assert [s for s in got[2][:5]] == sorted(got[2][:5], reverse=True)
+
+
+def test_ann_counts_ids_not_rows(spark):
+    base = np.random.default_rng(5).normal(size=16)
+    rows = [(0, base.tolist())] + [(1, base.tolist())] * 12
+    rows += [(i, (base + 0.001 * i * np.eye(16)[3]).tolist()) for i in range(2, 12)]
+    df = frame(spark, rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, df.where("vec_id = 0"), tables=2).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id) for r in got] == [(n, n) for n in range(1, 6)]
