@@ -7,24 +7,24 @@ states are contexts of up to ``depth`` symbols:
 * the words are counted first; then one pass for each depth counts the next
   symbols of that depth's candidate contexts (summed within each task, then
   by a shuffle);
-* a context is a candidate if its share of all training tokens is at least
-  ``least`` and its longest proper suffix is one, so a depth has at most
-  1 / least of them at any corpus size;
+* a context is a candidate from a fixed number of ``occurrences`` on, whatever
+  the corpus, so the model grows with the training text;
 * a candidate is retained if its next symbols diverge from what its suffix
   predicts (a G-test), or a retained context ends in it;
-* next symbols of a share of at least ``frequent`` of all tokens are listed
-  (at most 1 / frequent a depth).  Distributions are smoothed by the
-  suffix's: (c + t p) / (n + t), t the listed symbols; what is not listed
-  shares the rest of the count and of t in the suffix's proportions.  The
-  root is the add-one unigram model.
-
-These shares bound the model that is collected and broadcast, whatever the
-corpus; counts cover all of it.  A symbol is scored in the longest suffix of
-what precedes it that is a state.
-
-``base_score`` is the add-one unigram model alone.  Words below ``frequent``
-are in no list, so their tokens are counted text by text and joined with the
-table of all words; both scores take them from there.
+* all next symbols of a retained context are listed.  Distributions are
+  smoothed by the suffix's: (c + t p) / (n + t), t the listed symbols; what
+  is not listed has t p / (n + t).  The root is the add-one unigram model.
+
+``score`` keeps words, next symbols and contexts in tables and joins the
+tokens with them.  Broadcast are only the entries of a share of at least
+``frequent`` of all tokens (at most 1 / frequent a depth; so no joined key is
+hot in the training text) and a filter of fixed size for each depth's
+contexts, whose wrong yes costs a row and changes no result.  A token that its longest
+context does not list is joined again with that context's suffix.  ``learn``
+holds such a tree in memory, bounded by shares of the corpus: next symbols
+below ``frequent`` are not listed there and have what is left in the suffix's
+proportions.  A symbol is scored in the longest suffix of what precedes it
+that is a state.  ``base_score`` is the add-one unigram model alone.
 
 Defined results: a null or empty text has one token, the end; a null id
 counts as the text '' for the fold, so the row trains; repeated rows count
@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import Counter64, as_objects, hash_words, scratch, slices, split_words, text_bytes
+from keelson.llm.common import Counter64, as_objects, hash_words, mix64, scratch, slices, split_words, text_bytes
 
 END = b"\n"  # no word
 
@@ -294,53 +294,179 @@ def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def score(docs: DataFrame, depth: int = 2, least: float = 2e-4, frequent: float = 5e-7) -> DataFrame:
-    """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for each row of ``docs(doc_id, text)``."""
+def grams(texts: list[bytes], depth: int):
+    """``(keys, contexts, counts)``: by level the key of each symbol with those before it, and of those alone.
+
+    A key folds a run of symbols, the nearest first, so that a context of ``l``
+    symbols has the key of the previous symbol's level ``l - 1``.
+    """
+    words, counts = split_words(texts)
+    counts = counts + 1
+    ends = np.cumsum(counts) - 1
+    end = hash_words(as_objects([END]))[0]
+    inside = np.ones(counts.sum(), bool)
+    inside[ends] = False
+    symbols = np.full(len(inside), end, np.uint64)
+    symbols[inside] = hash_words(as_objects(words))
+    start = np.repeat(ends - counts + 1, counts)
+    at, odd = np.arange(len(symbols)), np.uint64(0x9E3779B97F4A7C15)
+    keys, contexts, edge = [symbols], [symbols], np.array([end])
+    for back in range(1, depth + 1):
+        contexts.append(np.where(at > start, keys[-1][at - 1], edge[0]))
+        before = np.where(at - back >= start, symbols[at - back], end)
+        keys.append(mix64(keys[-1] * odd + before))
+        edge = mix64(edge * odd + end)
+    return keys, contexts, counts
+
+
+#: Places of a context filter: its size is fixed; a wrong yes costs a row, no result.
+FILTER_BITS = 24
+
+
+def context_filter(contexts: DataFrame) -> np.ndarray:
+    """Which top bits the keys of ``contexts(key)`` have."""
+    spots = contexts.select(F.shiftrightunsigned("key", 64 - FILTER_BITS).cast("int").alias("spot")).distinct().toPandas()["spot"]
+    out = np.zeros(1 << FILTER_BITS, bool)
+    out[spots.to_numpy(np.int64)] = True
+    return out
+
+
+def passes(some: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return some[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
+
+
+def count_grams(shared, level: int):
+    """mapInArrow function: partial counts ``(key, ctx, up, n)`` of the symbols after the contexts that pass the filter."""
+    def run(batches):
+        for batch in slices(batches, limit=2 << 20):
+            keys, contexts, _ = grams(batch.column("text").to_pylist(), level)
+            some = passes(shared.value, contexts[level])
+            unique, first, n = np.unique(keys[level][some], return_index=True, return_counts=True)
+            yield pa.record_batch({"key": pa.array(unique.view(np.int64)), "ctx": pa.array(contexts[level][some][first].view(np.int64)),
+                                   "up": pa.array(keys[level - 1][some][first].view(np.int64)), "n": pa.array(n.astype(np.int64))})
+    return run
+
+
+def tables(train: DataFrame, words: DataFrame, size: float, depth: int, occurrences: int) -> list[tuple[DataFrame, DataFrame]]:
+    """For each level from 1 the retained model: ``(key, n, log10p)`` of each next symbol, ``(key, log10rest)`` of each context.
+
+    A context of ``occurrences`` tokens is a candidate; all its next symbols
+    are listed, so p = (c + t q) / (n + t), q the suffix's probability.
+    """
+    spark = train.sparkSession
+    below, levels = words.select("key", F.lit(0).cast("long").alias("up"), "n", ((F.col("n") + 1) / size).alias("p")), []
+    for level in range(1, depth + 1):
+        candidates = below.where(F.col("n") >= occurrences).select("key", "up")
+        some = context_filter(candidates)
+        if not some.any():
+            break
+        shared = spark.sparkContext.broadcast(some)
+        counts = (train.select("text").mapInArrow(count_grams(shared, level), "key long, ctx long, up long, n long").groupBy("key")
+                  .agg(F.any_value("ctx").alias("ctx"), F.any_value("up").alias("up"), F.sum("n").alias("n")))
+        counts = scratch(counts.join(below.select(F.col("key").alias("up"), F.col("p").alias("q")), "up"), f"lm-grams-{level}")
+        sums = counts.groupBy("ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"),
+                                         F.sum(F.col("n") * F.log(F.col("n") / F.col("q"))).alias("s"))
+        g = 2 * (F.col("s") - F.col("total") * F.log("total"))
+        states = scratch(sums.join(candidates.select(F.col("key").alias("ctx"), F.col("up").alias("suffix")), "ctx")
+                         .withColumn("diverges", g > F.col("kinds") + 3 * F.sqrt(2 * F.col("kinds") + 1)).drop("s"), f"lm-states-{level}")
+        p = (F.col("n") + F.col("kinds") * F.col("q")) / (F.col("total") + F.col("kinds"))
+        below = scratch(counts.join(states.select("ctx", "total", "kinds"), "ctx").select("key", "ctx", "up", "n", p.alias("p")),
+                        f"lm-model-{level}")
+        levels.append((below, states))
+    out, longer = [], None
+    for level in range(len(levels), 0, -1):  # a suffix of a retained context is retained
+        model, states = levels[level - 1]
+        if longer is None:
+            kept = states.where("diverges")
+        else:
+            kept = states.join(longer.select(F.col("suffix").alias("ctx"), F.lit(True).alias("wanted")).distinct(), "ctx", "left")
+            kept = kept.where(F.col("diverges") | F.col("wanted")).drop("wanted")
+        longer = kept = scratch(kept, f"lm-kept-{level}")
+        out.append((model.join(kept.select("ctx"), "ctx", "left_semi").select("key", "n", F.log10("p").alias("log10p")),
+                    kept.select(F.col("ctx").alias("key"), F.log10(F.col("kinds") / (F.col("total") + F.col("kinds"))).alias("log10rest"))))
+    return out[::-1]
+
+
+def score(docs: DataFrame, depth: int = 2, least: float = 2e-4, frequent: float = 5e-7, occurrences: int = 200) -> DataFrame:
+    """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for each row of ``docs(doc_id, text)``.
+
+    ``least`` bounds nothing here (it is ``learn``'s); ``frequent`` only says
+    which words and next symbols are broadcast instead of joined.
+    """
     spark = docs.sparkSession
     rows = docs.select("doc_id", text_bytes().alias("text"), held_out().alias("held_out"))
-    tree, words, total, kinds = learn(rows.where(~F.col("held_out")), depth, least, frequent)
-    all_listed = len(tree.words) == kinds
-    unseen = float(np.log10(1 / (total + kinds + 1)))
-    shared = spark.sparkContext.broadcast(tree)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    train = rows.where(~F.col("held_out"))
+    words = scratch(train.select("text").mapInArrow(count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")),
+                    "lm-words")
+    whole = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    total, size = whole.n or 0, float((whole.n or 0) + whole.v + 1)
+    levels = tables(train, words, size, depth, occurrences)
+    words = words.withColumn("log10p", F.log10((F.col("n") + 1) / F.lit(size)))
+
+    def head(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        got = table.where(F.col("n") >= max(1.0, frequent * total)).select("key", "log10p").toPandas()
+        keys = got["key"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        return keys[order], got["log10p"].to_numpy(np.float64)[order]
+
+    shared = spark.sparkContext.broadcast(([head(words)] + [head(t) for t, _ in levels], [None] + [context_filter(k) for _, k in levels]))
+    kind, top = docs.schema["doc_id"].dataType.simpleString(), len(levels)
+    names = [x for at in range(top + 1) for x in ((f"c{at}", f"g{at}") if at else ("g0",))]
 
     def run(batches):
-        tree = shared.value
+        heads, filters = shared.value
         for batch in slices(batches, limit=2 << 20):
-            size = batch.num_rows
-            symbols, counts, row, codes, hashes = tree.read(batch.column("text").to_pylist())
+            keys, contexts, counts = grams(batch.column("text").to_pylist(), top)
             first = np.cumsum(counts) - counts
-            known = np.add.reduceat((symbols < tree.other).astype(np.int64), first)
-            base = np.add.reduceat(tree.base[symbols], first)
-            total = np.add.reduceat(tree.log_probabilities(symbols, counts), first)
-            rare = [[]] * size, [[]] * size
-            if all_listed:  # a word that is not listed was never seen
-                base, total = base + (counts - known) * unseen, total + (counts - known) * unseen
-            elif known.sum() < len(symbols):
-                left = np.flatnonzero((find(tree.words, hashes) < 0)[codes])
-                key, times = np.unique(row[left] * len(hashes) + codes[left], return_counts=True)
-                of, h = key // len(hashes), hashes[key % len(hashes)].view(np.int64)
-                cut = np.searchsorted(of, np.arange(size + 1))
-                rare = tuple([x[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)] for x in (h, times.astype(np.int64)))
+            level = np.zeros(len(keys[0]), np.int64)
+            for at in range(1, top + 1):
+                level[(level == at - 1) & passes(filters[at], contexts[at])] = at
+            place = find(heads[0][0], keys[0])
+            known = place >= 0
+            base = np.append(heads[0][1], 0.0)[place]
+            got = np.where(level == 0, base, 0.0)
+            left = (level == 0) & ~known
+            for at in range(1, top + 1):
+                here = np.flatnonzero(level == at)
+                spot = find(heads[at][0], keys[at][here])
+                got[here] = np.append(heads[at][1], 0.0)[spot]
+                left[here[spot < 0]] = True
+            columns = [pa.array(level[left])] + [
+                pa.array((keys if x[0] == "g" else contexts)[int(x[1:])][left].view(np.int64), mask=level[left] < int(x[1:])) for x in names]
+
+            def lists(mask, values):
+                return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.add.reduceat(mask.astype(np.int64), first))).astype(np.int32)), values)
+
             yield pa.record_batch({
                 "row": batch.column("row"), "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"),
-                "n_tokens": pa.array(counts), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(total),
-                "rare": pa.array(rare[0], pa.list_(pa.int64())), "times": pa.array(rare[1], pa.list_(pa.int64()))})
+                "n_tokens": pa.array(counts), "n_known": pa.array(np.add.reduceat(known.astype(np.int64), first)),
+                "base_score": pa.array(np.add.reduceat(base, first)), "score": pa.array(np.add.reduceat(got, first)),
+                "rare": lists(~known, pa.array(keys[0][~known].view(np.int64))),
+                "tail": lists(left, pa.StructArray.from_arrays(columns, ["level", *names]))})
 
     schema = (f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
-              "rare array<long>, times array<long>")
+              f"rare array<long>, tail array<struct<level: long, {', '.join(f'{x}: long' for x in names)}>>")
     scored = scratch(rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text")
                      .mapInArrow(run, schema), "lm-scored")
-    result = ["doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"]
-    if all_listed:
-        return scored.select(*result)
-    tokens = (scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("t"))
-              .select("row", F.col("t.rare").alias("key"), F.col("t.times").alias("times")))
-    seen = F.coalesce("n", F.lit(0))
-    share = F.log10((seen + 1) / F.lit(float(total + kinds + 1)))
-    sums = (tokens.join(words, "key", "left").groupBy("row")
-            .agg(F.sum(F.col("times") * share).alias("more"), F.sum(F.when(seen > 0, F.col("times")).otherwise(0)).alias("also")))
-    more = F.coalesce("more", F.lit(0.0))
-    return (scored.drop("rare", "times").join(sums, "row", "left")
-            .withColumn("base_score", F.col("base_score") + more).withColumn("score", F.col("score") + more)
-            .withColumn("n_known", F.col("n_known") + F.coalesce("also", F.lit(0))).select(*result))
+    unseen = F.log10(F.lit(1.0) / F.lit(size))
+    rare = (scored.select("row", F.explode("rare").alias("key")).join(words, "key", "left").groupBy("row")
+            .agg(F.sum(F.coalesce("log10p", unseen)).alias("more"), F.count("n").alias("also")))
+    tail = scored.select("row", F.explode("tail").alias("t")).select("row", "t.*", F.lit(0.0).alias("so_far"))
+    fallen, found = tail.limit(0), []
+    for at in range(top, 0, -1):  # what a context does not list is left to its suffix
+        table, kept = levels[at - 1]
+        here = tail.where(F.col("level") == at).unionByName(fallen)
+        here = scratch(here.join(table.select(F.col("key").alias(f"g{at}"), "log10p"), f"g{at}", "left"), f"lm-tail-{at}")
+        found.append(here.where("log10p is not null").select("row", (F.col("so_far") + F.col("log10p")).alias("x")))
+        fallen = (here.where("log10p is null").drop("log10p").join(kept.select(F.col("key").alias(f"c{at}"), "log10rest"), f"c{at}", "left")
+                  .withColumn("so_far", F.col("so_far") + F.coalesce("log10rest", F.lit(0.0))).select(tail.columns))
+    here = tail.where("level = 0").unionByName(fallen).join(words.select(F.col("key").alias("g0"), "log10p"), "g0", "left")
+    every = here.select("row", (F.col("so_far") + F.coalesce("log10p", unseen)).alias("x"))
+    for part in found:
+        every = every.unionByName(part)
+    sums = every.groupBy("row").agg(F.sum("x").alias("rest"))
+    return (scored.drop("rare", "tail").join(rare, "row", "left").join(sums, "row", "left")
+            .withColumn("base_score", F.col("base_score") + F.coalesce("more", F.lit(0.0)))
+            .withColumn("score", F.col("score") + F.coalesce("rest", F.lit(0.0)))
+            .withColumn("n_known", F.col("n_known") + F.coalesce("also", F.lit(0)))
+            .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"))

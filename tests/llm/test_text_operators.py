@@ -230,3 +230,21 @@ def test_lm_empty_and_untrained(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = suffix_tree.score(frame(spark, [(held, "x y")], "doc_id long, text string")).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (3, 0, 0, 0.0, 0.0)
+
+
+def test_lm_scores_are_those_of_the_whole_tree(spark):
+    """Whatever is broadcast, a score is that of the tree of all contexts of so many occurrences and all their next symbols."""
+    rng = random.Random(4)
+    word = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(word[:1 + rng.randrange(60)]) if rng.random() < 0.7 else "a b c" for _ in range(30)) for _ in range(300)]
+    rows = list(enumerate(texts)) + [(i, "w3 never a b zz") for i in range(300, 340)]
+    docs = frame(spark, rows, "doc_id long, text string")
+    train = docs.where(~suffix_tree.held_out()).select(F.col("text").cast("binary").alias("text"))
+    _, _, total, kinds = suffix_tree.learn(train, depth=0)
+    tree = suffix_tree.learn(train, depth=2, least=20 / total, frequent=1e-12)[0]
+    assert len(tree.parent) > 10 and any(len(suffix_tree.symbols_of(tree, s)) == 2 for s in range(len(tree.parent)))
+    got = {r.doc_id: r.score for r in suffix_tree.score(docs, frequent=2e-3, occurrences=20).collect()}
+    for i, text in rows:
+        symbols, counts, *_ = tree.read([text.encode()])
+        want = tree.log_probabilities(symbols, counts).sum() + (symbols == tree.other).sum() * np.log10(1 / (total + kinds + 1))
+        assert abs(got[i] - want) < 1e-6
