@@ -12,7 +12,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import ann, licenses, mixing, near_dedup, packing, suffix_tree, topk, toxicity, url_rules, warc
+from keelson.llm import (
+    ann,
+    conversations,
+    licenses,
+    mixing,
+    near_dedup,
+    packing,
+    suffix_tree,
+    token_counts,
+    topk,
+    toxicity,
+    url_rules,
+    warc,
+)
 from keelson.session import shared_path
 from keelson.sources.tables import read_table
 
@@ -128,3 +141,15 @@ def op9_minhash_components(spark, sf_dir):
 def op10_suffix_tree_scores(spark, sf_dir):
     """Unigram and suffix-tree scores of every document."""
     return suffix_tree.score(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_scalar_weight_repair(spark, sf_dir):
+    """Faults, cheapest edits and repaired digest of every damaged conversation."""
+    return conversations.repair(conversations.damaged(read_table(spark, sf_dir, "conversations")))
+
+
+@query
+def op13_heap_token_counts(spark, sf_dir):
+    """Token count of every document."""
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

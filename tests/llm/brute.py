@@ -1,5 +1,6 @@
 """Plain single-process versions of the operators' contracts."""
 
+import hashlib
 import itertools
 import math
 import re
@@ -113,3 +114,70 @@ def verdict(url, rules):
     if not fits:
         return host, path, None, "allow"
     return host, path, *max(fits)[2:]
+
+
+def damage(rows):
+    """``(conv_id, turn, role, text)`` rows after damage, in order; nulls shown as one space."""
+    show = lambda x: " " if x is None else str(x)
+    order = lambda r: (r[1] is not None, r[1] or 0, show(r[2]), hashlib.sha256(show(r[3]).encode()).digest())
+    out = []
+    for conv, turn, role, text in rows:
+        spot = zlib.crc32(f"{show(conv)}:{show(turn)}".encode()) % 20
+        role, text = show(role), show(text)
+        if spot == 0:
+            continue
+        text = "" if spot == 1 else re.sub("[.!?]", "", text) if spot == 2 else text
+        out += [(conv, turn, "user" if spot == 4 else role, text)] * (2 if spot == 3 else 1)
+    return sorted(out, key=order)
+
+
+def repair(rows):
+    """``(gaps, blank, duplicate, truncated, illegal, cost, audit, repaired rows)`` of one conversation's ordered rows."""
+    found, seen = [], set()
+    for _, _, role, text in rows:
+        chars = re.findall(r"[^\x20\x09-\x0D]", text)
+        found.append("blank" if not chars else "duplicate" if (role, text) in seen else
+                     "truncated" if chars[-1] not in ".!?" else "fine")
+        seen.add((role, text))
+    nxt = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("a", "u"): "u", ("u", "a"): "a"}
+    turn = {"": "u", "s": "u", "a": "u", "u": "a"}
+    best = {}
+    # From the end; a node is (row, state, Inserts made since the last row).
+    for i in range(len(rows), -1, -1):
+        for made in (2, 1, 0):
+            for q in ("", "s", "u", "a"):
+                ways = [(0, "", ())] if i == len(rows) and q in ("", "a") else []
+
+                def way(cost, letter, row, node, ways=ways):
+                    if best.get(node):
+                        c, audit, kept = best[node]
+                        ways.append((cost + c, letter + audit, row + kept))
+
+                if made < 2:
+                    t = turn[q]
+                    way(3, "I", (({"u": "user", "a": "assistant"}[t], ""),), (i, t, made + 1))
+                if i < len(rows):
+                    _, _, role, text = rows[i]
+                    way(4, "D", (), (i + 1, q, 0))
+                    if found[i] in ("fine", "truncated"):
+                        more = 3 * (found[i] == "truncated")
+                        if (q, role[:1]) in nxt:
+                            way(more, "K", ((role, text),), (i + 1, nxt[q, role[:1]], 0))
+                        t = turn[q]
+                        way(3 + more, "R", (({"u": "user", "a": "assistant"}[t], text),), (i + 1, t, 0))
+                best[i, q, made] = min(ways) if ways else None
+    turns = {t for _, t, _, _ in rows if t is not None}
+    gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+    illegal = sum(a[2][:1] + b[2][:1] not in ("su", "ua", "au") for a, b in itertools.pairwise(rows))
+    cost, audit, kept = best[0, "", 0]
+    return (gaps, *(found.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, kept)
+
+
+def conversations(rows):
+    """The digest rows of all conversations by their ids."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        *counts, kept = repair(damage([r for r in rows if r[0] == conv]))
+        text = "\n".join(f"{role}:{t}" for role, t in kept)
+        out[conv] = (*counts, hashlib.sha256(text.encode()).hexdigest())
+    return out
