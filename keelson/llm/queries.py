@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from keelson.llm import (
     ann,
+    codes,
     conversations,
     licenses,
     mixing,
@@ -149,6 +150,15 @@ def op11_scalar_weight_repair(spark, sf_dir):
     return conversations.repair(conversations.damaged(read_table(spark, sf_dir, "conversations")))
 
 
+@query
+def op12_adaptive_bound_codes(spark, sf_dir):
+    """Product code of every vector, its error and its label's, and the codebooks' digest."""
+    coded, books = codes.compress(read_table(spark, sf_dir, "embeddings"))
+    return codes.with_label_error(coded).select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error",
+        F.lit(codes.books_digest(books)).alias("codebooks_sha256"))
+
+
 @query
 def op13_heap_token_counts(spark, sf_dir):
     """Token count of every document."""

@@ -181,3 +181,30 @@ def conversations(rows):
         text = "\n".join(f"{role}:{t}" for role, t in kept)
         out[conv] = (*counts, hashlib.sha256(text.encode()).hexdigest())
     return out
+
+
+def product_codes(rows, parts=4, entries=256, rounds=4):
+    """``([(vec_id, code, error, label_error)], digest)`` of ``(vec_id, vector, label)`` with whole vectors."""
+    rows = sorted(((i, [math.floor(1024 * x) for x in v], label) for i, v, label in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    width = len(rows[0][1]) // parts
+    cut = [[v[p * width:(p + 1) * width] for _, v, _ in rows] for p in range(parts)]
+    books = [[list(x) for x in cut[p][:entries]] for p in range(parts)]
+
+    def nearest(x, book):
+        return min((sum((a - c) ** 2 for a, c in zip(x, e)), k) for k, e in enumerate(book))
+
+    for _ in range(rounds):
+        for p in range(parts):
+            groups = {}
+            for x in cut[p]:
+                groups.setdefault(nearest(x, books[p])[1], []).append(x)
+            for k, xs in groups.items():
+                books[p][k] = [sum(c) // len(xs) for c in zip(*xs)]
+    final = [[nearest(x, books[p]) for x in cut[p]] for p in range(parts)]
+    errors = [sum(final[p][n][0] for p in range(parts)) for n in range(len(rows))]
+    label = Counter()
+    for (_, _, lab), e in zip(rows, errors):
+        label[lab] += e
+    text = ",".join(str(x) for book in books for e in book for x in e)
+    return [(i, "".join(f"{final[p][n][1]:02x}" for p in range(parts)), errors[n], label[lab])
+            for n, (i, _, lab) in enumerate(rows)], hashlib.sha256(text.encode()).hexdigest()

@@ -3,11 +3,12 @@
 import random
 
 import brute
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 from conftest_llm import SF01, frame
-from keelson.llm import conversations, token_counts
+from keelson.llm import codes, conversations, token_counts
 from keelson.llm.queries import QUERIES
 
 CONV = "conv_id long, turn long, role string, text string"
@@ -112,3 +113,65 @@ def test_token_counts_of_the_table_and_odd_rows(spark):
     wide = frame(spark, [(*r, "x", 1) for r in odd], "doc_id long, text string, n_bytes string, n_tokens int")
     assert got(token_counts.count_tokens(wide, MODEL)) == want(odd)
     assert token_counts.count_tokens(wide.limit(0), MODEL).count() == 0
+
+
+VEC = "vec_id long, embedding array<double>, label int"
+
+
+def coded(df, **kw):
+    got, books = codes.compress(df, **kw)
+    rows = codes.with_label_error(got).collect()
+    return sorted(((r.vec_id, bytes(r.code).hex(), r.error, r.label_error) for r in rows), key=repr), codes.books_digest(books)
+
+
+def check_codes(spark, rows, parts=3, **kw):
+    want, digest = brute.product_codes(rows, **kw)
+    got = coded(frame(spark, rows, VEC, parts), **kw)
+    assert got == (sorted(want, key=repr), digest)
+
+
+def test_codes_match_brute_force(spark):
+    rnd = random.Random(5)
+    clusters = [[rnd.gauss(0, 0.3) for _ in range(8)] for _ in range(12)]
+    rows = [(i, [x + rnd.gauss(0, 0.02) for x in rnd.choice(clusters)], rnd.choice([1, 2, None])) for i in range(700)]
+    check_codes(spark, rows, entries=16)
+    check_codes(spark, rows[:40])  # fewer vectors than entries
+    # Few different values: ties everywhere, unused entries; repeated rows and ids, null ids.
+    grid = [(rnd.choice([None, *range(50)]), [rnd.choice([-1, 0, 0, 1]) / 512 for _ in range(8)], i % 3) for i in range(400)]
+    check_codes(spark, grid + grid[:20], entries=40)
+
+
+def test_codes_beyond_double_precision(spark):
+    rnd = random.Random(6)
+    rows = [(i, [rnd.choice([-1, 1]) * (131071 - rnd.random()) for _ in range(8)], 0) for i in range(120)]
+    check_codes(spark, rows, entries=10)
+
+
+def test_codes_of_the_table_and_odd_rows(spark):
+    table = spark.read.parquet(f"{SF01}/embeddings.parquet")
+    want, digest = brute.product_codes([tuple(r) for r in table.select("vec_id", "embedding", "label").collect()])
+    got = QUERIES["op12_adaptive_bound_codes"](spark, SF01).collect()
+    assert sorted((r.vec_id, r.code, r.error, r.label_error) for r in got) == sorted(want)
+    assert {r.codebooks_sha256 for r in got} == {digest}
+    good = [(i, [i / 7, -i / 3, 0.5, i / 11], None) for i in range(30)]
+    odd = [(90, None, 1), (91, [], 1), (92, [1.0, None, 1.0, 1.0], 1), (93, [float("nan")] * 4, 1), (94, [1e200, 0.0, 0.0, 0.0], 1),
+           (95, [float("-inf"), 0.0, 0.0, 0.0], 1), (96, [1.0] * 8, 1), (97, [1.0] * 5, 1)]
+    wide = frame(spark, [(*r, "x", 5) for r in good + odd], VEC + ", v string, error int")
+    want, digest = brute.product_codes(good, entries=5)
+    assert coded(wide, entries=5) == (sorted(want, key=repr), digest)
+    assert codes.compress(wide.limit(0))[0].count() == 0
+
+
+def test_bounds_spare_most_comparisons(spark):
+    """With settled clusters the lists decide nearly all later rounds, and shrink."""
+    rnd = random.Random(8)
+    clusters = [[rnd.gauss(0, 1) for _ in range(8)] for _ in range(32)]
+    rows = [(i, [x + rnd.gauss(0, 0.01) for x in clusters[i % 32]], 0) for i in range(2000)]
+    vectors = codes.whole_vectors(frame(spark, rows, VEC), 2)
+    start = np.array(codes.smallest(vectors, 32))
+    _, _, reports = codes.train(vectors, np.split(start, 2, axis=1), 4)
+    assert reports[0]["used"] == {0: 4000}
+    assert all(sum(r["used"].values()) == 4000 for r in reports)
+    assert reports[-1]["used"].get(reports[-1]["b"] + 1, 0) < 400
+    assert reports[-1]["b"] < codes.FIRST
+    assert codes.next_length({9: 50, 1: 950}, 8) == 16 and codes.next_length({3: 30, 1: 970}, 8) == 3 and codes.next_length({1: 9}, 8) == 2
