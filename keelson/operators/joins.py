@@ -10,7 +10,7 @@ combines map-side, so a key repeated millions of times costs one row a task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from keelson.functions._util import as_col, as_names
@@ -44,24 +44,59 @@ def pending(df: DataFrame, done: DataFrame, on) -> DataFrame:
 
 
 # --------------------------------------------------------------------- J3
-def strict_lookup(df: DataFrame, dim: DataFrame, on, values=None) -> DataFrame:
-    """Attach ``dim`` columns; a key missing from ``dim`` fails the job.
+def _one_per_key(dim: DataFrame, keys: list[str], values: list[str], unique: bool) -> DataFrame:
+    """``dim`` with one row a key: ``_found`` (its values) and ``_times`` (how often the key stands there)."""
+    found = F.struct(*values) if values else F.struct(F.lit(True).alias("_hit"))
+    if unique:
+        return dim.select(*keys, found.alias("_found"), F.lit(1).cast("long").alias("_times"))
+    # Grouped by the join key, so the join needs no shuffle of its own for it.
+    return dim.groupBy(*keys).agg(F.first(found).alias("_found"), F.count(F.lit(1)).alias("_times"))
 
+
+def strict_lookup(df: DataFrame, dim: DataFrame, on, values=None, unique: bool = False) -> DataFrame:
+    """Attach ``dim`` columns; a key that ``dim`` lacks, or has more than once, fails the job.
+
+    ``dim`` is reduced to one row a key first, so it never multiplies rows;
+    ``unique=True`` says that its keys are known to be unique and saves that.
     The failure is an expression on the looked-up columns, so it fires when
     they are computed.  A plan that never reads them (e.g. a bare count) may
-    prune it — call ``require_keys`` for a check that always runs.
-    ``dim`` must be unique on ``on`` (see ``unique_index``).
+    prune it — call ``require_keys``, or ``observed_lookup`` for a check that
+    rides on the action and is never pruned.
     """
     keys = as_names(on)
     values = as_names(values) if values is not None else [c for c in dim.columns if c not in keys]
-    hit = "_lookup_hit"
-    right = dim.select(*keys, *values, F.lit(True).alias(hit))
-    missing = F.raise_error(F.concat(F.lit("missing key "),
-                                     F.to_json(F.struct(*[F.col(k) for k in keys]))))
+    right = _one_per_key(dim, keys, values, unique)
+    key = F.to_json(F.struct(*[F.col(k) for k in keys]))
+    failed = (F.when(F.col("_times").isNull(), F.raise_error(F.concat(F.lit("missing key "), key)))
+              .when(F.col("_times") > 1, F.raise_error(F.concat(F.lit("repeated key "), key))))
     joined = df.join(right, keys, "left")
     return joined.select(*[F.col(c) for c in df.columns],
-                         *[F.when(F.col(hit).isNull(), missing).otherwise(F.col(v)).alias(v)
-                           for v in values])
+                         *[F.coalesce(failed.cast(dim.schema[v].dataType), F.col("_found")[v]).alias(v) for v in values])
+
+
+def observed_lookup(df: DataFrame, dim: DataFrame, on, values=None, name: str | None = None) -> tuple[DataFrame, Observation]:
+    """J3 without a second job: ``dim`` columns attached (null where there are none) and an observation.
+
+    Once an action has run over the result, ``observation.get`` holds
+    ``rows``, ``missing`` (rows whose key ``dim`` lacks) and ``repeated`` (rows
+    whose key ``dim`` has more than once; they get one of its rows).  The
+    counts ride on the action as metrics of the plan, so no projection prunes
+    them — a bare count reports them too.  ``check_lookup`` raises on them.
+    """
+    keys = as_names(on)
+    values = as_names(values) if values is not None else [c for c in dim.columns if c not in keys]
+    seen = Observation(name) if name else Observation()
+    joined = df.join(_one_per_key(dim, keys, values, False), keys, "left")
+    watched = joined.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_times").isNull()).alias("missing"),
+                             F.count_if(F.col("_times") > 1).alias("repeated"))
+    return watched.select(*[F.col(c) for c in df.columns], *[F.col("_found")[v].alias(v) for v in values]), seen
+
+
+def check_lookup(seen: Observation) -> None:
+    """Raise if the observed lookup met a missing or repeated key (after its action)."""
+    got = seen.get
+    if got["missing"] or got["repeated"]:
+        raise KeyError(f"lookup of {got['rows']} rows: {got['missing']} with a missing key, {got['repeated']} with a repeated one")
 
 
 def missing_keys(df: DataFrame, dim: DataFrame, on) -> DataFrame:

@@ -8,7 +8,8 @@
   * M1 plans one cluster per customer, sized by its orders: gate = finished
     orders, management API = open, stream API = pending, stream manager =
     urgent.  Base directories: none for AUTOMOBILE (default), empty for
-    BUILDING (default), ``/srv/<segment>`` otherwise.
+    BUILDING (default), ``/srv/<segment>`` otherwise.  BUILDING clusters all
+    share the default host, the others a host for each 500 customers.
 """
 
 from __future__ import annotations
@@ -130,8 +131,9 @@ def clusters_from_orders(t: Tables):
     base = (F.when(F.col("c_mktsegment") == "AUTOMOBILE", F.lit(None).cast("string"))
             .when(F.col("c_mktsegment") == "BUILDING", F.lit(""))
             .otherwise(F.concat(F.lit("/srv/"), F.lower("c_mktsegment"))))
+    host = F.when(F.col("c_mktsegment") != "BUILDING", F.format_string("node-%d", F.expr("c_custkey div 500")))
     return (t.customer.select("c_custkey", "c_mktsegment").join(counts, "c_custkey", "left")
-            .select(F.col("c_custkey").alias("cluster_id"), base.alias("base_directory"),
+            .select(F.col("c_custkey").alias("cluster_id"), base.alias("base_directory"), host.alias("host"),
                     "gate", "management_api", "stream_api", "stream_manager"))
 
 
@@ -153,25 +155,30 @@ settled AS (
          coalesce(nullif(CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN NULL
                               WHEN c_mktsegment = 'BUILDING' THEN ''
                               ELSE '/srv/' || lower(c_mktsegment) END, ''), '.') AS base_directory,
+         CASE WHEN c_mktsegment = 'BUILDING' THEN '{fx.SERVICE_HOST}'
+              ELSE 'node-' || CAST(c_custkey // 500 AS VARCHAR) END AS service_host,
          coalesce(gate, 1) AS gate, coalesce(management_api, 1) AS management_api,
          coalesce(stream_api, 1) AS stream_api, coalesce(stream_manager, 1) AS stream_manager
   FROM customer LEFT JOIN counts ON c_custkey = o_custkey),
 long AS (
-  SELECT cluster_id, base_directory, 'gate' AS kind, gate AS cnt FROM settled
-  UNION ALL SELECT cluster_id, base_directory, 'management-api', management_api FROM settled
-  UNION ALL SELECT cluster_id, base_directory, 'stream-api', stream_api FROM settled
-  UNION ALL SELECT cluster_id, base_directory, 'stream-manager', stream_manager FROM settled),
+  SELECT cluster_id, base_directory, service_host, 'gate' AS kind, gate AS cnt FROM settled
+  UNION ALL SELECT cluster_id, base_directory, service_host, 'management-api', management_api FROM settled
+  UNION ALL SELECT cluster_id, base_directory, service_host, 'stream-api', stream_api FROM settled
+  UNION ALL SELECT cluster_id, base_directory, service_host, 'stream-manager', stream_manager FROM settled),
 comp AS (SELECT * FROM {COMPONENTS_SQL}),
-services AS (SELECT cluster_id, base_directory, kind, unnest(range(cnt)) AS instance_id FROM long WHERE cnt > 0),
+starts AS (
+  SELECT l.*, c.name, CAST(20000 + coalesce(sum(cnt) OVER (PARTITION BY service_host ORDER BY cluster_id, c.ord
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_port
+  FROM long l JOIN comp c USING (kind) WHERE cnt > 0),
+ports AS (SELECT *, least(cnt, greatest(0, 65536 - first_port)) AS placed FROM starts),
+services AS (SELECT cluster_id, base_directory, service_host, kind, name, first_port, unnest(range(placed)) AS instance_id FROM ports),
 ents AS (
-  SELECT s.cluster_id, s.base_directory, s.kind, s.instance_id, c.ord, c.name FROM services s JOIN comp c USING (kind)
+  SELECT cluster_id, base_directory, service_host AS host, kind, instance_id, first_port + instance_id AS port, name FROM services
   UNION ALL
-  SELECT cluster_id, base_directory, 'init', CAST(NULL AS BIGINT), CAST(NULL AS INTEGER), '{fx.INIT_NAME}' FROM settled),
+  SELECT cluster_id, base_directory, CAST(NULL AS VARCHAR), 'init', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), '{fx.INIT_NAME}' FROM settled),
 attrs AS (
   SELECT *, concat_ws('/', base_directory, concat_ws('-', name, CAST(instance_id AS VARCHAR))) AS directory,
          CASE WHEN name = '{fx.INIT_NAME}' THEN '{fx.INIT_ARGUMENTS}' ELSE '' END AS arguments,
-         CASE WHEN kind <> 'init' THEN '{fx.SERVICE_HOST}' END AS host,
-         CASE WHEN kind <> 'init' THEN 20000 + ord * 1000 + instance_id END AS port,
          'localhost:2181' AS zk_connect, 'localhost:9092' AS kafka_connect,
          '{fx.ADMIN_API_KEY}' AS admin_key
   FROM ents),
@@ -226,6 +233,29 @@ def m1_service_topology(spark, sf_dir):
     return deployment_plan(clusters_from_orders(Tables(spark, sf_dir))).topology
 
 
+M1_PORTS_SQL = M1_SQL[:M1_SQL.index("services AS (SELECT")].rstrip().rstrip(",")
+
+
+@register("m1_port_plan", M1_PORTS_SQL + """
+SELECT cluster_id, kind, service_host AS host, first_port, placed FROM ports
+""")
+def m1_port_plan(spark, sf_dir):
+    """The ports of every cluster's services on its host, given out by running totals."""
+    ranges = deployment_plan(clusters_from_orders(Tables(spark, sf_dir))).ranges
+    return ranges.select("cluster_id", "kind", F.col("service_host").alias("host"), "first_port", "placed")
+
+
+@register("m1_rejected", M1_PORTS_SQL.replace("20000 + coalesce", "62000 + coalesce").replace(
+    "coalesce(stream_api, 1) AS stream_api", "coalesce(stream_api, 1) - 1 AS stream_api") + """
+SELECT cluster_id, kind, service_host AS host, cnt AS count, placed, 'no port' AS reason FROM ports WHERE placed < cnt
+UNION ALL SELECT cluster_id, kind, service_host, cnt, 0, 'count' FROM long WHERE cnt < 0
+""")
+def m1_rejected(spark, sf_dir):
+    """Services that were not planned: negative counts, and those that their host has no port for."""
+    clusters = clusters_from_orders(Tables(spark, sf_dir)).withColumn("stream_api", F.coalesce(F.col("stream_api"), F.lit(1)) - 1)
+    return deployment_plan(clusters, port_base=62000).rejected
+
+
 @register("m1_access_rules", f"""
 SELECT c_custkey AS cluster_id, r.right_name AS "right",
        '{RULE_PATH_PREFIX}{fx.API_KEY}.*.' || r.right_name AS path

@@ -7,7 +7,8 @@ counts ``gate``, ``management_api``, ``stream_api``, ``stream_manager``
 ``kafka_connect`` columns override the connection strings.
 
 Steps, each a library operator:
-  P3 defaults -> unpivot counts -> G1 instance ids -> U1 services + init
+  P3 defaults -> unpivot counts -> port ranges per host (running totals)
+  -> G1 instance ids -> U1 services + init
   -> J3 strict component lookup -> J4 template expansion (kind -> template
   -> key, resolved by A3 last write wins) -> placeholders -> A4 rendered
   ``application.properties``.
@@ -31,6 +32,7 @@ from keelson.operators.aggregates import collect_properties, render_document, re
 from keelson.operators.joins import expand_rights, expand_template, strict_lookup
 from keelson.operators.select import with_defaults
 from keelson.operators.sets import expand_instances, ordered_union, rejected_counts
+from keelson.operators.windows import running_totals
 from keelson.plans import fixtures as fx
 
 COUNT_COLUMNS = {"gate": "gate", "management_api": "management-api",
@@ -51,29 +53,50 @@ def settle(clusters: DataFrame, default_dir: str, zk: str, kafka: str) -> DataFr
     return out.withColumns(extra) if extra else out
 
 
-def plan_instances(spark, settled: DataFrame, port_base: int, port_stride: int) -> tuple[DataFrame, DataFrame]:
-    base = ["cluster_id", "base_directory", "zk_connect", "kafka_connect", "service_host"]
-    long = (settled.unpivot(base, list(COUNT_COLUMNS), "count_column", "count")
+BASE = ["cluster_id", "base_directory", "zk_connect", "kafka_connect", "service_host"]
+#: The last port of a host.
+LAST_PORT = 65535
+
+
+def service_counts(settled: DataFrame) -> DataFrame:
+    """One row for each cluster and service kind, with the kind's place in the append order."""
+    ordinal = F.create_map(*[F.lit(x) for o, kind, _ in fx.COMPONENTS if o is not None for x in (kind, o)])
+    return (settled.unpivot(BASE, list(COUNT_COLUMNS), "count_column", "count")
             .withColumn("kind", F.replace(F.col("count_column"), F.lit("_"), F.lit("-")))
-            .drop("count_column"))
-    # A kind's ports are its own range of ``port_stride``; more instances would run into the next kind's.
-    rejected = rejected_counts(long, "count").unionByName(long.where(F.col("count") > port_stride))
-    services = expand_instances(long.where(F.col("count") <= port_stride), "count").drop("count")
-    init = settled.select(*base, F.lit(fx.INIT_KIND).alias("kind"),
-                          F.lit(None).cast(services.schema["instance_id"].dataType).alias("instance_id"))
+            .withColumn("kind_ord", ordinal[F.col("kind")]).drop("count_column"))
+
+
+def place_ports(counts: DataFrame, port_base: int) -> DataFrame:
+    """Each cluster's kind gets the next ``count`` ports of its host: ``first_port`` and how many are ``placed``.
+
+    Ports of a host are given in the order of cluster and kind, so no endpoint
+    repeats, whatever clusters share a host.  What lies beyond the host's
+    last port is not placed.
+    """
+    before = running_totals(counts.where(F.col("count") > 0), "service_host", ["cluster_id", "kind_ord", "count"], "count")
+    first = (F.lit(port_base) + F.col("before")).cast("long")
+    room = F.greatest(F.lit(0), F.lit(LAST_PORT + 1) - F.col("first_port"))
+    return (before.withColumn("first_port", first).drop("before")
+            .withColumn("placed", F.least(F.col("count").cast("long"), room)))
+
+
+def plan_instances(spark, settled: DataFrame, ranges: DataFrame) -> DataFrame:
+    services = (expand_instances(ranges, "placed").withColumn("port", F.col("first_port") + F.col("instance_id"))
+                .drop("placed", "first_port", "count", "kind_ord"))
+    kinds = {f.name: f.dataType for f in services.schema}
+    init = settled.select(*BASE, F.lit(fx.INIT_KIND).alias("kind"),
+                          *[F.lit(None).cast(kinds[c]).alias(c) for c in ("instance_id", "port")])
     # Init first, then the services; ``ord`` proper comes from the component table.
     entities = ordered_union(init, services, ord_col="_group")
-    comp = F.broadcast(fx.components(spark))  # fixed five rows
-    entities = strict_lookup(entities, comp, "kind", ["ord", "name"])
+    comp = F.broadcast(fx.components(spark))  # fixed five rows, unique kinds
+    entities = strict_lookup(entities, comp, "kind", ["ord", "name"], unique=True)
     is_service = F.col("kind") != F.lit(fx.INIT_KIND)
-    entities = (entities.withColumns({
+    return (entities.withColumns({
         "directory": join_path("base_directory", with_suffix("name", "instance_id")),
         "arguments": when_equals("name", fx.INIT_NAME, fx.INIT_ARGUMENTS),
         "host": F.when(is_service, F.col("service_host")),
-        "port": F.when(is_service, F.lit(port_base) + F.col("ord") * F.lit(port_stride) + F.col("instance_id")),
         "admin_key": F.lit(fx.ADMIN_API_KEY),
     }).drop("_group", "service_host"))
-    return entities, rejected.drop("service_host")
 
 
 def fill_placeholders(value) -> Column:
@@ -122,8 +145,9 @@ def template_writes(spark, starts: int) -> DataFrame:
 class DeploymentPlan:
     """The plan's outputs, each a lazy DataFrame built on first access.
 
+    ranges     – per cluster and service kind, its host's ports: first one and how many
     instances  – one row per service instance and one init per cluster
-    rejected   – (cluster, kind) with a negative count or more instances than ports
+    rejected   – (cluster, kind) with a negative count, or with instances that its host has no port for
     writes     – every property assignment, in write order
     properties – A3: resolved ``(entity, key, value, pos)``
     documents  – A4: one rendered properties document per instance
@@ -134,13 +158,28 @@ class DeploymentPlan:
     (or pay driver round trips for) the write log, the rules or the topology.
     """
 
-    def __init__(self, clusters: DataFrame, default_dir: str, zk: str, kafka: str,
-                 port_base: int, port_stride: int, starts: int):
+    def __init__(self, clusters: DataFrame, default_dir: str, zk: str, kafka: str, port_base: int, starts: int):
         self._spark = clusters.sparkSession
-        self._starts = starts
+        self._starts, self._port_base = starts, port_base
         self.settled = settle(clusters, default_dir, zk, kafka)
-        self.instances, self.rejected = plan_instances(self._spark, self.settled, port_base, port_stride)
-        self._port_base, self._port_stride = port_base, port_stride
+        self._counts = service_counts(self.settled)
+
+    @cached_property
+    def ranges(self) -> DataFrame:
+        return place_ports(self._counts, self._port_base)
+
+    @cached_property
+    def instances(self) -> DataFrame:
+        return plan_instances(self._spark, self.settled, self.ranges)
+
+    @cached_property
+    def rejected(self) -> DataFrame:
+        """``(cluster_id, kind, host, count, placed, reason)``; the first ``placed`` instances are planned."""
+        negative = rejected_counts(self._counts, "count").select(
+            "cluster_id", "kind", "service_host", "count", F.lit(0).cast("long").alias("placed"), F.lit("count").alias("reason"))
+        beyond = self.ranges.where("placed < count").select(
+            "cluster_id", "kind", "service_host", "count", "placed", F.lit("no port").alias("reason"))
+        return negative.unionByName(beyond).withColumnRenamed("service_host", "host")
 
     @cached_property
     def kind_writes(self) -> DataFrame:
@@ -180,26 +219,22 @@ class DeploymentPlan:
 
     @cached_property
     def topology(self) -> DataFrame:
-        """Row-local: the list is a function of the cluster's host and the kind's count."""
-        ordinal = F.create_map(*[F.lit(x) for o, kind, _ in fx.COMPONENTS if o is not None for x in (kind, o)])
-        long = (self.settled.unpivot(["cluster_id", "service_host"], list(COUNT_COLUMNS), "count_column", "count")
-                .withColumn("kind", F.replace(F.col("count_column"), F.lit("_"), F.lit("-")))
-                .where((F.col("count") > 0) & (F.col("count") <= self._port_stride)))
-        base = F.lit(self._port_base) + ordinal[F.col("kind")] * F.lit(self._port_stride)
-        uris = F.transform(F.sequence(F.lit(0).cast("long"), F.col("count").cast("long") - 1),
-                           lambda i: service_uri(F.col("service_host"), base + i))
-        return long.select("cluster_id", "kind", F.array_join(uris, ",").alias("topology"),
-                           F.col("count").cast("long").alias("instances"))
+        """Row-local: the list is a range of the host's ports (so it is never longer than those)."""
+        last = F.col("first_port") + F.col("placed") - 1
+        uris = F.transform(F.sequence(F.col("first_port"), last), lambda port: service_uri(F.col("service_host"), port))
+        return self.ranges.where("placed > 0").select(
+            "cluster_id", "kind", F.array_join(uris, ",").alias("topology"), F.col("placed").alias("instances"))
 
 
 def deployment_plan(clusters: DataFrame, default_dir: str = ".", zk: str = "localhost:2181",
-                    kafka: str = "localhost:9092", port_base: int = 20000, port_stride: int = 1000,
-                    starts: int = 1) -> DeploymentPlan:
+                    kafka: str = "localhost:9092", port_base: int = 20000, starts: int = 1) -> DeploymentPlan:
     """Build the plan; ``starts`` > 1 replays the per-start writes (a restart).
 
-    Counts beyond ``port_stride`` are rejected, as their ports would run into
-    the next kind's.  Clusters share ports, so they need hosts of their own:
-    an optional ``host`` column (default ``localhost``).
+    An optional ``host`` column (default ``localhost``) says where a cluster's
+    services run; clusters may share hosts.  Each service takes the next port
+    of its host (``place_ports``: one job, which cuts the cluster rows by
+    ranges), from ``port_base`` on.  Instances beyond the last port are not
+    planned but returned by ``rejected``.
 
     Every write of an instance comes from its kind's template list; the
     instance only fills the placeholders.  So last-write-wins (A3) and the
@@ -210,4 +245,4 @@ def deployment_plan(clusters: DataFrame, default_dir: str = ".", zk: str = "loca
     below the expanding join; rendering needs no shuffle at all.
     ``writes`` and ``properties`` still offer the per-instance rows.
     """
-    return DeploymentPlan(clusters, default_dir, zk, kafka, port_base, port_stride, starts)
+    return DeploymentPlan(clusters, default_dir, zk, kafka, port_base, starts)

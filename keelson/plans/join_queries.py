@@ -19,6 +19,7 @@ from keelson.operators.joins import (
     expand_rights,
     keep_listed,
     missing_keys,
+    observed_lookup,
     pending,
     strict_lookup,
 )
@@ -68,6 +69,24 @@ def j3_strict_lookup(spark, sf_dir):
     return strict_lookup(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), dim, "l_orderkey")
 
 
+@register("j3_observed_lookup", """
+WITH dim AS (SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'O')
+             UNION ALL SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'),
+     n AS (SELECT o_orderkey, count(*) AS times FROM dim GROUP BY o_orderkey)
+SELECT count(*) AS "rows", count(*) FILTER (WHERE times IS NULL) AS missing, count(*) FILTER (WHERE times > 1) AS repeated
+FROM lineitem LEFT JOIN n ON l_orderkey = o_orderkey
+""")
+def j3_observed_lookup(spark, sf_dir):
+    """What a lookup with missing and repeated keys reports once its one action has run."""
+    t = Tables(spark, sf_dir)
+    dim = (t.orders.where(F.col("o_orderstatus").isin("F", "O"))
+           .unionByName(t.orders.where(F.col("o_orderpriority") == "1-URGENT"))
+           .select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"))
+    out, seen = observed_lookup(t.lineitem.select("l_orderkey", "l_linenumber"), dim, "l_orderkey")
+    out.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([tuple(seen.get[c] for c in ("rows", "missing", "repeated"))], "rows long, missing long, repeated long")
+
+
 @register("j3_missing_keys", """
 SELECT l_orderkey, count(*) AS n_rows FROM lineitem
 WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'O'))

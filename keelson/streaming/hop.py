@@ -26,6 +26,10 @@ KAFKA_SINK_OPTIONS = {
 KAFKA_SOURCE_OPTIONS = {
     "kafkaConsumer.pollTimeoutMs": "250",
 }
+# The consumer pool's size is a session setting: consumers that an executor keeps open.
+KAFKA_SESSION_CONF = {
+    "spark.kafka.consumer.cache.capacity": "30",
+}
 
 
 def kafka_options(bootstrap_servers: str, side: str) -> dict:

@@ -58,7 +58,7 @@ def test_keys_per_kind_and_no_repeats(plan):
 
 
 def test_negative_count_rejected(plan):
-    assert rows(plan.rejected, "cluster_id", "kind", "count") == [("negative", "gate", -1)]
+    assert rows(plan.rejected, "cluster_id", "kind", "count", "placed", "reason") == [("negative", "gate", -1, 0, "count")]
 
 
 def test_directories_and_arguments(plan):
@@ -78,8 +78,10 @@ def test_rendered_gate_document(plan):
     assert doc[3] == "metrics.period=2147483647" and doc[4] == "context.instance.id=0"
     assert doc[8] == "curator.connectString=localhost:2181"
     assert "gate.event.sender.producer.retry.backoff.ms=250" in doc
-    assert doc[-4:] == ["http.server.host=localhost", "http.server.port=20000",
-                        "application.host=localhost", "application.port=20000"]
+    port = plan.instances.where("cluster_id = 'gate only' AND kind = 'gate'").first().port
+    assert port == 20004  # after the four services of 'defaults' on the same host
+    assert doc[-4:] == ["http.server.host=localhost", f"http.server.port={port}",
+                        "application.host=localhost", f"application.port={port}"]
     init = plan.documents.where("cluster_id = 'gate only' AND kind = 'init'").first().document.split("\n")
     assert init == ["zk.connectString=localhost:2181", "zk.connectionTimeout=10000", "zk.sessionTimeout=30000",
                     "zk.retryPolicy.baseSleepTime=1000", "zk.retryPolicy.maxRetries=3",
@@ -115,25 +117,44 @@ def test_rules_and_topology(plan):
     rules = rows(plan.rules.where("cluster_id = 'size 3'"), "right", "path")
     assert rules == sorted((r, f"{RULE_PATH_PREFIX}{fx.API_KEY}.*.{r}") for r in ("read", "write", "manage"))
     topo = {r.kind: (r.topology, r.instances) for r in plan.topology.where("cluster_id = 'size 3'").collect()}
-    assert topo["gate"] == ("http://localhost:20000/,http://localhost:20001/,http://localhost:20002/", 3)
-    assert topo["stream-manager"][0].startswith("http://localhost:23000/")
+    ports = {r.kind: r.first_port for r in plan.ranges.where("cluster_id = 'size 3'").collect()}
+    gate = ports["gate"]
+    assert topo["gate"] == (f"http://localhost:{gate}/,http://localhost:{gate + 1}/,http://localhost:{gate + 2}/", 3)
+    assert topo["stream-manager"][0].startswith(f"http://localhost:{gate + 9}/")
     assert "init" not in topo
     assert plan.topology.where("cluster_id = 'all zero'").count() == 0
 
 
-def test_counts_and_endpoints_of_large_kinds(spark):
-    clusters = spark.createDataFrame([("big", None, 40, 1, 0, 2), ("small", "/x", 1, 0, 1, 0)], SCHEMA)
-    plain = deployment_plan(clusters)
-    assert plain.instances.where("cluster_id = 'big' AND kind = 'gate'").count() == 40
+def test_any_count_is_expanded(spark):
+    """1001 of a kind are 1001 documents; each has an endpoint of its own."""
+    clusters = spark.createDataFrame([("big", None, 1001, 1, 0, 2), ("small", "/x", 1, 0, 1, 0)], SCHEMA)
+    plan = deployment_plan(clusters)
+    assert plan.documents.where("cluster_id = 'big' AND kind = 'gate'").select("document").distinct().count() == 1001
+    assert plan.topology.where("cluster_id = 'big' AND kind = 'gate'").first().instances == 1001
+    assert plan.rejected.count() == 0
 
 
 def test_endpoints_never_repeat(spark):
-    """1000 instances fill a kind's ports; one more is rejected instead of running into the next kind's."""
-    clusters = spark.createDataFrame([("full", None, 1000, 1000, 3, 2), ("over", None, 1001, 1, 1, 1)], SCHEMA)
+    """Clusters share hosts; ports follow the order of cluster and kind on each."""
+    clusters = spark.createDataFrame([(f"c{i:03}", None, i % 4, 2, None, i % 7, f"h{i % 3}" if i % 5 else None) for i in range(200)],
+                                     SCHEMA + ", host string")
     plan = deployment_plan(clusters)
-    ends = [(r.cluster_id, r.host, r.port) for r in plan.instances.where("port is not null").collect()]
-    assert len(ends) == len(set(ends)) == 2005 + 3
-    assert [(r.cluster_id, r.kind, r["count"]) for r in plan.rejected.collect()] == [("over", "gate", 1001)]
-    hosted = deployment_plan(clusters.limit(1).selectExpr("*", "'h1' AS host"))
-    assert {r.host for r in hosted.instances.where("port is not null").collect()} == {"h1"}
-    assert hosted.topology.where("kind = 'stream-api'").first().topology == "http://h1:22000/,http://h1:22001/,http://h1:22002/"
+    ends = [(r.host, r.port) for r in plan.instances.where("port is not null").collect()]
+    assert len(ends) == len(set(ends)) == sum(i % 4 + 2 + 1 + i % 7 for i in range(200))
+    for host in {h for h, _ in ends}:
+        ports = sorted(p for h, p in ends if h == host)
+        assert ports == list(range(20000, 20000 + len(ports)))
+    assert plan.rejected.count() == 0
+
+
+def test_a_host_without_ports_left(spark):
+    clusters = spark.createDataFrame([("a", None, 4, 0, 0, 3, "h"), ("b", None, 5, 1, 0, 0, "h"), ("c", None, 2, 0, -3, 0, "g")],
+                                     SCHEMA + ", host string")
+    plan = deployment_plan(clusters, port_base=65526)
+    assert rows(plan.rejected) == [("b", "gate", "h", 5, 3, "no port"), ("b", "management-api", "h", 1, 0, "no port"),
+                                   ("c", "stream-api", "g", -3, 0, "count")]
+    planned = rows(plan.instances.where("port is not null"), "cluster_id", "kind", "instance_id", "port")
+    assert [p for *_, p in planned if p <= 65535] == [p for *_, p in planned] and len(planned) == 4 + 3 + 3 + 2
+    assert plan.documents.where("kind <> 'init'").count() == 12
+    assert rows(plan.topology, "cluster_id", "kind", "instances") == [("a", "gate", 4), ("a", "stream-manager", 3),
+                                                                     ("b", "gate", 3), ("c", "gate", 2)]

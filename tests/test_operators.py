@@ -27,13 +27,15 @@ from keelson.operators.joins import (
     conditional_refresh,
     expand_rights,
     keep_listed,
+    check_lookup,
     missing_keys,
+    observed_lookup,
     pending,
     require_keys,
     strict_lookup,
 )
 from keelson.operators.sets import expand_instances, ordered_union, rejected_counts
-from keelson.operators.windows import bounded_attempts
+from keelson.operators.windows import _ranged, bounded_attempts, number_rows, running_totals
 
 
 def test_keep_listed_keeps_duplicates(spark):
@@ -213,3 +215,54 @@ def test_property_table_replaces_only_what_is_written(spark, tmp_path):
     export_property_files(again, out, "ent")
     text = {e: "".join(open(f).read() for f in sorted(glob.glob(f"{out}/ent={e}/part-*.txt"))) for e in ("007", "x", "new")}
     assert text == {"007": "a=9\n", "x": "k=C:\\\\d\n", "new": "n=1\n"}
+
+
+@pytest.mark.parametrize("reverse", [False, True])
+def test_numbers_and_totals_without_a_task_for_a_group(spark, reverse):
+    """Two thirds of the rows in one group, null groups, clashing names: gapless numbers and exact sums."""
+    data = [(None if i % 17 == 0 else "hot" if i % 3 else f"g{i % 5}", -i if reverse else i, i % 11, "x") for i in range(4000)]
+    df = spark.createDataFrame(data, "g string, o long, v long, _part string").repartition(7)
+    want, total = {}, {}
+    for g, o, v, _ in sorted(data, key=lambda r: r[1]):
+        want[o] = (want.get(("n", g), 0), total.get(g, 0))
+        want["n", g] = want.get(("n", g), 0) + 1
+        total[g] = total.get(g, 0) + v
+    got = {r.o: r.number for r in number_rows(df, "g", "o").collect()}
+    assert got == {o: w[0] for o, w in want.items() if not isinstance(o, tuple)}
+    sums = running_totals(df, "g", "o", "v")
+    assert sums.columns == ["g", "o", "v", "_part", "before"]
+    assert {r.o: r.before for r in sums.collect()} == {o: w[1] for o, w in want.items() if not isinstance(o, tuple)}
+    # The hot group's rows lie in many tasks.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in _ranged(df.where("g = 'hot'"), ["g"], ["o"], "part", "row").groupBy("part").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) == 8 and max(sizes) < 0.25 * sum(sizes)
+    assert number_rows(df.limit(0), "g", "o").count() == 0
+
+
+def test_numbers_of_one_group(spark):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("o"))
+    assert rows(number_rows(df, [], "o"), "o", "number") == [(i, i) for i in range(1000)]
+
+
+def test_strict_lookup_refuses_a_repeated_key(spark):
+    dim = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (3, None)], "k int, v string")
+    with pytest.raises(Exception, match="repeated key"):
+        strict_lookup(spark.createDataFrame([(1,), (2,)], "k int"), dim, "k").collect()
+    assert rows(strict_lookup(spark.createDataFrame([(1,), (1,)], "k int"), dim, "k")) == [(1, "a"), (1, "a")]
+    assert strict_lookup(spark.createDataFrame([(3,)], "k int"), dim, "k").collect() == [(3, None)]
+
+
+def test_observed_lookup_counts_on_any_action(spark):
+    df = spark.createDataFrame([(1,), (1,), (2,), (9,), (None,)], "k int")
+    dim = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (3, "c")], "k int, v string")
+    out, seen = observed_lookup(df, dim, "k")
+    assert out.count() == 5  # reads no column, and doesn't multiply
+    assert seen.get == {"rows": 5, "missing": 2, "repeated": 1}
+    with pytest.raises(KeyError, match="2 with a missing key, 1 with a repeated"):
+        check_lookup(seen)
+    out, seen = observed_lookup(df.where("k = 1"), dim, "k")
+    assert rows(out) == [(1, "a"), (1, "a")]
+    check_lookup(seen)

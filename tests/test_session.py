@@ -1,5 +1,9 @@
 """Session helpers: shared folder resolution and stream settings; Kafka options."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 
 from keelson.session import ensure_streaming_conf, shared_path, shared_root
@@ -55,3 +59,14 @@ def test_a_cluster_needs_a_shared_folder():
     for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
         with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
             shared_root(Session(master))
+
+
+@pytest.mark.parametrize("blocked", ["tokenizers", "ahocorasick", "public_tokenizers", "keelson.llm", "corpus_pipeline"])
+def test_entry_without_an_optional_import(blocked):
+    """The library's own queries stay when what the training-data queries need cannot be imported."""
+    code = ("import sys; sys.modules[%r] = None; import __spark_entry__ as e; from keelson.plans.catalog import QUERIES; "
+            "assert set(QUERIES) <= set(e.queries()); print(len(e.queries()) - len(QUERIES))" % blocked)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout) == 0 or blocked == "corpus_pipeline"
