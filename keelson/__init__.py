@@ -56,6 +56,6 @@ from keelson.sources.manifest import (
 from keelson.sources.sinks import export_property_files, read_property_files, write_property_files
 from keelson.streaming.hop import append_hop, file_stream, kafka_options
 from keelson.streaming.readiness import readiness_stream
-from keelson.streaming.refresh import compact_log, refresh_stream, seed_log, snapshot_view
+from keelson.streaming.refresh import refresh_changes, refresh_stream, snapshot
 
 __version__ = "0.1.0"

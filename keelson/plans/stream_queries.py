@@ -21,10 +21,12 @@ from keelson.sources.sinks import read_property_files, write_property_files
 from keelson.sources.tables import Tables, table_glob, table_path
 from keelson.streaming.hop import append_hop, file_stream
 from keelson.streaming.readiness import readiness_stream
-from keelson.streaming.refresh import refresh_stream, seed_log, snapshot_view
+from keelson.streaming.refresh import refresh_stream, snapshot
 
 WATERMARK_DELAY = "10 minutes"
 READY_TIMEOUT = dt.timedelta(days=1)
+#: A judged user's marker leaves the state a year after the user's last event.
+FORGET = dt.timedelta(days=365)
 
 
 def events_stream(spark, sf_dir, max_files_per_trigger=None, source_dir=None):
@@ -56,16 +58,18 @@ def s3_property_files(spark, sf_dir):
     return read_property_files(spark, path, "user_id", "bigint").select("user_id", "line")
 
 
+# A key is judged when the watermark reaches the end of its deadline's ten-minute slot.
 T1_SQL = READINESS_SQL.replace(
     "FROM e\n",
-    "FROM e WHERE epoch_ms(s) + 86400001 <= (SELECT epoch_ms(max(ts)) - 600000 FROM events)\n")
+    "FROM e WHERE (epoch_us(s) + 86400000000 + 599999999) // 600000000 * 600000"
+    " <= (SELECT epoch_ms(max(ts)) - 600000 FROM events)\n")
 
 
-def run_readiness(spark, stream):
+def run_readiness(spark, stream, forget=FORGET):
     """Drain a T1 stream into a shared parquet table and read it back."""
     ensure_streaming_conf(spark)
     result = readiness_stream(stream, "user_id", "ts", F.col("event_type") == "purchase",
-                              READY_TIMEOUT, WATERMARK_DELAY)
+                              READY_TIMEOUT, WATERMARK_DELAY, forget=forget)
     base = shared_path(spark, "t1-readiness")
     append_hop(result, f"{base}/table", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/table")
@@ -89,7 +93,7 @@ SELECT coalesce(cur.o_orderkey, sto.o_orderkey) AS o_orderkey,
 FROM cur FULL OUTER JOIN sto ON cur.o_orderkey = sto.o_orderkey
 """)
 def j6_refresh_stream(spark, sf_dir):
-    """J6 as a stream: seed the older snapshot, stream current orders through it."""
+    """J6 as a stream: state that starts as the older snapshot, current orders streamed through it."""
     orders = Tables(spark, sf_dir).orders
     stored = (orders.where(F.col("o_orderdate") < F.lit(STORED_BEFORE).cast("timestamp_ntz"))
               .select("o_orderkey",
@@ -97,10 +101,8 @@ def j6_refresh_stream(spark, sf_dir):
                       .otherwise(F.col("o_orderstatus")).alias("etag"),
                       (-F.col("o_totalprice")).alias("price")))
     base = shared_path(spark, "j6-refresh")
-    log = f"{base}/log"
-    seed_log(stored, log, "o_orderkey")
     current = (file_stream(spark, table_glob(sf_dir, "orders"), orders.schema)
                .where(F.col("o_orderdate") >= F.lit(CURRENT_FROM).cast("timestamp_ntz"))
                .select("o_orderkey", F.col("o_orderstatus").alias("etag"), F.col("o_totalprice").alias("price"), "o_orderdate"))
-    refresh_stream(current, log, f"{base}/checkpoint", "o_orderkey", "etag", ["price"], order="o_orderdate")
-    return snapshot_view(spark, log, stored.schema, "o_orderkey")
+    refresh_stream(current, f"{base}/changes", f"{base}/checkpoint", "o_orderkey", "etag", ["price"], "o_orderdate", stored)
+    return snapshot(spark, f"{base}/checkpoint", stored)

@@ -1,160 +1,107 @@
-"""J6, streaming form: keep a keyed snapshot refreshed by version tag.
-
-Storage is an append-only refresh log, one directory per micro-batch and
-hash bucket of the key (``batch_id=<n>/bucket=<b>``).  Each batch of current
-records is compared with the snapshot as of the *previous* batches
-(``conditional_refresh``); only the ``new`` and ``modified`` rows are
-written, into that batch's directory with overwrite.  A retried batch
-(driver restart, lost executor) rewrites the same directory from the same
-inputs, so the log stays exactly-once without a transactional table format.
-A batch reads the log of the buckets that its keys fall in.
-
-The snapshot is the latest log entry per key (``snapshot_view``): one
-``max_by`` over the batch id, an aggregate with map-side combining.
-
-Where a key may occur several times, ``order`` names the columns that order
-its records; a batch then walks each key's records in that order, so the
-snapshot is the same from one batch and from many.  Without ``order`` a key
-that occurs twice in a batch is an error.  The log grows with every
-changed row; ``compact_log`` rotates it to a new location holding only the
-current snapshot, and the stream continues there on the same checkpoint.
+"""J6, streaming form: a keyed snapshot in Spark's state store, refreshed by version tag.
+
+The state of a key is its stored tag and values.  It starts from the rows of
+an initial snapshot (loaded once, with the first batch); then each record
+with another tag than the stored one replaces it, and the change is emitted.
+A record with the stored tag changes nothing; a NULL tag equals none.  State
+and commits are Spark's: a batch touches the keys that it brings, whatever
+was stored before, and a restart on the same checkpoint goes on where it was.
+``snapshot`` reads the stored rows back through the ``statestore`` source.
+
+Where a key may occur several times in a batch, ``order`` names the columns
+that order its records; they are taken in that order, so the snapshot is the
+same from one batch and from many.  Without ``order`` such a key is an error.
+A key's records of one batch meet in one task: bound the batch with
+``max_files_per_trigger`` where a key may be hot.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+import sys
+
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from keelson.functions._util import as_names
-from keelson.operators.joins import conditional_refresh
-
-BATCH = "batch_id"
-BUCKET = "bucket"
-BUCKETS = 16
-
-
-def bucket_of(keys: list[str]) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
-
-
-def _write(rows: DataFrame, keys: list[str], path: str) -> None:
-    """One directory per bucket; a bucket's rows are hashed over few files."""
-    (rows.withColumn(BUCKET, bucket_of(keys)).repartition(BUCKETS, BUCKET)
-     .write.mode("overwrite").partitionBy(BUCKET).parquet(path))
-
-
-def read_log(spark: SparkSession, log_path: str, schema: T.StructType) -> DataFrame:
-    """All log entries with their ``batch_id`` (empty frame if none yet)."""
-    full = T.StructType(list(schema.fields) + [T.StructField(BATCH, T.LongType()),
-                                               T.StructField(BUCKET, T.IntegerType())])
-    try:
-        return spark.read.schema(full).option("basePath", log_path).parquet(log_path)
-    except AnalysisException:  # no batch written yet
-        return spark.createDataFrame([], full)
-
-
-def snapshot_view(spark: SparkSession, log_path: str, schema: T.StructType, key,
-                  before_batch: int | None = None, only_keys: DataFrame | None = None) -> DataFrame:
-    """Latest entry per key, optionally only from batches before ``before_batch``
-    and only for the keys present in ``only_keys`` (filtered before aggregating)."""
-    keys = as_names(key)
-    log = read_log(spark, log_path, schema)
-    if before_batch is not None:
-        log = log.where(F.col(BATCH) < F.lit(before_batch))
-    if only_keys is not None:
-        touched = [r[BUCKET] for r in only_keys.select(bucket_of(keys).alias(BUCKET)).distinct().collect()]
-        log = log.where(F.col(BUCKET).isin(touched))  # at most BUCKETS values: prunes directories
-        log = log.join(only_keys.select(*keys).distinct(), keys, "left_semi")
-    others = [f.name for f in schema.fields if f.name not in keys]
-    latest = log.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col(BATCH)).alias("_s"))
-    return latest.select(*keys, *[F.col(f"_s.{c}").alias(c) for c in others])
-
-
-def compact_log(spark: SparkSession, log_path: str, new_log_path: str, schema: T.StructType, key) -> int:
-    """Rotate the log: write its current snapshot as one batch into ``new_log_path``.
-
-    The snapshot keeps the latest batch id seen, so a stream restarted on the
-    same checkpoint with ``log_path=new_log_path`` goes on writing later
-    batch ids after it.  The old log can then be removed by the caller.
-    Returns that batch id (-1 for an empty log).
-    """
-    log = read_log(spark, log_path, schema)
-    last = log.agg(F.max(BATCH).alias("m")).first().m
-    last = -1 if last is None else int(last)
-    _write(snapshot_view(spark, log_path, schema, key), as_names(key), f"{new_log_path}/{BATCH}={last}")
-    return last
-
-
-def seed_log(snapshot: DataFrame, log_path: str, key, batch_id: int = -1) -> None:
-    """Write an initial snapshot as the log's first entry (before any stream batch)."""
-    _write(snapshot, as_names(key), f"{log_path}/{BATCH}={batch_id}")
-
-
-def walk(rows: DataFrame, keys: list[str], etag: str, vals: list[str], order: list[str]) -> DataFrame:
-    """Each key's records of one batch in order, as one row: the last one whose tag
-    differs from the record's before it, and in ``_runs`` how many such there are.
-
-    A record with the tag of the one before it changes nothing (a NULL tag
-    equals none), so the snapshot holds the first record of the last run.
+from keelson.session import ensure_streaming_conf
+from keelson.streaming.hop import append_hop
+
+# Pickled by value, so that no state worker has to import this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+STATE = "stored"
+
+
+class RefreshProcessor(StatefulProcessor):
+    """Keeps the stored ``(tag, *values)`` of a key and emits what replaces it."""
+
+    def __init__(self, fields: list[str], orders: list[str], state_schema: T.StructType, out: list[str]):
+        self.fields, self.orders, self.state_schema, self.out = fields, orders, state_schema, out
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState(STATE, self.state_schema)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.state.update(tuple(initialState[f] for f in self.fields))
+
+    def handleInputRows(self, key, rows, timerValues):
+        records = list(rows)
+        if len(records) > 1:
+            if not self.orders:
+                raise ValueError(f"key occurs twice in a batch without an order: {tuple(key)}")
+            by = [*self.orders, *self.fields]
+            records.sort(key=lambda r: [(r[c] is not None, r[c] if r[c] is not None else 0) for c in by])
+        stored = self.state.get()
+        status = None
+        for r in records:
+            tag = r[self.fields[0]]
+            if stored is None:
+                status = "new"
+            elif tag is not None and tag == stored[0]:
+                continue
+            else:
+                status = status or "modified"
+            stored = tuple(r[f] for f in self.fields)
+        if status is not None:
+            self.state.update(stored)
+            yield Row(*self.out)(*key, status, *stored)
+
+    def close(self) -> None:
+        pass
+
+
+def refresh_changes(current: DataFrame, key, etag: str = "etag", values=(), order=(), stored: DataFrame | None = None) -> DataFrame:
+    """J6 over a stream: the changed rows ``(keys, status, etag, values)``, status ``new`` or ``modified``.
+
+    A key's last change of a batch is emitted.  ``stored``: the initial
+    snapshot, one row a key.
     """
-    at = Window.partitionBy(*keys).orderBy(*order, etag, *vals)
-    change = F.coalesce(F.col(etag) != F.lag(etag).over(at), F.lit(True))
-    marked = rows.withColumn("_change", change).where("_change")
-    last = F.max_by(F.struct(etag, *vals), F.struct(*order, etag, *vals)).alias("_s")
-    return (marked.groupBy(*keys).agg(last, F.count("*").alias("_runs"))
-            .select(*keys, *[F.col(f"_s.{c}").alias(c) for c in (etag, *vals)], "_runs"))
+    ensure_streaming_conf(current.sparkSession)
+    keys, vals, orders = as_names(key), as_names(values), as_names(order)
+    fields = [etag, *vals]
+    state_schema = T.StructType([T.StructField(f, current.schema[f].dataType) for f in fields])
+    out = T.StructType([*[current.schema[k] for k in keys], T.StructField("status", T.StringType()), *state_schema.fields])
+    rows = current.select(*dict.fromkeys([*keys, *fields, *orders])).groupBy(*keys)
+    start = None if stored is None else stored.select(*keys, *fields).groupBy(*keys)
+    return rows.transformWithState(RefreshProcessor(fields, orders, state_schema, out.names), out, "Append", "None", start)
 
 
-def require_unique(rows: DataFrame, keys: list[str]) -> None:
-    twice = rows.groupBy(*keys).count().where("count > 1").limit(1).collect()
-    if twice:
-        raise ValueError(f"key occurs twice in a batch without an order: {twice[0].asDict()}")
+def refresh_stream(current: DataFrame, changes_path: str, checkpoint: str, key, etag: str = "etag", values=(), order=(),
+                   stored: DataFrame | None = None):
+    """Drain a stream of current records through ``refresh_changes`` into a table of changes."""
+    return append_hop(refresh_changes(current, key, etag, values, order, stored), changes_path, checkpoint)
 
 
-def refresh_stream(current: DataFrame, log_path: str, checkpoint: str, key, etag: str = "etag",
-                   values=(), wait: bool = True, order=()):
-    """Run J6 over a stream of current records with ``foreachBatch``.
+def snapshot(spark: SparkSession, checkpoint: str, stored: DataFrame | None = None) -> DataFrame:
+    """The stored rows ``(keys, etag, values)`` after the last batch of the query with this checkpoint.
 
-    ``order``: columns that order a key's records (see the module's text);
-    records must reach the stream in that order from batch to batch.
+    Before a first batch (a source without files) that is ``stored``.
     """
-    keys = as_names(key)
-    vals = as_names(values)
-    orders = as_names(order)
-    schema = T.StructType([current.schema[c] for c in [*keys, etag, *vals]])
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        # The batch is read several times (its keys, then the comparison): keep
-        # it for the duration of this batch instead of re-reading the source.
-        if orders:
-            rows = walk(batch.select(*dict.fromkeys([*schema.fieldNames(), *orders])), keys, etag, vals, orders)
-        else:
-            rows = batch.select(*schema.fieldNames(), F.lit(1).alias("_runs"))
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            if not orders:
-                require_unique(rows, keys)
-            # Only keys of this batch matter: log entries of other keys are
-            # dropped by a semi join before the snapshot's aggregate.
-            stored = snapshot_view(spark, log_path, schema, keys, before_batch=batch_id, only_keys=rows)
-            result = conditional_refresh(rows.where("_runs = 1"), stored, keys, etag, vals)
-            changed = result.where(F.col("status").isin("new", "modified")).select(*schema.fieldNames())
-            # Two runs or more replaced the stored row at least once, whatever its tag.
-            again = rows.where("_runs > 1").select(*schema.fieldNames())
-            _write(changed.unionByName(again), keys, f"{log_path}/{BATCH}={batch_id}")
-        finally:
-            rows.unpersist()
-
-    q = (current.writeStream.foreachBatch(apply)
-         .option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    if wait:
-        q.awaitTermination()
-        if q.exception() is not None:
-            raise RuntimeError(f"refresh stream failed: {q.exception()}")
-    return q
+    commits = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
+    fs = commits.getFileSystem(spark._jsc.hadoopConfiguration())
+    if stored is not None and not (fs.exists(commits) and len(fs.listStatus(commits))):
+        return stored
+    return (spark.read.format("statestore").option("stateVarName", STATE).load(checkpoint)
+            .select("key.*", "value.*"))

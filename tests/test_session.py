@@ -7,7 +7,7 @@ import sys
 import pytest
 
 from keelson.session import ensure_streaming_conf, shared_path, shared_root
-from keelson.streaming.hop import kafka_options
+from keelson.streaming.hop import KAFKA_SESSION_CONF, kafka_options
 
 
 def test_shared_root_uses_session_checkpoint_dir(spark):
@@ -31,6 +31,7 @@ def test_kafka_options():
     assert sink["kafka.retries"] == "4" and sink["kafka.retry.backoff.ms"] == "250"
     src = kafka_options("b:9092", "source")
     assert src == {"kafka.bootstrap.servers": "b:9092", "kafkaConsumer.pollTimeoutMs": "250"}
+    assert KAFKA_SESSION_CONF == {"spark.kafka.consumer.cache.capacity": "30"}
     with pytest.raises(ValueError):
         kafka_options("b", "both")
 

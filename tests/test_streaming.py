@@ -14,15 +14,17 @@ from keelson.sources.tables import Tables
 from keelson.streaming.hop import append_hop, file_stream
 
 DELAY_MS = 10 * 60 * 1000
+SLOT_MS = 10 * 60 * 1000
 
 
 def expected_ready(spark, events):
-    """A6 restricted to keys whose deadline the final watermark has passed."""
+    """A6 restricted to keys whose deadline's slot the final watermark has passed."""
     a6 = first_success_within(events.select("user_id", "ts", (F.col("event_type") == "purchase").alias("ok")),
                               "user_id", "ts", "ok", READY_TIMEOUT)
     wm = events.agg((F.unix_millis(F.max(F.col("ts").cast("timestamp"))) - DELAY_MS).alias("wm")).first().wm
     timeout_ms = int(READY_TIMEOUT.total_seconds() * 1000)
-    done = a6.where(F.unix_millis(F.col("started").cast("timestamp")) + timeout_ms + 1 <= F.lit(wm))
+    deadline = F.unix_micros(F.col("started").cast("timestamp")) + timeout_ms * 1000
+    done = a6.where(F.ceil(deadline / (SLOT_MS * 1000)) * SLOT_MS <= F.lit(wm))
     return rows(done, "user_id", "ready", "seconds", "status")
 
 
@@ -83,26 +85,21 @@ def test_s2_restart_adds_no_duplicates(spark):
     assert total.count() == spark.read.parquet(src).count()
 
 
-def test_t1_late_row_is_dropped(spark):
-    """A success that arrives after the watermark passed its deadline does not change the result."""
-    base = tempfile.mkdtemp(prefix="keelson-late-")
+def test_t1_late_row_is_dropped(spark, tmp_path):
+    """A success that arrives after its key was judged does not change the result, nor is an early start taken late."""
+    stream = user_events(spark, f"{tmp_path}/src", [
+        [(1, 0, "view"), (2, 72, "view"), (3, 50, "view")],
+        [(2, 73, "view")],                                       # user 1 is judged in this batch
+        [(1, 1, "purchase"), (3, 1, "view"), (2, 74, "purchase")],  # hours 1 are late, hour 74 is not
+        [(4, 150, "view")]])
+    got = rows(run_readiness(spark, stream), "user_id", "started", "ready", "status")
     t0 = dt.datetime(2024, 1, 1)
-    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    first = spark.createDataFrame([(1, t0, 1, "view", 0.0, None),
-                                   (2, t0 + dt.timedelta(days=3), 2, "view", 0.0, None)], schema)
-    late = spark.createDataFrame([(3, t0 + dt.timedelta(hours=1), 1, "purchase", 0.0, None),
-                                  (4, t0 + dt.timedelta(days=3, hours=1), 2, "purchase", 0.0, None)], schema)
-    first.coalesce(1).write.parquet(f"{base}/src")
-    late.coalesce(1).write.mode("append").parquet(f"{base}/src")
-    stream = file_stream(spark, f"{base}/src", spark.read.parquet(f"{base}/src").schema, max_files_per_trigger=1)
-    got = rows(run_readiness(spark, stream), "user_id", "ready", "status")
-    # User 1's purchase is late (its deadline passed with the first file): timed out.
-    # User 2's deadline is beyond the final watermark: not emitted.
-    assert got == [(1, False, "timed_out")]
+    assert got == [(1, t0, False, "timed_out"), (2, t0 + dt.timedelta(hours=72), True, "ready"),
+                   (3, t0 + dt.timedelta(hours=50), False, "timed_out")]
 
 
 def test_refresh_stream_across_batches(spark):
-    from keelson.streaming.refresh import refresh_stream, snapshot_view
+    from keelson.streaming.refresh import refresh_stream, snapshot
     base = tempfile.mkdtemp(prefix="keelson-refresh-")
     schema = "k string, etag string, v double"
     batches = [[("k1", "a", 1.0), ("k2", "b", 2.0)],
@@ -113,11 +110,41 @@ def test_refresh_stream_across_batches(spark):
     src_schema = spark.read.parquet(f"{base}/src").schema
     for _ in range(2):  # the rerun on one checkpoint changes nothing
         stream = file_stream(spark, f"{base}/src", src_schema, max_files_per_trigger=1)
-        refresh_stream(stream, f"{base}/log", f"{base}/ckpt", "k", "etag", ["v"])
-    snap = snapshot_view(spark, f"{base}/log", src_schema, "k")
-    assert rows(snap, "k", "etag", "v") == [("k1", "b", 10.0), ("k2", "b", 2.0), ("k3", "c", 3.0)]
-    log = spark.read.parquet(f"{base}/log")
-    assert log.count() == 4  # k1 twice (new, modified), k2, k3; the unchanged k1 is not rewritten
+        refresh_stream(stream, f"{base}/changes", f"{base}/ckpt", "k", "etag", ["v"])
+    want = [("k1", "b", 10.0), ("k2", "b", 2.0), ("k3", "c", 3.0)]
+    assert rows(snapshot(spark, f"{base}/ckpt"), "k", "etag", "v") == want
+    # Only changes are written; the unchanged k1 is not.
+    assert rows(spark.read.parquet(f"{base}/changes"), "k", "status", "v") == [
+        ("k1", "modified", 10.0), ("k1", "new", 1.0), ("k2", "new", 2.0), ("k3", "new", 3.0)]
+    # A restart after new files goes on with the state.
+    spark.createDataFrame([("k2", "z", 20.0), ("k1", "b", 5.0)], schema).coalesce(1).write.mode("append").parquet(f"{base}/src")
+    refresh_stream(file_stream(spark, f"{base}/src", src_schema), f"{base}/changes", f"{base}/ckpt", "k", "etag", ["v"])
+    assert rows(snapshot(spark, f"{base}/ckpt"), "k", "etag", "v") == [("k1", "b", 10.0), ("k2", "z", 20.0), ("k3", "c", 3.0)]
+
+
+def test_refresh_work_follows_the_batch(spark, tmp_path):
+    """With 500 stored keys, a later batch of two records updates two."""
+    from keelson.streaming.refresh import refresh_stream, snapshot
+    stored = spark.range(500).selectExpr("id AS k", "'t' AS etag", "id * 1.0D AS v")
+    src = f"{tmp_path}/src"
+    schema = stored.schema
+    spark.createDataFrame([(1, "u", 0.5)], schema).coalesce(1).write.parquet(src)
+    spark.createDataFrame([(2, "t", 0.5), (3, "w", 0.5)], schema).coalesce(1).write.mode("append").parquet(src)
+    q = refresh_stream(file_stream(spark, src, schema, max_files_per_trigger=1), f"{tmp_path}/changes", f"{tmp_path}/ckpt", "k",
+                       "etag", ["v"], stored=stored)
+    updates = [p["stateOperators"][0]["numRowsUpdated"] for p in q.recentProgress if p["numInputRows"]]
+    assert len(updates) == 2 and updates[0] >= 500 and updates[1] <= 2
+    got = snapshot(spark, f"{tmp_path}/ckpt", stored)
+    assert got.count() == 500 and rows(got.where("v = 0.5"), "k", "etag") in ([(1, "u"), (3, "w")],)
+
+
+def test_refresh_of_an_empty_source_keeps_the_snapshot(spark, tmp_path):
+    from keelson.streaming.refresh import refresh_stream, snapshot
+    stored = spark.createDataFrame([("a", "t", 1.0)], "k string, etag string, v double")
+    (tmp_path / "src").mkdir()
+    refresh_stream(file_stream(spark, f"{tmp_path}/src", stored.schema), f"{tmp_path}/changes", f"{tmp_path}/ckpt", "k", "etag", ["v"],
+                   stored=stored)
+    assert rows(snapshot(spark, f"{tmp_path}/ckpt", stored)) == [("a", "t", 1.0)]
 
 
 def test_t1_resume_from_checkpoint_equals_one_run(spark):
@@ -150,31 +177,51 @@ def test_t1_resume_from_checkpoint_equals_one_run(spark):
     assert got == expected_ready(spark, Tables(spark, SF001).events)
 
 
-def test_refresh_log_compaction_and_continue(spark):
-    """Rotate the log to its snapshot, continue the stream there: same snapshot as without rotation."""
-    from keelson.streaming.refresh import compact_log, refresh_stream, snapshot_view
-    base = tempfile.mkdtemp(prefix="keelson-compact-")
-    schema = "k string, etag string, v double"
-    first = [[("k1", "a", 1.0), ("k2", "b", 2.0)], [("k1", "b", 10.0), ("k3", "c", 3.0)]]
-    later = [[("k2", "z", 20.0), ("k4", "d", 4.0)], [("k1", "b", 99.0)]]
-    for b in first:
-        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(f"{base}/src")
-    src_schema = spark.read.parquet(f"{base}/src").schema
+def user_events(spark, path, spec):
+    """One file a batch of ``(user, hours, type)`` from 2024-01-01."""
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    t0 = dt.datetime(2024, 1, 1)
+    for batch in spec:
+        data = [(i, t0 + dt.timedelta(hours=h), u, kind, 0.0, None) for i, (u, h, kind) in enumerate(batch)]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(path)
+    return file_stream(spark, path, spark.read.parquet(path).schema, max_files_per_trigger=1)
 
-    def run(log):
-        refresh_stream(file_stream(spark, f"{base}/src", src_schema, max_files_per_trigger=1),
-                       log, f"{base}/ckpt", "k", "etag", ["v"])
 
-    run(f"{base}/log1")
-    last = compact_log(spark, f"{base}/log1", f"{base}/log2", src_schema, "k")
-    assert last == 1
-    assert spark.read.parquet(f"{base}/log2").count() == 3
-    for b in later:
-        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(f"{base}/src")
-    run(f"{base}/log2")
-    snap = snapshot_view(spark, f"{base}/log2", src_schema, "k")
-    assert rows(snap, "k", "etag", "v") == [("k1", "b", 10.0), ("k2", "z", 20.0), ("k3", "c", 3.0),
-                                            ("k4", "d", 4.0)]
+def test_t1_state_leaves(spark, tmp_path):
+    """A judged key's marker goes once it was silent for ``forget``; one that comes back starts anew."""
+    from keelson.session import ensure_streaming_conf
+    from keelson.streaming.readiness import STATE, readiness_stream
+    ensure_streaming_conf(spark)
+    stream = user_events(spark, f"{tmp_path}/src", [
+        [(1, 0, "view"), (1, 1, "purchase"), (2, 0, "view"), (9, 40, "view")],
+        [(2, 41, "view"), (9, 90, "view")],                       # user 2 shows up again: its marker stays longer
+        [(1, 91, "view"), (2, 91, "purchase"), (9, 200, "view")],  # user 1 was forgotten, user 2 was not
+        [(9, 201, "view")]])
+    result = readiness_stream(stream, "user_id", "ts", F.col("event_type") == "purchase", READY_TIMEOUT, "10 minutes",
+                              forget=dt.timedelta(hours=60))
+    append_hop(result, f"{tmp_path}/table", f"{tmp_path}/ckpt")
+    got = rows(spark.read.parquet(f"{tmp_path}/table").where("user_id < 9"), "user_id", "started", "status")
+    t0 = dt.datetime(2024, 1, 1)
+    assert got == [(1, t0, "ready"), (1, t0 + dt.timedelta(hours=91), "timed_out"), (2, t0, "timed_out")]
+    state = spark.read.format("statestore").option("stateVarName", STATE).option("operatorId", 0).load(f"{tmp_path}/ckpt")
+    left = rows(state.select("key.user_id", "value.done"))
+    assert left == [(9, True)]  # silent users left the state
+
+
+def test_t1_combines_a_hot_key_before_the_shuffle(spark, tmp_path):
+    """A third of the rows on one key: the plan combines below the exchange, and few rows reach the processor."""
+    from keelson.session import ensure_streaming_conf
+    from keelson.streaming.readiness import readiness_stream
+    ensure_streaming_conf(spark)
+    batch = [(i % 30 if i % 3 else 0, (i % 600) / 100, "view") for i in range(3000)]
+    stream = user_events(spark, f"{tmp_path}/src", [batch, [(99, 100, "view")]])
+    result = readiness_stream(stream, "user_id", "ts", F.col("event_type") == "purchase", READY_TIMEOUT, "10 minutes")
+    q = append_hop(result, f"{tmp_path}/table", f"{tmp_path}/ckpt")
+    plan = q._jsq.explainInternal(False)
+    assert "partial_min" in plan[plan.index("Exchange"):]
+    slots = max(o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"] if o["operatorName"] == "stateStoreSave")
+    assert slots <= 21 * 37 + 1  # users x ten-minute slots of six hours, not rows
+    assert spark.read.parquet(f"{tmp_path}/table").where("user_id = 0").count() == 1
 
 
 def test_t1_is_independent_of_session_time_zone(spark):
@@ -212,8 +259,8 @@ def test_t1_is_independent_of_session_time_zone(spark):
 
 @pytest.mark.parametrize("per_trigger", [None, 1])
 def test_refresh_snapshot_does_not_depend_on_batches(spark, tmp_path, per_trigger):
-    """The same records in one batch and in one per file give the same snapshot and the same log rows per key."""
-    from keelson.streaming.refresh import refresh_stream, seed_log, snapshot_view
+    """The same records in one batch and in one per file give the same snapshot."""
+    from keelson.streaming.refresh import refresh_stream, snapshot
     schema = "k string, etag string, v double, at int"
     batches = [[("k1", "a", 1.0, 1), ("k2", "b", 2.0, 1), ("s", "t", 9.0, 1)], [("k1", "b", 10.0, 2), ("k3", None, 3.0, 2)],
                [("k1", "b", 99.0, 3), ("k3", None, 4.0, 3), ("s", "t", 8.0, 3)], [("k2", "c", 5.0, 4)], [("k2", "b", 6.0, 5)]]
@@ -221,11 +268,10 @@ def test_refresh_snapshot_does_not_depend_on_batches(spark, tmp_path, per_trigge
         spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/src")
     src = spark.read.parquet(f"{tmp_path}/src").schema
     kept = spark.createDataFrame([("s", "t", 7.0), ("only", "o", 1.0)], "k string, etag string, v double")
-    seed_log(kept, f"{tmp_path}/log", "k")
     stream = file_stream(spark, f"{tmp_path}/src", src, max_files_per_trigger=per_trigger)
-    refresh_stream(stream, f"{tmp_path}/log", f"{tmp_path}/ckpt", "k", "etag", ["v"], order="at")
-    snap = snapshot_view(spark, f"{tmp_path}/log", kept.schema, "k")
-    assert rows(snap, "k", "etag", "v") == [("k1", "b", 10.0), ("k2", "b", 6.0), ("k3", None, 4.0), ("only", "o", 1.0), ("s", "t", 7.0)]
+    refresh_stream(stream, f"{tmp_path}/changes", f"{tmp_path}/ckpt", "k", "etag", ["v"], order="at", stored=kept)
+    assert rows(snapshot(spark, f"{tmp_path}/ckpt", kept), "k", "etag", "v") == [
+        ("k1", "b", 10.0), ("k2", "b", 6.0), ("k3", None, 4.0), ("only", "o", 1.0), ("s", "t", 7.0)]
 
 
 def test_refresh_without_order_rejects_a_repeated_key(spark, tmp_path):
@@ -234,7 +280,7 @@ def test_refresh_without_order_rejects_a_repeated_key(spark, tmp_path):
     spark.createDataFrame([("k1", "a", 1.0), ("k1", "b", 2.0)], schema).coalesce(1).write.parquet(f"{tmp_path}/src")
     stream = file_stream(spark, f"{tmp_path}/src", spark.read.parquet(f"{tmp_path}/src").schema)
     with pytest.raises(Exception, match="occurs twice"):
-        refresh_stream(stream, f"{tmp_path}/log", f"{tmp_path}/ckpt", "k", "etag", ["v"])
+        refresh_stream(stream, f"{tmp_path}/changes", f"{tmp_path}/ckpt", "k", "etag", ["v"])
 
 
 @pytest.mark.parametrize("name", ["s2_append_hop", "t1_readiness_stream", "j6_refresh_stream"])
