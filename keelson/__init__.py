@@ -21,17 +21,20 @@ from keelson.operators.aggregates import (
     render_properties,
     resolve_properties,
     topology,
-    topology_array,
+    topology_pages,
     topology_pieces,
     unique_index,
 )
 from keelson.operators.joins import (
+    check_lookup,
     conditional_refresh,
     expand_rights,
     expand_template,
     keep_listed,
     missing_keys,
+    observed_lookup,
     pending,
+    pending_filtered,
     require_keys,
     strict_lookup,
 )
@@ -44,11 +47,13 @@ from keelson.operators.select import (
     with_defaults,
 )
 from keelson.operators.sets import expand_instances, ordered_union, rejected_counts
-from keelson.operators.windows import bounded_attempts, first_attempts
+from keelson.operators.windows import bounded_attempts, first_attempts, number_rows, running_totals
 from keelson.plans.deployment import deployment_plan
+from keelson.sources.cached import cached_items, quarantined, read_cached, write_cached
 from keelson.sources.manifest import (
     decode_document,
     pack_manifest,
+    pack_pages,
     quarantine_document,
     quarantine_manifest,
     unpack_manifest,

@@ -4,31 +4,54 @@ topology lists and readiness with a deadline (A1-A6).
 Every aggregate here is one Catalyst ``Aggregate``.  Count, min, max_by and
 every combine map-side, so a hot key is a row a task at the shuffle; a
 ``collect_list`` does not shrink (its buffer holds every value) and is used
-only where the value itself is the result.  (``max_by`` over a string value plans as a sort-based
-aggregate; it is still partial and spill-safe.)
+only where the value itself is the result.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelson.functions._util import as_col, as_cols, as_names
+from keelson.functions.order import packed_order
 from keelson.functions.text import escape_backslash, service_uri
 from keelson.functions.times import elapsed_micros
+from keelson.operators.windows import number_rows
 
 
 # --------------------------------------------------------------------- A1
-def duplicate_keys(df: DataFrame, key) -> DataFrame:
-    """A1 report: every key value that occurs more than once, with its count."""
-    keys = as_names(key)
+#: Slots of the fixed-size count that goes before an exact one.
+SLOTS = 1 << 24
+
+
+def _counted(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("count")).where(F.col("count") > 1)
 
 
-def unique_index(df: DataFrame, key, on_duplicate: str = "fail") -> DataFrame:
+def duplicate_keys(df: DataFrame, key, slots: int | None = None) -> DataFrame:
+    """A1 report: every key value that occurs more than once, with its count.
+
+    With ``slots`` (such as ``SLOTS``; worth it for wide keys that rarely
+    repeat) rows are first counted by a hash of the key into that many slots:
+    a table of fixed size, whatever the number and width of the keys.  Only
+    rows of a slot that was met twice can be duplicates; those are counted
+    exactly, so the keys that cross the second shuffle fall to them.  Where
+    all slots are met twice the result is the same and only the saving goes.
+    """
+    keys = as_names(key)
+    if slots is None:
+        return _counted(df, keys)
+    slot = F.pmod(F.xxhash64(*keys), F.lit(slots))
+    twice = df.groupBy(slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_slot")
+    possible = df.select(*keys, slot.alias("_slot")).join(twice, "_slot", "left_semi")
+    return _counted(possible, keys)
+
+
+def unique_index(df: DataFrame, key, on_duplicate: str = "fail", slots: int | None = None) -> DataFrame:
     """A1: make ``key`` an enforced unique key of ``df``.
 
     ``on_duplicate``:
@@ -37,7 +60,7 @@ def unique_index(df: DataFrame, key, on_duplicate: str = "fail") -> DataFrame:
         driver) and raise ``ValueError``; else return ``df``.
       * ``"report"`` – return the duplicate report instead (lazy).
     """
-    report = duplicate_keys(df, key)
+    report = duplicate_keys(df, key, slots)
     if on_duplicate == "report":
         return report
     if on_duplicate != "fail":
@@ -68,14 +91,33 @@ def resolve_properties(writes: DataFrame, entity, key: str, value: str, order,
     """A3: last write wins per ``(entity, key)``; keep the first write's position.
 
     ``order`` columns must be unique within an entity (e.g. ``(ts, id)``) so
-    the winner is deterministic.  ``pos`` is ``struct(order...)`` of the
-    first write, the order in which the key entered the document.
+    the winner is deterministic (of equal ones the largest value wins).
+    ``pos`` is ``struct(order...)`` of the first write, the order in which
+    the key entered the document.
+
+    Where the order columns fit in one number (``packed_order``), values stay
+    out of the aggregate: a hash aggregate finds each key's largest and
+    smallest order, and the winner's value is fetched by a join on entity,
+    key and order — a broadcast where AQE measures the winners as small, and
+    otherwise a join whose rows the order spreads, however hot a key is.
+    Other orders are resolved by ``max_by`` (a sort aggregate).
     """
     ents = as_names(entity)
-    seq = F.struct(*as_cols(order))
-    return (writes.groupBy(*ents, key)
-            .agg(F.max_by(F.col(value), seq).alias(value),
-                 F.min(seq).alias(pos)))
+    orders = as_names(order)
+    packed = packed_order(writes.schema, orders)
+    if packed is None:
+        seq = F.struct(*as_cols(orders))
+        return writes.groupBy(*ents, key).agg(F.max_by(F.col(value), seq).alias(value), F.min(seq).alias(pos))
+    number, unpack = packed
+    keys = [*ents, key]
+    rows = writes.select(*keys, F.col(value).alias("_value"), number.alias("_at"))
+    found = rows.groupBy(*keys).agg(F.max("_at").alias("_last"), F.min("_at").alias("_first"))
+    found = found.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_last", "_first")
+    match = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_at") == F.col("_last")]
+    won = rows.join(found, reduce(lambda a, b: a & b, match))
+    # One row a key, unless writes of the same order tie.
+    return (won.groupBy(*keys).agg(F.array_max(F.collect_set("_value")).alias(value), F.min("_first").alias("_first"))
+            .select(*keys, value, unpack(F.col("_first")).alias(pos)))
 
 
 # --------------------------------------------------------------------- A4
@@ -165,14 +207,18 @@ def topology(services: DataFrame, group, host: str, port: str, order: str,
                  F.sum("n").alias("instances")))
 
 
-def topology_array(services: DataFrame, group, host: str, port: str, order: str,
-                   out: str = "uris") -> DataFrame:
-    """A5, array form: ``array<string>`` of URIs per group in ``order`` order."""
+def topology_pages(services: DataFrame, group, host: str, port: str, order, page_rows: int = 4096, sep: str = ",") -> DataFrame:
+    """A5 in pages of ``page_rows`` endpoints: ``(group, page, piece, n)``, whatever the order's values.
+
+    ``topology_pieces`` cuts by the value of an integral order, so its pieces
+    may hold few rows; here rows are numbered first (``number_rows``), so
+    every page but a group's last is full.
+    """
     grp = as_names(group)
-    uri = service_uri(F.col(host), F.col(port))
-    return (services.groupBy(*grp)
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), uri.alias("u")))),
-                             lambda x: x["u"]).alias(out)))
+    numbered = number_rows(services.select(*grp, *as_names(order), service_uri(F.col(host), F.col(port)).alias("_u")), grp, order, "_n")
+    listed = F.array_sort(F.collect_list(F.struct("_n", "_u")))
+    return (numbered.groupBy(*grp, F.expr(f"_n div {int(page_rows)}").alias("page"))
+            .agg(F.array_join(F.transform(listed, lambda x: x["_u"]), sep).alias("piece"), F.count(F.lit(1)).alias("n")))
 
 
 # --------------------------------------------------------------------- A6
@@ -222,6 +268,6 @@ def all_running(state: DataFrame, kinds: DataFrame, kind: str = "kind",
 
 __all__ = [
     "duplicate_keys", "unique_index", "all_of", "all_running", "resolve_properties",
-    "collect_properties", "render_document", "render_properties", "property_lines", "topology", "topology_pieces", "topology_array",
+    "collect_properties", "render_document", "render_properties", "property_lines", "topology", "topology_pieces", "topology_pages",
     "first_success_within", "judge_readiness",
 ]

@@ -10,7 +10,9 @@ combines map-side, so a key repeated millions of times costs one row a task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from keelson.functions._util import as_col, as_names
@@ -43,6 +45,43 @@ def pending(df: DataFrame, done: DataFrame, on) -> DataFrame:
     return df.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
+#: Bits of the filter over done keys: 131,072 words of 64 bits.
+FILTER_BITS = 1 << 23
+
+
+def pending_filtered(df: DataFrame, done: DataFrame, on, bits: int = FILTER_BITS) -> DataFrame:
+    """J2 for few done keys beside many rows: what is surely not done skips the join.
+
+    A Bloom filter of fixed size is built from ``done`` (two hash bits a key,
+    merged word by word before and after its shuffle) and broadcast, at most
+    ``bits / 64`` rows.  A row that misses a bit is pending for certain and is
+    not shuffled; the others are confirmed by ``pending``.  A full filter
+    lets all rows through to the join, with the same result.
+    """
+    keys = as_names(on)
+    words = bits // 64
+
+    def places(cols) -> list[tuple[Column, Column]]:
+        h = F.xxhash64(*cols)
+        # The low and the high half of one 64-bit hash.
+        return [(F.pmod(x, F.lit(words)).cast("int"), F.pmod(F.shiftright(x, 20), F.lit(64)).cast("int"))
+                for x in (h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))]
+
+    hit = F.explode(F.array(*[F.struct(w.alias("word"), b.alias("bit")) for w, b in places([F.col(k) for k in keys])]))
+    word = done.select(hit.alias("h")).groupBy(F.col("h.word").alias("_word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h.bit"))).alias("_bits"))
+    marked = df
+    tests = []
+    for i, (w, b) in enumerate(places([F.col(k) for k in keys])):
+        marked = marked.withColumns({f"_word{i}": w, f"_bit{i}": b})
+        side = F.broadcast(word.select(F.col("_word").alias(f"_word{i}"), F.col("_bits").alias(f"_bits{i}")))
+        marked = marked.join(side, f"_word{i}", "left")
+        tests.append(F.getbit(F.coalesce(F.col(f"_bits{i}"), F.lit(0).cast("long")), F.col(f"_bit{i}")) == 1)
+    maybe = reduce(lambda x, y: x & y, tests)
+    sure = marked.where(~maybe).select(*df.columns)
+    return sure.unionByName(pending(marked.where(maybe).select(*df.columns), done, keys))
+
+
 # --------------------------------------------------------------------- J3
 def _one_per_key(dim: DataFrame, keys: list[str], values: list[str], unique: bool) -> DataFrame:
     """``dim`` with one row a key: ``_found`` (its values) and ``_times`` (how often the key stands there)."""

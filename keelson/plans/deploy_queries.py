@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keelson.operators.aggregates import topology, topology_pieces
+from keelson.operators.aggregates import topology, topology_pages, topology_pieces
 from keelson.operators.joins import RULE_PATH_PREFIX, expand_template
 from keelson.operators.select import select_kind
 from keelson.operators.sets import expand_instances, ordered_union, rejected_counts
@@ -100,14 +100,30 @@ def j4_expand_template(spark, sf_dir):
 
 
 @register("a5_topology", """
-SELECT s_nationkey,
+SELECT s_nationkey, s_suppkey // 1000 AS site,
        string_agg('http://localhost:' || CAST(s_suppkey AS VARCHAR) || '/', ',' ORDER BY s_suppkey) AS topology,
        count(*) AS instances
-FROM supplier GROUP BY s_nationkey
+FROM supplier GROUP BY s_nationkey, s_suppkey // 1000
 """)
 def a5_topology(spark, sf_dir):
-    supp = Tables(spark, sf_dir).supplier.select("s_nationkey", "s_suppkey", F.lit("localhost").alias("host"))
-    return topology(supp, "s_nationkey", "host", "s_suppkey", "s_suppkey", chunk=16)
+    """One readable list a nation and site; a site has a thousand suppliers at most."""
+    supp = Tables(spark, sf_dir).supplier.select("s_nationkey", F.expr("s_suppkey div 1000").alias("site"), "s_suppkey",
+                                                 F.lit("localhost").alias("host"))
+    return topology(supp, ["s_nationkey", "site"], "host", "s_suppkey", "s_suppkey", chunk=16)
+
+
+@register("a5_topology_pages", """
+WITH n AS (SELECT s_nationkey, 's' || CAST(s_nationkey AS VARCHAR) || '.local' AS host, s_suppkey,
+                  row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name DESC, s_suppkey) - 1 AS n FROM supplier)
+SELECT s_nationkey, n // 16 AS page,
+       string_agg('http://' || host || ':' || CAST(s_suppkey AS VARCHAR) || '/', ',' ORDER BY n) AS piece, count(*) AS n
+FROM n GROUP BY s_nationkey, n // 16
+""")
+def a5_topology_pages(spark, sf_dir):
+    """Full pages of 16 endpoints in an order that is not a number."""
+    supp = Tables(spark, sf_dir).supplier.withColumn("host", F.format_string("s%d.local", "s_nationkey"))
+    return topology_pages(supp.withColumn("down", F.translate("s_name", "0123456789", "9876543210")), "s_nationkey", "host",
+                          "s_suppkey", ["down", "s_suppkey"], page_rows=16)
 
 
 @register("a5_topology_pieces", """

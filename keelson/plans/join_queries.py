@@ -21,6 +21,7 @@ from keelson.operators.joins import (
     missing_keys,
     observed_lookup,
     pending,
+    pending_filtered,
     strict_lookup,
 )
 from keelson.plans.registry import register
@@ -59,6 +60,17 @@ def j2_pending(spark, sf_dir):
     return pending(t.orders.select("o_orderkey", "o_custkey"), done, "o_orderkey")
 
 
+@register("j2_pending_filtered", """
+SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem
+WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')
+""")
+def j2_pending_filtered(spark, sf_dir):
+    """Lines of orders that are not urgent: lines that the filter rules out skip the join."""
+    t = Tables(spark, sf_dir)
+    done = t.orders.where(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_orderkey").alias("l_orderkey"))
+    return pending_filtered(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), done, "l_orderkey")
+
+
 @register("j3_strict_lookup", """
 SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, o.o_custkey, o.o_orderstatus
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey

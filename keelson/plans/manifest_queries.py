@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from keelson.functions.paths import last_segment, parent_dir
 from keelson.functions.text import seconds_text
-from keelson.operators.aggregates import duplicate_keys, unique_index
+from keelson.operators.aggregates import SLOTS, duplicate_keys, unique_index
 from keelson.operators.joins import keep_listed, pending
 from keelson.operators.select import (
     ASSET_NAME_GROUPS,
@@ -31,7 +31,16 @@ from keelson.operators.select import (
     with_default,
 )
 from keelson.plans.registry import register
-from keelson.sources.manifest import decode_document, pack_manifest, quarantine_document, unpack_manifest
+from keelson.session import shared_path
+from keelson.sources.cached import cached_items, read_cached, write_cached
+from keelson.sources.manifest import (
+    decode_document,
+    pack_manifest,
+    pack_pages,
+    quarantine_document,
+    quarantine_manifest,
+    unpack_manifest,
+)
 from keelson.sources.tables import Tables
 
 PROPS_SCHEMA = T.StructType([T.StructField("k", T.IntegerType())])
@@ -85,6 +94,47 @@ def s1_pack_unpack_lineitem(spark, sf_dir):
     return unpack_manifest(packed, "body", LINE_ASSET, mode="strict", keep=["l_orderkey"])
 
 
+@register("s1_pack_pages", """
+WITH n AS (SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                  row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS n
+           FROM lineitem),
+     p AS (SELECT *, n // 1000 AS page FROM n)
+SELECT l_returnflag, page, count(*) OVER (PARTITION BY l_returnflag, page) AS n_items, l_orderkey, l_linenumber, l_partkey, l_suppkey
+FROM p
+""")
+def s1_pack_pages(spark, sf_dir):
+    """Few groups, each a good part of the table, as documents of a thousand items; decoded again."""
+    line = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    lines = Tables(spark, sf_dir).lineitem.select("l_returnflag", *line)
+    pages = pack_pages(lines, "l_returnflag", line, 1000)
+    item = T.StructType([lines.schema[c] for c in line])
+    return unpack_manifest(pages, "body", item, mode="strict", keep=["l_returnflag", "page", "n_items"])
+
+
+def order_manifests(t: Tables):
+    """Lines packed per order; every seventh document is cut in the middle, every eleventh is NULL."""
+    packed = pack_manifest(t.lineitem, "l_orderkey", ["l_partkey", "l_linenumber"], out="body", order=["l_linenumber", "l_partkey"])
+    half = F.expr("substring(body, 1, length(body) div 2)")
+    body = F.when(F.col("l_orderkey") % 11 == 0, F.lit(None)).when(F.col("l_orderkey") % 7 == 0, half).otherwise(F.col("body"))
+    return packed.withColumn("body", body)
+
+
+@register("s1_lenient_manifest", """
+SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem WHERE l_orderkey % 7 <> 0 AND l_orderkey % 11 <> 0
+""")
+def s1_lenient_manifest(spark, sf_dir):
+    """Items of the cached manifests that decode; the others yield none."""
+    return unpack_manifest(order_manifests(Tables(spark, sf_dir)), "body", LINE_ASSET, mode="lenient", keep=["l_orderkey"])
+
+
+@register("s1_quarantine_manifest", """
+SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey % 7 = 0 AND l_orderkey % 11 <> 0
+""")
+def s1_quarantine_manifest(spark, sf_dir):
+    """The cached manifests that are there but do not decode."""
+    return quarantine_manifest(order_manifests(Tables(spark, sf_dir)), "body", LINE_ASSET).select("l_orderkey")
+
+
 def asset_names(t: Tables):
     name = F.concat(F.lower(F.col("p_type")), F.lit("-"), F.regexp_replace("p_name", " ", "-"),
                     F.lit("-"), F.col("p_size").cast("string"), F.lit("."), F.col("p_partkey").cast("string"),
@@ -128,7 +178,7 @@ FROM a GROUP BY 1 HAVING count(*) > 1
 """)
 def a1_duplicate_asset_names(spark, sf_dir):
     named = extract_groups(asset_names(Tables(spark, sf_dir)), "asset", ASSET_NAME_PATTERN, ASSET_NAME_GROUPS)
-    return duplicate_keys(named, "name")
+    return duplicate_keys(named, "name", SLOTS)  # names are wide
 
 
 @register("a1_duplicate_line_keys", """
@@ -218,13 +268,36 @@ def release_pipeline(spark, sf_dir):
     """S1 -> P1 -> J1 -> J2 -> A1: manifests to the unique index of the listed files not stored yet."""
     t = Tables(spark, sf_dir)
     files = asset_names(t).join(t.part.select("p_partkey", "p_size"), "p_partkey")
-    manifests = pack_manifest(files.withColumn("release", F.col("p_partkey") % 97), "release", ["p_partkey", "asset"])
+    # A release has a thousand files at most; the number of releases follows the table.
+    manifests = pack_manifest(files.withColumn("release", F.expr("p_partkey div 1000")), "release", ["p_partkey", "asset"])
     named = extract_groups(unpack_manifest(manifests, "body", FILE_ASSET, mode="strict"), "asset",
                            ASSET_NAME_PATTERN, ASSET_NAME_GROUPS)
     wanted = extract_groups(files.where("p_size > 40"), "asset", ASSET_NAME_PATTERN, ASSET_NAME_GROUPS)
     done = files.where(F.col("p_partkey") % 3 == 0)
     index = pending(keep_listed(named, wanted, "name"), done, "asset")
-    return unique_index(index, "asset").select("p_partkey", "asset", "name")
+    return unique_index(index, "asset", slots=SLOTS).select("p_partkey", "asset", "name")
+
+
+@register("s1_cached_files", f"""
+WITH a AS ({ASSET_NAME_SQL}), r AS (SELECT *, p_partkey // 100 AS release FROM a)
+SELECT release, 'ok' AS status, p_partkey, asset FROM r WHERE release % 5 <> 1 AND release % 7 <> 3
+UNION ALL
+SELECT DISTINCT release, CASE WHEN release % 5 = 1 THEN 'absent' ELSE 'damaged' END, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR)
+FROM r WHERE release % 5 = 1 OR release % 7 = 3
+""")
+def s1_cached_files(spark, sf_dir):
+    """Releases of a hundred files cached as manifest files; some never stored, some cut short; read back whole."""
+    files = asset_names(Tables(spark, sf_dir)).withColumn("release", F.expr("p_partkey div 100"))
+    name = F.format_string("release-%d.json", "release").alias("name")
+    docs = pack_manifest(files, "release", ["p_partkey", "asset"]).select("release", name, "body")
+    path = shared_path(spark, "s1-cache")
+    write_cached(docs.where("release % 5 <> 1"), path)
+    # Some are written again, cut as a broken write leaves them; the other files stay.
+    write_cached(docs.where("release % 7 = 3 AND release % 5 <> 1").withColumn("body", F.expr("substring(body, 1, length(body) - 5)")), path)
+    cached = read_cached(files.select("release", name).distinct(), path, item_schema=FILE_ASSET)
+    lost = cached.where("status <> 'ok'").select("release", "status", F.lit(None).cast("long").alias("p_partkey"),
+                                                 F.lit(None).cast("string").alias("asset"))
+    return cached_items(cached, ["release", "status"]).unionByName(lost)
 
 
 @register("f8_seconds_text", r"""

@@ -49,3 +49,18 @@ FROM r GROUP BY user_id
 """)
 def a4_render_properties(spark, sf_dir):
     return render_properties(resolved_events(Tables(spark, sf_dir)), "user_id", "event_type", "value")
+
+
+@register("a4_render_entities", """
+WITH r AS (
+  SELECT user_id, event_type, CAST(arg_max(event_id, (ts, event_id)) AS VARCHAR) AS v, min((ts, event_id)) AS p
+  FROM events GROUP BY user_id, event_type),
+d AS (SELECT user_id, string_agg(event_type || '=' || v, chr(10) ORDER BY p) AS document, count(*) AS n_keys FROM r GROUP BY user_id)
+SELECT c_custkey AS user_id, coalesce(document, '') AS document, coalesce(n_keys, 0) AS n_keys
+FROM customer LEFT JOIN d ON user_id = c_custkey
+""")
+def a4_render_entities(spark, sf_dir):
+    """A document for every customer, empty for those without events."""
+    t = Tables(spark, sf_dir)
+    entities = t.customer.select(F.col("c_custkey").alias("user_id"))
+    return render_properties(resolved_events(t), "user_id", "event_type", "value", entities=entities)

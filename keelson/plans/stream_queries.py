@@ -17,7 +17,7 @@ from keelson.plans.monitor_queries import READINESS_SQL
 from keelson.plans.properties_queries import resolved_events
 from keelson.plans.registry import register
 from keelson.session import ensure_streaming_conf, shared_path
-from keelson.sources.sinks import read_property_files, write_property_files
+from keelson.sources.sinks import export_property_files, read_property_files, write_property_files
 from keelson.sources.tables import Tables, table_glob, table_path
 from keelson.streaming.hop import append_hop, file_stream
 from keelson.streaming.readiness import readiness_stream
@@ -58,6 +58,24 @@ def s3_property_files(spark, sf_dir):
     return read_property_files(spark, path, "user_id", "bigint").select("user_id", "line")
 
 
+@register("s3_export_files", """
+SELECT user_id, string_agg(line || chr(10), '' ORDER BY p) AS text
+FROM (SELECT user_id, event_type || '=' || CAST(arg_max(event_id, (ts, event_id)) AS VARCHAR) AS line, min((ts, event_id)) AS p
+      FROM events GROUP BY user_id, event_type) GROUP BY user_id
+""")
+def s3_export_files(spark, sf_dir):
+    """A text file a user, read back whole (a user's file holds one line an event type)."""
+    lines = property_lines(resolved_events(Tables(spark, sf_dir)), "user_id", "event_type", "value")
+    path = shared_path(spark, "s3-files")
+    export_property_files(lines, path, "user_id")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+    # A user's lines may be cut by a range into two files, whose names follow the order.
+    parts = files.select(F.regexp_extract("path", "user_id=([0-9]+)/", 1).cast("long").alias("user_id"), "path",
+                         F.col("content").cast("string").alias("text"))
+    return parts.groupBy("user_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda x: x["text"]), "").alias("text"))
+
+
 # A key is judged when the watermark reaches the end of its deadline's ten-minute slot.
 T1_SQL = READINESS_SQL.replace(
     "FROM e\n",

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelson.functions._util import as_col, as_names
+from keelson.operators.windows import number_rows
 
 CORRUPT = "_corrupt_record"
 
@@ -85,7 +86,8 @@ def pack_manifest(df: DataFrame, group, item_cols, out: str = "body", array_fiel
 
     Items are listed in ``order`` (default: the item columns) so the text is
     deterministic.  ``to_json`` leaves out NULL fields.  The document is the
-    output value itself, so a group's items necessarily meet in one row.
+    output value itself, so a group's items necessarily meet in one row; where
+    a group may be of any size, use ``pack_pages``.
     """
     grp = as_names(group)
     items = as_names(item_cols)
@@ -96,6 +98,23 @@ def pack_manifest(df: DataFrame, group, item_cols, out: str = "body", array_fiel
     return df.groupBy(*grp).agg(doc.alias(out))
 
 
+def pack_pages(df: DataFrame, group, item_cols, page_rows: int, out: str = "body", page: str = "page",
+               array_field: str = "assets", order=None) -> DataFrame:
+    """``pack_manifest`` for groups of any size: documents of at most ``page_rows`` items.
+
+    Each group's rows are numbered in ``order`` (default: the item columns)
+    without a gap and without one task for a group; page ``p`` holds the items
+    ``p * page_rows`` and on, so every page but a group's last is full, and a
+    group's pages, taken in order, are its list.
+    """
+    grp, items = as_names(group), as_names(item_cols)
+    numbered = number_rows(df, grp, order if order is not None else items, "_n")
+    listed = F.array_sort(F.collect_list(F.struct("_n", F.struct(*items).alias("_i"))))
+    doc = F.to_json(F.struct(F.transform(listed, lambda x: x["_i"]).alias(array_field)))
+    return (numbered.withColumn(page, F.expr(f"_n div {int(page_rows)}")).groupBy(*grp, page)
+            .agg(doc.alias(out), F.count(F.lit(1)).alias("n_items")))
+
+
 def _check_mode(mode: str) -> bool:
     if mode not in ("strict", "lenient"):
         raise ValueError(f"mode must be 'strict' or 'lenient', not {mode!r}")

@@ -1,58 +1,79 @@
 """S3: the property lines of many entities, as a table that replaces entity by entity.
 
 Input is A4's line form (``property_lines``): ``(entity, pos, line)``.  The
-table has a fixed number of hash buckets, a folder each; its files hold the
-lines sorted by entity and position.  A write replaces the entities it
-brings and keeps all others: it reads the buckets that it touches, drops the
-replaced entities, and swaps those buckets by dynamic partition overwrite.
-The number of files follows the buckets, not the entities.
-
-``export_property_files`` writes one folder of text files per entity, for a
-chosen set of entities that someone reads as files; it too replaces only
-those.  Spark's text writer ends every line with ``\n``, so a file ends with
-a newline where the in-memory document (``render_properties``) has none.
+table has hash buckets of entities, a folder each; its files hold the lines
+sorted by entity and position.  A write replaces the entities it brings and
+keeps all others: it reads the buckets that it touches, drops the replaced
+entities, and swaps those buckets by dynamic partition overwrite.
+
+The number of buckets is set when the table is created, from the number of
+lines (``LINES_A_BUCKET``), and stands in the folder names
+(``buckets=<n>/bucket=<b>``), so later writes need not be told; how many
+tasks write a bucket follows the lines that it then has.  Small writes thus
+touch few small buckets, and neither files nor tasks are fixed in number.
+
+``export_property_files`` writes one folder of text files per entity, for
+entities that someone reads as files; it too replaces only those.  Spark's
+text writer ends every line with ``\n``, so a file ends with a newline where
+the in-memory document (``render_properties``) has none.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelson.functions._util import as_names
 
-BUCKET = "bucket"
+BUCKETS, BUCKET = "buckets", "bucket"
+#: Lines for which a new table gets a bucket, and lines that one task writes.
+LINES_A_BUCKET = 200_000
+LINES_A_TASK = 1_000_000
+
+
+def table_buckets(spark: SparkSession, path: str) -> int | None:
+    """The number of buckets of the table at ``path``; None if there is no table."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return None
+    names = [f.getPath().getName() for f in fs.listStatus(place)]
+    return next((int(n.split("=")[1]) for n in names if n.startswith(f"{BUCKETS}=")), None)
 
 
 def write_property_files(lines: DataFrame, path: str, entity, pos: str = "pos", line: str = "line",
-                         buckets: int = 32, splits: int = 2) -> None:
+                         lines_a_bucket: int = LINES_A_BUCKET, lines_a_task: int = LINES_A_TASK) -> None:
     """Replace the entities of ``lines`` in the table at ``path``.
 
-    ``buckets`` must stay the same for a table.  A bucket's lines are spread
-    over ``splits`` tasks by a hash of the position, so one long entity is
-    not written by one task.
+    A bucket's lines are spread by a hash of the position over as many tasks
+    as they need, so one long entity is not written by one task.
     """
     ents = as_names(entity)
-    new = lines.select(*ents, pos, line).withColumn(BUCKET, F.pmod(F.xxhash64(*ents), F.lit(buckets)).cast("int"))
-    try:
-        old = lines.sparkSession.read.schema(new.schema).parquet(path)
+    spark = lines.sparkSession
+    given = table_buckets(spark, path)
+    buckets = given or 1 + lines.count() // lines_a_bucket
+    new = lines.select(*ents, pos, line).withColumns({
+        BUCKETS: F.lit(buckets), BUCKET: F.pmod(F.xxhash64(*ents), F.lit(buckets)).cast("int")})
+    if given is not None:
+        old = spark.read.schema(new.schema).parquet(path)
         touched = new.select(*ents, BUCKET).distinct()
         kept = (old.join(touched.select(BUCKET).distinct(), BUCKET, "left_semi")
                 .join(touched.select(*ents), ents, "left_anti").select(*new.columns))
         new = new.unionByName(kept)
-    except AnalysisException:  # no table yet
-        pass
-    (new.repartition(BUCKET, F.pmod(F.xxhash64(pos), F.lit(splits)))
-     .sortWithinPartitions(BUCKET, *ents, pos)
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path))
+    # One row a bucket, joined to its lines: how many tasks write it.
+    sizes = new.groupBy(BUCKET).agg((F.floor(F.count(F.lit(1)) / lines_a_task) + 1).alias("_tasks"))
+    spread = F.pmod(F.xxhash64(pos), F.col("_tasks"))
+    (new.join(sizes, BUCKET).withColumn("_task", spread).repartition(BUCKET, "_task")
+     .sortWithinPartitions(BUCKET, *ents, pos).select(*new.columns)
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKETS, BUCKET).parquet(path))
 
 
 def read_property_files(spark: SparkSession, path: str, entity: str, entity_type: str = "string",
                         line: str = "line", pos: str = "pos", pos_type: str = "int") -> DataFrame:
     """The table as ``(entity, pos, line)`` rows (the schema is given, so nothing is inferred)."""
-    schema = T.StructType.fromDDL(f"`{entity}` {entity_type}, `{pos}` {pos_type}, `{line}` string, {BUCKET} int")
-    return spark.read.schema(schema).parquet(path).drop(BUCKET)
+    schema = T.StructType.fromDDL(f"`{entity}` {entity_type}, `{pos}` {pos_type}, `{line}` string, {BUCKETS} int, {BUCKET} int")
+    return spark.read.schema(schema).parquet(path).drop(BUCKETS, BUCKET)
 
 
 def export_property_files(lines: DataFrame, path: str, entity, pos: str = "pos", line: str = "line") -> None:

@@ -7,9 +7,11 @@ from conftest import SF001, rows
 from keelson.operators.aggregates import duplicate_keys, unique_index
 from keelson.operators.joins import keep_listed, pending
 from keelson.operators.select import ASSET_NAME_GROUPS, ASSET_NAME_PATTERN, extract_groups
+from keelson.sources.cached import cached_items, quarantined, read_cached, write_cached
 from keelson.sources.manifest import (
     decode_document,
     pack_manifest,
+    pack_pages,
     quarantine_manifest,
     unpack_manifest,
 )
@@ -86,3 +88,45 @@ def test_pack_drops_null_fields(spark):
     df = spark.createDataFrame([(1, "a", None)], "g int, name string, browser_download_url string")
     out = pack_manifest(df, "g", ["name", "browser_download_url"]).first().body
     assert out == '{"assets":[{"name":"a"}]}'
+
+
+def test_pages_are_full_and_bounded(spark):
+    """One group of 5000 items and a small one: pages of 300 in order, only the last of a group shorter."""
+    data = [("big", i * 7 % 5000, None if i % 9 else "x") for i in range(5000)] + [("small", i, "y") for i in range(4)]
+    df = spark.createDataFrame(data, "g string, i int, t string").repartition(6)
+    pages = pack_pages(df, "g", ["i", "t"], 300, order="i")
+    sizes = {(r.g, r.page): r.n_items for r in pages.collect()}
+    assert sizes == {**{("big", p): 300 for p in range(16)}, ("big", 16): 200, ("small", 0): 4}
+    item = T.StructType([df.schema["i"], df.schema["t"]])
+    back = unpack_manifest(pages, "body", item, keep=["g", "page"])
+    assert rows(back) == sorted(((g, i // 300, i, t) for g, i, t in data), key=lambda r: r[:3])
+
+
+def test_cached_files_absent_damaged_and_replaced(spark, tmp_path):
+    path = f"{tmp_path}/cache"
+    expected = spark.createDataFrame([("a/1 %é.json",), ("b",), ("c",), ("d",), ("e",), ("f",)], "name string")
+    assert {r.name: r.status for r in read_cached(expected, path).collect()} == dict.fromkeys(["a/1 %é.json", "b", "c", "d", "e", "f"], "absent")
+    item = '{"name":"n%d","browser_download_url":"u"}'
+    docs = [("a/1 %é.json", '{"assets":[' + item % 1 + ",\n" + item % 2 + "]}"), ("b", "{bad"), ("c", '{"x":1}'), ("d", ""), ("e", None),
+            ("other", '{"assets":[]}')]
+    write_cached(spark.createDataFrame(docs, "name string, body string"), path)
+    got = read_cached(expected, path)
+    assert {r.name: r.status for r in got.collect()} == {"a/1 %é.json": "ok", "b": "damaged", "c": "ok", "d": "damaged", "e": "absent",
+                                                         "f": "absent"}
+    assert rows(cached_items(got.withColumnRenamed("name", "doc"), "doc")) == [("a/1 %é.json", "n1", "u"), ("a/1 %é.json", "n2", "u")]
+    assert rows(quarantined(got).select("name", got.body.cast("string"))) == [("b", "{bad"), ("d", "")]
+    # Writing one again replaces it and leaves the others.
+    write_cached(spark.createDataFrame([("b", '{"assets":[' + item % 3 + "]}")], "name string, body string"), path)
+    assert {r.name: r.status for r in read_cached(expected, path).collect()}["b"] == "ok"
+    assert cached_items(read_cached(expected.withColumnRenamed("name", "doc"), path, "doc"), "doc").count() == 3
+    with pytest.raises(ValueError, match="duplicate key"):
+        write_cached(spark.createDataFrame([("z", "1"), ("z", "2")], "name string, body string"), path)
+
+
+def test_cached_bytes_that_are_no_text(spark, tmp_path):
+    import hashlib
+    folder = tmp_path / "c" / f"doc={hashlib.sha256(b'x').hexdigest()}"
+    folder.mkdir(parents=True)
+    (folder / "part-0.txt").write_bytes(b'{"assets":[]}\xff\n')
+    got = read_cached(spark.createDataFrame([("x",)], "name string"), f"{tmp_path}/c").first()
+    assert got.status == "damaged" and bytes(got.body) == b'{"assets":[]}\xff'

@@ -14,12 +14,13 @@ from conftest import rows
 from keelson.operators.aggregates import (
     all_of,
     all_running,
+    duplicate_keys,
     first_success_within,
     property_lines,
     render_properties,
     resolve_properties,
     topology,
-    topology_array,
+    topology_pages,
     unique_index,
 )
 from keelson.operators.joins import (
@@ -31,6 +32,7 @@ from keelson.operators.joins import (
     missing_keys,
     observed_lookup,
     pending,
+    pending_filtered,
     require_keys,
     strict_lookup,
 )
@@ -141,8 +143,8 @@ def test_topology(spark):
                                  ("api", 0, "a", 9000)], "kind string, id int, host string, port int")
     text = {r.kind: r.topology for r in topology(svc, "kind", "host", "port", "id", chunk=2).collect()}
     assert text == {"gate": "http://h0:8000/,http://h1:8001/,http://h2:8002/", "api": "http://a:9000/"}
-    arr = {r.kind: r.uris for r in topology_array(svc, "kind", "host", "port", "id").collect()}
-    assert arr["gate"] == ["http://h0:8000/", "http://h1:8001/", "http://h2:8002/"]
+    pages = rows(topology_pages(svc, "kind", "host", "port", "id", page_rows=2), "kind", "page", "piece", "n")
+    assert pages == [("api", 0, "http://a:9000/", 1), ("gate", 0, "http://h0:8000/,http://h1:8001/", 2), ("gate", 1, "http://h2:8002/", 1)]
 
 
 def test_first_success_within_deadline_is_strict(spark):
@@ -199,15 +201,17 @@ def test_ordered_union(spark):
 
 
 def test_property_table_replaces_only_what_is_written(spark, tmp_path):
-    from keelson.sources.sinks import export_property_files, read_property_files, write_property_files
+    from keelson.sources.sinks import export_property_files, read_property_files, table_buckets, write_property_files
     schema = "ent string, pos int, line string"
     lines = spark.createDataFrame([("007", 2, "b=2"), ("007", 1, "a=1"), ("x", 1, "k=C:\\\\d")], schema)
     path = f"{tmp_path}/table"
-    write_property_files(lines, path, "ent", buckets=3)
+    write_property_files(lines, path, "ent", lines_a_bucket=1)
+    assert table_buckets(spark, path) == 4  # as many lines, and one; later writes keep to it
     assert rows(read_property_files(spark, path, "ent")) == [("007", 1, "a=1"), ("007", 2, "b=2"), ("x", 1, "k=C:\\\\d")]
     again = spark.createDataFrame([("007", 1, "a=9"), ("new", 1, "n=1")], schema)
     for _ in range(2):
-        write_property_files(again, path, "ent", buckets=3)
+        write_property_files(again, path, "ent", lines_a_task=1)
+        assert table_buckets(spark, path) == 4
         assert rows(read_property_files(spark, path, "ent")) == [("007", 1, "a=9"), ("new", 1, "n=1"), ("x", 1, "k=C:\\\\d")]
     import glob
     out = f"{tmp_path}/files"
@@ -266,3 +270,75 @@ def test_observed_lookup_counts_on_any_action(spark):
     out, seen = observed_lookup(df.where("k = 1"), dim, "k")
     assert rows(out) == [(1, "a"), (1, "a")]
     check_lookup(seen)
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 12, 1 << 23])
+def test_filtered_pending_equals_the_join(spark, bits):
+    """A filter that is full (64 bits), crowded and sparse: the same rows, null keys and repeats included."""
+    df = spark.createDataFrame([(None if i % 50 == 0 else i % 700, f"k{i % 3}", i) for i in range(2000)], "a int, b string, v int")
+    done = spark.createDataFrame([(i % 300, f"k{i % 2}") for i in range(600)] + [(None, "k0")], "a int, b string")
+    want = rows(pending(df, done, ["a", "b"]), "v")
+    assert rows(pending_filtered(df, done, ["a", "b"], bits), "v") == want
+    assert rows(pending_filtered(df, done.limit(0), ["a", "b"], bits), "v") == [(i,) for i in range(2000)]
+
+
+def test_filter_spares_the_join(spark):
+    df = spark.range(20_000).select(F.col("id").alias("k"))
+    done = spark.range(100).select((F.col("id") * 7).alias("k"))
+    out = pending_filtered(df, done, "k")
+    assert out.count() == 19_900
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "Union" in plan
+
+
+@pytest.mark.parametrize("slots", [None, 1, 64, 1 << 24])
+def test_duplicates_by_slots_are_exact(spark, slots):
+    data = [(None if i % 97 == 0 else f"n{i if i % 10 else i % 50}", i % 2) for i in range(3000)]
+    want = {}
+    for k in data:
+        want[k] = want.get(k, 0) + 1
+    df = spark.createDataFrame(data, "a string, b int")
+    got = {(r.a, r.b): r["count"] for r in duplicate_keys(df, ["a", "b"], slots).collect()}
+    assert got == {k: n for k, n in want.items() if n > 1}
+    with pytest.raises(ValueError, match="duplicate key"):
+        unique_index(df, ["a", "b"], slots=slots)
+    assert unique_index(spark.range(100), "id", slots=slots).count() == 100
+
+
+def test_resolution_without_a_sort_aggregate(spark):
+    """Packed orders: hash aggregates only; a third of the writes on one key; ties, null values and null orders."""
+    t0 = dt.datetime(2024, 1, 1)
+    data = [("hot" if i % 3 == 0 else f"e{i % 7}", "k" if i % 3 == 0 else f"k{i % 5}", None if i % 11 == 0 else f"v{i}",
+             None if i == 40 else t0 + dt.timedelta(minutes=i * 17 % 400), i % 4 - 2) for i in range(3000)]
+    df = spark.createDataFrame(data, "ent string, key string, value string, ts timestamp_ntz, n long")
+    out = resolve_properties(df, "ent", "key", "value", ["ts", "n"])
+    got = {(r.ent, r.key): (r.value, r.pos.ts, r.pos.n) for r in out.collect()}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    low = dt.datetime(1, 1, 1)
+    groups = {}
+    for e, k, v, ts, n in data:
+        groups.setdefault((e, k), []).append(((ts or low, n), v, ts))
+    want = {}
+    for key, ws in groups.items():
+        last = max(o for o, *_ in ws)
+        values = [v for o, v, _ in ws if o == last and v is not None]
+        first = min(ws, key=lambda w: w[0])
+        want[key] = (max(values, default=None), first[2], first[0][1])
+    assert got == want
+    assert resolve_properties(df, "ent", "key", "value", ["value"]).count() == len(want)  # a string order: max_by
+
+
+def test_packed_orders_keep_order_and_come_back(spark):
+    from keelson.functions.order import packed_order
+    edge = [-(1 << 63), -1, 0, None, 1, (1 << 63) - 1]
+    times = [None, dt.datetime(1, 1, 1), dt.datetime(1969, 12, 31, 23, 59, 59, 999999), dt.datetime(9999, 12, 31)]
+    df = spark.createDataFrame([(t, n) for t in times for n in edge], "t timestamp_ntz, n long")
+    number, unpack = packed_order(df.schema, ["t", "n"])
+    got = df.select("t", "n", number.alias("p")).withColumn("back", unpack(F.col("p"))).orderBy("p").collect()
+    assert [(r.t, r.n) for r in got] == [(r.back.t, r.back.n) for r in got]
+    assert [(r.t, r.n) for r in got] == [(r.t, r.n) for r in df.orderBy(F.struct("t", "n")).collect()]
+    three = spark.createDataFrame([(1, 2, dt.date(2024, 1, 1)), (-5, None, dt.date(1960, 1, 1))], "a int, b int, d date")
+    number, unpack = packed_order(three.schema, ["a", "b", "d"])
+    assert [tuple(r.u) for r in three.select(unpack(number).alias("u")).collect()] == [tuple(r) for r in three.collect()]
+    assert packed_order(df.schema, ["n", "n"]) is None

@@ -57,7 +57,7 @@ def test_matches_oracle_under_skew(spark, skewed_dir, con, name):
 
 
 @pytest.mark.parametrize("name,partial", [
-    ("a3_resolve_properties", "partial_max_by"),
+    ("a3_resolve_properties", "partial_max(_at"),
     ("a4_render_properties", "partial_collect_list"),
     ("a6_first_success_within", "partial_min"),
     ("w1_bounded_attempts", "WindowGroupLimit"),
