@@ -83,6 +83,26 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text",
             start = stop
 
 
+def coded_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of all texts (binary) as codes, the distinct words, and each text's count.
+
+    ``lower``: A-Z are lower-cased first.  Split and coded by Arrow, so only
+    distinct words may become Python objects.
+    """
+    column = texts.view(pa.string())
+    split = pc.ascii_split_whitespace(pc.ascii_lower(column) if lower else column)
+    coded = split.flatten().dictionary_encode()
+    codes, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+    ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))
+    # White space at either end of a text leaves an empty word.
+    empty = pc.index(words, pa.scalar("")).as_py()
+    if empty >= 0:
+        inside = codes != empty
+        ends = np.append(0, np.cumsum(inside))[ends]
+        codes = codes[inside]
+    return codes, words.view(pa.binary()), np.diff(ends, prepend=0)
+
+
 def split_words(texts: Iterable[bytes]) -> tuple[list[bytes], np.ndarray]:
     """A-Z lower-cased words ``[^\\x20\\x09-\\x0D]+`` of all texts in one list, and each text's count.
 

@@ -20,19 +20,21 @@ follows the order of the input partitions, which is fixed for stored files.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from keelson.llm.common import as_objects, slices, text_bytes
+from keelson.llm.common import coded_words, slices, text_bytes
 
 
 MARKS = b".,;:!?"
+#: Bytes of text that are tokenised together.
+SLICE = 16 << 20
 
 
 def plain_parts(word: bytes) -> tuple[bytes, bytes]:
@@ -69,13 +71,16 @@ class CachedTokenizer:
 
     @classmethod
     def load(cls, path: str) -> CachedTokenizer:
-        """The worker process's tokenizer for this file."""
+        """The worker process's tokenizer for this file; Spark runs a worker a core, so it gets no threads of its own."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if path not in cls._loaded:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {b"": 0}
+        self.index: dict[bytes, int] = {b"": 0}  # stems and marks
+        self.words: dict[bytes, int] = {}  # words as they stand in texts: their place in ``pairs``
+        self.pairs = np.zeros((0, 2), np.int64)
         self.starts, self.lengths, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def fresh_ids(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -87,7 +92,7 @@ class CachedTokenizer:
         group = 64
         lines = [words[i:i + group] for i in range(0, len(words), group)]
         plain = [all(map(str.isalpha, line)) for line in lines]
-        joined = self.tokenizer.encode_batch([" ".join(x) for x, ok in zip(lines, plain, strict=True) if ok], add_special_tokens=False)
+        joined = self.tokenizer.encode_batch_fast([" ".join(x) for x, ok in zip(lines, plain, strict=True) if ok], add_special_tokens=False)
         flat: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
         at = iter(joined)
@@ -99,7 +104,7 @@ class CachedTokenizer:
                     flat.append(ids)
                     lengths.append(np.diff(ends, prepend=0))
                     continue
-            for e in self.tokenizer.encode_batch(line, add_special_tokens=False):
+            for e in self.tokenizer.encode_batch_fast(line, add_special_tokens=False):
                 flat.append(np.array(e.ids, np.uint32))
                 lengths.append(np.array([len(e.ids)], np.int64))
         return flat, lengths
@@ -115,20 +120,20 @@ class CachedTokenizer:
         self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
         self.flat = np.concatenate([self.flat, *flat])
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """One array of ids a text."""
-        words, counts = [], []
-        for t in texts:
-            w = t.split()
-            counts.append(len(w))
-            words += w
-        codes, unique = pd.factorize(as_objects(words))
-        if len(self.index) > self.limit:
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """One array of ids a text (UTF-8, as binary)."""
+        codes, unique, counts = coded_words(texts, lower=False)
+        if len(self.words) > self.limit:
             self.clear()
-        parts = [x for w in unique for x in plain_parts(w)]
-        if new := [w for w in dict.fromkeys(parts) if w not in self.index]:
-            self.learn(new)
-        pairs = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts)).reshape(-1, 2)
+        words = unique.to_pylist()
+        if new := [w for w in words if w not in self.words]:
+            parts = [x for w in new for x in plain_parts(w)]
+            if fresh := [w for w in dict.fromkeys(parts) if w not in self.index]:
+                self.learn(fresh)
+            self.words.update(zip(new, range(len(self.words), len(self.words) + len(new))))
+            places = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts)).reshape(-1, 2)
+            self.pairs = np.concatenate([self.pairs, places])
+        pairs = self.pairs[np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))]
         at = pairs[codes].ravel()
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
@@ -251,9 +256,9 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, size: int = 4096
     def run(batches) -> Iterator[pa.RecordBatch]:
         tokenizer, state = CachedTokenizer.load(tokenizer_path), SumOfSquares(size)
         next_id, done, arrow = TaskContext.get().partitionId() << 40, [], None
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             arrow = batch.schema.field("doc_id").type
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), tokenizer.encode(batch.column("text").to_pylist()),
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), tokenizer.encode(batch.column("text")),
                                 strict=True):
                 ids = np.append(ids, np.uint32(end_id))  # a copy, so a piece doesn't hold its slice
                 whole = len(ids) // size * size

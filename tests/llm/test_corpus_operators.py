@@ -165,6 +165,6 @@ def test_pipeline_stages(spark, sf_docs, tmp_path):
         got[i] = got.get(i, 0) + n
     assert got == want
     tokens = sum(len(x) + 1 for x in packing.CachedTokenizer(__import__("public_tokenizers").path("word_bpe_49k.json"))
-                 .encode([r.text.encode() for r in seen["mixing"].collect()]))
+                 .encode(pa.array([r.text.encode() for r in seen["mixing"].collect()], pa.binary())))
     assert seen["packing"].agg(F.sum("length")).first()[0] == tokens
     assert corpus_pipeline.run(spark, SF01).agg(F.sum("length")).first()[0] == tokens

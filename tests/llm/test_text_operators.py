@@ -6,6 +6,7 @@ import zlib
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest_llm import EMPTY_DOCS, frame, sf_docs  # noqa: F401
 from keelson.llm import licenses, packing, suffix_tree, toxicity
@@ -21,7 +22,7 @@ def test_tokens_equal_whole_text_encoding(sf_docs):
     texts = [t or "" for (t,) in sf_docs.select("text").collect()] + [t or "" for _, t, _ in ODD]
     tok = Tokenizer.from_file(PATH)
     want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
-    got = packing.CachedTokenizer(PATH).encode([t.encode() for t in texts])
+    got = packing.CachedTokenizer(PATH).encode(pa.array([t.encode() for t in texts], pa.binary()))
     assert [x.tolist() for x in got] == want
 
 
