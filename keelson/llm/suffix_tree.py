@@ -1,30 +1,37 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 Symbols are the A-Z lower-cased words ``[^\\x20\\x09-\\x0D]+`` of a text and
-one end token after them; a text is read after an end token.  The tree's
-states are contexts of up to ``depth`` symbols:
+one end token after them; a text is read after end tokens.  The tree's states
+are contexts of up to ``depth`` symbols:
 
-* the words are counted first; then one pass for each depth counts the next
-  symbols of that depth's candidate contexts (summed within each task, then
-  by a shuffle);
-* a context is a candidate from a fixed number of ``occurrences`` on, whatever
+* the words are counted first; then one pass over the training texts for each
+  depth counts the next symbols of that depth's candidate contexts;
+* a context is a candidate from a fixed number of ``occurrences`` on and lists
+  each next symbol that follows it at least ``listed`` times, both whatever
   the corpus, so the model grows with the training text;
 * a candidate is retained if its next symbols diverge from what its suffix
-  predicts (a G-test), or a retained context ends in it;
-* all next symbols of a retained context are listed.  Distributions are
-  smoothed by the suffix's: (c + t p) / (n + t), t the listed symbols; what
-  is not listed has t p / (n + t).  The root is the add-one unigram model.
-
-``score`` keeps words, next symbols and contexts in tables and joins the
-tokens with them.  Broadcast are only the entries of a share of at least
-``frequent`` of all tokens (at most 1 / frequent a depth; so no joined key is
-hot in the training text) and a filter of fixed size for each depth's
-contexts, whose wrong yes costs a row and changes no result.  A token that its longest
-context does not list is joined again with that context's suffix.  ``learn``
-holds such a tree in memory, bounded by shares of the corpus: next symbols
-below ``frequent`` are not listed there and have what is left in the suffix's
-proportions.  A symbol is scored in the longest suffix of what precedes it
-that is a state.  ``base_score`` is the add-one unigram model alone.
+  predicts (a G-test over the listed ones and the rest), or a retained
+  context ends in it;
+* distributions are smoothed by the suffix's: a listed symbol of count c has
+  (c + t q) / (n + t), t the number of listed ones and q its probability
+  after the suffix; what is left goes to the others in the suffix's
+  proportions.  The root is the add-one unigram model over all words.
+
+A symbol is scored in the longest suffix of what precedes it that is a state.
+``base_score`` is the add-one unigram model alone.
+
+How it runs.  A gram (a run of symbols, the nearest folded in first) is a
+64-bit key.  A task sums the grams of its texts, and hands them on in packed
+columns by key range, so a count costs about ten bytes in the shuffle; the
+tasks behind it merge them and keep only what is listed.  A gram can only be
+listed if its suffix gram is, so a pass counts few of the rare ones.  Filters
+of fixed size tell which contexts and grams are possible; a wrong yes costs a
+row and changes no result, as exact joins follow.
+
+For scoring, the entries of at least ``frequent`` of all tokens (at most
+1 / frequent a depth) are broadcast and settle nearly all tokens in place.  A
+token that may need a rarer entry, be it word, gram or context, is joined with
+the model's tables.  No joined key is hot: hot ones are frequent.
 
 Defined results: a null or empty text has one token, the end; a null id
 counts as the text '' for the fold, so the row trains; repeated rows count
@@ -34,17 +41,24 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import Counter64, as_objects, hash_words, mix64, scratch, slices, split_words, text_bytes
+from keelson.llm.common import as_objects, coded_words, hash_words, mix64, scratch, slices, text_bytes
 
 END = b"\n"  # no word
+ODD = 0x9E3779B97F4A7C15
+#: Places of a filter: its size is fixed.
+FILTER_BITS = 24
+#: Different grams that a task holds before it hands them on, and tokens for which a merging task is planned.
+HELD = 2_000_000
+TOKENS_A_TASK = 4_000_000
+#: Bytes of text that are read together.
+SLICE = 8 << 20
 
 
 def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -55,261 +69,26 @@ def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == keys, at, -1)
 
 
-@dataclass
-class SuffixTree:
-    """States by number, 0 is the root; symbols by their place in ``words``, others are ``other``."""
-
-    words: np.ndarray  # sorted hashes of the listed words, the end token among them
-    base: np.ndarray  # log10 of each word's add-one share; 0 for others, whose share is added later
-    depth: int = 0
-    links: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))  # sorted: state and the symbol before it
-    child: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))  # the state of both
-    parent: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    rest: np.ndarray = field(default_factory=lambda: np.zeros(1))  # log10 of what a state leaves to its parent
-    nexts: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))  # sorted: state and next symbol
-    log10p: np.ndarray = field(default_factory=lambda: np.empty(0))
-
-    @property
-    def other(self) -> int:
-        return len(self.words)
-
-    def key(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        return state * (self.other + 1) + symbol
-
-    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """``(symbols of all texts, symbols a text, rows, codes, hash of each code)``; the last three are words only."""
-        words, counts = split_words(texts)
-        codes, unique = pd.factorize(as_objects(words))
-        hashes = hash_words(as_objects(list(unique)))
-        spot = find(self.words, hashes)
-        spot = np.where(spot < 0, self.other, spot)
-        ends = np.cumsum(counts + 1) - 1
-        symbols = np.empty(len(codes) + len(counts), np.int64)
-        inside = np.ones(len(symbols), bool)
-        inside[ends] = False
-        symbols[inside] = spot[codes]
-        symbols[ends] = self.end
-        return symbols, counts + 1, np.repeat(np.arange(len(counts)), counts), codes, hashes
-
-    @property
-    def end(self) -> int:
-        at = int(find(self.words, hash_words(as_objects([END])))[0])
-        return self.other if at < 0 else at
-
-    def states(self, symbols: np.ndarray, counts: np.ndarray, exactly: int | None = None) -> np.ndarray:
-        """The longest state before each symbol (or the state of ``exactly`` so many symbols, else -1)."""
-        start = np.repeat(np.cumsum(counts) - counts, counts)
-        at = np.arange(len(symbols))
-        state, live = np.zeros(len(symbols), np.int64), np.arange(len(symbols))
-        for back in range(1, (self.depth if exactly is None else exactly) + 1):
-            i = at[live] - back
-            before = np.where(i >= start[live], symbols[np.maximum(i, 0)], self.end)
-            place = find(self.links, self.key(state[live], before))
-            if exactly is not None:
-                state[live[place < 0]] = -1
-            live, place = live[place >= 0], place[place >= 0]
-            state[live] = self.child[place]
-        return state
-
-    def log_probabilities(self, symbols: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol; for others, of any other (their share of the base is left out)."""
-        state, out = self.states(symbols, counts), np.zeros(len(symbols))
-        live = np.arange(len(symbols))
-        while len(live):
-            root = state[live] == 0
-            out[live[root]] += self.base[symbols[live[root]]]
-            live = live[~root]
-            place = find(self.nexts, self.key(state[live], symbols[live]))
-            hit = place >= 0
-            out[live[hit]] += self.log10p[place[hit]]
-            live = live[~hit]
-            out[live] += self.rest[state[live]]
-            state[live] = self.parent[state[live]]
-        return out
-
-
-def count_words(batches):
-    """mapInArrow function: partial counts ``(key, n)`` of word hashes, end tokens among them."""
-    end, sums = hash_words(as_objects([END])), Counter64()
-    for batch in slices(batches, limit=2 << 20):
-        words, counts = split_words(batch.column("text").to_pylist())
-        sums.add(np.concatenate([hash_words(as_objects(words)), np.repeat(end, len(counts))]))
-        if (got := sums.full()) is not None:
-            yield from key_rows(got)
-    yield from key_rows(sums.merge())
-
-
-def key_rows(got: tuple[np.ndarray, np.ndarray]):
-    for i in range(0, len(got[0]), 200_000):
-        yield pa.record_batch({"key": pa.array(got[0][i:i + 200_000].view(np.int64)), "n": pa.array(got[1][i:i + 200_000])})
-
-
-def count_nexts(shared, level: int):
-    """mapInArrow function: partial counts of ``tree.key(state, next symbol)`` for the states of ``level`` symbols."""
-    def run(batches):
-        tree, sums = shared.value, Counter64()
-        for batch in slices(batches, limit=2 << 20):
-            symbols, counts, *_ = tree.read(batch.column("text").to_pylist())
-            state = tree.states(symbols, counts, level)
-            some = state >= 0
-            sums.add(tree.key(state[some], symbols[some]).view(np.uint64))
-            if (got := sums.full()) is not None:
-                yield from key_rows(got)
-        yield from key_rows(sums.merge())
-    return run
-
-
-def extended(tree: SuffixTree, contexts: list[tuple[int, int]]) -> tuple[SuffixTree, int]:
-    """The tree with a state for each ``(state, symbol before it)``; and the first new state's number."""
-    first = len(tree.parent)
-    links = np.array([tree.key(np.int64(s), np.int64(x)) for s, x in contexts], np.int64)
-    all_links, child = np.concatenate([tree.links, links]), np.concatenate([tree.child, first + np.arange(len(links))])
-    order = np.argsort(all_links)
-    parents = np.array([s for s, _ in contexts], np.int64)
-    return SuffixTree(tree.words, tree.base, tree.depth + 1, all_links[order], child[order], np.concatenate([tree.parent, parents]),
-                      np.concatenate([tree.rest, np.zeros(len(links))]), tree.nexts, tree.log10p), first
+def end_key() -> np.uint64:
+    return hash_words(as_objects([END]))[0]
 
 
-def smoothed(tree: SuffixTree, first: int, totals: np.ndarray, state: np.ndarray, symbol: np.ndarray,
-             n: np.ndarray) -> tuple[SuffixTree, np.ndarray]:
-    """The tree with the listed next symbols of its states from ``first`` on; and which of these diverge.
-
-    ``totals``: all tokens after each of those states; ``(state, symbol, n)``: the listed counts.
-    """
-    above = tree.parent[state]
-    p, live = np.zeros(len(state)), np.arange(len(state))
-    at = above.copy()
-    while len(live):  # the parent's probability of the symbol
-        root = at[live] == 0
-        p[live[root]] += tree.base[symbol[live[root]]]
-        live = live[~root]
-        place = find(tree.nexts, tree.key(at[live], symbol[live]))
-        hit = place >= 0
-        p[live[hit]] += tree.log10p[place[hit]]
-        live = live[~hit]
-        p[live] += tree.rest[at[live]]
-        at[live] = tree.parent[at[live]]
-    p = 10.0 ** p
-    k = len(totals)
-    row = state - first
-    kinds = np.bincount(row, minlength=k)
-    listed, expected = np.bincount(row, n, minlength=k), np.bincount(row, p, minlength=k)
-    g = np.bincount(row, n * np.log(n / totals[row] / p), minlength=k)
-    rest = totals - listed
-    g += np.where(rest > 0, rest * np.log(np.maximum(rest, 1) / totals / np.maximum(1 - expected, 1e-12)), 0)
-    diverge = 2 * g > kinds + 3 * np.sqrt(2 * kinds + 1)
-    log10p = np.log10((n + kinds[row] * p) / (totals + kinds)[row])
-    # What is left, (rest + t (1 - expected)) / (n + t), goes to the unlisted symbols as the parent has them.
-    left = (rest + kinds * (1 - expected)) / (totals + kinds) / np.maximum(1 - expected, 1e-12)
-    tree.rest[first:] = np.log10(np.maximum(left, 1e-12))
-    keys, values = np.concatenate([tree.nexts, tree.key(state, symbol)]), np.concatenate([tree.log10p, log10p])
-    order = np.argsort(keys)
-    tree.nexts, tree.log10p = keys[order], values[order]
-    return tree, diverge
-
-
-def pruned(tree: SuffixTree, diverge: np.ndarray) -> SuffixTree:
-    """Only the states that diverge, and the suffixes of those (``diverge`` is by state)."""
-    keep = diverge.copy()
-    keep[0] = True
-    for s in range(len(keep) - 1, 0, -1):  # a suffix has a smaller number
-        if keep[s]:
-            keep[tree.parent[s]] = True
-    number = np.cumsum(keep) - 1
-    m = tree.other + 1
-    link_at, next_at = keep[tree.child], keep[tree.nexts // m]
-    return SuffixTree(tree.words, tree.base, tree.depth, number[tree.links[link_at] // m] * m + tree.links[link_at] % m,
-                      number[tree.child[link_at]], number[tree.parent[keep]], tree.rest[keep],
-                      number[tree.nexts[next_at] // m] * m + tree.nexts[next_at] % m, tree.log10p[next_at])
-
-
-def learn(train: DataFrame, depth: int = 2, least: float = 2e-4, frequent: float = 5e-7) -> tuple[SuffixTree, DataFrame, int, int]:
-    """The tree, the word table ``(key, n)``, its tokens and its words, of ``train(text)`` (bytes)."""
-    spark = train.sparkSession
-    words = scratch(train.select("text").mapInArrow(count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")),
-                    "lm-words")
-    whole = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    total, kinds = whole.n or 0, whole.v
-    listed = words.where(F.col("n") >= max(1.0, frequent * total)).toPandas()
-    keys, n = listed["key"].to_numpy(np.int64).view(np.uint64), listed["n"].to_numpy(np.int64)
-    order = np.argsort(keys)
-    keys, n = keys[order], n[order]
-    tree = SuffixTree(keys, np.append(np.log10((n + 1) / (total + kinds + 1)), 0.0))
-    diverges = np.ones(1, bool)
-    contexts = [(0, int(x)) for x in np.flatnonzero(n >= least * total)]
-    for level in range(1, depth + 1):
-        if not contexts:
-            break
-        tree, first = extended(tree, contexts)
-        shared = spark.sparkContext.broadcast(tree)
-        counts = scratch(train.select("text").mapInArrow(count_nexts(shared, level), "key long, n long")
-                         .groupBy("key").agg(F.sum("n").alias("n")), "lm-nexts")
-        width = tree.other + 1
-        of = (counts.groupBy(F.floor(F.col("key") / F.lit(width)).alias("state")).agg(F.sum("n").alias("n"))).toPandas()
-        totals = np.ones(len(contexts))
-        totals[of["state"].to_numpy(np.int64) - first] = of["n"].to_numpy(np.float64)
-        got = counts.where((F.col("n") >= max(1.0, frequent * total)) & (F.col("key") % width < tree.other)).toPandas()
-        key, c = got["key"].to_numpy(np.int64), got["n"].to_numpy(np.float64)
-        state, symbol = key // width, key % width
-        tree, diverge = smoothed(tree, first, totals, state, symbol, c)
-        diverges = np.concatenate([diverges, diverge])
-        # (x .. y) before z, seen as z after (x .. y): a context of its own if its suffix (.. y z) is one.
-        often = np.flatnonzero(c >= least * total)
-        suffix = suffixes(tree, state[often], symbol[often], level)
-        contexts = sorted({(int(s), oldest(tree, int(state[i]))) for i, s in zip(often, suffix, strict=True) if s >= first})
-    return pruned(tree, diverges), words, total, kinds
-
-
-def symbols_of(tree: SuffixTree, state: int) -> list[int]:
-    """A state's symbols, the nearest first."""
-    by_child = np.argsort(tree.child)
-    out = []
-    while state:
-        link = tree.links[by_child[state - 1]]
-        out.append(int(link % (tree.other + 1)))
-        state = int(link // (tree.other + 1))
-    return out[::-1]
-
-
-def oldest(tree: SuffixTree, state: int) -> int:
-    return symbols_of(tree, state)[-1]
-
-
-def suffixes(tree: SuffixTree, state: np.ndarray, symbol: np.ndarray, level: int) -> list[int]:
-    """The state of each context less its oldest symbol and with ``symbol`` after it, or -1."""
-    out = []
-    for s, x in zip(state.tolist(), symbol.tolist(), strict=True):
-        at = 0
-        for y in [x, *symbols_of(tree, s)[:level - 1]]:
-            place = int(find(tree.links, np.array([tree.key(np.int64(at), np.int64(y))]))[0])
-            at = int(tree.child[place]) if place >= 0 else -1
-            if at < 0:
-                break
-        out.append(at)
-    return out
-
-
-def held_out():
-    """Whether a row's fold, crc32 of the id's text mod 7, is 2."""
-    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
-
-
-def grams(texts: list[bytes], depth: int):
+def grams(texts: pa.Array, depth: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """``(keys, contexts, counts)``: by level the key of each symbol with those before it, and of those alone.
 
     A key folds a run of symbols, the nearest first, so that a context of ``l``
     symbols has the key of the previous symbol's level ``l - 1``.
     """
-    words, counts = split_words(texts)
+    codes, words, counts = coded_words(texts)
     counts = counts + 1
     ends = np.cumsum(counts) - 1
-    end = hash_words(as_objects([END]))[0]
+    end = end_key()
     inside = np.ones(counts.sum(), bool)
     inside[ends] = False
     symbols = np.full(len(inside), end, np.uint64)
-    symbols[inside] = hash_words(as_objects(words))
+    symbols[inside] = hash_words(as_objects(words.to_pylist()))[codes]
     start = np.repeat(ends - counts + 1, counts)
-    at, odd = np.arange(len(symbols)), np.uint64(0x9E3779B97F4A7C15)
+    at, odd = np.arange(len(symbols)), np.uint64(ODD)
     keys, contexts, edge = [symbols], [symbols], np.array([end])
     for back in range(1, depth + 1):
         contexts.append(np.where(at > start, keys[-1][at - 1], edge[0]))
@@ -319,154 +98,363 @@ def grams(texts: list[bytes], depth: int):
     return keys, contexts, counts
 
 
-#: Places of a context filter: its size is fixed; a wrong yes costs a row, no result.
-FILTER_BITS = 24
+def unmix64(x: np.ndarray) -> np.ndarray:
+    """The inverse of ``mix64`` (overwrites ``x``)."""
+    def back(c: int) -> np.uint64:
+        return np.uint64(pow(c, -1, 1 << 64))
+
+    def shifted(s: int) -> None:
+        y = x >> np.uint64(s)
+        while y.any():  # x ^ x>>s ^ x>>2s ...
+            x[:] ^= y
+            y >>= np.uint64(s)
+
+    shifted(31)
+    x *= back(0x94D049BB133111EB)
+    shifted(27)
+    x *= back(0xBF58476D1CE4E5B9)
+    shifted(30)
+    return x
+
+
+def suffix_grams(keys: np.ndarray, oldest: np.ndarray) -> np.ndarray:
+    """The keys without their oldest symbols."""
+    return (unmix64(keys.copy()) - oldest) * np.uint64(pow(ODD, -1, 1 << 64))
+
+
+# ------------------------------------------------------------------ filters
+class Filter:
+    """Which of the places that keys' top bits name are taken."""
+
+    def __init__(self, places: np.ndarray):
+        taken = np.zeros(1 << FILTER_BITS, bool)
+        taken[places] = True
+        self.bits = np.packbits(taken, bitorder="little")
+
+    @classmethod
+    def of(cls, table: DataFrame) -> Filter:
+        """Of the ``key`` column; at most a place a bit reaches the driver."""
+        spots = table.select(F.shiftrightunsigned("key", 64 - FILTER_BITS).cast("int").alias("spot")).distinct()
+        return cls(spots.toPandas()["spot"].to_numpy(np.int64))
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        spot = (keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        return (self.bits[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool)
+
+
+# ----------------------------------------------------------------- counting
+GRAMS = pa.schema([("ctx", pa.uint64()), ("key", pa.uint64()), ("n", pa.int64())])
+
+
+class Sums:
+    """Counts of ``(ctx, key)`` in bounded memory; a key belongs to one ctx."""
+
+    def __init__(self):
+        self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.pending = 0
+
+    def add(self, keys: np.ndarray, ctx: np.ndarray, n: np.ndarray | None = None) -> None:
+        """Counts of keys, which may repeat (``n`` given: as often as it says)."""
+        if not len(keys):
+            return
+        order = np.argsort(keys, kind="stable")
+        keys, ctx = keys[order], ctx[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        n = np.diff(np.append(first, len(keys))) if n is None else np.add.reduceat(n[order], first)
+        self.runs.append((keys[first], ctx[first], n.astype(np.int64)))
+        self.pending += len(first)
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.runs:
+            return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+        if len(self.runs) > 1:
+            keys, ctx, n = (np.concatenate(x) for x in zip(*self.runs))
+            self.runs, self.pending = [], 0
+            self.add(keys, ctx, n)
+        return self.runs[0]
+
+    def full(self) -> bool:
+        """Whether more than ``HELD`` different ones are held."""
+        if self.pending > 2 * HELD:
+            self.merge()
+            return self.pending > HELD
+        return False
+
+    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        got = self.merge()
+        self.runs, self.pending = [], 0
+        return got
+
+
+def packed(got: tuple[np.ndarray, np.ndarray, np.ndarray], shards: int):
+    """Record batches of ``(shard, blob)``: a blob is the shard's grams as compressed Arrow columns, by context."""
+    keys, ctx, n = got
+    if not len(keys):
+        return
+    shard = (keys % np.uint64(shards)).astype(np.int64)
+    order = np.lexsort((ctx, shard))
+    keys, ctx, n, shard = keys[order], ctx[order], n[order], shard[order]
+    cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
+    blobs = []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, GRAMS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(pa.record_batch([pa.array(ctx[a:b]), pa.array(keys[a:b]), pa.array(n[a:b])], schema=GRAMS))
+        blobs.append(sink.getvalue().to_pybytes())
+    yield pa.record_batch({"shard": pa.array(shard[cuts[:-1]]), "blob": pa.array(blobs, pa.binary())})
+
+
+def count_texts(level: int, shared, shards: int):
+    """mapInArrow function: a task's packed counts of the level's possible grams.
+
+    Level 0: all symbols.  Above, the symbols after contexts that pass the
+    first filter, where the suffix gram passes the second; and, as grams
+    without a context, all tokens after each of those contexts.
+    """
+    def run(batches):
+        sums = Sums()
+        for batch in slices(batches, limit=SLICE):
+            keys, contexts, _ = grams(batch.column("text"), level)
+            if level == 0:
+                sums.add(keys[0], np.zeros(len(keys[0]), np.uint64))
+            else:
+                of_context, of_suffix = shared.value
+                some = np.flatnonzero(of_context(contexts[level]))
+                ctx = contexts[level][some]
+                sums.add(ctx, np.zeros(len(ctx), np.uint64))
+                here = of_suffix(keys[level - 1][some])
+                sums.add(keys[level][some[here]], ctx[here])
+            if sums.full():
+                yield from packed(sums.take(), shards)
+        yield from packed(sums.take(), shards)
+    return run
 
 
-def context_filter(contexts: DataFrame) -> np.ndarray:
-    """Which top bits the keys of ``contexts(key)`` have."""
-    spots = contexts.select(F.shiftrightunsigned("key", 64 - FILTER_BITS).cast("int").alias("spot")).distinct().toPandas()["spot"]
-    out = np.zeros(1 << FILTER_BITS, bool)
-    out[spots.to_numpy(np.int64)] = True
-    return out
+def merge_counts(least: int):
+    """mapInArrow function: the grams of whole shards, those with a context from ``least`` on."""
+    def run(batches):
+        sums = Sums()
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                for got in pa.ipc.open_stream(blob):
+                    sums.add(*(got.column(c).to_numpy() for c in ("key", "ctx", "n")))
+            if sums.pending > 2 * HELD:
+                sums.merge()
+        keys, ctx, n = sums.take()
+        some = (ctx == 0) | (n >= least)
+        keys, ctx, n = keys[some], ctx[some], n[some]
+        for i in range(0, len(keys), 200_000):
+            j = i + 200_000
+            yield pa.record_batch({"key": pa.array(keys[i:j].view(np.int64)), "ctx": pa.array(ctx[i:j].view(np.int64)), "n": pa.array(n[i:j])})
+    return run
 
 
-def passes(some: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    return some[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
+def counted(train: DataFrame, level: int, shared, tasks: int, least: int) -> DataFrame:
+    """``(key, ctx, n)`` of the level; ctx 0: all tokens after the context ``key`` (level 0: the words)."""
+    shards = 4 * tasks
+    blobs = train.select("text").mapInArrow(count_texts(level, shared, shards), "shard long, blob binary")
+    merged = blobs.repartition(tasks, "shard").mapInArrow(merge_counts(least), "key long, ctx long, n long")
+    return scratch(merged, f"lm-counts-{level}")
 
 
-def count_grams(shared, level: int):
-    """mapInArrow function: partial counts ``(key, ctx, up, n)`` of the symbols after the contexts that pass the filter."""
-    def run(batches):
-        for batch in slices(batches, limit=2 << 20):
-            keys, contexts, _ = grams(batch.column("text").to_pylist(), level)
-            some = passes(shared.value, contexts[level])
-            unique, first, n = np.unique(keys[level][some], return_index=True, return_counts=True)
-            yield pa.record_batch({"key": pa.array(unique.view(np.int64)), "ctx": pa.array(contexts[level][some][first].view(np.int64)),
-                                   "up": pa.array(keys[level - 1][some][first].view(np.int64)), "n": pa.array(n.astype(np.int64))})
-    return run
+# -------------------------------------------------------------------- model
+@dataclass
+class Model:
+    """Tables of the training texts: words ``(key, n, log10p)``, and by depth those of the retained contexts.
 
+    A depth has its next symbols ``(key, n, log10p)`` and its contexts
+    ``(key, n, log10rest)``, n all tokens after the context and log10rest the
+    factor of what it doesn't list.
+    """
 
-def tables(train: DataFrame, words: DataFrame, size: float, depth: int, occurrences: int) -> list[tuple[DataFrame, DataFrame]]:
-    """For each level from 1 the retained model: ``(key, n, log10p)`` of each next symbol, ``(key, log10rest)`` of each context.
+    tokens: int
+    kinds: int
+    words: DataFrame
+    levels: list[tuple[DataFrame, DataFrame]]
 
-    A context of ``occurrences`` tokens is a candidate; all its next symbols
-    are listed, so p = (c + t q) / (n + t), q the suffix's probability.
-    """
+    @property
+    def size(self) -> float:
+        return float(self.tokens + self.kinds + 1)
+
+
+def with_suffix(rows: DataFrame) -> DataFrame:
+    """``rows(key, ..., oldest)`` with ``up``, the gram without its oldest symbol."""
+    def run(batches):
+        for batch in batches:
+            keys, oldest = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("key", "oldest"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(suffix_grams(keys, oldest).view(np.int64))],
+                                             names=[*batch.schema.names, "up"])
+    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", up long")
+
+
+def learn(train: DataFrame, depth: int = 3, occurrences: int = 200, listed: int = 10) -> Model:
+    """The model of ``train(text)`` (bytes)."""
     spark = train.sparkSession
-    below, levels = words.select("key", F.lit(0).cast("long").alias("up"), "n", ((F.col("n") + 1) / size).alias("p")), []
+    least_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = counted(train, 0, None, least_tasks, 1).select("key", "n")
+    whole = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    tokens, size = whole.n or 0, float((whole.n or 0) + whole.v + 1)
+    tasks = max(least_tasks, tokens // TOKENS_A_TASK)
+    p = (F.col("n") + 1) / F.lit(size)
+    below = words.where(F.col("n") >= min(listed, occurrences)).select(
+        "key", F.lit(0).cast("long").alias("up"), F.col("key").alias("oldest"), "n", p.alias("p"))
+    built = []
     for level in range(1, depth + 1):
-        candidates = below.where(F.col("n") >= occurrences).select("key", "up")
-        some = context_filter(candidates)
-        if not some.any():
+        candidates = below.where(F.col("n") >= occurrences).select(F.col("key").alias("ctx"), F.col("up").alias("suffix"), "oldest")
+        if candidates.isEmpty():
             break
-        shared = spark.sparkContext.broadcast(some)
-        counts = (train.select("text").mapInArrow(count_grams(shared, level), "key long, ctx long, up long, n long").groupBy("key")
-                  .agg(F.any_value("ctx").alias("ctx"), F.any_value("up").alias("up"), F.sum("n").alias("n")))
-        counts = scratch(counts.join(below.select(F.col("key").alias("up"), F.col("p").alias("q")), "up"), f"lm-grams-{level}")
-        sums = counts.groupBy("ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"),
-                                         F.sum(F.col("n") * F.log(F.col("n") / F.col("q"))).alias("s"))
-        g = 2 * (F.col("s") - F.col("total") * F.log("total"))
-        states = scratch(sums.join(candidates.select(F.col("key").alias("ctx"), F.col("up").alias("suffix")), "ctx")
-                         .withColumn("diverges", g > F.col("kinds") + 3 * F.sqrt(2 * F.col("kinds") + 1)).drop("s"), f"lm-states-{level}")
-        p = (F.col("n") + F.col("kinds") * F.col("q")) / (F.col("total") + F.col("kinds"))
-        below = scratch(counts.join(states.select("ctx", "total", "kinds"), "ctx").select("key", "ctx", "up", "n", p.alias("p")),
+        of_context, of_suffix = Filter.of(candidates.select(F.col("ctx").alias("key"))), Filter.of(below.where(F.col("n") >= listed))
+        shared = spark.sparkContext.broadcast((of_context, of_suffix))
+        counts = counted(train, level, shared, tasks, listed)
+        nexts = with_suffix(counts.where("ctx <> 0").join(candidates, "ctx"))
+        nexts = scratch(nexts.join(below.select(F.col("key").alias("up"), F.col("p").alias("q")), "up"), f"lm-nexts-{level}")
+        totals = counts.where("ctx = 0").select(F.col("key").alias("ctx"), F.col("n").alias("total"))
+        n, q = F.col("n"), F.col("q")
+        sums = nexts.groupBy("ctx").agg(F.count("*").alias("t"), F.sum("n").alias("known"), F.sum("q").alias("expected"),
+                                        F.sum(n * F.log(n / q)).alias("s"))
+        total, rest = F.col("total"), F.col("total") - F.col("known")
+        share = F.greatest(1 - F.col("expected"), F.lit(1e-12))  # of what is not listed, after the suffix
+        g = 2 * (F.col("s") - F.col("known") * F.log(total) + F.when(rest > 0, rest * F.log(rest / total / share)).otherwise(0.0))
+        states = candidates.join(totals, "ctx").join(sums, "ctx").select(
+            "ctx", "suffix", "total", "t", (g > F.col("t") + 3 * F.sqrt(2 * F.col("t") + 1)).alias("diverges"),
+            F.log10(F.greatest((rest + F.col("t") * share) / (total + F.col("t")) / share, F.lit(1e-12))).alias("log10rest"))
+        states = scratch(states, f"lm-states-{level}")
+        smoothed = (n + F.col("t") * q) / (total + F.col("t"))
+        below = scratch(nexts.join(states.select("ctx", "total", "t"), "ctx").select("key", "up", "oldest", "n", smoothed.alias("p"), "ctx"),
                         f"lm-model-{level}")
-        levels.append((below, states))
-    out, longer = [], None
-    for level in range(len(levels), 0, -1):  # a suffix of a retained context is retained
-        model, states = levels[level - 1]
-        if longer is None:
-            kept = states.where("diverges")
-        else:
-            kept = states.join(longer.select(F.col("suffix").alias("ctx"), F.lit(True).alias("wanted")).distinct(), "ctx", "left")
-            kept = kept.where(F.col("diverges") | F.col("wanted")).drop("wanted")
-        longer = kept = scratch(kept, f"lm-kept-{level}")
-        out.append((model.join(kept.select("ctx"), "ctx", "left_semi").select("key", "n", F.log10("p").alias("log10p")),
-                    kept.select(F.col("ctx").alias("key"), F.log10(F.col("kinds") / (F.col("total") + F.col("kinds"))).alias("log10rest"))))
-    return out[::-1]
-
-
-def score(docs: DataFrame, depth: int = 2, least: float = 2e-4, frequent: float = 5e-7, occurrences: int = 200) -> DataFrame:
-    """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for each row of ``docs(doc_id, text)``.
+        built.append((below, states))
+    levels, longer = [], None
+    for nexts, states in reversed(built):  # a suffix of a retained context is retained
+        kept = states.withColumn("wanted", F.lit(False))
+        if longer is not None:
+            wanted = longer.select(F.col("suffix").alias("ctx"), F.lit(True).alias("wanted")).distinct()
+            kept = states.join(wanted, "ctx", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
+        longer = kept = scratch(kept.where(F.col("diverges") | F.col("wanted")), "lm-kept")
+        levels.append((nexts.join(kept.select("ctx"), "ctx", "left_semi").select("key", "n", F.log10("p").alias("log10p")),
+                       kept.select(F.col("ctx").alias("key"), F.col("total").alias("n"), "log10rest")))
+    return Model(tokens, whole.v, words.withColumn("log10p", F.log10(p)), levels[::-1])
+
+
+# ------------------------------------------------------------------ scoring
+def held_out():
+    """Whether a row's fold, crc32 of the id's text mod 7, is 2."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
-    ``least`` bounds nothing here (it is ``learn``'s); ``frequent`` only says
-    which words and next symbols are broadcast instead of joined.
-    """
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", text_bytes().alias("text"), held_out().alias("held_out"))
-    train = rows.where(~F.col("held_out"))
-    words = scratch(train.select("text").mapInArrow(count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")),
-                    "lm-words")
-    whole = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    total, size = whole.n or 0, float((whole.n or 0) + whole.v + 1)
-    levels = tables(train, words, size, depth, occurrences)
-    words = words.withColumn("log10p", F.log10((F.col("n") + 1) / F.lit(size)))
 
-    def head(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        got = table.where(F.col("n") >= max(1.0, frequent * total)).select("key", "log10p").toPandas()
+class Known:
+    """The frequent entries of a table as arrays, and a filter of the others."""
+
+    def __init__(self, table: DataFrame, value: str, least: float):
+        got = table.where(F.col("n") >= least).select("key", value).toPandas()
         keys = got["key"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(keys)
-        return keys[order], got["log10p"].to_numpy(np.float64)[order]
+        self.keys, self.values = keys[order], got[value].to_numpy(np.float64)[order]
+        self.others = Filter.of(table.where(F.col("n") < least))
 
-    shared = spark.sparkContext.broadcast(([head(words)] + [head(t) for t, _ in levels], [None] + [context_filter(k) for _, k in levels]))
-    kind, top = docs.schema["doc_id"].dataType.simpleString(), len(levels)
-    names = [x for at in range(top + 1) for x in ((f"c{at}", f"g{at}") if at else ("g0",))]
+    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which are known, their values (0 for others), and which of the others there may be."""
+        place = find(self.keys, keys)
+        known = place >= 0
+        return known, np.append(self.values, 0.0)[place] * known, ~known & self.others(keys)
+
+
+def settle(keys: list[np.ndarray], contexts: list[np.ndarray], known: list) -> tuple[np.ndarray, np.ndarray]:
+    """Each token's log10 probability as far as the frequent entries tell, and the level that must be looked up.
+
+    The level is -1 where the token is settled but for its word (``keys[0]``),
+    which is added here only where it is frequent.
+    """
+    got, open_ = np.zeros(len(keys[0])), np.full(len(keys[0]), -1)
+    live = np.arange(len(keys[0]))
+    for at in range(len(known) - 1, 0, -1):
+        nexts, states = known[at]
+        state, left, maybe_state = states(contexts[at][live])
+        hit, value, maybe = nexts(keys[at][live])
+        maybe = maybe_state | (state & maybe)
+        open_[live[maybe]] = at
+        settled = state & hit
+        got[live[settled]] += value[settled]
+        falls = state & ~hit & ~maybe
+        got[live[falls]] += left[falls]
+        live = live[~settled & ~maybe]
+    word, value, _ = known[0][0](keys[0][live])
+    got[live] += value
+    open_[live[~word]] = 0
+    return got, open_
+
+
+def score(docs: DataFrame, depth: int = 3, occurrences: int = 200, listed: int = 10, frequent: float = 2e-7) -> DataFrame:
+    """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for each row of ``docs(doc_id, text)``.
+
+    ``frequent`` only says which entries are broadcast instead of joined.
+    """
+    spark = docs.sparkSession
+    rows = docs.select("doc_id", text_bytes().alias("text"), held_out().alias("held_out"))
+    model = learn(rows.where(~F.col("held_out")), depth, occurrences, listed)
+    least = max(1.0, frequent * model.tokens)
+    top = len(model.levels)
+    known = [(Known(model.words, "log10p", least), None)]
+    known += [(Known(nexts, "log10p", least), Known(states, "log10rest", least)) for nexts, states in model.levels]
+    shared = spark.sparkContext.broadcast(known)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = [f"g{at}" for at in range(top + 1)] + [f"c{at}" for at in range(1, top + 1)]
 
     def run(batches):
-        heads, filters = shared.value
-        for batch in slices(batches, limit=2 << 20):
-            keys, contexts, counts = grams(batch.column("text").to_pylist(), top)
+        known = shared.value
+        for batch in slices(batches, limit=SLICE):
+            keys, contexts, counts = grams(batch.column("text"), top)
             first = np.cumsum(counts) - counts
-            level = np.zeros(len(keys[0]), np.int64)
-            for at in range(1, top + 1):
-                level[(level == at - 1) & passes(filters[at], contexts[at])] = at
-            place = find(heads[0][0], keys[0])
-            known = place >= 0
-            base = np.append(heads[0][1], 0.0)[place]
-            got = np.where(level == 0, base, 0.0)
-            left = (level == 0) & ~known
-            for at in range(1, top + 1):
-                here = np.flatnonzero(level == at)
-                spot = find(heads[at][0], keys[at][here])
-                got[here] = np.append(heads[at][1], 0.0)[spot]
-                left[here[spot < 0]] = True
-            columns = [pa.array(level[left])] + [
-                pa.array((keys if x[0] == "g" else contexts)[int(x[1:])][left].view(np.int64), mask=level[left] < int(x[1:])) for x in names]
+            word, base, _ = known[0][0](keys[0])
+            got, level = settle(keys, contexts, known)
+            ends = np.append(0, np.cumsum(counts))
 
             def lists(mask, values):
-                return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.add.reduceat(mask.astype(np.int64), first))).astype(np.int32)), values)
+                return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(mask))[ends].astype(np.int32)), values)
 
+            # A word that is not frequent: its key, and whether the score needs it, too.
+            rare = pa.StructArray.from_arrays([pa.array(keys[0][~word].view(np.int64)), pa.array(level[~word] == 0)], ["key", "scored"])
+            tail = level > 0
+            fields = [pa.array((keys if x[0] == "g" else contexts)[int(x[1:])][tail].view(np.int64), mask=level[tail] < int(x[1:]))
+                      for x in names]
             yield pa.record_batch({
                 "row": batch.column("row"), "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"),
-                "n_tokens": pa.array(counts), "n_known": pa.array(np.add.reduceat(known.astype(np.int64), first)),
+                "n_tokens": pa.array(counts), "n_known": pa.array(np.add.reduceat(word.astype(np.int64), first)),
                 "base_score": pa.array(np.add.reduceat(base, first)), "score": pa.array(np.add.reduceat(got, first)),
-                "rare": lists(~known, pa.array(keys[0][~known].view(np.int64))),
-                "tail": lists(left, pa.StructArray.from_arrays(columns, ["level", *names]))})
+                "rare": lists(~word, rare),
+                "tail": lists(tail, pa.StructArray.from_arrays([pa.array(level[tail]), *fields], ["level", *names]))})
 
     schema = (f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
-              f"rare array<long>, tail array<struct<level: long, {', '.join(f'{x}: long' for x in names)}>>")
+              f"rare array<struct<key: long, scored: boolean>>, tail array<struct<level: long, {', '.join(f'{x}: long' for x in names)}>>")
     scored = scratch(rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text")
                      .mapInArrow(run, schema), "lm-scored")
-    unseen = F.log10(F.lit(1.0) / F.lit(size))
-    rare = (scored.select("row", F.explode("rare").alias("key")).join(words, "key", "left").groupBy("row")
-            .agg(F.sum(F.coalesce("log10p", unseen)).alias("more"), F.count("n").alias("also")))
+    unseen = F.log10(F.lit(1.0) / F.lit(model.size))
+    value = F.coalesce("log10p", unseen)
+    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.key", "r.scored").join(model.words, "key", "left")
+    parts = [rare.select("row", value.alias("base"), F.when(F.col("scored"), value).otherwise(0.0).alias("x"),
+                         F.col("n").isNotNull().cast("long").alias("known"))]
+
+    def part(found: DataFrame, x) -> DataFrame:
+        return found.select("row", F.lit(0.0).alias("base"), x.alias("x"), F.lit(0).cast("long").alias("known"))
+
     tail = scored.select("row", F.explode("tail").alias("t")).select("row", "t.*", F.lit(0.0).alias("so_far"))
-    fallen, found = tail.limit(0), []
+    fallen = tail.limit(0)
     for at in range(top, 0, -1):  # what a context does not list is left to its suffix
-        table, kept = levels[at - 1]
+        nexts, states = model.levels[at - 1]
         here = tail.where(F.col("level") == at).unionByName(fallen)
-        here = scratch(here.join(table.select(F.col("key").alias(f"g{at}"), "log10p"), f"g{at}", "left"), f"lm-tail-{at}")
-        found.append(here.where("log10p is not null").select("row", (F.col("so_far") + F.col("log10p")).alias("x")))
-        fallen = (here.where("log10p is null").drop("log10p").join(kept.select(F.col("key").alias(f"c{at}"), "log10rest"), f"c{at}", "left")
+        here = here.join(nexts.select(F.col("key").alias(f"g{at}"), "log10p"), f"g{at}", "left")
+        here = scratch(here.withColumn("log10p", F.col("so_far") + F.col("log10p")), f"lm-tail-{at}")
+        parts.append(part(here.where("log10p is not null"), F.col("log10p")))
+        fallen = (here.where("log10p is null").drop("log10p").join(states.select(F.col("key").alias(f"c{at}"), "log10rest"), f"c{at}", "left")
                   .withColumn("so_far", F.col("so_far") + F.coalesce("log10rest", F.lit(0.0))).select(tail.columns))
-    here = tail.where("level = 0").unionByName(fallen).join(words.select(F.col("key").alias("g0"), "log10p"), "g0", "left")
-    every = here.select("row", (F.col("so_far") + F.coalesce("log10p", unseen)).alias("x"))
-    for part in found:
-        every = every.unionByName(part)
-    sums = every.groupBy("row").agg(F.sum("x").alias("rest"))
-    return (scored.drop("rare", "tail").join(rare, "row", "left").join(sums, "row", "left")
-            .withColumn("base_score", F.col("base_score") + F.coalesce("more", F.lit(0.0)))
-            .withColumn("score", F.col("score") + F.coalesce("rest", F.lit(0.0)))
+    roots = fallen.join(model.words.select(F.col("key").alias("g0"), "log10p"), "g0", "left")
+    parts.append(part(roots, F.col("so_far") + value))
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    sums = every.groupBy("row").agg(F.sum("base").alias("more"), F.sum("x").alias("rest"), F.sum("known").alias("also"))
+    zero = F.lit(0.0)
+    return (scored.drop("rare", "tail").join(sums, "row", "left")
+            .withColumn("base_score", F.col("base_score") + F.coalesce("more", zero))
+            .withColumn("score", F.col("score") + F.coalesce("rest", zero))
             .withColumn("n_known", F.col("n_known") + F.coalesce("also", F.lit(0)))
-            .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"))
+            .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"))

@@ -208,3 +208,57 @@ def product_codes(rows, parts=4, entries=256, rounds=4):
     text = ",".join(str(x) for book in books for e in book for x in e)
     return [(i, "".join(f"{final[p][n][1]:02x}" for p in range(parts)), errors[n], label[lab])
             for n, (i, _, lab) in enumerate(rows)], hashlib.sha256(text.encode()).hexdigest()
+
+
+class Tree:
+    """The suffix tree over words of ``texts``, by dictionaries of runs (nearest symbol last)."""
+
+    def __init__(self, texts, depth, occurrences, listed):
+        self.depth = depth
+        streams = [[*words(t), b"\n"] for t in texts]
+        self.word = Counter(w for s in streams for w in s)
+        self.size = sum(self.word.values()) + len(self.word) + 1
+        grams = [Counter() for _ in range(depth + 1)]
+        totals = Counter()
+        for s in streams:
+            padded = [b"\n"] * depth + s
+            for j in range(len(s)):
+                for k in range(depth + 1):
+                    run = tuple(padded[j + depth - k:j + depth + 1])
+                    grams[k][run] += 1
+                    if k:
+                        totals[run[:-1]] += 1
+        below = {(w,): n for w, n in self.word.items()}
+        self.p, self.rest, self.states = {}, {}, {()}
+        for k in range(1, depth + 1):
+            contexts = {c for c, n in below.items() if n >= occurrences}
+            nexts = {}
+            for run, n in grams[k].items():
+                if run[:-1] in contexts and n >= listed and below.get(run[1:], 0) >= listed:
+                    nexts.setdefault(run[:-1], {})[run[-1]] = n
+            below, diverge = {}, set()
+            for c, ns in nexts.items():
+                n, t = totals[c], len(ns)
+                q = {w: self.after(c[1:], w, all_states=True) for w in ns}
+                rest, share = n - sum(ns.values()), max(1 - sum(q.values()), 1e-12)
+                g = 2 * sum(x * math.log(x / n / q[w]) for w, x in ns.items()) + (2 * rest * math.log(rest / n / share) if rest else 0)
+                if g > t + 3 * math.sqrt(2 * t + 1):
+                    diverge.add(c)
+                self.p[c] = {w: (x + t * q[w]) / (n + t) for w, x in ns.items()}
+                self.rest[c] = max((rest + t * share) / (n + t) / share, 1e-12)
+                below |= {(*c, w): x for w, x in ns.items()}
+            self.states |= {c[i:] for c in diverge for i in range(len(c) + 1)}
+
+    def after(self, context, w, all_states=False):
+        if not context:
+            return (self.word[w] + 1) / self.size
+        if context not in self.p or not (all_states or context in self.states):
+            return self.after(context[1:], w, all_states)
+        if w in self.p[context]:
+            return self.p[context][w]
+        return self.rest[context] * self.after(context[1:], w, all_states)
+
+    def score(self, text):
+        s = [*words(text), b"\n"]
+        padded = [b"\n"] * self.depth + s
+        return sum(math.log10(self.after(tuple(padded[j:j + self.depth]), w)) for j, w in enumerate(s))

@@ -184,8 +184,9 @@ def by_id(rows):
     return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[2], round(r[5], 6)))
 
 
-@pytest.mark.parametrize("frequent", [2.5e-7, 1e-3])
+@pytest.mark.parametrize("frequent", [2e-7, 1e-3])
 def test_lm_base_matches_brute_force_and_tree_beats_it(spark, sf_docs, frequent):
+    """With few entries broadcast nearly all tokens are joined, and the scores stay the same."""
     docs = sf_docs.select("doc_id", "text").union(frame(spark, ODD, "doc_id long, text string, source string")
                                                   .select("doc_id", "text"))
     got = suffix_tree.score(docs, frequent=frequent).collect()
@@ -195,8 +196,28 @@ def test_lm_base_matches_brute_force_and_tree_beats_it(spark, sf_docs, frequent)
     assert np.allclose([x[5] for x in a], [x[5] for x in b], rtol=1e-9)
     held = [r for r in got if r.held_out and r.n_tokens > 20]
     assert all(r.score < 0 for r in got)
-    if frequent < 1e-3:  # at 1e-3 hardly any next symbol is listed; that case is for the join of the other words
-        assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def trained(rows):
+    return [t for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
+
+
+@pytest.mark.parametrize("frequent", [1e-7, 2e-3, 2e-2])
+def test_lm_scores_are_those_of_the_whole_tree(spark, frequent):
+    """Whatever is broadcast, a score is that of the tree of all contexts and next symbols of so many occurrences."""
+    rng = random.Random(4)
+    word = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(word[:1 + rng.randrange(60)]) if rng.random() < 0.7 else "a b c" for _ in range(30)) for _ in range(300)]
+    rows = [*enumerate(texts), *((i, "w3 never a b zz") for i in range(300, 340)), *((i, "") for i in range(340, 400)), (None, None)]
+    docs = frame(spark, rows, "doc_id long, text string")
+    tree = brute.Tree(trained(rows), 3, 20, 3)
+    assert {len(c) for c in tree.states} == {0, 1, 2, 3}
+    got = suffix_tree.score(docs.withColumn("row", F.lit("x")).withColumn("tail", F.lit(1)), occurrences=20, listed=3, frequent=frequent).collect()
+    assert len(got) == len(rows)
+    score = {r.doc_id: r.score for r in got}
+    for i, text in rows:
+        assert abs(score[i] - tree.score(text)) < 1e-6
 
 
 def test_tree_is_a_distribution_with_longer_contexts(spark):
@@ -206,24 +227,55 @@ def test_tree_is_a_distribution_with_longer_contexts(spark):
     for _ in range(400):  # the third word depends on the first two together
         a, b = rng.choice("xy"), rng.choice("xy")
         texts.append(f"{a} {b} {'p' if a == b else 'q'} {rng.choice('klmn')}")
-    docs = frame(spark, [(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    tree, _, total, kinds = suffix_tree.learn(docs.select(F.col("text").cast("binary").alias("text")), depth=3, least=1e-3)
-    assert total == 2000 and kinds == 9 and len(tree.words) == 9
-    assert any(len(suffix_tree.symbols_of(tree, s)) == 2 for s in range(len(tree.parent)))
-    symbols = np.arange(10)
-    for state in range(len(tree.parent)):
-        context = suffix_tree.symbols_of(tree, state)[::-1]
-        p = 0.0
-        for x in symbols:
-            text = np.array([*context, x])
-            got = tree.log_probabilities(text, np.array([len(text)]))[-1]
-            p += 10 ** (got + (np.log10(1 / (total + kinds + 1)) if x == tree.other else 0))
-        assert abs(p - 1) < 1e-6
-    place = {w: int(suffix_tree.find(tree.words, suffix_tree.hash_words(suffix_tree.as_objects([w])))[0]) for w in (b"x", b"y", b"p", b"q")}
-    text = np.array([place[b"x"], place[b"x"], place[b"p"]])
-    other = np.array([place[b"x"], place[b"x"], place[b"q"]])
-    one = np.array([3])
-    assert tree.log_probabilities(text, one)[-1] > -0.1 and tree.log_probabilities(other, one)[-1] < -1
+    rows = list(enumerate(texts))
+    tree = brute.Tree(trained(rows), 3, 20, 5)
+    for state in tree.states:
+        p = sum(tree.after(state, w) for w in tree.word) + tree.after(state, b"unseen")
+        assert abs(p - 1) < 1e-9
+    docs = frame(spark, [*rows, (9, "x x p"), (16, "x x q")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in suffix_tree.score(docs, occurrences=20, listed=5).where("doc_id in (9, 16) and n_tokens = 4").collect()}
+    assert got[9] > got[16] + 1
+
+
+def test_gram_keys_fold_and_unfold():
+    texts = pa.array([b"a b a c", b"", b" x ", b"c"], pa.binary())
+    keys, contexts, counts = suffix_tree.grams(texts, 3)
+    assert counts.tolist() == [5, 1, 2, 2]
+    symbols = keys[0]
+    for level in (1, 2, 3):
+        start = np.repeat(np.cumsum(counts) - counts, counts)
+        at = np.arange(len(symbols)) - level
+        oldest = np.where(at >= start, symbols[np.maximum(at, 0)], suffix_tree.end_key())
+        assert (suffix_tree.suffix_grams(keys[level], oldest) == keys[level - 1]).all()
+    assert contexts[2][2] == keys[1][1] and contexts[1][0] == contexts[1][5] == suffix_tree.end_key()
+
+
+def test_filters_never_miss(spark):
+    some = spark.range(5000).select(F.xxhash64("id").alias("key"))
+    f = suffix_tree.Filter.of(some)
+    assert f(some.toPandas()["key"].to_numpy(np.int64).view(np.uint64)).all()
+    assert not suffix_tree.Filter.of(some.limit(0))(np.arange(9, dtype=np.uint64)).any()
+
+
+def test_sums_merge_in_bounded_memory(monkeypatch):
+    monkeypatch.setattr(suffix_tree, "HELD", 50)
+    rng, sums, got, want = np.random.default_rng(1), suffix_tree.Sums(), {}, {}
+    def take():
+        for batch in suffix_tree.packed(sums.take(), 4):
+            for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("blob").to_pylist()):
+                for part in pa.ipc.open_stream(blob):
+                    for r in part.to_pylist():
+                        assert r["key"] % 4 == shard
+                        got[r["key"], r["ctx"]] = got.get((r["key"], r["ctx"]), 0) + r["n"]
+    for _ in range(20):
+        keys = rng.integers(0, 200, 60).astype(np.uint64)
+        for k in keys.tolist():
+            want[k, k // 7] = want.get((k, k // 7), 0) + 1
+        sums.add(keys, keys // np.uint64(7))
+        if sums.full():
+            take()
+    take()
+    assert got == want
 
 
 def test_lm_empty_and_untrained(spark):
@@ -231,21 +283,3 @@ def test_lm_empty_and_untrained(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = suffix_tree.score(frame(spark, [(held, "x y")], "doc_id long, text string")).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (3, 0, 0, 0.0, 0.0)
-
-
-def test_lm_scores_are_those_of_the_whole_tree(spark):
-    """Whatever is broadcast, a score is that of the tree of all contexts of so many occurrences and all their next symbols."""
-    rng = random.Random(4)
-    word = [f"w{i}" for i in range(60)]
-    texts = [" ".join(rng.choice(word[:1 + rng.randrange(60)]) if rng.random() < 0.7 else "a b c" for _ in range(30)) for _ in range(300)]
-    rows = list(enumerate(texts)) + [(i, "w3 never a b zz") for i in range(300, 340)]
-    docs = frame(spark, rows, "doc_id long, text string")
-    train = docs.where(~suffix_tree.held_out()).select(F.col("text").cast("binary").alias("text"))
-    _, _, total, kinds = suffix_tree.learn(train, depth=0)
-    tree = suffix_tree.learn(train, depth=2, least=20 / total, frequent=1e-12)[0]
-    assert len(tree.parent) > 10 and any(len(suffix_tree.symbols_of(tree, s)) == 2 for s in range(len(tree.parent)))
-    got = {r.doc_id: r.score for r in suffix_tree.score(docs, frequent=2e-3, occurrences=20).collect()}
-    for i, text in rows:
-        symbols, counts, *_ = tree.read([text.encode()])
-        want = tree.log_probabilities(symbols, counts).sum() + (symbols == tree.other).sum() * np.log10(1 / (total + kinds + 1))
-        assert abs(got[i] - want) < 1e-6
