@@ -135,7 +135,7 @@ class Filter:
     def of(cls, table: DataFrame) -> Filter:
         """Of the ``key`` column; at most a place a bit reaches the driver."""
         spots = table.select(F.shiftrightunsigned("key", 64 - FILTER_BITS).cast("int").alias("spot")).distinct()
-        return cls(spots.toPandas()["spot"].to_numpy(np.int64))
+        return cls(spots.toArrow().column("spot").to_numpy())
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         spot = (keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
@@ -345,10 +345,10 @@ class Known:
     """The frequent entries of a table as arrays, and a filter of the others."""
 
     def __init__(self, table: DataFrame, value: str, least: float):
-        got = table.where(F.col("n") >= least).select("key", value).toPandas()
-        keys = got["key"].to_numpy(np.int64).view(np.uint64)
+        got = table.where(F.col("n") >= least).select("key", value).toArrow()
+        keys = got.column("key").to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        self.keys, self.values = keys[order], got[value].to_numpy(np.float64)[order]
+        self.keys, self.values = keys[order], got.column(value).to_numpy()[order]
         self.others = Filter.of(table.where(F.col("n") < least))
 
     def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
