@@ -28,10 +28,11 @@ listed if its suffix gram is, so a pass counts few of the rare ones.  Filters
 of fixed size tell which contexts and grams are possible; a wrong yes costs a
 row and changes no result, as exact joins follow.
 
-For scoring, the entries of at least ``frequent`` of all tokens (at most
-1 / frequent a depth) are broadcast and settle nearly all tokens in place.  A
-token that may need a rarer entry, be it word, gram or context, is joined with
-the model's tables.  No joined key is hot: hot ones are frequent.
+For scoring, the most frequent entries of each table (at most ``broadcast`` of
+words, of next symbols and of contexts a depth) are broadcast and settle nearly
+all tokens in place.  A token that may need a rarer entry, be it word, gram or
+context, is joined with the model's tables.  No joined key is hot: a key has
+at most 1 / ``broadcast`` of the training tokens.
 
 Defined results: a null or empty text has one token, the end; a null id
 counts as the text '' for the fold, so the row trains; repeated rows count
@@ -55,10 +56,10 @@ ODD = 0x9E3779B97F4A7C15
 #: Places of a filter: its size is fixed.
 FILTER_BITS = 24
 #: Different grams that a task holds before it hands them on, and tokens for which a merging task is planned.
-HELD = 2_000_000
+HELD = 1_500_000
 TOKENS_A_TASK = 4_000_000
 #: Bytes of text that are read together.
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 
 def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -73,29 +74,51 @@ def end_key() -> np.uint64:
     return hash_words(as_objects([END]))[0]
 
 
-def grams(texts: pa.Array, depth: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """``(keys, contexts, counts)``: by level the key of each symbol with those before it, and of those alone.
+class Stream:
+    """The symbols of texts on end: ``table`` of the different ones (hashes), ``codes`` into it, ``counts`` a text.
 
     A key folds a run of symbols, the nearest first, so that a context of ``l``
     symbols has the key of the previous symbol's level ``l - 1``.
     """
-    codes, words, counts = coded_words(texts)
-    counts = counts + 1
-    ends = np.cumsum(counts) - 1
-    end = end_key()
-    inside = np.ones(counts.sum(), bool)
-    inside[ends] = False
-    symbols = np.full(len(inside), end, np.uint64)
-    symbols[inside] = hash_words(as_objects(words.to_pylist()))[codes]
-    start = np.repeat(ends - counts + 1, counts)
-    at, odd = np.arange(len(symbols)), np.uint64(ODD)
-    keys, contexts, edge = [symbols], [symbols], np.array([end])
-    for back in range(1, depth + 1):
-        contexts.append(np.where(at > start, keys[-1][at - 1], edge[0]))
-        before = np.where(at - back >= start, symbols[at - back], end)
-        keys.append(mix64(keys[-1] * odd + before))
-        edge = mix64(edge * odd + end)
-    return keys, contexts, counts
+
+    def __init__(self, texts: pa.Array):
+        codes, words, counts = coded_words(texts)
+        self.counts = counts + 1
+        self.first = np.cumsum(self.counts) - self.counts
+        self.table = np.append(hash_words(as_objects(words.to_pylist())), end_key())
+        self.end = len(self.table) - 1
+        inside = np.ones(self.counts.sum(), bool)
+        inside[self.first + counts] = False
+        self.codes = np.full(len(inside), self.end, np.int32)
+        self.codes[inside] = codes
+        self.start = np.repeat(self.first, self.counts)
+        self._keys, self._contexts = [self.table[self.codes]], [None]
+        self._edge = np.array([end_key()])
+
+    def back(self, n: int) -> np.ndarray:
+        """The code of the symbol ``n`` places before each."""
+        at = np.arange(len(self.codes)) - n
+        return np.where(at >= self.start, self.codes[np.maximum(at, 0)], self.end)
+
+    def deepen(self, level: int) -> None:
+        while len(self._keys) <= level:
+            shorter = self._keys[-1]
+            context = np.empty_like(shorter)
+            context[1:] = shorter[:-1]
+            context[self.first] = self._edge[0]
+            self._contexts.append(context)
+            self._keys.append(mix64(shorter * np.uint64(ODD) + self.table[self.back(len(self._keys))]))
+            self._edge = mix64(self._edge * np.uint64(ODD) + end_key())
+
+    def keys(self, level: int) -> np.ndarray:
+        """Each symbol with the ``level`` before it."""
+        self.deepen(level)
+        return self._keys[level]
+
+    def contexts(self, level: int) -> np.ndarray:
+        """The ``level`` symbols before each."""
+        self.deepen(level)
+        return self._contexts[level]
 
 
 def unmix64(x: np.ndarray) -> np.ndarray:
@@ -143,34 +166,31 @@ class Filter:
 
 
 # ----------------------------------------------------------------- counting
-GRAMS = pa.schema([("ctx", pa.uint64()), ("key", pa.uint64()), ("n", pa.int64())])
-
-
 class Sums:
-    """Counts of ``(ctx, key)`` in bounded memory; a key belongs to one ctx."""
+    """Counts of keys in bounded memory, each with a 32-bit tag."""
 
     def __init__(self):
         self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.pending = 0
 
-    def add(self, keys: np.ndarray, ctx: np.ndarray, n: np.ndarray | None = None) -> None:
+    def add(self, keys: np.ndarray, tags: np.ndarray, n: np.ndarray | None = None) -> None:
         """Counts of keys, which may repeat (``n`` given: as often as it says)."""
         if not len(keys):
             return
-        order = np.argsort(keys, kind="stable")
-        keys, ctx = keys[order], ctx[order]
+        order = np.argsort(keys)
+        keys, tags = keys[order], tags[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         n = np.diff(np.append(first, len(keys))) if n is None else np.add.reduceat(n[order], first)
-        self.runs.append((keys[first], ctx[first], n.astype(np.int64)))
+        self.runs.append((keys[first], tags[first], n.astype(np.int64)))
         self.pending += len(first)
 
     def merge(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not self.runs:
-            return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+            return np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int64)
         if len(self.runs) > 1:
-            keys, ctx, n = (np.concatenate(x) for x in zip(*self.runs))
+            keys, tags, n = (np.concatenate(x) for x in zip(*self.runs))
             self.runs, self.pending = [], 0
-            self.add(keys, ctx, n)
+            self.add(keys, tags, n)
         return self.runs[0]
 
     def full(self) -> bool:
@@ -186,74 +206,96 @@ class Sums:
         return got
 
 
-def packed(got: tuple[np.ndarray, np.ndarray, np.ndarray], shards: int):
-    """Record batches of ``(shard, blob)``: a blob is the shard's grams as compressed Arrow columns, by context."""
-    keys, ctx, n = got
+def pack(keys: np.ndarray, tags: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted keys, tags and counts as bytes: differences of keys and counts by planes of equal weight, compressed."""
+    def planes(x: np.ndarray) -> bytes:
+        return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+    raw = planes(np.diff(keys, prepend=np.uint64(0))) + planes(n) + tags.astype("<u4").tobytes()
+    return len(keys).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    k = int.from_bytes(blob[:8], "little")
+    raw = np.frombuffer(pa.decompress(blob[8:], decompressed_size=20 * k, codec="zstd", asbytes=True), np.uint8)
+
+    def whole(x: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(x.reshape(8, -1).T).view("<u8").ravel()
+
+    return np.cumsum(whole(raw[:8 * k]), dtype=np.uint64), raw[16 * k:].view("<u4"), whole(raw[8 * k:16 * k]).astype(np.int64)
+
+
+def handed_on(got: tuple[np.ndarray, np.ndarray, np.ndarray], shards: int, whole: bool):
+    """Record batches of ``(shard, whole, blob)``: the keys of each range, packed."""
+    keys, tags, n = got
     if not len(keys):
         return
-    shard = (keys % np.uint64(shards)).astype(np.int64)
-    order = np.lexsort((ctx, shard))
-    keys, ctx, n, shard = keys[order], ctx[order], n[order], shard[order]
-    cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
-    blobs = []
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, GRAMS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_batch(pa.record_batch([pa.array(ctx[a:b]), pa.array(keys[a:b]), pa.array(n[a:b])], schema=GRAMS))
-        blobs.append(sink.getvalue().to_pybytes())
-    yield pa.record_batch({"shard": pa.array(shard[cuts[:-1]]), "blob": pa.array(blobs, pa.binary())})
+    bounds = np.array([(i << 64) // shards for i in range(1, shards)], dtype=np.uint64)
+    cuts = np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
+    some = np.flatnonzero(np.diff(cuts))
+    blobs = [pack(keys[cuts[i]:cuts[i + 1]], tags[cuts[i]:cuts[i + 1]], n[cuts[i]:cuts[i + 1]]) for i in some.tolist()]
+    yield pa.record_batch({"shard": pa.array(some.astype(np.int64)), "whole": pa.array([whole] * len(some)), "blob": pa.array(blobs, pa.binary())})
+
+
+def tag_of(ctx: np.ndarray) -> np.ndarray:
+    """The upper half of a context's key, which a gram is tagged with."""
+    return (ctx >> np.uint64(32)).astype(np.uint32)
 
 
 def count_texts(level: int, shared, shards: int):
-    """mapInArrow function: a task's packed counts of the level's possible grams.
+    """mapInArrow function: a task's packed counts of the level's possible grams, tagged by their contexts.
 
     Level 0: all symbols.  Above, the symbols after contexts that pass the
-    first filter, where the suffix gram passes the second; and, as grams
-    without a context, all tokens after each of those contexts.
+    first filter, where the suffix gram passes the second; and (``whole``)
+    all tokens after each of those contexts.
     """
     def run(batches):
-        sums = Sums()
+        sums, totals = Sums(), Sums()
         for batch in slices(batches, limit=SLICE):
-            keys, contexts, _ = grams(batch.column("text"), level)
+            stream = Stream(batch.column("text"))
             if level == 0:
-                sums.add(keys[0], np.zeros(len(keys[0]), np.uint64))
+                n = np.bincount(stream.codes, minlength=len(stream.table))
+                sums.add(stream.table, np.zeros(len(n), np.uint32), n)
             else:
                 of_context, of_suffix = shared.value
-                some = np.flatnonzero(of_context(contexts[level]))
-                ctx = contexts[level][some]
-                sums.add(ctx, np.zeros(len(ctx), np.uint64))
-                here = of_suffix(keys[level - 1][some])
-                sums.add(keys[level][some[here]], ctx[here])
-            if sums.full():
-                yield from packed(sums.take(), shards)
-        yield from packed(sums.take(), shards)
+                some = np.flatnonzero(of_context(stream.contexts(level)))
+                ctx = stream.contexts(level)[some]
+                totals.add(ctx, np.zeros(len(ctx), np.uint32))
+                here = of_suffix(stream.keys(level - 1)[some])
+                sums.add(stream.keys(level)[some[here]], tag_of(ctx[here]))
+            for x, whole in ((sums, False), (totals, True)):
+                if x.full():
+                    yield from handed_on(x.take(), shards, whole)
+        yield from handed_on(sums.take(), shards, False)
+        yield from handed_on(totals.take(), shards, True)
     return run
 
 
 def merge_counts(least: int):
-    """mapInArrow function: the grams of whole shards, those with a context from ``least`` on."""
+    """mapInArrow function: the totals of whole shards, and their grams from ``least`` on."""
     def run(batches):
-        sums = Sums()
+        sums = {False: Sums(), True: Sums()}
         for batch in batches:
-            for blob in batch.column("blob").to_pylist():
-                for got in pa.ipc.open_stream(blob):
-                    sums.add(*(got.column(c).to_numpy() for c in ("key", "ctx", "n")))
-            if sums.pending > 2 * HELD:
-                sums.merge()
-        keys, ctx, n = sums.take()
-        some = (ctx == 0) | (n >= least)
-        keys, ctx, n = keys[some], ctx[some], n[some]
-        for i in range(0, len(keys), 200_000):
-            j = i + 200_000
-            yield pa.record_batch({"key": pa.array(keys[i:j].view(np.int64)), "ctx": pa.array(ctx[i:j].view(np.int64)), "n": pa.array(n[i:j])})
+            for whole, blob in zip(batch.column("whole").to_pylist(), batch.column("blob").to_pylist()):
+                sums[whole].add(*unpack(blob))
+                if sums[whole].pending > 2 * HELD:
+                    sums[whole].merge()
+        for whole, held in sums.items():
+            keys, tags, n = held.take()
+            if not whole:
+                some = n >= least
+                keys, tags, n = keys[some], tags[some], n[some]
+            for i in range(0, len(keys), 200_000):
+                j = min(i + 200_000, len(keys))
+                yield pa.record_batch({"key": pa.array(keys[i:j].view(np.int64)), "tag": pa.array(tags[i:j].astype(np.int64)),
+                                       "n": pa.array(n[i:j]), "whole": pa.array([whole] * (j - i))})
     return run
 
 
 def counted(train: DataFrame, level: int, shared, tasks: int, least: int) -> DataFrame:
-    """``(key, ctx, n)`` of the level; ctx 0: all tokens after the context ``key`` (level 0: the words)."""
-    shards = 4 * tasks
-    blobs = train.select("text").mapInArrow(count_texts(level, shared, shards), "shard long, blob binary")
-    merged = blobs.repartition(tasks, "shard").mapInArrow(merge_counts(least), "key long, ctx long, n long")
+    """``(key, tag, n, whole)`` of the level; whole: all tokens after the context ``key``."""
+    blobs = train.select("text").mapInArrow(count_texts(level, shared, 4 * tasks), "shard long, whole boolean, blob binary")
+    merged = blobs.repartition(tasks, "shard").mapInArrow(merge_counts(least), "key long, tag long, n long, whole boolean")
     return scratch(merged, f"lm-counts-{level}")
 
 
@@ -287,7 +329,7 @@ def with_suffix(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", up long")
 
 
-def learn(train: DataFrame, depth: int = 3, occurrences: int = 200, listed: int = 10) -> Model:
+def learn(train: DataFrame, depth: int = 3, occurrences: int = 20, listed: int = 10) -> Model:
     """The model of ``train(text)`` (bytes)."""
     spark = train.sparkSession
     least_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -306,9 +348,11 @@ def learn(train: DataFrame, depth: int = 3, occurrences: int = 200, listed: int
         of_context, of_suffix = Filter.of(candidates.select(F.col("ctx").alias("key"))), Filter.of(below.where(F.col("n") >= listed))
         shared = spark.sparkContext.broadcast((of_context, of_suffix))
         counts = counted(train, level, shared, tasks, listed)
-        nexts = with_suffix(counts.where("ctx <> 0").join(candidates, "ctx"))
+        # Another context of the same tag gives a suffix gram that there is not.
+        tagged = candidates.withColumn("tag", F.shiftrightunsigned("ctx", 32))
+        nexts = with_suffix(counts.where("NOT whole").drop("whole").join(tagged, "tag"))
         nexts = scratch(nexts.join(below.select(F.col("key").alias("up"), F.col("p").alias("q")), "up"), f"lm-nexts-{level}")
-        totals = counts.where("ctx = 0").select(F.col("key").alias("ctx"), F.col("n").alias("total"))
+        totals = counts.where("whole").select(F.col("key").alias("ctx"), F.col("n").alias("total"))
         n, q = F.col("n"), F.col("q")
         sums = nexts.groupBy("ctx").agg(F.count("*").alias("t"), F.sum("n").alias("known"), F.sum("q").alias("expected"),
                                         F.sum(n * F.log(n / q)).alias("s"))
@@ -342,59 +386,92 @@ def held_out():
 
 
 class Known:
-    """The frequent entries of a table as arrays, and a filter of the others."""
-
-    def __init__(self, table: DataFrame, value: str, least: float):
+    """The most frequent entries of a table as arrays, at most ``most``, and filters of all and of the others."""
+
+    def __init__(self, table: DataFrame, value: str, most: int):
+        table = table.select("key", "n", value)
+        # The least count from which on there are few enough, found among powers of two and refined once.
+        sizes = table.groupBy((F.length(F.bin("n")) - 1).alias("power")).agg(F.count("*").alias("k")).orderBy(F.desc("power")).collect()
+        least, held = 1, 0
+        for r in sizes:
+            held += r.k
+            if held > most:
+                least = 1 << (r.power + 1)
+                room = most - (held - r.k)
+                inside = table.where((F.col("n") >= 1 << r.power) & (F.col("n") < least))
+                step = max(1, (1 << r.power) // 64)  # at most 64 steps within the power
+                for c in inside.groupBy(F.floor(F.col("n") / step).alias("at")).agg(F.count("*").alias("k")).orderBy(F.desc("at")).collect():
+                    room -= c.k
+                    if room < 0:
+                        break
+                    least = c.at * step
+                break
         got = table.where(F.col("n") >= least).select("key", value).toArrow()
         keys = got.column("key").to_numpy().view(np.uint64)
         order = np.argsort(keys)
         self.keys, self.values = keys[order], got.column(value).to_numpy()[order]
-        self.others = Filter.of(table.where(F.col("n") < least))
+        self.all = Filter.of(table)
+        self.others = Filter.of(table.where(F.col("n") < least)) if least > 1 else None
 
     def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which are known, their values (0 for others), and which of the others there may be."""
-        place = find(self.keys, keys)
-        known = place >= 0
-        return known, np.append(self.values, 0.0)[place] * known, ~known & self.others(keys)
-
-
-def settle(keys: list[np.ndarray], contexts: list[np.ndarray], known: list) -> tuple[np.ndarray, np.ndarray]:
-    """Each token's log10 probability as far as the frequent entries tell, and the level that must be looked up.
-
-    The level is -1 where the token is settled but for its word (``keys[0]``),
-    which is added here only where it is frequent.
+        known, value, maybe = np.zeros(len(keys), bool), np.zeros(len(keys)), np.zeros(len(keys), bool)
+        some = np.flatnonzero(self.all(keys))
+        place = find(self.keys, keys[some])
+        hit = place >= 0
+        known[some[hit]], value[some[hit]] = True, self.values[place[hit]]
+        if self.others is not None:
+            rest = some[~hit]
+            maybe[rest] = self.others(keys[rest])
+        return known, value, maybe
+
+
+def settle(stream: Stream, known: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which words are known and their base, each token's log10 probability as far as that tells, and its open level.
+
+    The level is -1 where the token is settled, 0 where its word must be
+    looked up, above that where a rarer entry of that depth may count.
     """
-    got, open_ = np.zeros(len(keys[0])), np.full(len(keys[0]), -1)
-    live = np.arange(len(keys[0]))
+    word, base, _ = (x[stream.codes] for x in known[0][0](stream.table))
+    depths = []  # from the shortest contexts: those that are, or may be, states
+    live = np.arange(len(word))
+    for at in range(1, len(known)):
+        if at == 1:
+            found = [x[stream.back(1)] for x in known[1][1](stream.table)]
+        else:
+            found = known[at][1](stream.contexts(at)[live])
+        some = found[0] | found[2]
+        live = live[some]
+        depths.append((live, found[0][some], found[1][some]))
+    got, level, settled = np.zeros(len(word)), np.full(len(word), -1), np.zeros(len(word), bool)
     for at in range(len(known) - 1, 0, -1):
-        nexts, states = known[at]
-        state, left, maybe_state = states(contexts[at][live])
-        hit, value, maybe = nexts(keys[at][live])
-        maybe = maybe_state | (state & maybe)
-        open_[live[maybe]] = at
-        settled = state & hit
-        got[live[settled]] += value[settled]
+        tokens, state, left = depths[at - 1]
+        open_ = ~settled[tokens]
+        tokens, state, left = tokens[open_], state[open_], left[open_]
+        hit, value, maybe = known[at][0](stream.keys(at)[tokens])
+        done, unsure = state & hit, ~state | (~hit & maybe)
+        got[tokens[done]] += value[done]
         falls = state & ~hit & ~maybe
-        got[live[falls]] += left[falls]
-        live = live[~settled & ~maybe]
-    word, value, _ = known[0][0](keys[0][live])
-    got[live] += value
-    open_[live[~word]] = 0
-    return got, open_
+        got[tokens[falls]] += left[falls]
+        level[tokens[unsure]] = at
+        settled[tokens[done | unsure]] = True
+    root = ~settled
+    got[root] += base[root]
+    level[root & ~word] = 0
+    return word, base, got, level
 
 
-def score(docs: DataFrame, depth: int = 3, occurrences: int = 200, listed: int = 10, frequent: float = 2e-7) -> DataFrame:
+def score(docs: DataFrame, depth: int = 3, occurrences: int = 20, listed: int = 10, broadcast: int = 1 << 20) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for each row of ``docs(doc_id, text)``.
 
-    ``frequent`` only says which entries are broadcast instead of joined.
+    ``broadcast`` only says how many entries of a table are broadcast instead of joined.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", text_bytes().alias("text"), held_out().alias("held_out"))
     model = learn(rows.where(~F.col("held_out")), depth, occurrences, listed)
-    least = max(1.0, frequent * model.tokens)
     top = len(model.levels)
-    known = [(Known(model.words, "log10p", least), None)]
-    known += [(Known(nexts, "log10p", least), Known(states, "log10rest", least)) for nexts, states in model.levels]
+    known = [(Known(model.words, "log10p", broadcast), None)]
+    known += [(Known(nexts, "log10p", broadcast), Known(states, "log10rest", broadcast)) for nexts, states in model.levels]
     shared = spark.sparkContext.broadcast(known)
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = [f"g{at}" for at in range(top + 1)] + [f"c{at}" for at in range(1, top + 1)]
@@ -402,19 +479,18 @@ def score(docs: DataFrame, depth: int = 3, occurrences: int = 200, listed: int =
     def run(batches):
         known = shared.value
         for batch in slices(batches, limit=SLICE):
-            keys, contexts, counts = grams(batch.column("text"), top)
-            first = np.cumsum(counts) - counts
-            word, base, _ = known[0][0](keys[0])
-            got, level = settle(keys, contexts, known)
+            stream = Stream(batch.column("text"))
+            word, base, got, level = settle(stream, known)
+            counts, first = stream.counts, stream.first
             ends = np.append(0, np.cumsum(counts))
 
             def lists(mask, values):
                 return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(mask))[ends].astype(np.int32)), values)
 
             # A word that is not frequent: its key, and whether the score needs it, too.
-            rare = pa.StructArray.from_arrays([pa.array(keys[0][~word].view(np.int64)), pa.array(level[~word] == 0)], ["key", "scored"])
+            rare = pa.StructArray.from_arrays([pa.array(stream.keys(0)[~word].view(np.int64)), pa.array(level[~word] == 0)], ["key", "scored"])
             tail = level > 0
-            fields = [pa.array((keys if x[0] == "g" else contexts)[int(x[1:])][tail].view(np.int64), mask=level[tail] < int(x[1:]))
+            fields = [pa.array((stream.keys if x[0] == "g" else stream.contexts)(int(x[1:]))[tail].view(np.int64), mask=level[tail] < int(x[1:]))
                       for x in names]
             yield pa.record_batch({
                 "row": batch.column("row"), "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"),

@@ -184,12 +184,12 @@ def by_id(rows):
     return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[2], round(r[5], 6)))
 
 
-@pytest.mark.parametrize("frequent", [2e-7, 1e-3])
-def test_lm_base_matches_brute_force_and_tree_beats_it(spark, sf_docs, frequent):
+@pytest.mark.parametrize("broadcast", [1 << 20, 50])
+def test_lm_base_matches_brute_force_and_tree_beats_it(spark, sf_docs, broadcast):
     """With few entries broadcast nearly all tokens are joined, and the scores stay the same."""
     docs = sf_docs.select("doc_id", "text").union(frame(spark, ODD, "doc_id long, text string, source string")
                                                   .select("doc_id", "text"))
-    got = suffix_tree.score(docs, frequent=frequent).collect()
+    got = suffix_tree.score(docs, broadcast=broadcast).collect()
     want = brute.unigram([tuple(r) for r in docs.collect()])
     a, b = by_id([tuple(r)[:6] for r in got]), by_id(want)
     assert [x[:5] for x in a] == [x[:5] for x in b]
@@ -203,8 +203,8 @@ def trained(rows):
     return [t for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
 
 
-@pytest.mark.parametrize("frequent", [1e-7, 2e-3, 2e-2])
-def test_lm_scores_are_those_of_the_whole_tree(spark, frequent):
+@pytest.mark.parametrize("broadcast", [1 << 20, 40, 0])
+def test_lm_scores_are_those_of_the_whole_tree(spark, broadcast):
     """Whatever is broadcast, a score is that of the tree of all contexts and next symbols of so many occurrences."""
     rng = random.Random(4)
     word = [f"w{i}" for i in range(60)]
@@ -213,7 +213,7 @@ def test_lm_scores_are_those_of_the_whole_tree(spark, frequent):
     docs = frame(spark, rows, "doc_id long, text string")
     tree = brute.Tree(trained(rows), 3, 20, 3)
     assert {len(c) for c in tree.states} == {0, 1, 2, 3}
-    got = suffix_tree.score(docs.withColumn("row", F.lit("x")).withColumn("tail", F.lit(1)), occurrences=20, listed=3, frequent=frequent).collect()
+    got = suffix_tree.score(docs.withColumn("row", F.lit("x")).withColumn("tail", F.lit(1)), occurrences=20, listed=3, broadcast=broadcast).collect()
     assert len(got) == len(rows)
     score = {r.doc_id: r.score for r in got}
     for i, text in rows:
@@ -238,16 +238,13 @@ def test_tree_is_a_distribution_with_longer_contexts(spark):
 
 
 def test_gram_keys_fold_and_unfold():
-    texts = pa.array([b"a b a c", b"", b" x ", b"c"], pa.binary())
-    keys, contexts, counts = suffix_tree.grams(texts, 3)
-    assert counts.tolist() == [5, 1, 2, 2]
-    symbols = keys[0]
+    stream = suffix_tree.Stream(pa.array([b"a b a c", b"", b" x ", b"c"], pa.binary()))
+    assert stream.counts.tolist() == [5, 1, 2, 2]
     for level in (1, 2, 3):
-        start = np.repeat(np.cumsum(counts) - counts, counts)
-        at = np.arange(len(symbols)) - level
-        oldest = np.where(at >= start, symbols[np.maximum(at, 0)], suffix_tree.end_key())
-        assert (suffix_tree.suffix_grams(keys[level], oldest) == keys[level - 1]).all()
-    assert contexts[2][2] == keys[1][1] and contexts[1][0] == contexts[1][5] == suffix_tree.end_key()
+        oldest = stream.table[stream.back(level)]
+        assert (suffix_tree.suffix_grams(stream.keys(level), oldest) == stream.keys(level - 1)).all()
+    assert stream.contexts(2)[2] == stream.keys(1)[1] and stream.contexts(1)[0] == stream.contexts(1)[5] == suffix_tree.end_key()
+    assert stream.contexts(2)[0] == stream.keys(1)[5]  # two end tokens, as an empty text's end after an end
 
 
 def test_filters_never_miss(spark):
@@ -260,24 +257,39 @@ def test_filters_never_miss(spark):
 def test_sums_merge_in_bounded_memory(monkeypatch):
     monkeypatch.setattr(suffix_tree, "HELD", 50)
     rng, sums, got, want = np.random.default_rng(1), suffix_tree.Sums(), {}, {}
+
     def take():
-        for batch in suffix_tree.packed(sums.take(), 4):
+        for batch in suffix_tree.handed_on(sums.take(), 3, False):
             for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("blob").to_pylist()):
-                for part in pa.ipc.open_stream(blob):
-                    for r in part.to_pylist():
-                        assert r["key"] % 4 == shard
-                        got[r["key"], r["ctx"]] = got.get((r["key"], r["ctx"]), 0) + r["n"]
+                for k, t, n in zip(*(x.tolist() for x in suffix_tree.unpack(blob))):
+                    assert shard == k * 3 >> 64
+                    got[k, t] = got.get((k, t), 0) + n
+
+    some = rng.integers(0, 1 << 63, 200).astype(np.uint64) * np.uint64(2)
     for _ in range(20):
-        keys = rng.integers(0, 200, 60).astype(np.uint64)
+        keys = rng.choice(some, 60)
         for k in keys.tolist():
-            want[k, k // 7] = want.get((k, k // 7), 0) + 1
-        sums.add(keys, keys // np.uint64(7))
+            want[k, k >> 32] = want.get((k, k >> 32), 0) + 1
+        sums.add(keys, suffix_tree.tag_of(keys))
         if sums.full():
             take()
     take()
     assert got == want
 
 
+@pytest.mark.parametrize("most", [0, 1, 37, 300, 5000])
+def test_known_holds_the_most_frequent(spark, most):
+    rng = np.random.default_rng(2)
+    rows = [(int(k), int(n), float(n)) for k, n in zip(rng.integers(-1 << 62, 1 << 62, 1000), rng.zipf(1.4, 1000).clip(max=10**9))]
+    known = suffix_tree.Known(spark.createDataFrame(rows, "key long, n long, x double"), "x", most)
+    assert len(known.keys) <= most and (most < 1000 or len(known.keys) == 1000)
+    held = {k for k, n, _ in rows if np.uint64(k & (1 << 64) - 1) in set(known.keys)}
+    if held and len(held) < 1000:
+        assert min(n for k, n, _ in rows if k in held) > max(n for k, n, _ in rows if k not in held)
+    hit, value, maybe = known(np.array([k for k, *_ in rows], np.int64).view(np.uint64))
+    assert (hit | maybe).all() and [v for v, h in zip(value, hit) if h] == [x for (*_, x), h in zip(rows, hit) if h]
+
+
 def test_lm_empty_and_untrained(spark):
     assert suffix_tree.score(spark.createDataFrame([], EMPTY_DOCS)).collect() == []
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
