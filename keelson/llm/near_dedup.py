@@ -26,8 +26,10 @@ and small-star.
 Defined results: a null or blank text has no shingles and links with
 nothing; fewer words than a shingle make one shingle of all of them; rows
 without an id take part in no link (their component is null and they are
-kept); repeated rows share their id's component; an empty table gives an
-empty result; other columns are ignored.
+kept); an id with several texts is one node: all its rows share a component,
+and it joins what its texts link with; an empty table gives an empty result;
+other columns are ignored.  ``keep_one`` goes by texts alone: a text that
+nothing is similar to stays, whatever its id.
 """
 
 from __future__ import annotations
@@ -284,10 +286,34 @@ def rare_buckets(ids: DataFrame, cards: DataFrame, p: Banding) -> DataFrame:
     return kept.select("key", "id", n.alias("n"), (F.col("held") - F.col("rank") + 1).alias("held")).join(marks, "id")
 
 
+def joined_by_ids(rows: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """``(doc_id, component)`` of the ids that hold several texts (or texts and blanks), and of what they join; else None.
+
+    ``rows(doc_id, fp1, fp2, n_shingles)``.  Also returned, as rows without a
+    doc_id: ``(label, component)`` of every text component that an id joins to others.
+    """
+    several = scratch(rows.where(F.col("doc_id").isNotNull()).groupBy("doc_id")
+                      .agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("fp1", "fp2") for f in (F.min, F.max)])
+                      .where("min_fp1 <> max_fp1 OR min_fp2 <> max_fp2").select("doc_id"), "dedup-several")
+    if several.isEmpty():
+        return None
+    texts = rows.where("n_shingles > 0").join(several, "doc_id", "left_semi").select("doc_id", "fp1", "fp2").distinct()
+    label = classes.join(labels.withColumnRenamed("component", "_c"), "id", "left").select("fp1", "fp2", F.coalesce("_c", "id").alias("label"))
+    held = scratch(texts.join(label, ["fp1", "fp2"]).select("doc_id", "label"), "dedup-held")
+    least = held.groupBy("doc_id").agg(F.min("label").alias("least"))
+    edges = held.join(least.withColumnRenamed("doc_id", "_d"), F.col("doc_id") == F.col("_d")).select(
+        F.col("label").alias("a"), F.col("least").alias("b")).where("a <> b")
+    merged = scratch(connected_components(edges), "dedup-merged").withColumnRenamed("id", "label")
+    ids = least.join(merged.withColumnRenamed("label", "least"), "least", "left").select("doc_id", F.coalesce("component", "least").alias("component"))
+    return (ids.withColumn("label", F.lit(None).cast("long"))
+            .unionByName(merged.withColumn("doc_id", F.lit(None).cast("long"))))
+
+
 def near_duplicates(docs: DataFrame, params: Banding = Banding()) -> DataFrame:
-    """``(doc_id, text_hash, n_shingles, component_id)`` for each row of ``docs(doc_id, text)``.
+    """``(doc_id, text_hash, n_shingles, component_id, text_component)`` for each row of ``docs(doc_id, text)``.
 
     ``text_hash`` is ``xxhash64(text)``, so a caller can find the row again.
+    ``text_component`` numbers the components by texts alone (null: blank, or no id).
     """
     p = params
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
@@ -295,17 +321,20 @@ def near_duplicates(docs: DataFrame, params: Banding = Banding()) -> DataFrame:
     sketch = scratch(rows.mapInArrow(sketcher(p), SKETCH), "dedup-sketch")
     named = sketch.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
 
-    classes = scratch(named.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("id")), "dedup-classes")
-    reps = (named.select("fp1", "fp2", F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands")
-            .join(classes, ["fp1", "fp2", "id"], "left_semi"))
-    buckets = reps.select("id", "n", F.explode("bands").alias("key")).distinct()
+    # A class's id is a number of its own, in the order of the classes' smallest doc_ids.
+    order = ["first", "fp1", "fp2"]
+    classes = named.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("first")).repartitionByRange(*order).sortWithinPartitions(*order)
+    classes = scratch(classes.withColumn("id", F.monotonically_increasing_id()), "dedup-classes")
+    rep = classes.withColumnRenamed("first", "doc_id")
+    buckets = (named.select("fp1", "fp2", "doc_id", F.col("n_shingles").alias("n"), "bands").join(rep, ["fp1", "fp2", "doc_id"])
+               .select("id", "n", F.explode("bands").alias("key")).distinct())
     shared = buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     live = scratch(buckets.join(shared, "key", "left_semi")
                    .select("key", "id", "n", F.col("n").alias("held"), F.col("id").alias("component")), "dedup-buckets")
 
-    wanted = classes.join(live.select("id").distinct(), "id", "left_semi")
-    cards = scratch(named.select("fp1", "fp2", F.col("doc_id").alias("id"), "n_shingles", "sig", "marks", "blob")
-                    .join(wanted, ["fp1", "fp2", "id"], "left_semi").dropDuplicates(["id", "fp1", "fp2"])
+    wanted = rep.join(live.select("id").distinct(), "id", "left_semi")
+    cards = scratch(named.select("fp1", "fp2", "doc_id", "n_shingles", "sig", "marks", "blob")
+                    .join(wanted, ["fp1", "fp2", "doc_id"]).dropDuplicates(["id"])
                     .select("id", "n_shingles", "sig", "marks", "blob"), "dedup-cards")
 
     n = live.count()
@@ -327,28 +356,43 @@ def near_duplicates(docs: DataFrame, params: Banding = Banding()) -> DataFrame:
         live = at.join(lead.select("key", "id"), ["key", "id"], "left_anti")
         width *= 64
 
-    named_class = scratch(classes.join(labels, "id", "left")
-                          .select("fp1", "fp2", F.coalesce("component", "id").alias("component")), "dedup-named")
+    first = classes.select(F.col("id").alias("component"), F.col("first").alias("component_id"))
+    label = classes.join(labels, "id", "left").select("fp1", "fp2", F.coalesce("component", "id").alias("text_component"))
+    joined = joined_by_ids(sketch.select("doc_id", "fp1", "fp2", "n_shingles"), labels, classes)
+    if joined is None:
+        named_class = label.withColumn("component", F.col("text_component"))
+    else:
+        more = joined.where("label IS NOT NULL").select(F.col("label").alias("text_component"), "component")
+        named_class = label.join(more, "text_component", "left").withColumn("component", F.coalesce("component", "text_component"))
+    named_class = scratch(named_class.join(first, "component").select("fp1", "fp2", "text_component", "component_id"), "dedup-named")
     # Blank rows have the fingerprint (0, 0), which no class has; spread them by their id.
     alone = F.col("n_shingles") == 0
     left = sketch.select("doc_id", "text_hash", "n_shingles",
                          F.when(alone, F.col("doc_id")).otherwise(F.col("fp1")).alias("fp1"),
                          F.when(alone, F.lit(None).cast("long")).otherwise(F.col("fp2")).alias("fp2"))
-    return (left.join(named_class, ["fp1", "fp2"], "left")
-            .select("doc_id", "text_hash", "n_shingles",
-                    F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))
+    found = left.join(named_class, ["fp1", "fp2"], "left")
+    named_row = F.col("doc_id").isNotNull()
+    component = F.coalesce("component_id", "doc_id")
+    if joined is not None:  # a blank row of an id that holds texts, too
+        ids = joined.where("doc_id IS NOT NULL").select("doc_id", "component").join(first, "component").select(
+            "doc_id", F.col("component_id").alias("of_id"))
+        found = found.join(ids, "doc_id", "left")
+        component = F.coalesce("of_id", "component_id", "doc_id")
+    return found.select("doc_id", "text_hash", "n_shingles", F.when(named_row, component).alias("component_id"),
+                        F.when(named_row, F.col("text_component")).alias("text_component"))
 
 
 def keep_one(docs: DataFrame, params: Banding = Banding()) -> DataFrame:
-    """``docs`` with one row of each component, all its columns.
+    """``docs`` with one row of each component of texts, all its columns.
 
     The row of the smallest id stays; of repeated rows of that id, one.
-    Rows without an id stay.
+    Rows without an id stay, and one of each id's equal blank rows.
     """
     h, found = fresh(docs, "text_hash"), near_duplicates(docs, params)
-    keep = (found.where(F.col("doc_id") == F.col("component_id"))
-            .groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
-            .select(F.col("k.doc_id").alias("doc_id"), F.col("k.text_hash").alias(h)))
+    texts = (found.where(F.col("text_component").isNotNull()).groupBy("text_component")
+             .agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.*"))
+    blank = found.where(F.col("text_component").isNull() & F.col("doc_id").isNotNull()).select("doc_id", "text_hash")
+    keep = texts.unionByName(blank).withColumnRenamed("text_hash", h)
     hashed = docs.withColumn(h, F.xxhash64("text"))
     return (hashed.where(F.col("doc_id").isNotNull()).join(keep, ["doc_id", h], "left_semi")
             .dropDuplicates(["doc_id", h]).select(*docs.columns)
