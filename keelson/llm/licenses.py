@@ -3,12 +3,18 @@
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the A-Z lower-cased text.  One
 automaton over the words joined by spaces finds the base phrases, notice
 phrases and the identifier tag.  Where the tag stands, the rest of its line
-is parsed as a licence expression (and, or, with, parentheses) and gives the
-identifiers that it names.
+is parsed as a licence expression (and, or, with, parentheses; ``with``
+binds closest, then ``and``) and evaluated to obligations: what holds
+whichever way one chooses (``and`` joins those of both sides, ``or`` keeps the
+common ones), and what holds for some choice only.  An obligation is a label;
+a choice is one behind ``or:``, as in ``or:gpl-2.0``.  Identifiers and exceptions
+must be known ones (or own ``LicenseRef-`` ones); other words make the
+expression invalid, and it gives no label.
 
 The score says how sure the scan is: 0 without a finding, else
-1 - product of (1 - weight) over the distinct findings: a tag with a valid
-expression 0.9, with an invalid one 0.3, a base phrase 0.6, a notice 0.4.
+1 - product of (1 - weight) over the distinct findings: a valid expression 0.9
+where it names an obligation and 0.8 where it only leaves a choice, an invalid
+one 0.3, a base phrase 0.6, a notice 0.4.
 
 Defined results: a null or empty text has no words, no labels and score 0;
 repeated rows and null ids are scanned like others; an empty table gives no
@@ -41,9 +47,26 @@ NOTICES = {
 }
 TAG = "spdx license identifier"
 TAG_LINE = re.compile(rb"spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier[^0-9a-z\x80-\xff(\r\n]*[ \t:]*([^\r\n]*)")
-TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.\-]*\+?")
+TOKEN = re.compile(r"[ \t]*(\(|\)|[A-Za-z0-9][A-Za-z0-9.\-:]*\+?)")
 # How strongly each operator binds.
 BINDS = {"with": 3, "and": 2, "or": 1}
+# Identifiers and exceptions of the public licence list that are in wide use.
+IDENTIFIERS = frozenset("""
+0bsd afl-3.0 agpl-1.0 agpl-3.0 agpl-3.0-only agpl-3.0-or-later apache-1.0 apache-1.1 apache-2.0 apsl-2.0 artistic-1.0 artistic-2.0
+blueoak-1.0.0 bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear bsd-4-clause bsl-1.0 bzip2-1.0.6 cc0-1.0
+cc-by-1.0 cc-by-2.0 cc-by-2.5 cc-by-3.0 cc-by-4.0 cc-by-nc-4.0 cc-by-nc-nd-4.0 cc-by-nc-sa-4.0 cc-by-nd-4.0 cc-by-sa-3.0 cc-by-sa-4.0
+cddl-1.0 cddl-1.1 cecill-2.1 cpl-1.0 ecl-2.0 efl-2.0 epl-1.0 epl-2.0 eupl-1.1 eupl-1.2 gfdl-1.3 gfdl-1.3-only gfdl-1.3-or-later
+gpl-1.0 gpl-1.0-only gpl-1.0-or-later gpl-2.0 gpl-2.0-only gpl-2.0-or-later gpl-3.0 gpl-3.0-only gpl-3.0-or-later hpnd icu ijg isc
+lgpl-2.0 lgpl-2.0-only lgpl-2.0-or-later lgpl-2.1 lgpl-2.1-only lgpl-2.1-or-later lgpl-3.0 lgpl-3.0-only lgpl-3.0-or-later libpng
+lppl-1.3c mit mit-0 mpl-1.0 mpl-1.1 mpl-2.0 ms-pl ms-rl mulanpsl-2.0 ncsa odbl-1.0 ofl-1.1 openssl osl-3.0 php-3.01 postgresql
+psf-2.0 python-2.0 qpl-1.0 ruby sgi-b-2.0 sleepycat tcl ucl-1.0 unicode-dfs-2016 unlicense upl-1.0 vim w3c wtfpl x11 zlib zpl-2.1
+""".split())
+EXCEPTIONS = frozenset("""
+autoconf-exception-3.0 bison-exception-2.2 bootloader-exception classpath-exception-2.0 font-exception-2.0 gcc-exception-2.0
+gcc-exception-3.1 linux-syscall-note llvm-exception openjdk-assembly-exception-1.0 qt-gpl-exception-1.0 u-boot-exception-2.0
+wxwindows-exception-3.1
+""".split())
+OWN = re.compile(r"(documentref-[a-z0-9.\-]+:)?licenseref-[a-z0-9.\-]+")
 
 
 class ExpressionError(ValueError):
@@ -54,28 +77,30 @@ def postfix(text: str) -> list[str]:
     """Shunting-yard: the expression in reverse Polish order; operators are lower case.
 
     A comment end or other text after a whole expression is left out; what
-    is no expression raises ``ExpressionError``.
+    is no expression raises ``ExpressionError``.  One pass over the text.
     """
     out: list[str] = []
     held: list[str] = []
-    operand, at = True, 0
-    while m := TOKEN.match(text, at + len(text[at:]) - len(text[at:].lstrip(" \t"))):
-        word = m[0]
+    operand, at, open_ = True, 0, 0
+    while m := TOKEN.match(text, at):
+        word = m[1]
         low = word.lower()
         if operand:
             if word == "(":
                 held.append(word)
+                open_ += 1
             elif word == ")" or low in BINDS:
                 raise ExpressionError(text)
             else:
                 out.append(word)
                 operand = False
         elif word == ")":
-            while held and held[-1] != "(":
-                out.append(held.pop())
-            if not held:
+            if not open_:
                 break
+            while held[-1] != "(":
+                out.append(held.pop())
             held.pop()
+            open_ -= 1
         elif low in BINDS:
             while held and held[-1] != "(" and BINDS[held[-1]] >= BINDS[low]:
                 out.append(held.pop())
@@ -84,21 +109,43 @@ def postfix(text: str) -> list[str]:
         else:
             break
         at = m.end()
-    if operand or "(" in held:
+    if operand or open_:
         raise ExpressionError(text)
     return out + held[::-1]
 
 
-def evaluate(tokens: list[str]) -> set[str]:
-    """The labels an expression names: a licence's, with its exception's where ``with`` joins them."""
-    stack: list[set[str]] = []
+def known(word: str) -> str:
+    """The identifier in lower case; one that is not known raises ``ExpressionError``."""
+    low = word.lower()
+    if low.removesuffix("+") in IDENTIFIERS or OWN.fullmatch(low):
+        return low
+    raise ExpressionError(word)
+
+
+def evaluate(tokens: list[str]) -> tuple[frozenset[str], frozenset[str]]:
+    """Of an expression in reverse Polish order: what holds for every choice, and what for some."""
+    stack: list[tuple[frozenset[str], frozenset[str]] | str] = []
+
+    def value(x) -> tuple[frozenset[str], frozenset[str]]:
+        if isinstance(x, str):
+            one = frozenset([known(x)])
+            return one, one
+        return x
+
     for t in tokens:
-        if t in BINDS:
-            right, left = stack.pop(), stack.pop()
-            stack.append({f"{a} with {b}" for a in left for b in right} if t == "with" else left | right)
+        if t not in BINDS:
+            stack.append(t)
+            continue
+        right, left = stack.pop(), stack.pop()
+        if t == "with":  # an exception to one licence
+            if not isinstance(left, str) or not isinstance(right, str) or right.lower() not in EXCEPTIONS:
+                raise ExpressionError(t)
+            one = frozenset([f"{known(left)} with {right.lower()}"])
+            stack.append((one, one))
         else:
-            stack.append({t.lower()})
-    return stack[0]
+            (a, a_some), (b, b_some) = value(left), value(right)
+            stack.append((a | b if t == "and" else a & b, a_some | b_some))
+    return value(stack[0])
 
 
 @dataclass
@@ -140,8 +187,9 @@ class Scanner:
         if tag:
             for m in TAG_LINE.finditer(text.lower()):
                 try:
-                    out.labels |= evaluate(postfix(m[1].decode("utf-8", "replace")))
-                    doubt *= 0.1
+                    must, some = evaluate(postfix(m[1].decode("utf-8", "replace")))
+                    out.labels |= must | {f"or:{x}" for x in some - must}
+                    doubt *= 0.1 if must else 0.2
                 except ExpressionError:
                     doubt *= 0.7
         out.score = 1 - doubt

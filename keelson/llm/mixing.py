@@ -11,7 +11,9 @@ for the two ends of that run, and none more than ``cap`` times.
 
 A shard holds about 500 documents, or the square root of its source's
 number if that is more, so a source with a third of all rows spreads over
-many tasks.  Only tables of one row a source or a shard are ranked.
+many tasks; rows are dealt by id and text, so null or repeated ids spread, too.
+Only tables of one row a source or a shard are ranked, the sources by range
+partitions and their offsets, so that their number is not bounded either.
 
 Defined results: a null or blank text has size 0 and is never taken; a null
 source is a source of its own, the last; repeated rows count and are taken
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keelson.llm.common import fresh, scratch
+from keelson.operators.windows import number_rows, running_totals
 
 WORD = r"[^\x20\x09-\x0D]++"
 
@@ -36,21 +39,32 @@ def apportion(df: DataFrame, by: list[str], votes: str, seats: str, key: list[st
     ``seats`` is the same in all rows of a group; ties go to the smaller
     ``key``.  The common divisor lies within n / 2 seats of the even share,
     which settles all but about four quotients a row; those are ranked.
+    Without ``by`` all rows are one group, which is ranked by ranges.
     """
-    g = Window.partitionBy(*by)
+    names = [*by, *[k for k in key if k not in by]]
     v, m = F.col(votes).cast("double"), F.col(seats).cast("double")
-    t = df.withColumn("all_votes", F.sum(v).over(g)).withColumn("rivals", F.count("*").over(g) / 2)
+
+    def with_sums(rows: DataFrame, **sums: Column) -> DataFrame:
+        """Each row with sums over its group."""
+        per = rows.groupBy(*by).agg(*[x.alias(n) for n, x in sums.items()])
+        if by:
+            return rows.join(per, by)
+        got = per.first()
+        return rows.withColumns({n: F.lit(got[n]) for n in sums})
+
+    t = with_sums(df, all_votes=F.sum(v), rivals=F.count("*") / 2)
     share = F.when(F.col("all_votes") > 0, v / F.col("all_votes")).otherwise(0.0)
     low = F.greatest(F.lit(0), F.floor(share * (m - F.col("rivals")) + 0.5) - 1).cast("long")
     high = F.when((v > 0) & (m > 0), F.floor(share * (m + F.col("rivals")) + 0.5).cast("long") + 1).otherwise(F.lit(0))
     t = t.withColumn("low", F.least(low, F.col(seats).cast("long"))).withColumn("high", F.greatest("low", high))
-    t = t.withColumn("open", F.col(seats) - F.sum("low").over(g))
+    t = with_sums(t, all_low=F.sum("low")).withColumn("open", F.col(seats) - F.col("all_low"))
     seat = F.explode(F.when(F.col("high") > F.col("low"), F.sequence(F.col("low") + 1, F.col("high"))))
-    bids = t.select(*by, *[k for k in key if k not in by], "open", v.alias("v"), seat.alias("seat"))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.col("v") / (2 * F.col("seat") - 1)), *key))
-    won = (bids.withColumn("rank", rank).where(F.col("rank") <= F.col("open"))
-           .groupBy(*by, *[k for k in key if k not in by]).agg(F.count("*").alias("more")))
-    names = [*by, *[k for k in key if k not in by]]
+    bids = t.select(*names, "open", v.alias("v"), seat.alias("seat")).withColumn("bid", -F.col("v") / (2 * F.col("seat") - 1))
+    if by:
+        ranked = bids.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("bid", *key)))
+    else:
+        ranked = number_rows(bids, [], ["bid", *key], "rank").withColumn("rank", F.col("rank") + 1)
+    won = ranked.where(F.col("rank") <= F.col("open")).groupBy(*names).agg(F.count("*").alias("more"))
     return (t.join(won, names, "left").withColumn("won", F.col("low") + F.coalesce("more", F.lit(0)))
             .select(*df.columns, "won"))
 
@@ -62,18 +76,21 @@ def targets(sources: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame
     source is full or the words are spent gives the same as resharing the
     excess step by step.
     """
-    everyone = Window.partitionBy(F.lit(0))
-    at = F.row_number().over(everyone.orderBy("k")) - 1
-    t = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (at % len(weights) + 1).cast("int")))
     full = F.lit(cap) * F.col("source_size")
-    order = everyone.orderBy(full / F.col("weight"), "k")
-    before = F.coalesce(F.sum(full).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    weight_left = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    t = (t.withColumn("total", F.sum("source_size").over(everyone))
-         .withColumn("rate", (F.col("total") - before) / weight_left))
-    rate = F.min(F.when(F.col("rate") * F.col("weight") <= full, F.struct(full / F.col("weight"), "k", "rate"))).over(everyone)
-    return t.select("k", "source_size", "docs", "total",
-                    F.least(full.cast("double"), F.coalesce(rate["rate"], F.lit(0.0)) * F.col("weight")).alias("target"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("at") % len(weights) + 1).cast("int"))
+    t = (number_rows(sources, [], "k", "at").withColumn("weight", weight.cast("long")).withColumn("full", full)
+         .withColumn("fill", F.col("full") / F.col("weight")))
+    for value, before in (("full", "full_before"), ("weight", "weight_before")):
+        t = running_totals(t, [], ["fill", "k"], value, before)
+    t = scratch(t, "mix-order")
+    sums = t.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    total, weights_of_all = sums["size"] or 0, sums["weight"] or 0
+    t = t.withColumn("rate", (F.lit(total) - F.col("full_before")) / (F.lit(weights_of_all) - F.col("weight_before")))
+    # The first source, in the order of filling, that the words left do not fill.
+    stop = t.where(F.col("rate") * F.col("weight") <= F.col("full")).orderBy("fill", "k").select("rate").first()
+    rate = 0.0 if stop is None else stop["rate"]
+    return t.select("k", "source_size", "docs", F.lit(total).cast("long").alias("total"),
+                    F.least(F.col("full").cast("double"), F.lit(rate) * F.col("weight")).alias("target"))
 
 
 def quotas(docs: DataFrame, weights: tuple[int, ...], cap: int, block: int, seed: int) -> tuple[DataFrame, dict[str, Column]]:
@@ -97,14 +114,14 @@ def quotas(docs: DataFrame, weights: tuple[int, ...], cap: int, block: int, seed
                          F.col("target").alias(names["target"]))
     order_hash = F.xxhash64("doc_id", "text", F.lit(seed))
     dealt = (sized.join(plan, names["k"])
-             .withColumn(names["shard"], F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.col("shards")))
+             .withColumn(names["shard"], F.pmod(F.xxhash64("doc_id", "text", F.lit(seed + 1)), F.col("shards")))
              .drop("shards"))
     shards = (dealt.groupBy(n["k"].alias("k"), n["shard"].alias("shard")).agg(F.sum(n["size"]).alias("tokens"))
               .withColumn("blocks", F.ceil(F.col("tokens") / block)))
     shards = scratch(shards, "mix-shards")
     blocks = shards.groupBy("k").agg(F.sum("blocks").alias("blocks"))
-    seats = source.join(blocks, "k").withColumn("seats", F.round(F.col("total") / block).cast("long")).withColumn("one", F.lit(0))
-    seats = (apportion(seats, ["one"], "target", "seats", ["k"])
+    seats = source.join(blocks, "k").withColumn("seats", F.round(F.col("total") / block).cast("long"))
+    seats = (apportion(seats, [], "target", "seats", ["k"])
              .select("k", F.least("won", cap * F.col("blocks")).alias("seats")))
     won = apportion(shards.join(seats, "k"), ["k"], "blocks", "seats", ["shard"])
     quota = scratch(won.select(F.col("k").alias(names["k"]), F.col("shard").alias(names["shard"]),

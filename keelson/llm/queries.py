@@ -108,12 +108,12 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 @query
 def op6_warc_revisits(spark, sf_dir):
-    """Every page written as a WARC record and read back by its headers."""
+    """Every page written as a WARC record and read back, responses with their payloads."""
     path = shared_path(spark, "warc")
     warc.write_warc(read_table(spark, sf_dir, "pages"), path)
-    return warc.read_warc(spark, path, payload=False).select(
+    return warc.verified(spark, path).select(
         F.col("record_id").cast("long").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest",
-        "record_type", "refers_to")
+        "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
 @query

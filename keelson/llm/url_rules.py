@@ -76,8 +76,8 @@ def judge(pages: DataFrame, rules: DataFrame, sample: int = 64) -> DataFrame:
     """``(page_id, host, path, rule, verdict)`` for each row of ``pages(page_id, url)``.
 
     ``rules(host, path, verdict)`` with verdict ``allow`` or ``block``.  The
-    range bounds come from ``sample`` keys a range; they place rows, they
-    don't change the result.
+    range bounds come from about ``sample`` keys a range (of 512 characters at
+    most); they place rows, they don't change the result.
     """
     spark = pages.sparkSession
     kind = pages.schema["page_id"].dataType.simpleString()
@@ -86,8 +86,11 @@ def judge(pages: DataFrame, rules: DataFrame, sample: int = 64) -> DataFrame:
             .withColumn("key", host_key(F.col("host")))
             .withColumn("spot", F.concat("key", F.lit("\0"), F.hex(F.xxhash64("page_id", "url")))))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    picked = sorted(r.spot for r in urls.orderBy(F.xxhash64("page_id", "url", F.lit(1))).limit(sample * parts)
-                    .select("spot").collect())
+    # Rows whose hash falls under a share, so about ``sample`` keys a range reach the driver, however many rows there are.
+    grain = 1 << 40
+    share = max(1, int(grain * min(1.0, sample * parts / max(1, pages.count()))))
+    some = urls.where(F.pmod(F.xxhash64("page_id", "url", F.lit(1)), F.lit(grain)) < share)
+    picked = sorted(r.spot for r in some.select(F.substring("spot", 1, 512).alias("spot")).collect())
     bounds = [picked[i * len(picked) // parts] for i in range(1, parts)] if picked else []
 
     def dealt(batches):

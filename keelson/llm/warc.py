@@ -11,8 +11,12 @@ Reading: ``spark.read.format("warc")``.  The plan is one partition per run of
 archive files; the record type and header equalities of the query are pushed
 down; a record's header block is parsed first, and its payload is skipped
 by its Content-Length, neither read nor decoded, unless the record passes
-and the ``payload`` option asks for it.  ``path`` is a local path or any URI
-that ``pyarrow.fs`` opens.
+and the ``payload`` option asks for it.  Payloads are bytes.  Header names
+count in any case, with or without a blank after the colon, and may go on in
+lines that begin with one; ids of other writers come as they are, without
+their brackets; ``.gz`` archives (a member a record, or any other cut) are
+read as streams.  ``path`` is a local path or any URI that ``pyarrow.fs`` opens;
+``s3a`` and ``s3n`` are read as ``s3``.
 
 Defined results: a null html is an empty payload; a null URL has no target
 header; rows with a null id are written without an id header and are never
@@ -23,6 +27,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import gzip
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,8 +38,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from keelson.llm.common import scratch
 
 EOL = "\r\n"
-SCHEMA = ("record_type string, record_id string, target_uri string, refers_to long, payload_digest string, "
-          "payload_length long, content_length long, payload string")
+SCHEMA = ("record_type string, record_id string, target_uri string, refers_to string, payload_digest string, "
+          "payload_length long, content_length long, payload binary")
 # The header of each column.
 HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI",
            "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest", "payload_length": "X-Payload-Length",
@@ -131,8 +137,8 @@ class WarcReader(DataSourceReader):
     def _open(self):
         import pyarrow.fs as fs
 
-        return fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") \
-            else (fs.LocalFileSystem(), self.path)
+        path = re.sub("^s3[an]://", "s3://", self.path)
+        return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
     def partitions(self) -> list[InputPartition]:
         import pyarrow.fs as fs
@@ -155,53 +161,95 @@ class WarcReader(DataSourceReader):
         store, _ = self._open()
         for name in partition.files:
             with store.open_input_file(name) as f:
-                yield from self.records(f)
+                yield from self.records(gzip.GzipFile(fileobj=f) if name.endswith(".gz") else f)
 
     def records(self, f) -> Iterator[tuple]:
-        """Records of one archive: the header block, then the payload or a skip."""
-        end, at, buffer, base = f.size(), 0, b"", 0
-        while at < end:
-            stop = -1
-            while (stop := buffer.find(b"\r\n\r\n", at - base)) < 0 or at < base:
-                if base + len(buffer) >= end and at >= base:
-                    if buffer[at - base:].strip():
+        """Records of one archive: the header block, then the payload or a skip.
+
+        ``buffer`` holds the bytes from ``base`` on, and the file stands at its end.
+        """
+        at, buffer, base = 0, b"", 0
+        while True:
+            while (stop := buffer.find(b"\r\n\r\n", at - base)) < 0 or not buffer[at - base:stop].strip():
+                if stop >= 0:  # blank lines between records
+                    at = base + stop + 4
+                    continue
+                buffer, base = buffer[at - base:], at
+                more = f.read(max(1 << 16, len(buffer)))
+                if not more:
+                    if buffer.strip():
                         raise ValueError(f"a WARC record at byte {at} has no end of its header")
                     return
-                f.seek(at)
-                more = max(1 << 16, 2 * (base + len(buffer) - at))
-                buffer, base = f.read(min(more, end - at)), at
-            head = dict(x.split(": ", 1) for x in buffer[at - base:stop].decode("utf-8", "replace").split(EOL)[1:])
-            start, length = base + stop + 4, int(head["Content-Length"])
-            at = start + length + 4
+                buffer += more
+            head = headers(buffer[at - base:stop])
+            if not head.get("content-length", "").isdigit():
+                raise ValueError(f"the WARC record at byte {at} has no Content-Length")
+            start, length = base + stop + 4, int(head["content-length"])
+            at, held = start + length, base + len(buffer)
+            payload = None
             if row := self.row(head):
-                payload = None
                 if self.payload:
-                    if start + length > base + len(buffer):
-                        f.seek(start)
-                        raw = f.read(length)
-                    else:
-                        raw = buffer[start - base:start - base + length]
-                    payload = raw.decode("utf-8", "replace")
+                    payload = buffer[start - base:at - base]
+                    if at > held:
+                        payload += f.read(at - held)
+                        held = at
+                    if len(payload) < length:
+                        raise ValueError(f"the WARC record at byte {start} ends before its {length} bytes")
                 yield (*row, payload)
             if at >= base + len(buffer):
+                if at > held:
+                    f.seek(at)
                 buffer, base = b"", at
 
     def row(self, head: dict[str, str]) -> tuple | None:
-        ident = lambda x: x[len("<urn:page:"):-1] if x is not None else None
-        number = lambda x: int(x) if x is not None else None
-        values = {c: head.get(h) for c, h in HEADERS.items()}
-        values["record_id"], values["refers_to"] = ident(values["record_id"]), ident(values["refers_to"])
+        number = lambda x: int(x) if x is not None and x.isdigit() else None
+        values = {c: head.get(h.lower()) for c, h in HEADERS.items()}
+        for c in ("record_id", "refers_to"):
+            if values[c] is not None:
+                values[c] = values[c].removeprefix("<").removesuffix(">").removeprefix("urn:page:")
         if values["payload_digest"]:
             values["payload_digest"] = values["payload_digest"].removeprefix("sha1:")
         if any(values[c] != v for c, v in self.wanted.items()):
             return None
-        for c in ("refers_to", "payload_length", "content_length"):
+        for c in ("payload_length", "content_length"):
             values[c] = number(values[c])
         return tuple(values[c] for c in HEADERS)
 
 
+def headers(block: bytes) -> dict[str, str]:
+    """The fields of a header block by their names in lower case; of repeated ones the first."""
+    lines: list[str] = []
+    for line in block.decode("utf-8", "replace").strip("\r\n").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and lines:
+            lines[-1] += " " + line.strip()
+        else:
+            lines.append(line)
+    out: dict[str, str] = {}
+    for line in lines:
+        name, _, value = line.partition(":")
+        out.setdefault(name.strip().lower(), value.strip())
+    return out
+
+
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """The records of the archives under ``path`` (columns of ``SCHEMA``)."""
+    """The records of the archives under ``path`` (columns of ``SCHEMA``).
+
+    Registers the source, and allows Python sources to take filters: a session
+    setting, which stays, as Spark pushes filters down only when a query runs.
+    """
     spark.dataSource.register(WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+
+
+def verified(spark: SparkSession, path: str) -> DataFrame:
+    """``(record_id, payload_length, payload_digest, record_type, refers_to)`` of the archives' records.
+
+    Length and digest of responses are worked out from the payloads that are
+    read; revisits are read by their headers alone, by a pushed-down type.
+    """
+    responses = read_warc(spark, path).where("record_type = 'response'").select(
+        "record_id", F.octet_length("payload").cast("long").alias("payload_length"), sha1_base32(F.col("payload")).alias("payload_digest"),
+        "record_type", "refers_to")
+    revisits = read_warc(spark, path, payload=False).where("record_type = 'revisit'")
+    return responses.unionByName(revisits.select(*responses.columns))

@@ -4,6 +4,8 @@ import random
 
 import brute
 import corpus_pipeline
+import pyarrow as pa
+import pytest
 from conftest_llm import EMPTY_DOCS, SF01, frame, sf_docs  # noqa: F401
 from keelson.llm import components, mixing, near_dedup, packing, toxicity
 from pyspark.sql import functions as F
@@ -145,13 +147,32 @@ def test_mix_edge_cases(spark):
     assert [(r.size, r.target, r.taken) for r in mixing.takes(blank).collect()] == [(0, 0.0, 0)] * 2
 
 
-def test_apportion_is_sainte_lague(spark):
+def test_null_ids_spread_over_shards(spark):
+    """A third of the rows without an id: no shard holds more than a small part of them."""
+    rows = [(None if i % 3 == 0 else i, f"w{i} x y", f"s{i % 2}") for i in range(12_000)]
+    docs = frame(spark, rows, "doc_id long, text string, source string")
+    dealt, n = mixing.quotas(docs, (1, 2, 3), 3, 4, 7)
+    sizes = [r["count"] for r in dealt.groupBy(n["k"], n["shard"]).count().collect()]
+    assert max(sizes) < 0.15 * 6000 and sum(sizes) == 12_000
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(8)
+    sizes = [(None if i == 7 else f"s{i:04}", rng.choice([0, 1, 5, 1000, 100_000])) for i in range(700)]
+    sources = frame(spark, [("t" if s is None else f"s{s}", n, 1) for s, n in sizes], "k string, source_size long, docs long", 5)
+    got = {r.k: r.target for r in mixing.targets(sources, (1, 2, 3), 3).collect()}
+    want = brute.targets(dict(sizes))
+    assert all(abs(got["t" if s is None else f"s{s}"] - x) < 1e-6 * max(1, x) for s, x in want.items())
+
+
+@pytest.mark.parametrize("by", [["g"], []])
+def test_apportion_is_sainte_lague(spark, by):
     rng = random.Random(4)
     for _ in range(4):
         votes = [rng.randint(0, 1000) for _ in range(9)]
         seats = rng.choice([0, 5, 40, 333])
         df = spark.createDataFrame([(0, i, v, seats) for i, v in enumerate(votes)], "g int, k int, v long, m long")
-        got = {r.k: r.won for r in mixing.apportion(df, ["g"], "v", "m", ["k"]).collect()}
+        got = {r.k: r.won for r in mixing.apportion(df, by, "v", "m", ["k"]).collect()}
         want = dict.fromkeys(range(9), 0)
         for _ in range(seats if any(votes) else 0):
             best = max(range(9), key=lambda i: (votes[i] / (2 * want[i] + 1), -i))

@@ -63,7 +63,8 @@ def expected(rows, least=0):
 
 
 def digest(df):
-    got = df.select(F.col("record_id").cast("long"), "payload_length", "payload_digest", "record_type", "refers_to").collect()
+    got = df.select(F.col("record_id").cast("long"), "payload_length", "payload_digest", "record_type",
+                    F.col("refers_to").cast("long")).collect()
     return sorted(repr(tuple(r)) for r in got)
 
 
@@ -76,11 +77,12 @@ def test_warc_round_trip(spark, tmp_path, least):
     html = {i: h or "" for i, _, h in PAGES}
     for r in read.collect():
         body = "" if r.record_type == "revisit" else html[None if r.record_id is None else int(r.record_id)]
-        assert r.payload == body and r.content_length == len(body.encode())
+        assert bytes(r.payload) == body.encode() and r.content_length == len(body.encode())
     assert read.where("record_type = 'revisit'").count() == sum("revisit" in x for x in expected(PAGES, least))
     assert read.where("record_type = 'response' and refers_to is not null").count() == 0
     one = read.where("record_id = '6' and record_type = 'response'").collect()
-    assert len(one) == 1 and one[0].payload == PAGES[5][2]
+    assert len(one) == 1 and bytes(one[0].payload) == PAGES[5][2].encode()
+    assert digest(warc.verified(spark, f"{tmp_path}/w")) == expected(PAGES, least)
     bare = warc.read_warc(spark, f"{tmp_path}/w", payload=False)
     assert digest(bare) == expected(PAGES, least) and bare.where("payload is not null").count() == 0
 
@@ -95,6 +97,47 @@ def test_warc_pushdown_skips_in_the_reader(spark, tmp_path):
     assert len(rows) == sum("revisit" in x for x in expected(PAGES)) and all(r[0] == "revisit" for r in rows)
 
 
+def foreign_records():
+    """Records as other writers make them: odd header cases, no blanks, folded lines, other ids, a warcinfo record."""
+    def record(head, body):
+        return ("\r\n".join([*head, f"content-length:{len(body)}"]) + "\r\n\r\n").encode() + body + b"\r\n\r\n"
+
+    big = bytes(range(256)) * 2000
+    return [record(["WARC/1.0", "WARC-Type: warcinfo", "WARC-Record-ID: <urn:uuid:1-a>"], b"software: x\r\n"),
+            record(["WARC/1.0", "warc-type:response", "WARC-RECORD-ID:<urn:uuid:2-b>", "WARC-Target-URI: http://a/", " b"], big),
+            record(["WARC/1.0", "WARC-Type: revisit", "WARC-Record-ID: <urn:uuid:3-c>", "WARC-Refers-To: <urn:uuid:2-b>"], b"")], big
+
+
+@pytest.mark.parametrize("packed", [None, "members", "whole"])
+def test_warc_of_other_writers(spark, tmp_path, packed):
+    import gzip
+    parts, big = foreign_records()
+    name = "x.warc" if packed is None else "x.warc.gz"
+    raw = b"".join(map(gzip.compress, parts)) if packed == "members" else b"".join(parts)
+    (tmp_path / name).write_bytes(gzip.compress(raw) if packed == "whole" else raw)
+    got = {r.record_id: r for r in warc.read_warc(spark, str(tmp_path)).collect()}
+    assert set(got) == {"urn:uuid:1-a", "urn:uuid:2-b", "urn:uuid:3-c"}
+    assert bytes(got["urn:uuid:2-b"].payload) == big and got["urn:uuid:2-b"].target_uri == "http://a/ b"
+    assert got["urn:uuid:3-c"].refers_to == "urn:uuid:2-b" and got["urn:uuid:3-c"].payload_digest is None
+    one = warc.read_warc(spark, str(tmp_path), payload=False).where("record_type = 'revisit'").collect()
+    assert [r.record_id for r in one] == ["urn:uuid:3-c"]
+
+
+@pytest.mark.parametrize("raw,text", [(b"WARC/1.0\r\nWARC-Type: response\r\n\r\nx", "no Content-Length"),
+                                      (b"WARC/1.0\r\nContent-Length: 9\r\n\r\nshort", "ends before"), (b"WARC/1.0\r\nContent", "no end of its header")])
+def test_broken_archives_are_refused(spark, tmp_path, raw, text):
+    (tmp_path / "x.warc").write_bytes(raw)
+    with pytest.raises(Exception, match=text):
+        warc.read_warc(spark, str(tmp_path)).collect()
+
+
+def test_warc_repeated_rows_of_the_smallest_id(spark, tmp_path):
+    rows = [(1, "u", "p"), (1, "u", "p"), (2, "u", "p")]
+    warc.write_warc(frame(spark, rows, "page_id long, url string, html string"), f"{tmp_path}/w")
+    got = sorted((r.record_id, r.record_type, r.refers_to) for r in warc.read_warc(spark, f"{tmp_path}/w").collect())
+    assert got == [("1", "response", None), ("1", "response", None), ("2", "revisit", "1")]
+
+
 def test_warc_empty(spark, tmp_path):
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), f"{tmp_path}/w")
     assert warc.read_warc(spark, f"{tmp_path}/w").collect() == []

@@ -1,5 +1,6 @@
 """Packing, licences, toxicity, language model: brute force, round trips, held-out accuracy, edge cases."""
 
+import math
 import random
 import zlib
 
@@ -121,7 +122,7 @@ def test_license_places_match_brute_force(spark, sf_docs):
 
 def test_license_expressions(spark):
     got = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, LICENSED, "doc_id long, text string")).collect()}
-    assert got[5].labels == ["apache-2.0", "gpl-2.0-only with classpath-exception-2.0", "mit"]
+    assert got[5].labels == ["gpl-2.0-only with classpath-exception-2.0", "or:apache-2.0", "or:mit"]
     assert got[6].labels == [] and 0 < got[6].score < got[8].score <= 1
     assert got[3].score == got[4].score == 0 and got[8].labels == ["mit"] and got[8].base == []
     assert all(0 <= r.score <= 1 and set(r.base) <= set(r.labels) for r in got.values())
@@ -141,6 +142,33 @@ def test_bad_expressions(text):
         licenses.postfix(text)
 
 
+@pytest.mark.parametrize("text,must,some", [
+    ("MIT", ["mit"], []), ("MIT AND GPL-2.0", ["gpl-2.0", "mit"], []), ("MIT OR GPL-2.0", [], ["gpl-2.0", "mit"]),
+    ("MIT OR (MIT AND Zlib)", ["mit"], ["zlib"]), ("(MIT OR ISC) AND (MIT OR Zlib) AND X11", ["x11"], ["isc", "mit", "zlib"]),
+    ("GPL-2.0+ WITH Classpath-exception-2.0 OR LicenseRef-own.1", [], ["gpl-2.0+ with classpath-exception-2.0", "licenseref-own.1"]),
+    ("MIT OR MIT", ["mit"], [])])
+def test_obligations_and_choices(text, must, some):
+    got = licenses.evaluate(licenses.postfix(text))
+    assert (sorted(got[0]), sorted(got[1] - got[0])) == (must, some)
+
+
+@pytest.mark.parametrize("text", ["the quick brown fox", "MIT WITH MIT", "(MIT OR ISC) WITH Classpath-exception-2.0", "Classpath-exception-2.0",
+                                  "MIT AND nothing-1.0", "MIT WITH Classpath-exception-2.0 WITH LLVM-exception"])
+def test_unknown_identifiers_and_exceptions(text):
+    with pytest.raises(licenses.ExpressionError):
+        licenses.evaluate(licenses.postfix(text))
+
+
+def test_long_expressions_and_other_columns(spark):
+    text = "SPDX-License-Identifier: " + " or ".join(["MIT", "ISC"] * 200_000)
+    docs = frame(spark, [(1, text, "x", 2), (2, "SPDX-License-Identifier: the quick brown fox", None, None),
+                         (3, "SPDX-License-Identifier: MIT AND ISC", "y", 3)],
+                 "doc_id long, text string, Labels string, n_words int")
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    assert got[1].labels == ["or:isc", "or:mit"] and got[2].labels == [] and got[3].labels == ["isc", "mit"]
+    assert 0 < got[2].score < got[1].score < got[3].score < 1
+
+
 # --- toxicity ------------------------------------------------------------------------------------------------
 
 def test_toxicity_held_out_accuracy(spark, sf_docs):
@@ -156,6 +184,36 @@ def test_toxicity_held_out_accuracy(spark, sf_docs):
     assert caught >= 0.9 and wrong_clean <= 0.01
 
 
+def test_severity_matches_brute_force(spark):
+    """Expected severity, grade and rejection of each text from the model's weights and cuts, one by one."""
+    rng = random.Random(12)
+    bad, good = [f"vile{c}" for c in "abcdefgh"], [f"nice{c}" for c in "abcdefghijklmnop"]
+    rows = []
+    for i in range(300):
+        n = rng.choice([0, 0, 1, 2, 4, 8]) if i % 3 else 0
+        rows.append((i, " ".join(rng.sample(good, 6) + [rng.choice(bad) for _ in range(n)]), int(n > 0)))
+    docs = frame(spark, [r[:2] for r in rows] + [(900, None), (901, ""), (0, rows[0][1])], "doc_id long, text string")
+    model = toxicity.fit(docs, frame(spark, [(i, g) for i, _, g in rows], "doc_id long, grade int"))
+    weight = dict(zip(model.features.tolist(), model.weights.tolist()))
+    for r in toxicity.score(docs, model).join(docs.withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d")).collect():
+        count = {}
+        for w in brute.license_words(r.text):
+            _, _, table = toxicity.text_features([w])
+            for h in table[0].tolist():
+                if h in weight:
+                    count[h] = count.get(h, 0) + 1
+        x = sum(weight[h] * math.log(1 + n) for h, n in count.items())
+        p = [1 / (1 + math.exp(c - x)) for c in model.cuts]
+        assert abs(r.severity - sum(p)) < 1e-9 and abs(r.p_toxic - p[0]) < 1e-9
+        assert r.rejected == (p[0] >= 0.5) and r.grade == sum(q >= 0.5 for q in p)
+    by_words = {i: t.count("vile") for i, t, _ in rows}
+    mean = {n: [] for n in (0, 1, 2, 4, 8)}
+    for r in toxicity.score(docs, model).where("doc_id < 300").collect():
+        mean[by_words[r.doc_id]].append(r.severity)
+    means = [sum(x) / len(x) for x in mean.values()]
+    assert means == sorted(means)  # more toxic words, more severe
+
+
 def test_cumulative_link_orders_grades():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 5, 600)
