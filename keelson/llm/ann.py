@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.common import scratch
-from keelson.llm.vectors import Ids, matrix, nearest, vector_rows
+from keelson.llm.vectors import Ids, matrix, nearest, scaled, vector_rows
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -86,6 +86,7 @@ def best_of(x: np.ndarray, ids: np.ndarray, q: np.ndarray, query_ids: np.ndarray
     The scores of one product only choose; what is returned is summed in one
     fixed order, so equal vectors score equally wherever they stand.
     """
+    x, q = scaled(x), scaled(q)
     nx, nq = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
     out, groups = ([], [], []), Ids(ids)
     for at in range(0, len(q), 512):

@@ -28,6 +28,12 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each line times a power of two that brings its largest component near 1: the same direction, no square overflows."""
+    top = np.abs(x).max(axis=1, initial=0)
+    return np.ldexp(x, -np.frexp(top)[1][:, None])
+
+
 class Ids:
     """The rows of each id in a block, where an id may have several vectors."""
 

@@ -7,6 +7,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import SF01, frame
 from keelson.llm import ann, topk, url_rules, warc
@@ -234,6 +235,40 @@ def test_vector_searches_of_nothing(spark):
     assert ann.search(one, one).collect() == [] and topk.search(one, one).collect() == []
 
 
+def test_impact_order_stops_early():
+    """Rows of few large values: the proof comes after the first segments, and sparse lists give what a product gives."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(-3, 4, (2000, 32)).astype(float)
+    hot = rng.integers(0, 2000, 60)
+    x[hot, rng.integers(0, 32, 60)] = rng.integers(200, 250, 60)
+    table = pa.table({"block": pa.array([0] * 2000, pa.int32()), "vec_id": pa.array(range(2000)), "v": pa.array(list(x))})
+    index = sorted(topk.segments(table, 8).to_pylist(), key=lambda s: -s["impact"])
+    assert len(np.frombuffer(index[0]["rows"], np.int32)) <= 60
+    q = np.zeros((40, 32))
+    q[np.arange(40), np.arange(40) % 32] = 50
+    (asked, found, score), touched = topk.score_at_a_time(index, q, np.arange(5000, 5040), 1, few=8)
+    product = q @ x.T
+    for i in range(40):
+        got = [(s, f) for a, f, s in zip(asked, found, score) if a == 5000 + i]
+        assert got == [(product[i].max(), int(product[i].argmax()))]
+    assert touched < 0.2 * 40 * (x != 0).sum()
+    dims, rows = np.nonzero((x != 0).T)
+    for some in (slice(0, 50), slice(0, None)):  # sparse and dense
+        out = np.zeros((40, 2000))
+        topk.accumulate(out, q, rows[some], dims[some], x[rows[some], dims[some]])
+        part = np.zeros_like(x)
+        part[rows[some], dims[some]] = x[rows[some], dims[some]]
+        assert np.allclose(out, q @ part.T)
+
+
+def test_ann_of_very_large_and_small_components(spark):
+    rows = [(0, [1e200, 1e200, 0.0, 0.0]), (50, [3e199, 3.1e199, 0.0, 0.0]), (1, [0.0, 0.0, 1e-300, 0.0]), (100, [0.0, 1e-299, 2e-300, 0.0])]
+    df = frame(spark, rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.search(df, df).collect()}
+    assert got[50, 1][0] == 0 and 0.999 < got[50, 1][1] <= 1 and got[0, 1][0] == 50
+    assert got[1, 1][0] == 100 and abs(got[1, 1][1] - 0.19611613513818404) < 1e-12
+
+
 def test_topk_beyond_double_precision(spark):
     big = 2.0 ** 40 + 1
     rows = [(0, [big, -3.0]), (1, [big, 1.0]), (2, [-big, 7.0]), (3, [1.0, 1.0])]
