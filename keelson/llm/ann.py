@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import scratch
+from keelson.llm.common import scratch, temporary
 from keelson.llm.vectors import Ids, matrix, nearest, scaled, vector_rows
 
 
@@ -136,6 +136,11 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, tables: int = 12, prob
     ``df``, ``queries``: ``(vec_id, embedding)``.  A query whose buckets hold
     fewer than ``k`` others probes all axes of one table, that is all rows.
     """
+    with temporary():
+        return scratch(_search(df, queries, k, tables, probes, block, query_block, seed), "ann-result", keep=True)
+
+
+def _search(df: DataFrame, queries: DataFrame, k: int, tables: int, probes: int, block: int, query_block: int, seed: int) -> DataFrame:
     kind = "vec_id long, v array<double>, buckets array<long>"
     index = scratch(vector_rows(df, False).distinct().mapInArrow(hasher(tables, 1, seed), kind), "ann-index")
     asked = scratch(vector_rows(queries, False).distinct().mapInArrow(hasher(tables, probes, seed), kind), "ann-queries")

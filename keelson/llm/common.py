@@ -9,6 +9,8 @@ tasks whose output is missing.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
@@ -27,24 +29,21 @@ SLICE_BYTES = 4 << 20
 ROWS_A_TASK = 100_000
 
 
-def scratch(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-    """Write ``df`` under the shared checkpoint folder and read it back.
+#: Removals of the scratch tables of the innermost ``temporary`` block.
+_held: ContextVar[list[Callable[[], None]] | None] = ContextVar("held", default=None)
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> tuple[DataFrame, Callable[[], None]]:
+    """Write ``df`` under the shared checkpoint folder and read it back; and a function that removes the table.
 
     ``rows``: about how many rows it has at most, where that is known; the
     last stage and its files then follow the rows instead of the session's
     number of shuffle partitions.
     """
-    path = shared_path(df.sparkSession, name)
-    if rows is not None:
-        df = df.coalesce(rows // ROWS_A_TASK + 1)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
-    """Like ``scratch``, and a function that removes the table when nothing reads it any more."""
     spark = df.sparkSession
     path = shared_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(rows // ROWS_A_TASK + 1)
     df.write.parquet(path)
 
     def remove() -> None:
@@ -54,6 +53,28 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
     return spark.read.schema(df.schema).parquet(path), remove
 
 
+def scratch(df: DataFrame, name: str, rows: int | None = None, keep: bool = False) -> DataFrame:
+    """A stored table; inside a ``temporary`` block it lasts to its end, unless ``keep``."""
+    table, remove = stored(df, name, rows)
+    held = _held.get()
+    if held is not None and not keep:
+        held.append(remove)
+    return table
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Scratch tables of the block are removed at its end; what is returned must not read them any more."""
+    token = _held.set([])
+    try:
+        yield
+    finally:
+        held = _held.get()
+        _held.reset(token)
+        for remove in held:
+            remove()
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have (names compare without case)."""
     taken = {c.lower() for c in df.columns}

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from keelson.llm.common import as_objects, fresh, hash_words, mix64, scratch, slices, split_words, text_bytes
+from keelson.llm.common import as_objects, fresh, hash_words, mix64, scratch, slices, split_words, temporary, text_bytes
 from keelson.llm.components import connected_components
 
 
@@ -315,7 +315,11 @@ def near_duplicates(docs: DataFrame, params: Banding = Banding()) -> DataFrame:
     ``text_hash`` is ``xxhash64(text)``, so a caller can find the row again.
     ``text_component`` numbers the components by texts alone (null: blank, or no id).
     """
-    p = params
+    with temporary():  # only the result is kept
+        return scratch(_components(docs, params), "dedup-result", keep=True)
+
+
+def _components(docs: DataFrame, p: Banding) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
                        text_bytes().alias("text"))
     sketch = scratch(rows.mapInArrow(sketcher(p), SKETCH), "dedup-sketch")

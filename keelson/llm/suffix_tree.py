@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import as_objects, coded_words, hash_words, mix64, scratch, slices, text_bytes
+from keelson.llm.common import as_objects, coded_words, hash_words, mix64, scratch, slices, temporary, text_bytes
 
 END = b"\n"  # no word
 ODD = 0x9E3779B97F4A7C15
@@ -296,7 +296,7 @@ def counted(train: DataFrame, level: int, shared, tasks: int, least: int) -> Dat
     """``(key, tag, n, whole)`` of the level; whole: all tokens after the context ``key``."""
     blobs = train.select("text").mapInArrow(count_texts(level, shared, 4 * tasks), "shard long, whole boolean, blob binary")
     merged = blobs.repartition(tasks, "shard").mapInArrow(merge_counts(least), "key long, tag long, n long, whole boolean")
-    return scratch(merged, f"lm-counts-{level}")
+    return scratch(merged, f"lm-counts-{level}", keep=level == 0)
 
 
 # -------------------------------------------------------------------- model
@@ -331,6 +331,11 @@ def with_suffix(rows: DataFrame) -> DataFrame:
 
 def learn(train: DataFrame, depth: int = 3, occurrences: int = 20, listed: int = 10) -> Model:
     """The model of ``train(text)`` (bytes)."""
+    with temporary():
+        return _learn(train, depth, occurrences, listed)
+
+
+def _learn(train: DataFrame, depth: int, occurrences: int, listed: int) -> Model:
     spark = train.sparkSession
     least_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     words = counted(train, 0, None, least_tasks, 1).select("key", "n")
@@ -365,7 +370,7 @@ def learn(train: DataFrame, depth: int = 3, occurrences: int = 20, listed: int =
         states = scratch(states, f"lm-states-{level}")
         smoothed = (n + F.col("t") * q) / (total + F.col("t"))
         below = scratch(nexts.join(states.select("ctx", "total", "t"), "ctx").select("key", "up", "oldest", "n", smoothed.alias("p"), "ctx"),
-                        f"lm-model-{level}")
+                        f"lm-model-{level}", keep=True)
         built.append((below, states))
     levels, longer = [], None
     for nexts, states in reversed(built):  # a suffix of a retained context is retained
@@ -373,7 +378,7 @@ def learn(train: DataFrame, depth: int = 3, occurrences: int = 20, listed: int =
         if longer is not None:
             wanted = longer.select(F.col("suffix").alias("ctx"), F.lit(True).alias("wanted")).distinct()
             kept = states.join(wanted, "ctx", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
-        longer = kept = scratch(kept.where(F.col("diverges") | F.col("wanted")), "lm-kept")
+        longer = kept = scratch(kept.where(F.col("diverges") | F.col("wanted")), "lm-kept", keep=True)
         levels.append((nexts.join(kept.select("ctx"), "ctx", "left_semi").select("key", "n", F.log10("p").alias("log10p")),
                        kept.select(F.col("ctx").alias("key"), F.col("total").alias("n"), "log10rest")))
     return Model(tokens, whole.v, words.withColumn("log10p", F.log10(p)), levels[::-1])

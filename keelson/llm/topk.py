@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import scratch
+from keelson.llm.common import scratch, temporary
 from keelson.llm.vectors import Ids, matrix, nearest, vector_rows
 
 #: Steps of a posting list that cost as much as one of a matrix product.
@@ -140,6 +140,11 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, bloc
 
     ``df``, ``queries``: ``(vec_id, embedding)``; a component x counts as ``floor(scale x)``.
     """
+    with temporary():
+        return scratch(_search(df, queries, k, scale, block, query_block, levels), "topk-result", keep=True)
+
+
+def _search(df: DataFrame, queries: DataFrame, k: int, scale: int, block: int, query_block: int, levels: int) -> DataFrame:
     def whole(t: DataFrame) -> DataFrame:
         return vector_rows(t, True).select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"),
                                            F.size("v").alias("dim")).distinct()

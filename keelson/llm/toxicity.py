@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import as_objects, fresh, hash_words, scratch, slices, text_bytes
+from keelson.llm.common import as_objects, fresh, hash_words, scratch, slices, temporary, text_bytes
 
 PREFIXES = (4, 5, 6)
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32
@@ -170,6 +170,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, max_features:
     and ``refine`` is given, grade 1 is split by the number of its words that
     have a selected feature: one grade more from each bound of ``refine`` on.
     """
+    with temporary():
+        return _fit(docs, labels, sample, max_features, levels, refine, seed)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, sample: int, max_features: int, levels: int, refine: tuple[int, ...], seed: int) -> Ordinal:
     rows = scratch(labelled_sample(docs, labels, sample, seed), "toxicity-sample")
     size = {r.toxic: r.n for r in rows.groupBy((F.col("grade") > 0).alias("toxic"))
             .agg(F.count_distinct("doc_id").alias("n")).collect()}

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
-from keelson.llm.common import scratch
+from keelson.llm.common import scratch, temporary
 
 EOL = "\r\n"
 SCHEMA = ("record_type string, record_id string, target_uri string, refers_to string, payload_digest string, "
@@ -97,7 +97,8 @@ def record_text(date: str = "2024-01-01T00:00:00Z") -> Column:
 
 def write_warc(pages: DataFrame, path: str, revisit_from: int = 0) -> None:
     """Write ``pages(page_id, url, html)`` as archives under ``path`` (a new folder)."""
-    records(pages, revisit_from).select(record_text().alias("value")).write.option("lineSep", EOL + EOL).text(path)
+    with temporary():
+        records(pages, revisit_from).select(record_text().alias("value")).write.option("lineSep", EOL + EOL).text(path)
 
 
 class ArchiveFiles(InputPartition):
