@@ -209,3 +209,29 @@ def test_pipeline_stages(spark, sf_docs, tmp_path):
                  .encode(pa.array([r.text.encode() for r in seen["mixing"].collect()], pa.binary())))
     assert seen["packing"].agg(F.sum("length")).first()[0] == tokens
     assert corpus_pipeline.run(spark, SF01).agg(F.sum("length")).first()[0] == tokens
+
+
+ODD_DOCS = "doc_id long, text string, lang string, source string, n_chars long, Size int, _part string, grade string"
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None, None, None, None), (None, "no id", "x", None, 5, 1, "p", "g"),
+                                       (1, "", "x", "s", 0, 1, "p", "g"), (2, "same text here", "x", "s", 14, 1, "p", "g"),
+                                       (2, "same text here", "x", "s", 14, 1, "p", "g"), (3, "same text here", "x", "t", 14, 1, "p", "g"),
+                                       (4, "word " * 9000, "x", None, 45000, None, None, None)]])
+def test_pipeline_of_odd_rows_and_nothing(spark, tmp_path, rows):
+    """Nulls, empty and very long texts, repeated rows, clashing names, an empty table: every stage gives its defined result."""
+    frame(spark, rows, ODD_DOCS, 1).write.parquet(f"{tmp_path}/documents.parquet")
+    frame(spark, [(1, 1, 0), (None, 1, 1), (9, None, None)], "doc_id long, quality int, toxic int", 1).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [f.strip().split()[0] for f in ODD_DOCS.split(",")], name
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    dedup = spark.read.parquet(f"{tmp_path}/near_dedup")
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    if not rows:
+        assert dedup.count() == 0 and packed == []
+        return
+    assert sorted((r.doc_id or 0, (r.text or "")[:4]) for r in dedup.collect()) == [(0, ""), (0, "no i"), (1, ""), (2, "same"), (4, "word")]
+    assert {r.doc_id for r in packed} <= {None, 2, 4} and 4 in {r.doc_id for r in packed}
