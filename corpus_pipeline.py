@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm import mixing, near_dedup, packing, toxicity
-from keelson.llm.common import scratch
+from keelson.llm.common import stored
 from keelson.sources.tables import read_table
 
 
@@ -39,7 +39,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """The last stage's rows over the ``documents`` table.
+
+    Defined results are those of the stages: rows with null ids, null or empty
+    texts stay as far as a stage keeps them (mixing takes no blank text),
+    repeated rows are one after near duplicates, an empty table gives no rows,
+    other columns are carried along up to packing.
+    """
+    docs, remove = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = scratch(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, gone = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if remove is not None:
+            remove()  # what the stage before it wrote has been read
+        remove = gone
     return STAGES[-1][1](spark, docs, sf_dir)
