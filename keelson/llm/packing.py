@@ -34,7 +34,7 @@ from keelson.llm.common import coded_words, slices, text_bytes
 
 MARKS = b".,;:!?"
 #: Bytes of text that are tokenised together.
-SLICE = 16 << 20
+SLICE = 8 << 20
 
 
 def plain_parts(word: bytes) -> tuple[bytes, bytes]:
@@ -62,7 +62,7 @@ class CachedTokenizer:
 
     _loaded: dict[str, CachedTokenizer] = {}
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 500_000):
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -269,6 +269,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, size: int = 4096
                     yield rows(done, next_id, arrow)
                     next_id, done = next_id + len(done), []
         done += state.mend()
+        tokenizer.clear()  # the worker goes on with other tasks and stages
         if done:
             yield rows(done, next_id, arrow)
 
