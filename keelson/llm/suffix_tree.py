@@ -59,7 +59,7 @@ FILTER_BITS = 24
 HELD = 1_500_000
 TOKENS_A_TASK = 4_000_000
 #: Bytes of text that are read together.
-SLICE = 4 << 20
+SLICE = 3 << 20
 
 
 def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -195,7 +195,7 @@ class Sums:
 
     def full(self) -> bool:
         """Whether more than ``HELD`` different ones are held."""
-        if self.pending > 2 * HELD:
+        if self.pending > 3 * HELD // 2:
             self.merge()
             return self.pending > HELD
         return False
@@ -268,6 +268,7 @@ def count_texts(level: int, shared, shards: int):
                     yield from handed_on(x.take(), shards, whole)
         yield from handed_on(sums.take(), shards, False)
         yield from handed_on(totals.take(), shards, True)
+        pa.default_memory_pool().release_unused()
     return run
 
 
@@ -278,7 +279,7 @@ def merge_counts(least: int):
         for batch in batches:
             for whole, blob in zip(batch.column("whole").to_pylist(), batch.column("blob").to_pylist()):
                 sums[whole].add(*unpack(blob))
-                if sums[whole].pending > 2 * HELD:
+                if sums[whole].pending > 3 * HELD // 2:
                     sums[whole].merge()
         for whole, held in sums.items():
             keys, tags, n = held.take()
