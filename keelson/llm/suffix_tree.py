@@ -59,7 +59,7 @@ FILTER_BITS = 24
 HELD = 1_500_000
 TOKENS_A_TASK = 4_000_000
 #: Bytes of text that are read together.
-SLICE = 3 << 20
+SLICE = 4 << 20
 
 
 def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
