@@ -138,6 +138,31 @@ def test_refresh_work_follows_the_batch(spark, tmp_path):
     assert got.count() == 500 and rows(got.where("v = 0.5"), "k", "etag") in ([(1, "u"), (3, "w")],)
 
 
+def test_refresh_keeps_keys_of_a_bucket_apart(spark, tmp_path):
+    """Many keys in few buckets, null and NaN among them: few groups, and the snapshot of a plain fold over the batches."""
+    from keelson.streaming.hop import append_hop
+    from keelson.streaming.refresh import BUCKETS, refresh_changes, snapshot
+    schema = "k double, j string, etag string, v long"
+    ids = [None, float("nan"), *[float(i) for i in range(40)]]
+    stored = [(k, j, "t", 2 ** 60 + i) for i, k in enumerate(ids) for j in ("a", None)]
+    batches = [[(k, "a", tag, n) for k in ids] for n, tag in enumerate(["t", "u", "u", "w", "x", "y"])]
+    want = {(str(k), j): ("t", v) for k, j, _, v in stored}
+    for n, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/src")
+        want.update({(str(k), j): (tag, v) for k, j, tag, v in batch if want[str(k), j][0] != tag})
+    first = spark.createDataFrame(stored, schema)
+    source = file_stream(spark, f"{tmp_path}/src", first.schema, max_files_per_trigger=1)
+    changes = refresh_changes(source, ["k", "j"], "etag", ["v"], stored=first, buckets=3)
+    append_hop(changes, f"{tmp_path}/changes", f"{tmp_path}/ckpt")
+    got = snapshot(spark, f"{tmp_path}/ckpt", first).collect()
+    assert len(got) == len(want) and {(str(r.k), r.j): (r.etag, r.v) for r in got} == want
+    assert spark.read.parquet(f"{tmp_path}/changes").count() == 4 * len(ids)
+    state = spark.read.format("statestore").option("stateVarName", "stored").option("flattenCollectionTypes", "false").load(f"{tmp_path}/ckpt")
+    assert state.count() == 3 and BUCKETS < 1 << 20
+    # Replaced rows are at most half of a bucket.
+    assert state.selectExpr("sum(size(list_value))").first()[0] <= 2 * len(want)
+
+
 def test_refresh_of_an_empty_source_keeps_the_snapshot(spark, tmp_path):
     from keelson.streaming.refresh import refresh_stream, snapshot
     stored = spark.createDataFrame([("a", "t", 1.0)], "k string, etag string, v double")
