@@ -221,6 +221,37 @@ def test_property_table_replaces_only_what_is_written(spark, tmp_path):
     assert text == {"007": "a=9\n", "x": "k=C:\\\\d\n", "new": "n=1\n"}
 
 
+def test_export_is_written_by_its_tasks(spark, tmp_path):
+    """Odd, null and empty entities get the folders of Spark's writer; no task of Spark's text writer, no leftovers."""
+    import os
+    from keelson.sources.sinks import export_property_files
+    names = ["a", "a b", "x/y", "50%", "k=v", "q?'\"#", None, "[c]{d}^", "\t"]
+    rows_ = [(e, g, n, None if n == 2 else f"l{n}") for e in names for g in (1, 2) for n in (3, 1, 2)]
+    lines = spark.createDataFrame(rows_, "e string, g int, pos int, line string")
+    spark_way, path = f"{tmp_path}/spark", f"{tmp_path}/ours"
+    lines.repartition(1).sortWithinPartitions("e", "g", "pos").select("e", "g", "line").write.partitionBy("e", "g").text(spark_way)
+
+    def texts(root):
+        found = {}
+        for at, _, files in os.walk(root):
+            kept = sorted(f for f in files if not f.startswith((".", "_")))
+            if kept:
+                found[os.path.relpath(at, root)] = "".join(open(f"{at}/{f}").read() for f in kept)
+        return found
+
+    export_property_files(lines, f"file:{path}", ["e", "g"])
+    assert texts(path) == texts(spark_way) and len(texts(path)) == 2 * len(names)
+    export_property_files(lines.where("e = 'a' AND g = 1 AND pos = 3"), path, ["e", "g"])
+    assert texts(path) == {**texts(spark_way), "e=a/g=1": "l3\n"}
+    left = [f for _, dirs, files in os.walk(path) for f in (*dirs, *files)]
+    assert not [f for f in left if f.startswith((".", "_"))]  # Spark's writer leaves checksums and a marker
+    export_property_files(lines.limit(0), f"{tmp_path}/none", ["e", "g"])
+    assert not texts(f"{tmp_path}/none")
+    both = spark.createDataFrame([("", 1, "a"), (None, 2, "b"), ("", 3, "c")], "e string, pos int, line string")
+    export_property_files(both, f"{tmp_path}/both", "e")
+    assert "".join(texts(f"{tmp_path}/both").values()) == "a\nb\nc\n"
+
+
 @pytest.mark.parametrize("reverse", [False, True])
 def test_numbers_and_totals_without_a_task_for_a_group(spark, reverse):
     """Two thirds of the rows in one group, null groups, clashing names: gapless numbers and exact sums."""
