@@ -8,9 +8,11 @@ tasks whose output is missing.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import wraps
 
 import numpy as np
 import pandas as pd
@@ -104,6 +106,23 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text",
             start = stop
 
 
+def tidy(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The mapInArrow function ``run``; at a task's end, memory that it has freed goes back to the system.
+
+    Spark keeps idle Python workers.  Else what they hold stands beside the
+    memory of the stages that follow, also of those without Python.
+    """
+    @wraps(run)
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+                trim(0)
+    return rows
+
+
 def coded_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """The words ``[^\\x20\\x09-\\x0D]+`` of all texts (binary) as codes, the distinct words, and each text's count.
 

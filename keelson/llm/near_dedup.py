@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from keelson.llm.common import as_objects, fresh, hash_words, mix64, scratch, slices, split_words, temporary, text_bytes
+from keelson.llm.common import as_objects, fresh, hash_words, mix64, scratch, slices, split_words, temporary, text_bytes, tidy
 from keelson.llm.components import connected_components
 
 
@@ -111,6 +111,8 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
+#: Bytes of text that are hashed together.
+SLICE = 2 << 20
 #: Bits of the parity bitmap, and its 64-bit words.
 BITS = 1024
 MARKS = BITS // 64
@@ -126,11 +128,12 @@ def parity_marks(shingles: np.ndarray) -> np.ndarray:
 
 def sketcher(p: Banding):
     """mapInArrow function: text rows to ``SKETCH`` rows."""
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = p.coefficients()
         salt = np.arange(p.bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         pack = zstandard.ZstdCompressor(level=1)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             texts = batch.column("text").to_pylist()
             words, counts = split_words(texts)
             sets = shingle_hashes(hash_words(as_objects(words)), counts, p.width)
@@ -172,6 +175,7 @@ def _sets(blobs: list[bytes], width: int) -> list[np.ndarray]:
 
 def agreement_filter(least: int):
     """mapInArrow function: keep pairs whose signatures agree in ``least`` places."""
+    @tidy
     def run(batches):
         for x in batches:
             if x.num_rows == 0:
@@ -185,6 +189,7 @@ def agreement_filter(least: int):
 
 def exact_filter(width: int, percent: int):
     """mapInArrow function: keep pairs whose full shingle sets reach the similarity."""
+    @tidy
     def run(batches):
         for batch in batches:
             for x in slices([batch], "blob_b", 1 << 20):
@@ -253,6 +258,7 @@ def open_rows(rows: DataFrame, labels: DataFrame, n: int) -> DataFrame:
 
 def shingle_rows(width: int):
     """mapInArrow function: ``(id, n_shingles, key)`` for each shingle of each blob."""
+    @tidy
     def run(batches):
         for batch in batches:
             for x in slices([batch], "blob", 1 << 20):

@@ -29,12 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from keelson.llm.common import coded_words, slices, text_bytes
+from keelson.llm.common import coded_words, slices, text_bytes, tidy
 
 
 MARKS = b".,;:!?"
 #: Bytes of text that are tokenised together.
-SLICE = 8 << 20
+SLICE = 2 << 20
 
 
 def plain_parts(word: bytes) -> tuple[bytes, bytes]:
@@ -253,6 +253,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, size: int = 4096
                                    ("start", "length", "doc_tokens", "sequence_id", "offset", "sequence_length"), 1)}
                                | {"ids": pa.array(cols[7], pa.binary())})
 
+    @tidy
     def run(batches) -> Iterator[pa.RecordBatch]:
         tokenizer, state = CachedTokenizer.load(tokenizer_path), SumOfSquares(size)
         next_id, done, arrow = TaskContext.get().partitionId() << 40, [], None

@@ -32,9 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import as_objects, fresh, hash_words, scratch, slices, temporary, text_bytes
+from keelson.llm.common import as_objects, fresh, hash_words, scratch, slices, temporary, text_bytes, tidy
 
 PREFIXES = (4, 5, 6)
+#: Bytes of text whose features are taken together.
+SLICE = 2 << 20
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32
                   for b in range(256))
 
@@ -138,10 +140,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, seed: int)
     return docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(ids), "doc_id")
 
 
+@tidy
 def _document_counts(batches):
     """Documents of each class that hold a feature, summed within the task."""
     seen: dict[bool, list] = {False: [], True: []}
-    for batch in slices(batches):
+    for batch in slices(batches, limit=SLICE):
         rows, codes, table = text_features(batch.column("text").to_pylist())
         toxic = batch.column("grade").to_numpy(zero_copy_only=False) > 0
         if not len(rows):
@@ -192,8 +195,9 @@ def _fit(docs: DataFrame, labels: DataFrame, sample: int, max_features: int, lev
             .orderBy(F.desc("g"), "feature").limit(max_features).select("feature").collect())
     model = Ordinal(np.sort(np.array([r.feature for r in best], np.int64).view(np.uint64)))
 
+    @tidy
     def nonzeros(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             texts = batch.column("text").to_pylist()
             row, col, n, evidence = model.matrix(texts)
             ends = np.searchsorted(row, np.arange(len(texts) + 1))
@@ -223,8 +227,9 @@ def score(docs: DataFrame, model: Ordinal, reject_at: float = 0.5) -> DataFrame:
     ``severity``: expected grade; ``grade``: the largest grade reached with
     probability one half; ``rejected``: P(grade >= 1) >= ``reject_at``.
     """
+    @tidy
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             p = model.at_least(model.linear(batch.column("text").to_pylist()))
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "severity": pa.array(p.sum(axis=1)),
                                    "p_toxic": pa.array(p[:, 0]), "grade": pa.array((p >= 0.5).sum(axis=1).astype(np.int32)),
@@ -238,8 +243,9 @@ def keep_clean(docs: DataFrame, model: Ordinal, reject_at: float = 0.5) -> DataF
     """``docs``, all columns, without the rows that the model rejects."""
     raw = fresh(docs, "text")
 
+    @tidy
     def run(batches):
-        for batch in slices(batches, raw):
+        for batch in slices(batches, raw, SLICE):
             p = model.at_least(model.linear(batch.column(raw).to_pylist()))[:, 0]
             yield batch.filter(pa.array(p < reject_at)).select(batch.schema.names[:-1])
     return docs.withColumn(raw, text_bytes()).mapInArrow(run, docs.schema)

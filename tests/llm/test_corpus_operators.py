@@ -1,6 +1,8 @@
 """Near duplicates, mixing and the pipeline: brute force and edge cases."""
 
 import random
+import subprocess
+import sys
 
 import brute
 import corpus_pipeline
@@ -235,3 +237,43 @@ def test_pipeline_of_odd_rows_and_nothing(spark, tmp_path, rows):
         return
     assert sorted((r.doc_id or 0, (r.text or "")[:4]) for r in dedup.collect()) == [(0, ""), (0, "no i"), (1, ""), (2, "same"), (4, "word")]
     assert {r.doc_id for r in packed} <= {None, 2, 4} and 4 in {r.doc_id for r in packed}
+
+
+HELD = """
+import random, re
+from types import SimpleNamespace
+import public_tokenizers
+import pyarrow as pa
+from keelson.llm import packing
+
+def held():
+    return sum(map(int, re.findall(r"Pss_Anon: +([0-9]+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def batches(rows, n):
+    rng = random.Random(1)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=8)) for _ in range(60_000)]
+    for _ in range(n):
+        texts = [" ".join(rng.choices(vocabulary, k=300)).encode() for _ in range(rows)]
+        yield pa.record_batch({"doc_id": pa.array(range(rows), pa.int64()), "text": pa.array(texts, pa.binary())})
+
+packing.TaskContext = SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0))
+packing.text_bytes = lambda: SimpleNamespace(alias=lambda name: name)
+kind = SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "bigint"))
+docs = SimpleNamespace(schema={"doc_id": kind}, mapInArrow=lambda run, schema: run)
+docs.select = lambda *columns: docs
+task = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+for _ in task(batches(20, 1)):
+    pass
+before = held()
+for _ in task(batches(3000, 3)):
+    pass
+_ = None
+print(held() - before)
+"""
+
+
+@pytest.mark.skipif(sys.platform != "linux", reason="reads /proc")
+def test_idle_workers_give_memory_back():
+    done = subprocess.run([sys.executable, "-c", HELD], capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    assert float(done.stdout) < 60
