@@ -21,42 +21,51 @@ follows the order of the input partitions, which is fixed for stored files.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from keelson.llm.common import coded_words, slices, text_bytes, tidy
 
 
-MARKS = b".,;:!?"
+MARKS = ".,;:!?"
 #: Bytes of text that are tokenised together.
 SLICE = 2 << 20
+#: Words of these letters are, in lower case, one run of letters that is normalised as it is.
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: Stands between other words; no other character gives its token.
+BETWEEN = "\x01"
 
 
-def plain_parts(word: bytes) -> tuple[bytes, bytes]:
-    """The word in lower case without its closing marks, and the marks.
+def plain_parts(words: pa.Array) -> pa.Array:
+    """Two parts a word (UTF-8, as string): it in lower case without its closing marks, and the marks.
 
     Tokens never span a letter and a mark after it, and the vocabulary is
     lower case; a word that may hold a special token stays as it is.
     """
-    if b"<|" in word:
-        return word, b""
-    low = word.lower()
-    stem = low.rstrip(MARKS)
-    if len(stem) < len(low) and stem and 97 <= stem[-1] <= 122:
-        return stem, low[len(stem):]
-    return low, b""
+    special = pc.match_substring(words, "<|")
+    low = pc.if_else(special, words, pc.ascii_lower(words))
+    _, ends, data = low.buffers()
+    ends = np.frombuffer(ends, np.int32)[low.offset:low.offset + len(low) + 1]
+    stems = pc.binary_length(pc.ascii_rtrim(low, characters=MARKS)).to_numpy()
+    last = np.frombuffer(data, np.uint8)[np.maximum(ends[:-1] + stems, 1) - 1]
+    parted = (stems > 0) & (last >= 97) & (last <= 122) & ~special.to_numpy(zero_copy_only=False)
+    cuts = np.empty(2 * len(low) + 1, np.int32)
+    cuts[::2], cuts[1::2] = ends, np.where(parted, ends[:-1] + stems, ends[1:])
+    return pa.Array.from_buffers(pa.binary(), 2 * len(low), [None, pa.py_buffer(cuts), data])
 
 
 class CachedTokenizer:
     """Token ids of whole texts, tokenising each distinct run of characters between white space once.
 
-    Right for lower-case vocabularies whose pre-tokenizer drops white space
-    and parts letters from marks, as ``word_bpe_49k.json`` does.  ``limit``
+    Right for lower-case byte-level vocabularies whose pre-tokenizer drops white
+    space and parts letters from marks, as ``word_bpe_49k.json`` does.  ``limit``
     bounds the cache, not the result.
     """
 
@@ -64,9 +73,14 @@ class CachedTokenizer:
 
     def __init__(self, path: str, limit: int = 500_000):
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.latin = Tokenizer(self.tokenizer.model)  # neither normalises nor searches a word's runs
+        self.latin.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
+        self.between = between[0] if len(between) == 1 else -1
         self.clear()
 
     @classmethod
@@ -79,31 +93,36 @@ class CachedTokenizer:
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {b"": 0}  # stems and marks
-        self.words: dict[bytes, int] = {}  # words as they stand in texts: their place in ``pairs``
-        self.pairs = np.zeros((0, 2), np.int64)
         self.starts, self.lengths, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
-    def fresh_ids(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def fresh_ids(self, words: list[str], latin: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """The ids of all words on end, and the number of each word's, both in runs.
 
-        Words of letters only are tokenised 64 at a time, as a token that ends
-        a word shows where each stops.
+        Words are tokenised 64 at a time: in ``latin`` words a token that ends
+        a word shows where each stops, others have a mark between them.
         """
         group = 64
         lines = [words[i:i + group] for i in range(0, len(words), group)]
-        plain = [all(map(str.isalpha, line)) for line in lines]
-        joined = self.tokenizer.encode_batch_fast([" ".join(x) for x, ok in zip(lines, plain, strict=True) if ok], add_special_tokens=False)
+        tokenizer, space = (self.latin, " ") if latin else (self.tokenizer, f" {BETWEEN} ")
+        joined = tokenizer.encode_batch_fast([space.join(x) for x in lines], add_special_tokens=False)
         flat: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
-        at = iter(joined)
-        for line, ok in zip(lines, plain, strict=True):
-            if ok:
-                ids = np.array(next(at).ids, np.uint32)
+        for line, found in zip(lines, joined, strict=True):
+            ids = np.array(found.ids, np.uint32)
+            if latin:
                 ends = np.flatnonzero(self.ends_word[ids]) + 1
-                if len(ends) == len(line) and ends[-1] == len(ids):  # each word was one run of letters
-                    flat.append(ids)
-                    lengths.append(np.diff(ends, prepend=0))
-                    continue
+                whole = len(ends) == len(line) and ends[-1] == len(ids)
+                counts = np.diff(ends, prepend=0)
+            else:
+                inside = ids != self.between
+                ends = np.flatnonzero(~inside)
+                whole = len(ends) == len(line) - 1
+                counts = np.diff(ends, prepend=-1, append=len(ids)) - 1
+                ids = ids[inside]
+            if whole:
+                flat.append(ids)
+                lengths.append(counts)
+                continue
             for e in self.tokenizer.encode_batch_fast(line, add_special_tokens=False):
                 flat.append(np.array(e.ids, np.uint32))
                 lengths.append(np.array([len(e.ids)], np.int64))
@@ -111,37 +130,49 @@ class CachedTokenizer:
 
     def learn(self, words: list[bytes]) -> None:
         texts = [w.decode("utf-8", "replace") for w in words]
-        order = sorted(range(len(words)), key=lambda i: not texts[i].isalpha())  # words of letters first
-        words = [words[i] for i in order]
-        flat, runs = self.fresh_ids([texts[i] for i in order])
-        lengths = np.concatenate(runs)
+        other = [LATIN(t) is None for t in texts]
+        order = sorted(range(len(words)), key=other.__getitem__)  # Latin words first
+        words, split = [words[i] for i in order], len(words) - sum(other)
+        flat, runs = self.fresh_ids([texts[i].lower() for i in order[:split]], latin=True)
+        more = self.fresh_ids([texts[i] for i in order[split:]], latin=False)
+        lengths = np.concatenate(runs + more[1])
         starts = len(self.flat) + np.cumsum(lengths) - lengths
         self.index.update(zip(words, range(len(self.lengths), len(self.lengths) + len(words)), strict=True))
         self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, *flat])
+        self.flat = np.concatenate([self.flat, *flat, *more[0]])
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """One array of ids a text (UTF-8, as binary)."""
         codes, unique, counts = coded_words(texts, lower=False)
-        if len(self.words) > self.limit:
+        if len(codes) == 0:
+            return [np.zeros(0, np.uint32) for _ in counts]
+        if len(self.index) > self.limit:
             self.clear()
-        words = unique.to_pylist()
-        if new := [w for w in words if w not in self.words]:
-            parts = [x for w in new for x in plain_parts(w)]
-            if fresh := [w for w in dict.fromkeys(parts) if w not in self.index]:
-                self.learn(fresh)
-            self.words.update(zip(new, range(len(self.words), len(self.words) + len(new))))
-            places = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts)).reshape(-1, 2)
-            self.pairs = np.concatenate([self.pairs, places])
-        pairs = self.pairs[np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))]
-        at = pairs[codes].ravel()
+        parts = plain_parts(unique.view(pa.string())).dictionary_encode()
+        distinct = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if fresh := [w for w in distinct if w not in self.index]:
+            self.learn(fresh)
+        at = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
-        ids = self.flat[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        cuts = np.concatenate([[0], ends])[2 * np.concatenate([[0], np.cumsum(counts)])]
+        ids = self.flat[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(ends[-1])]
+        # From distinct parts to the two parts of each distinct word, then to all words.
+        spans = packed(4 * np.append(0, ends), pa.py_buffer(ids)).take(parts.indices)
+        spans = packed(cuts_of(spans)[::2], spans.buffers()[2]).take(pa.array(codes))
+        cuts = cuts_of(spans)[np.append(0, np.cumsum(counts))] // 4
+        ids = np.frombuffer(spans.buffers()[2], np.uint32, cuts[-1])
         return [ids[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def packed(cuts: np.ndarray, data: pa.Buffer) -> pa.Array:
+    """The bytes of ``data`` between each two ``cuts``."""
+    return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(np.ascontiguousarray(cuts, np.int64)), data])
+
+
+def cuts_of(spans: pa.Array) -> np.ndarray:
+    return np.frombuffer(spans.buffers()[1], np.int64)[spans.offset:spans.offset + len(spans) + 1]
+
+
 Piece = tuple  # (doc_id, doc_tokens, start, ids)
 
 

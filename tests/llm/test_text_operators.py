@@ -27,6 +27,42 @@ def test_tokens_equal_whole_text_encoding(sf_docs):
     assert [x.tolist() for x in got] == want
 
 
+def test_odd_texts_tokenise_as_wholes():
+    """Random texts of marks, special tokens, separators and letters outside Latin, in slices of several lengths."""
+    rng = random.Random(8)
+    letters = "aabcdest'AZ.,;:!?-<|>09 \t\n\x0b\x01\x02\x1c\x85\xa0éÉßÿÀ×÷µªº\u0301\u0307İıſﬁΣςдЖ中　ー٣½😀\ufeffÄß"
+    more = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", " don't", "'S", "'re", "the", "ing", "Öl.", "\x01"]
+    texts = ["".join(rng.choice(more) if rng.random() < 0.06 else rng.choice(letters) for _ in range(rng.choice([0, 1, 2, 5, 20, 60])))
+             for _ in range(3000)] + ["\x85", "a", "a ", "!"]
+    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    for step in (1, 50, 4000):
+        found, tokenizer = [], packing.CachedTokenizer(PATH, limit=5000)
+        for i in range(0, len(texts), step):
+            found += tokenizer.encode(pa.array([t.encode() for t in texts[i:i + step]], pa.binary()))
+        assert [x.tolist() for x in found] == want
+
+
+class Counting:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, inner):
+        self.inner, self.given = inner, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.given += len(texts)
+        return self.inner.encode_batch_fast(texts, **options)
+
+
+@pytest.mark.parametrize("form", ["{}", "{}é", "4{}-{}", "д{}"])
+def test_new_words_are_tokenised_in_groups(form):
+    words = [form.replace("{}", "".join(chr(97 + i // 26 ** k % 26) for k in range(4))) for i in range(6400)]
+    cached = packing.CachedTokenizer(PATH)
+    cached.tokenizer, cached.latin = Counting(cached.tokenizer), Counting(cached.latin)
+    got = cached.encode(pa.array([" ".join(words).encode()] * 2, pa.binary()))
+    assert got[0].tolist() == got[1].tolist() == Tokenizer.from_file(PATH).encode(" ".join(words), add_special_tokens=False).ids
+    assert cached.tokenizer.given + cached.latin.given == 100
+
+
 def check_packing(rows, docs, size):
     tok = Tokenizer.from_file(PATH)
     per_doc, seqs = {}, {}
