@@ -163,11 +163,14 @@ def as_objects(words: list) -> np.ndarray:
     return out
 
 
-def hash_words(words: np.ndarray) -> np.ndarray:
-    """A 64-bit SipHash of each word (object array of bytes), the same in every process."""
+def hash_words(words: np.ndarray, distinct: bool = False) -> np.ndarray:
+    """A 64-bit SipHash of each word (object array of bytes), the same in every process.
+
+    ``distinct``: hardly any word repeats, so repeats are not looked for.
+    """
     if len(words) == 0:
         return np.empty(0, dtype=np.uint64)
-    return pd.util.hash_array(words, categorize=True)
+    return pd.util.hash_array(words, categorize=not distinct)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

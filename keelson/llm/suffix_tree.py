@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import as_objects, coded_words, hash_words, mix64, scratch, slices, temporary, text_bytes
+from keelson.llm.common import as_objects, coded_words, hash_words, mix64, scratch, slices, temporary, text_bytes, tidy
 
 END = b"\n"  # no word
 ODD = 0x9E3779B97F4A7C15
@@ -62,12 +62,23 @@ TOKENS_A_TASK = 4_000_000
 SLICE = 4 << 20
 
 
-def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """The place of each key in ``sorted_keys``, or -1."""
-    if not len(sorted_keys):
-        return np.full(len(keys), -1)
-    at = np.searchsorted(sorted_keys, keys).clip(max=len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == keys, at, -1)
+class Places:
+    """Where keys stand in ``ordered`` (ascending, hashes): a key's top bits name the place to search from."""
+
+    def __init__(self, ordered: np.ndarray):
+        bits = max(1, (len(ordered) - 1).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.searchsorted(ordered >> self.shift, np.arange(1 << bits, dtype=np.uint64)).astype(np.int32)
+        self.ordered = np.append(ordered, np.uint64(2**64 - 1))  # a last one that is not less than any key
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        at = self.starts[keys >> self.shift]
+        less = np.flatnonzero(self.ordered[at] < keys)
+        while len(less):  # about one key has the same top bits
+            at[less] += 1
+            less = less[self.ordered[at[less]] < keys[less]]
+        return np.where((self.ordered[at] == keys) & (at < len(self.ordered) - 1), at, -1)
 
 
 def end_key() -> np.uint64:
@@ -85,39 +96,39 @@ class Stream:
         codes, words, counts = coded_words(texts)
         self.counts = counts + 1
         self.first = np.cumsum(self.counts) - self.counts
-        self.table = np.append(hash_words(as_objects(words.to_pylist())), end_key())
+        self.table = np.append(hash_words(words.to_numpy(zero_copy_only=False), distinct=True), end_key())
         self.end = len(self.table) - 1
         inside = np.ones(self.counts.sum(), bool)
         inside[self.first + counts] = False
         self.codes = np.full(len(inside), self.end, np.int32)
         self.codes[inside] = codes
-        self.start = np.repeat(self.first, self.counts)
-        self._keys, self._contexts = [self.table[self.codes]], [None]
-        self._edge = np.array([end_key()])
+        self._keys, self._contexts = [self.table[self.codes]], {}
+        self._edges = [end_key()]  # the key of so many end tokens
+
+    def _before(self, values: np.ndarray, n: int, edge) -> np.ndarray:
+        """The value ``n`` places before each, or ``edge`` where that is before the text."""
+        out = np.empty_like(values)
+        out[n:], out[:n] = values[:max(0, len(values) - n)], edge
+        for at in range(n):
+            out[self.first[self.counts > at] + at] = edge
+        return out
 
     def back(self, n: int) -> np.ndarray:
         """The code of the symbol ``n`` places before each."""
-        at = np.arange(len(self.codes)) - n
-        return np.where(at >= self.start, self.codes[np.maximum(at, 0)], self.end)
-
-    def deepen(self, level: int) -> None:
-        while len(self._keys) <= level:
-            shorter = self._keys[-1]
-            context = np.empty_like(shorter)
-            context[1:] = shorter[:-1]
-            context[self.first] = self._edge[0]
-            self._contexts.append(context)
-            self._keys.append(mix64(shorter * np.uint64(ODD) + self.table[self.back(len(self._keys))]))
-            self._edge = mix64(self._edge * np.uint64(ODD) + end_key())
+        return self._before(self.codes, n, self.end)
 
     def keys(self, level: int) -> np.ndarray:
         """Each symbol with the ``level`` before it."""
-        self.deepen(level)
+        while len(self._keys) <= level:
+            oldest = self._before(self._keys[0], len(self._keys), end_key())
+            self._keys.append(mix64(self._keys[-1] * np.uint64(ODD) + oldest))
+            self._edges.append(mix64(np.array([self._edges[-1]]) * np.uint64(ODD) + end_key())[0])
         return self._keys[level]
 
     def contexts(self, level: int) -> np.ndarray:
         """The ``level`` symbols before each."""
-        self.deepen(level)
+        if level not in self._contexts:
+            self._contexts[level] = self._before(self.keys(level - 1), 1, self._edges[level - 1])
         return self._contexts[level]
 
 
@@ -258,7 +269,7 @@ def count_texts(level: int, shared, shards: int):
                 sums.add(stream.table, np.zeros(len(n), np.uint32), n)
             else:
                 of_context, of_suffix = shared.value
-                some = np.flatnonzero(of_context(stream.contexts(level)))
+                some = np.flatnonzero(of_context(stream.table)[stream.back(1)] if level == 1 else of_context(stream.contexts(level)))
                 ctx = stream.contexts(level)[some]
                 totals.add(ctx, np.zeros(len(ctx), np.uint32))
                 here = of_suffix(stream.keys(level - 1)[some])
@@ -268,8 +279,7 @@ def count_texts(level: int, shared, shards: int):
                     yield from handed_on(x.take(), shards, whole)
         yield from handed_on(sums.take(), shards, False)
         yield from handed_on(totals.take(), shards, True)
-        pa.default_memory_pool().release_unused()
-    return run
+    return tidy(run)
 
 
 def merge_counts(least: int):
@@ -290,7 +300,7 @@ def merge_counts(least: int):
                 j = min(i + 200_000, len(keys))
                 yield pa.record_batch({"key": pa.array(keys[i:j].view(np.int64)), "tag": pa.array(tags[i:j].astype(np.int64)),
                                        "n": pa.array(n[i:j]), "whole": pa.array([whole] * (j - i))})
-    return run
+    return tidy(run)
 
 
 def counted(train: DataFrame, level: int, shared, tasks: int, least: int) -> DataFrame:
@@ -416,6 +426,7 @@ class Known:
         keys = got.column("key").to_numpy().view(np.uint64)
         order = np.argsort(keys)
         self.keys, self.values = keys[order], got.column(value).to_numpy()[order]
+        self.places = Places(self.keys)
         self.all = Filter.of(table)
         self.others = Filter.of(table.where(F.col("n") < least)) if least > 1 else None
 
@@ -423,7 +434,7 @@ class Known:
         """Which are known, their values (0 for others), and which of the others there may be."""
         known, value, maybe = np.zeros(len(keys), bool), np.zeros(len(keys)), np.zeros(len(keys), bool)
         some = np.flatnonzero(self.all(keys))
-        place = find(self.keys, keys[some])
+        place = self.places(keys[some])
         hit = place >= 0
         known[some[hit]], value[some[hit]] = True, self.values[place[hit]]
         if self.others is not None:
@@ -438,12 +449,13 @@ def settle(stream: Stream, known: list) -> tuple[np.ndarray, np.ndarray, np.ndar
     The level is -1 where the token is settled, 0 where its word must be
     looked up, above that where a rarer entry of that depth may count.
     """
-    word, base, _ = (x[stream.codes] for x in known[0][0](stream.table))
+    word, base = (x[stream.codes] for x in known[0][0](stream.table)[:2])
     depths = []  # from the shortest contexts: those that are, or may be, states
     live = np.arange(len(word))
     for at in range(1, len(known)):
         if at == 1:
-            found = [x[stream.back(1)] for x in known[1][1](stream.table)]
+            previous = stream.back(1)
+            found = [x[previous] for x in known[1][1](stream.table)]
         else:
             found = known[at][1](stream.contexts(at)[live])
         some = found[0] | found[2]
@@ -508,7 +520,7 @@ def score(docs: DataFrame, depth: int = 3, occurrences: int = 20, listed: int =
     schema = (f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
               f"rare array<struct<key: long, scored: boolean>>, tail array<struct<level: long, {', '.join(f'{x}: long' for x in names)}>>")
     scored = scratch(rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text")
-                     .mapInArrow(run, schema), "lm-scored")
+                     .mapInArrow(tidy(run), schema), "lm-scored")
     unseen = F.log10(F.lit(1.0) / F.lit(model.size))
     value = F.coalesce("log10p", unseen)
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.key", "r.scored").join(model.words, "key", "left")

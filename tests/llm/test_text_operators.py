@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 
 import brute
@@ -341,6 +342,41 @@ def test_gram_keys_fold_and_unfold():
     assert stream.contexts(2)[0] == stream.keys(1)[5]  # two end tokens, as an empty text's end after an end
 
 
+def test_symbols_before_stay_within_their_text():
+    rng = random.Random(6)
+    texts = [[rng.choice("abc") for _ in range(rng.choice([0, 1, 2, 3, 9]))] for _ in range(60)]
+    stream = suffix_tree.Stream(pa.array([" ".join(t).encode() for t in texts], pa.binary()))
+    key = dict(zip(["a", "b", "c"], suffix_tree.hash_words(suffix_tree.as_objects([b"a", b"b", b"c"])))) | {"": suffix_tree.end_key()}
+    for n in range(5):
+        want = [([""] * n + t + [""])[i] for t in texts for i in range(len(t) + 1)]
+        assert stream.table[stream.back(n)].tolist() == [key[w] for w in want]
+
+
+def test_places_of_keys():
+    rng = np.random.default_rng(5)
+    for size in (0, 1, 2, 3, 1000, 1 << 12):
+        held = np.unique(np.append(rng.integers(0, 1 << 64, size, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)[:size // 2]))
+        asked = np.concatenate([held, held + np.uint64(1), rng.integers(0, 1 << 64, 99, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+        place = {k: i for i, k in enumerate(held.tolist())}
+        assert suffix_tree.Places(held)(asked).tolist() == [place.get(k, -1) for k in asked.tolist()]
+
+
+def test_stream_costs_little_more_than_its_words():
+    """Coding the words is most of a stream's time: no Python object is made and sought a word."""
+    rng = random.Random(8)
+    texts = pa.array([" ".join(f"{rng.getrandbits(40):x}" for _ in range(1000)).encode() for _ in range(100)], pa.binary())
+
+    def least(run):
+        took = []
+        for _ in range(7):
+            start = time.process_time()
+            run(texts)
+            took.append(time.process_time() - start)
+        return min(took)
+
+    assert least(suffix_tree.Stream) < 4 * least(suffix_tree.coded_words)
+
+
 def test_filters_never_miss(spark):
     some = spark.range(5000).select(F.xxhash64("id").alias("key"))
     f = suffix_tree.Filter.of(some)
