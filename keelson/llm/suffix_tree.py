@@ -55,11 +55,13 @@ END = b"\n"  # no word
 ODD = 0x9E3779B97F4A7C15
 #: Places of a filter: its size is fixed.
 FILTER_BITS = 24
-#: Different grams that a task holds before it hands them on, and tokens for which a merging task is planned.
-HELD = 1_500_000
+#: Different grams that a task holds before it hands them on, and entries from which on a merging task merges.
+HELD = 700_000
+MERGED = 2_250_000
+#: Tokens for which a merging task is planned.
 TOKENS_A_TASK = 4_000_000
 #: Bytes of text that are read together.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 class Places:
@@ -289,7 +291,7 @@ def merge_counts(least: int):
         for batch in batches:
             for whole, blob in zip(batch.column("whole").to_pylist(), batch.column("blob").to_pylist()):
                 sums[whole].add(*unpack(blob))
-                if sums[whole].pending > 3 * HELD // 2:
+                if sums[whole].pending > MERGED:
                     sums[whole].merge()
         for whole, held in sums.items():
             keys, tags, n = held.take()
